@@ -113,7 +113,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = own.drop("text").groupBy("_part").agg(F.min_by("_row", order).alias("_row"))
     before = Window.orderBy(F.col("_part").desc())
     ring = firsts.select("_row", F.coalesce(F.lead("_part").over(before), F.max("_part").over(Window.partitionBy())).alias("_to"))  # a row for each range
-    ends = own.join(ring, "_row").select("_row", "doc_id", "text", F.col("_to").alias("_part"), F.lit(1).alias("_end"))
+    # The ring has a row for each range, MAX_RANGES at most, so that it may be broadcast and the texts stay where they are.
+    ends = own.join(F.broadcast(ring), "_row").select("_row", "doc_id", "text", F.col("_to").alias("_part"), F.lit(1).alias("_end"))
     along = Window.partitionBy("_part").orderBy("_end", F.col("doc_id").asc_nulls_first(), "_row")
     out = own.select("_row", "doc_id", "text", "_part", F.lit(0).alias("_end")).unionByName(ends)
     return out.withColumns({"_next_row": F.lead("_row").over(along), "_next_text": F.lead("text").over(along)}).where("_end = 0").drop("_end", "_part")
