@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import fingerprints, langid, mixing, pii, quality, simhash_dedup
+from docloom.llm import fingerprints, langid, mixing, pieces, pii, quality, simhash_dedup
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.query,
     "op3_pii": pii.query,
     "op4_mixing": mixing.query,
     "op7_quality": quality.query,
+    "op8_sentencepiece": pieces.query,
     "op9_language_id": langid.query,
     "op10_fingerprints": fingerprints.query,
 }
