@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, fingerprints, langid, licenses, mixing, pieces, pii, quality, simhash_dedup
+from docloom.llm import ann, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
     "op2_simhash_dedup": simhash_dedup.query,
     "op3_pii": pii.query,
     "op4_mixing": mixing.query,
+    "op5_token_ids": idcoder.query,
     "op6_licenses": licenses.query,
     "op7_quality": quality.query,
     "op8_sentencepiece": pieces.query,
