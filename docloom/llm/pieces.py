@@ -29,6 +29,8 @@ from docloom.llm.common import table
 SPACE = "▁"
 #: Stretches remembered by a worker, and piece pairs; beyond, the memory starts anew.
 REMEMBERED, PAIRS = 500_000, 500_000
+#: Stretches that stay remembered when the memory is full, if they are few enough.
+SHORT = 8
 #: Characters between two looks for the boundary where the back pointers meet.
 LOOK = 64
 
@@ -127,7 +129,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian int32
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
         self.size = len(pieces.texts)
@@ -255,23 +257,76 @@ class Encoder:
             self.runs[n] = got
         return self.runs[n]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; none for null and empty."""
-        if not text:
-            return np.zeros(0, np.int32)
-        escaped = (SPACE if self.p.dummy_prefix else "") + text.replace(" ", SPACE)
+    def learn(self, stretches: set[str]) -> None:
+        """Remember the ids of short stretches. In sorted order neighbours share their first characters, and so the states there."""
+        ids, bpe, scores = self.chosen, self.p.bpe, self.p.scores
+        tails, pairs, size, known = self.tails, self.pairs, self.size, self.known
+        piece, start, score, before_text = [-1], [0], [0.0], ""
+        for text in sorted(stretches):
+            if bpe and not text.strip(SPACE):
+                known[text] = np.array(self.run(len(text)), np.int32).tobytes()
+                continue
+            n, same = len(text), 0
+            for x, y in zip(text, before_text):
+                if x != y:
+                    break
+                same += 1
+            del piece[same + 1 :], start[same + 1 :], score[same + 1 :]
+            for end in range(same + 1, n + 1):
+                best_piece, best_start, best_score = None, 0, 0.0
+                for length in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else range(end, 0, -1):
+                    begin = end - length
+                    if begin < 0:
+                        continue
+                    i = ids.get(text[begin:end])
+                    if i is None:
+                        continue
+                    last = piece[begin]
+                    if bpe:
+                        verdict = last < 0 or pairs.get(last * size + i)
+                        if verdict or verdict is None and self.agree(last, i):
+                            best_piece, best_start = i, begin
+                            break
+                    else:
+                        s = score[begin] + scores[i]
+                        if best_piece is None or s > best_score:
+                            best_piece, best_start, best_score = i, begin, s
+                if best_piece is None:
+                    best_piece, best_start, best_score = -1 - ord(text[end - 1]), end - 1, score[end - 1] - 1e4
+                piece.append(best_piece), start.append(best_start), score.append(best_score)
+            before_text = text
+            chosen, at = [], n
+            while at:
+                chosen.append(piece[at])
+                at = start[at]
+            chosen.reverse()
+            if min(chosen) < 0:
+                chosen = list(chain.from_iterable([i] if i >= 0 else self.fallback(chr(-1 - i)) for i in chosen))
+            known[text] = struct.pack(f"<{len(chosen)}i", *chosen)
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; none for null and empty."""
+        escaped = [((SPACE if self.p.dummy_prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts]
         if self.stretch is None:
-            return np.array(self.walk(escaped), np.int32)
-        known, stretches = self.known, self.stretch.findall(escaped)
-        if len(known) > REMEMBERED:
-            known.clear()
-        for s in set(stretches).difference(known):
-            if len(s) > 256:
-                return self.slow(stretches)  # too long to remember
-            known[s] = tuple(self.run(len(s)) if self.p.bpe and not s.strip(SPACE) else self.walk(s))
-        if self.p.bpe and (SPACE * 2 in escaped or escaped[-1] == SPACE or f"{SPACE}\n" in escaped):
-            return self.slow(stretches)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, stretches)), np.int32)
+            return [np.array(self.walk(t), np.int32) for t in escaped]
+        parts = [self.stretch.findall(t) for t in escaped]
+        if len(self.known) > REMEMBERED:
+            short = {s: v for s, v in self.known.items() if len(s) <= SHORT}  # these come again soonest
+            self.known = short if len(short) < REMEMBERED // 2 else {}
+        known = self.known
+        fresh = set(chain.from_iterable(parts)).difference(known)
+        long = {s for s in fresh if len(s) > LOOK}  # too long to remember
+        self.learn(fresh - long)
+        out = []
+        for text, stretches in zip(escaped, parts):
+            if long and not long.isdisjoint(stretches) or self.p.bpe and (SPACE * 2 in text or text[-1:] == SPACE or f"{SPACE}\n" in text):
+                out.append(self.slow(stretches))
+            else:
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, stretches)), "<i4"))
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def slow(self, stretches: list[str]) -> np.ndarray:
         """Runs of spaces take in the space that the next stretch leaves alone at its start."""
@@ -281,9 +336,8 @@ class Encoder:
             if self.p.bpe and not s.strip(SPACE):
                 waiting += len(s)
                 continue
-            ids = self.known.get(s)
-            if ids is None:
-                ids = self.walk(s)
+            kept = self.known.get(s)
+            ids = self.walk(s) if kept is None else np.frombuffer(kept, "<i4").tolist()
             if waiting:
                 alone = len(ids) > 0 and ids[0] == self.space
                 out += self.run(waiting + alone)
@@ -325,11 +379,9 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                ids, decoded = [], []
-                for t in batch.column(text):
-                    t = t.as_py()
-                    ids.append(encoder.encode(t))
-                    decoded.append(None if t is None else encoder.decode(ids[-1]))
+                texts = batch.column(text).to_pylist()
+                ids = encoder.encode_many(texts)
+                decoded = [None if t is None else encoder.decode(i) for t, i in zip(texts, ids)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], flat, pa.array(decoded, pa.string())], names=[f.name for f in schema])
