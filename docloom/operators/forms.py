@@ -18,7 +18,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "IdIssuedPlace": ("id_issued_place", "issued_by"), "JobTitle": ("job_title", "position", "title"), "Department": ("department", "division", "unit"),
     "PhoneNumber": ("phone_number", "phone", "mobile"), "Email": ("email", "e_mail", "email_address"), "Address": ("address", "home_address"),
 }
-_LABEL = r"[^:\n\{\}_.,]{1,80}"
+_LABEL = r"[^:\n\{\}_.]{1,80}"
 
 
 def detect_fields(forms: DataFrame, key: str = "template_id", text: str = "text") -> DataFrame:
@@ -29,7 +29,7 @@ def detect_fields(forms: DataFrame, key: str = "template_id", text: str = "text"
     blanks = F.regexp_extract_all("_line", F.lit(rf"({_LABEL}):[ \t]*(?:_{{2,}}|\.{{3,}}|…+)"), F.lit(1))
     ends = F.when(F.rlike(F.trim("_line"), F.lit(rf"^{_LABEL}:$")), F.array(F.regexp_replace(F.trim("_line"), ":$", ""))).otherwise(F.array().cast("array<string>"))
     found = lines.select(key, "_l", F.posexplode(F.concat(marks, blanks, ends)).alias("_p", "_x"))
-    label = clean_label(F.col("_x"))
+    label = clean_label(F.regexp_replace("_x", r"^[,;\s]+", ""))
     rows = found.select(key, "_l", "_p", label.alias("label"), slug(label).alias("field")).where((F.size(F.split("label", r"\s+")) <= 5) & ~F.contains("label", F.lit(",")) & (F.col("field") != ""))
     w = Window.partitionBy(key, F.lower("field")).orderBy("_l", "_p")
     rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
