@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import keyed, shared_dir, stash, table
 
-BLOCK, LANES = 1 << 18, 1024
+BLOCK, LANES = 1 << 20, 4096
 #: Code points aimed at in a file.
 FILE_CHARS = 1 << 24
 MAGIC, HEAD, FIXED = b"TCM1", struct.Struct("<4sIII"), struct.Struct("<IQBIIIQ")
