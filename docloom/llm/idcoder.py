@@ -15,10 +15,12 @@ lanes' 16-bit words). Numbers are little-endian.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +242,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Pieces of text whose ids a worker remembers; beyond, it starts anew.
+REMEMBERED, LONGEST = 500_000, 32
+# Fixed value: the pattern by which byte-level BPE of this kind cuts a text before merging, for texts of ASCII and Latin letters.
+_LETTER, _BLANK = "A-Za-zÀ-ÖØ-öø-ſ", "\t-\r "
+CUT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+OTHER = re.compile(f"[^\x00-\x7f{_LETTER}]")
+
+
+class Tokens:
+    """Ids of texts by the tokenizers library. Merging never crosses the cuts that its own first step makes; where all of a
+    text's characters are of the kinds that ``CUT`` knows, each piece is encoded once and then remembered. Other texts are
+    encoded whole, as are all texts if the file's first step is another."""
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # the strings of special tokens are ordinary text here
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        first = parts.get("pre_tokenizer") or {}
+        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not parts.get("normalizer")
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [i for i, t in enumerate(texts) if self.cuts and (t.isascii() or not OTHER.search(t))]
+        out: list = [None] * len(texts)
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+            out[i] = ids
+        if len(self.known) > REMEMBERED:
+            short = {s: v for s, v in self.known.items() if len(s) <= 8}  # these come again soonest
+            self.known = short if len(short) < REMEMBERED // 2 else {}
+        known = self.known
+        cut = [CUT.findall(texts[i]) for i in plain]
+        fresh = list(set(chain.from_iterable(cut)).difference(known))
+        for piece, ids in zip(fresh, self.whole(fresh)):
+            known[piece] = ids.tobytes()
+        for i, pieces in zip(plain, cut):
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        for piece in fresh:
+            if len(piece) > LONGEST:
+                del known[piece]
+        return out
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write ids of ``docs(doc_id, text)``, ascending doc_id (null first; rows of one id in the table's order), one file a range.
 
@@ -250,19 +304,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     files = max(1, chars // FILE_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True  # the strings of special tokens are ordinary text here
-        writer = BlockWriter(TaskContext.get().partitionId(), max(model.get_vocab_size(), end_id + 1))
+        tokens = Tokens(tokenizer)
+        writer = BlockWriter(TaskContext.get().partitionId(), max(tokens.model.get_vocab_size(), end_id + 1))
         wrap = lambda blocks: (pa.RecordBatch.from_arrays([pa.array([b], pa.binary())], names=["block"]) for b in blocks)
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                made = model.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)
-                for doc_id, one in zip(part.column("doc_id").to_pylist(), made):
-                    yield from wrap(writer.add(doc_id, np.array([*one.ids, end_id], np.int32)))
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                made = tokens.encode(part.column("text").to_pylist())
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), made):
+                    yield from wrap(writer.add(doc_id, np.append(ids, np.int32(end_id))))
         yield from wrap(writer.flush())
 
     dealt = own.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_row")
