@@ -70,6 +70,14 @@ def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of the text; ``['']`` where there is none (null included)."""
     return F.split(F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)), r"[\x20\x09-\x0D]+")

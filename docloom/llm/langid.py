@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import crc_of_id, table
+from docloom.llm.common import crc_of_id, fresh, table
 
 DIM = 1024
 SYMBOLS = 64
@@ -158,8 +158,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score`` (0 to 1) added; ``und`` and 0 for null texts and texts without a letter."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    """``docs`` with two columns more, ``_lang`` and ``_score`` (0 to 1; both with further underscores if taken); ``und`` and 0 for
+    null texts and texts without a letter."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(fresh(docs, "_lang"), T.StringType()), T.StructField(fresh(docs, "_score"), T.DoubleType())])
     names = np.array([*model.langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +185,19 @@ MIN_SCORE = 0.3
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is told with ``min_score`` at least; columns as they were."""
+    """The rows of ``docs`` whose language is told with ``min_score`` at least; columns as they were. If no language can be
+    learnt (none is given), all texts with a letter stay."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).drop("_lang", "_score")
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = predict(docs, model)
+    lang, score = told.columns[-2:]
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Repeated rows stay rows; a null id is learnt from unless its crc32 (of the empty text) says otherwise."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    out = predict(docs.select("doc_id", "text"), model)
+    out = predict(docs.select("doc_id", "text"), model)  # no other columns, so the names below are these
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

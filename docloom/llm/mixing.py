@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keyed, n_words, stash, table
+from docloom.llm.common import fresh, keyed, n_words, stash, table
 
 WEIGHTS = (5, 2, 1)
 #: No source is given more than this many times its size.
@@ -77,9 +77,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as they were."""
-    copies = mix(docs, **how).where("copies > 0").select("_row", "copies")
-    out = keyed(docs).join(copies, "_row")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[out[c] for c in docs.columns])
+    key, times = fresh(docs, "_row"), fresh(docs, "_copies")
+    copies = mix(docs, **how).where("copies > 0").select(F.col("_row").alias(key), F.col("copies").cast("int").alias(times))
+    again = F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh(docs, "_copy"))
+    return keyed(docs, key).join(copies, key).select(*docs.columns, again).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

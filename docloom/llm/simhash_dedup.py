@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, discard, keyed, lower_ascii, stash, words
+from docloom.llm.common import components, discard, fresh, keyed, lower_ascii, stash, words
 
 RADIUS = 4
 SHINGLE = 4
@@ -82,7 +82,8 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(n, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, n // 64, 64), axis=2, bitorder="little").view(np.uint64).reshape(64, n // 64)
+    words = np.packbits(bits.T.reshape(64, n // 64, 64), axis=2, bitorder="little")
+    return np.ascontiguousarray(words).view(np.uint64).reshape(64, n // 64)
 
 
 def within(planes: np.ndarray, queries: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +228,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = rows.groupBy(F.col("component_id").isNull().alias("_none"), group.alias("_group")).agg(
         F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")
     )
-    return keyed(docs).join(first.select("_row"), "_row", "left_semi").drop("_row")
+    key = fresh(docs, "_row")
+    return keyed(docs, key).join(first.select(F.col("_row").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
