@@ -36,6 +36,12 @@ def viewer_columns(users: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("reads_dataset").isNull(), F.lit("no dataset")))
 
 
+def viewer_of(users: DataFrame, username: str) -> Viewer | None:
+    """The viewer for one user: reads a row of the users' table; None if there is no such user or no dataset to read."""
+    row = viewer_columns(users).where(F.col("username") == username).select("reads_dataset", "is_admin", "department").first()
+    return Viewer(row["reads_dataset"], bool(row["is_admin"]), row["department"]) if row and row["reads_dataset"] else None
+
+
 def first_admin(users: DataFrame) -> DataFrame:
     return users.where(F.col("is_admin") & (F.trim(F.coalesce("dataset_id", F.lit(""))) != "")).orderBy("created_at", "username").limit(1)
 

@@ -50,7 +50,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP * SPREAD, k1: float
     turned into postings, so the shuffle carries those and no others.
     """
     asked = _asked(queries, F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "q_dataset", "q_admin", "q_department", "term").agg(F.count("*").alias("qtf"))
-    lengths = chunks.select(F.size(tokens(F.col("content"))).alias("dl"))
+    lengths = chunks.select(F.coalesce(F.regexp_count("content", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("dl"))  # as many as tokens, without making them
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     words = chunks.select("id", "dataset_id", "department", "scope", "status", tokens(F.col("content")).alias("words"))
     words = words.select("id", "dataset_id", "department", "scope", "status", F.size("words").alias("dl"), F.explode("words").alias("term"))

@@ -214,3 +214,31 @@ def test_windowed_stream(spark, sf_dir, tmp_path):
 
 def test_form_fields_survive_nulls(spark):
     assert forms.detect_fields(spark.createDataFrame([("t", None), ("u", "")], "template_id string, text string")).count() == 0
+
+
+def test_docx_forms(spark):
+    from docloom.sources import docx_forms
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda *runs: "<w:p>" + "".join(f"<w:r><w:t>{r}</w:t></w:r>" for r in runs) + "</w:p>"
+    body = (
+        f'<w:sdt><w:sdtPr><w:alias w:val="Job Title"/></w:sdtPr><w:sdtContent>{p("old")}</w:sdtContent></w:sdt><w:p><w:fldSimple w:instr=" MERGEFIELD city "><w:r><w:t>«city»</w:t></w:r></w:fldSimple></w:p>'
+        + p("Dear {{Full", " Name}},") + p("Phone: ____") + p("One, two: ____") + p("Address:") + f"<w:tbl><w:tr><w:tc>{p('Unit:')}</w:tc><w:tc>{p('....')}</w:tc></w:tr></w:tbl>"
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    rows = spark.createDataFrame([(out.getvalue(), '{"full_name":"Ann","phone":"12","city":"Rome","unit":"R","job_title":"Dev"}'), (b"no", "{}")], "raw binary, v string")
+    got = rows.select(docx_forms.docx_fields("raw").alias("f"), docx_forms.docx_fill("raw", "v").alias("d")).collect()
+    assert [r.key for r in got[0].f] == ["job_title", "city", "unit", "full_name", "phone", "address"] and got[1].f is None and got[1].d is None
+    text = files.docx_text(bytes(got[0].d))
+    assert "Dear Ann," in text and "Phone: 12" in text and "Rome" in text and "<td>R</td>" in text and "One, two: ____" in text
+
+
+def test_stand_in_models_feed_retrieval(spark):
+    from docloom.functions import models
+
+    chunks = spark.createDataFrame([(str(i), "ds", "HR", "company", "in_force", t) for i, t in enumerate(["red apple tree", "blue sky", "", "red rose"])], "id string, dataset_id string, department string, scope string, status string, content string")
+    q = spark.createDataFrame([(1, "red apple", "ds", True, None)], "query_id long, question string, dataset_id string, is_admin boolean, department string")
+    got = retrieval.retrieve(models.embed_questions(q), models.embed_chunks(chunks).withColumns({"document_id": F.col("id"), "document_name": F.col("id")})).orderBy("rank").collect()
+    assert got[0].chunk_id == "0" and got[0].similarity == 1.0 and "2" not in {r.chunk_id for r in got}
