@@ -44,12 +44,12 @@ def neighbour_graph(x: np.ndarray, k: int = NEIGHBOURS, to: np.ndarray | None =
     out = np.zeros((len(x), max(k, 0)), np.int64)
     if k <= 0:
         return out
-    for s in range(0, len(x), 1024):
-        d = sq[None, :] - 2 * x[s : s + 1024] @ to.T
+    for s in range(0, len(x), 256):  # the driver holds distances of so many rows at once
+        d = sq[None, :] - 2 * x[s : s + 256] @ to.T
         if own:
             d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
         near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.argsort(d, axis=1)
-        out[s : s + 1024] = near
+        out[s : s + 256] = near
     return out
 
 
