@@ -46,7 +46,7 @@ DIGIT_WORDS = {
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto|period"
 _NAME = r"[A-Za-z0-9_%+-]+"
-_GAP = r"[ \t]*[,;._/-]?[ \t]*"
+_GAP = r"[ \t]*[,;._/()-]{0,2}[ \t]*"
 #: Digits, most of them spelled, one after another; a dot word or a full stop between them stays as a full stop.
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus\b|\+)[ \t]*)?(?:{_WORDS})(?:{_GAP}(?:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+))+|(?i:(?<!\w)(?:plus\b|\+)[ \t]*)?[0-9]+(?:{_GAP}(?i:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+(?!\w)))+")
 _SPELLED_TOKEN = re.compile(rf"(?i)(plus)\b|({_WORDS})(?!\w)|({_DOT})(?!\w)|([0-9]+)|(\+)|(\.)")
@@ -61,7 +61,11 @@ _ADDRESS = re.compile(
     rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]+(?:{_DOT})[ \t]+)[A-Za-z0-9-]+)+)(?![\w-])"
 )
 _DOT_WORD = re.compile(rf"(?i)[ \t]+(?:{_DOT})[ \t]+")
-_DOTTED_NUMBERS = re.compile(rf"(?i)(?<!\w)[0-9]{{1,3}}(?:[ \t]+(?:{_DOT})[ \t]+[0-9]{{1,3}}){{3}}(?!\w)")
+#: What marks a word as the local part of an address.
+_NAMED = re.compile(r"[A-Za-z][._+-][A-Za-z0-9]|[0-9]")
+_PLAIN_HOST = re.compile(rf"(?i)[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]")
+_NUMBER_DOT = re.compile(rf"(?i)[ \t]+(?:{_DOT}|\.)[ \t]+")
+_DOTTED_NUMBERS = re.compile(rf"(?i)(?<!\w)[0-9]{{1,3}}(?:[ \t]+(?:{_DOT}|\.)[ \t]+[0-9]{{1,3}}){{3}}(?!\w)")
 _LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile("[0-9]")
 _MARKED = re.compile(rf"(?i)[\[({{<_*|-][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>_*|-]")
 _AT_SET, _DOT_SET = frozenset(_AT.split("|")), frozenset(_DOT.split("|"))
@@ -183,21 +187,21 @@ def disguises(text: str) -> tuple[Rewritten | None, list[tuple[int, int]]]:
         s = m.group()
         if sum("0" <= c <= "9" for c in s) >= 6 and not _digits(s) == re.sub(r"\W", "", s):
             edits.append((m.start(), m.end(), s.translate(_LEET)))
-    if said & _DOT_SET or " @" in text or "@ " in text or _MARKED.search(text):
+    if said & _DOT_SET or " @" in text or "@ " in text or has_digit and " . " in text or _MARKED.search(text) or said & _AT_SET and _PLAIN_HOST.search(text):
         marks = [(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(text)]
         taken = _disjoint(marks)
         step = Rewritten(text, taken)
         for m in _ADDRESS.finditer(step.text):
             own = []
-            if "@" not in m.group("at") and not _DOT_WORD.search(m.group("host")):
-                continue  # "at example.com" may be plain prose
+            if "@" not in m.group("at") and not _DOT_WORD.search(m.group("host")) and m.group("at").strip() != "AT" and not _NAMED.search(m.group("local")):
+                continue  # "look at example.com" may be plain prose
             for a, b in [m.span("at"), *[(m.start(g) + x.start(), m.start(g) + x.end()) for g in ("local", "host") for x in _DOT_WORD.finditer(m.group(g))]]:
                 s, e, _ = step.source(a, b)
                 own.append((s, e, "@" if (a, b) == m.span("at") else "."))
             s, e, changed = step.source(m.start(), m.end())
             own += [t for t in taken if s <= t[0] and t[1] <= e]
             edits += [t for t in own if text[t[0] : t[1]] != t[2]]
-        edits += [(m.start() + x.start(), m.start() + x.end(), ".") for m in _DOTTED_NUMBERS.finditer(text) for x in _DOT_WORD.finditer(m.group())]
+        edits += [(m.start() + x.start(), m.start() + x.end(), ".") for m in _DOTTED_NUMBERS.finditer(text) for x in _NUMBER_DOT.finditer(m.group())]
         # Full stops in brackets between numbers: addresses such as 10[.]0[.]0[.]1.
         edits += [t for t in taken if t[2] == "." and t[0] > 0 and text[t[0] - 1].isdigit() and text[t[1] : t[1] + 1].isdigit()]
     edits = _disjoint(edits)

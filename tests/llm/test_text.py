@@ -24,6 +24,8 @@ def found(text):
         ("call plus one nine eight eight five five five two four eight five today", "phone", "plus one nine eight eight five five five two four eight five"), ("＋44 20 7946 0958", "phone", "＋44 20 7946 0958"),
         ("+1 (988) 555-24​85", "phone", "+1 (988) 555-24​85"), ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
         ("pay 4l11 11I1 1111 1111 now", "card", "4l11 11I1 1111 1111"), ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"), ("at 10[.]0[.]0[.]1.", "ip", "10[.]0[.]0[.]1"), ("host 192 dot 168 dot 1 dot 20", "ip", "192 dot 168 dot 1 dot 20"),
+        ("on 10 . 20 . 30 . 40 now", "ip", "10 . 20 . 30 . 40"), ("ring +1 (five five five) one two three-4567 ok", "phone", "+1 (five five five) one two three-4567"), ("mail john.smith at example.com", "email", "john.smith at example.com"),
+        ("mail SMITH AT EXAMPLE.COM", "email", "SMITH AT EXAMPLE.COM"), ("zwei null vier eins neun sieben fünf sechs acht drei", "phone", "zwei null vier eins neun sieben fünf sechs acht drei"), ("192(dot)168(dot)1(dot)1", "ip", "192(dot)168(dot)1(dot)1"),
     ],
 )
 def test_disguises(text, kind, span):
