@@ -54,6 +54,7 @@ _HAS_WORDS = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w){_GAP}(?:(?:{_WORDS}|{_D
 #: Letters that stand for digits within a number.
 LEET = re.compile(r"(?<![\w@.%-])\+?[0-9OolIB](?:[ .()-]{0,2}[0-9OolIBS]){6,}(?![\w@])")
 _LEET = str.maketrans("OolIBS", "001185")
+_RUN, _LETTER_FOR_DIGIT = re.compile("[0-9A-Za-z]+"), re.compile("[OolIBS]")
 BRACKETED_AT = re.compile(rf"(?i)[ \t]*(?:[\[({{<]+[ \t]*(?:{_AT}|@)[ \t]*[\])}}>]+|[_*|]+(?:{_AT})[_*|]+|-at-)[ \t]*|[ \t]+@[ \t]*|[ \t]*@[ \t]+")
 BRACKETED_DOT = re.compile(rf"(?i)[ \t]*(?:[\[({{<]+[ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>]+|[_*|]+(?:{_DOT})[_*|]+|-dot-)[ \t]*")
 _ADDRESS = re.compile(
@@ -184,9 +185,11 @@ def disguises(text: str) -> tuple[Rewritten | None, list[tuple[int, int]]]:
                     new = new[:-1]
                 edits.append((m.start(), end, new))
     for m in LEET.finditer(text) if has_digit else ():
-        s = m.group()
-        if sum("0" <= c <= "9" for c in s) >= 6 and not _digits(s) == re.sub(r"\W", "", s):
-            edits.append((m.start(), m.end(), s.translate(_LEET)))
+        if sum("0" <= c <= "9" for c in m.group()) >= 6:
+            for run in _RUN.finditer(m.group()):  # letters stand for digits only beside digits
+                if _DIGIT.search(run.group()):
+                    at = m.start() + run.start()
+                    edits += [(at + x.start(), at + x.end(), x.group().translate(_LEET)) for x in _LETTER_FOR_DIGIT.finditer(run.group())]
     if said & _DOT_SET or " @" in text or "@ " in text or has_digit and " . " in text or _MARKED.search(text) or said & _AT_SET and _PLAIN_HOST.search(text):
         marks = [(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(text)]
         taken = _disjoint(marks)

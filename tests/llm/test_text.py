@@ -33,7 +33,7 @@ def test_disguises(text, kind, span):
     assert base == [] and more == [(kind, span)]
 
 
-@pytest.mark.parametrize("text", ["", None, "the cat sat at the mat dot", "look at one two three things", "look at example.com for more", "un un un un un un un un un un un un", "one, two, three, four. Five", "Привет мир 123", "naïve café, 12 of 34.", "a @ b"])
+@pytest.mark.parametrize("text", ["", None, "the cat sat at the mat dot", "look at one two three things", "look at example.com for more", "un un un un un un un un un un un un", "one, two, three, four. Five", "Привет мир 123", "naïve café, 12 of 34.", "a @ b", "o ll 12 ll lo"])
 def test_clean_texts_stay_clean(text):
     assert pii.spans_of(text) == ([], [])
 
@@ -41,6 +41,7 @@ def test_clean_texts_stay_clean(text):
 def test_base_rules():
     text = "a.b@c-d.e.f, 1.2.3.4.5 300.1.1.1 x +1 (988) 555-2485 and +123"
     assert [x for x in found(text)[0] if x[0] != "card"] == [("email", "a.b@c-d.e.f"), ("ip", "1.2.3.4"), ("phone", "+1 (988) 555-2485")]
+    assert found("a ll 30.92.97.236 ll lo 96.160.208.151 lo o") == ([("ip", "30.92.97.236"), ("ip", "96.160.208.151")], [])
     base = pii.spans_of("x 4111 1111 1111 1111. y 4111111111111112 z 1.2.3.256 w +1 (988) 555-2485")[0]
     assert [k for _, _, k in base] == ["card", "phone"]
 
