@@ -14,6 +14,7 @@ lanes' 16-bit words). Numbers are little-endian.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,21 +42,23 @@ _STEP, _SLOTS = 24, 1 << 16
 class Model:
     """What encoder and decoder know alike; both call ``look`` before an id of each lane and ``learn`` after it."""
 
+    #: Trust after a prediction came true (row 1) or not (row 0).
+    NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int8)
+
     def __init__(self, vocab: int, lanes: int) -> None:
         self.counts = np.ones(vocab, np.int64)
         self.bounds, self.total, self.steps = np.arange(vocab + 1, dtype=np.int64), vocab, 0
+        self.narrow = self.bounds.astype(np.int32)  # the same, for searching
         self.guess1, self.trust1 = np.zeros(vocab + 1, np.int32), np.zeros(vocab + 1, np.int8)
         self.guess2, self.trust2 = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int8)
         self.came = np.ones((32, 3), np.int64) * 8
         self.last, self.before = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
-        self.flag_bounds()
+        self.share_flags()
 
-    def flag_bounds(self) -> None:
-        """Shares, in 4096ths, of: order 2 holds, order 1 holds, neither; for each context of confidences."""
-        own = self.came * 4090 // self.came.sum(axis=1, keepdims=True) + 1
-        own[:, 2] += 4096 - own.sum(axis=1)
-        self.flags = own.astype(_U)
-        self.flag_starts = (np.cumsum(own, axis=1) - own).astype(_U)
+    def share_flags(self) -> None:
+        """Of 4096ths, where in each context of confidences "order 1 holds" and "neither holds" begin; "order 2 holds" begins at 0."""
+        own = self.came * 4000 // self.came.sum(axis=1, keepdims=True) + 32
+        self.one, self.none = own[:, 0].astype(_U), (own[:, 0] + own[:, 1]).astype(_U)
 
     def look(self, n: int) -> None:
         last = self.last[:n]
@@ -63,124 +66,147 @@ class Model:
         self.g2, self.g1 = self.guess2[self.slot], self.guess1[last]
         self.t2, self.t1 = self.trust2[self.slot], self.trust1[last]
         self.context = self.t2 * 8 + self.t1 * 2 + (self.g1 == self.g2)
+        self.starts = self.one[self.context], self.none[self.context]
 
-    def learn(self, ids: np.ndarray, flag: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, flag: np.ndarray, missed: np.ndarray) -> None:
         n = len(ids)
         for guess, trust, at, g, t in ((self.guess2, self.trust2, self.slot, self.g2, self.t2), (self.guess1, self.trust1, self.last[:n], self.g1, self.t1)):
             right = (g == ids) & (t > 0)
-            fresh = ~right & (t <= 1)
-            trust[at] = np.where(right, np.minimum(t + 1, 3), np.where(fresh, 1, t - 1))
-            guess[at] = np.where(fresh, ids, g)
-        self.came += np.bincount(self.context * 3 + flag, minlength=96).reshape(32, 3) * 2
-        self.flag_bounds()
-        np.add.at(self.counts, ids[flag == 2], _STEP)
+            trust[at] = self.NEXT[t + (right.view(np.int8) << 2)]
+            guess[at] = np.where(right | (t > 1), g, ids)
+        self.came += np.bincount(self.context * np.int8(3) + flag, minlength=96).reshape(32, 3) * 2
+        np.add.at(self.counts, missed, _STEP)
         self.steps += 1
         if self.steps < 8 or self.steps % 8 == 0:
+            self.share_flags()
             np.cumsum(self.counts, out=self.bounds[1:])
             self.total = int(self.bounds[-1])
+            self.narrow[:] = self.bounds
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
-    """The payload of a block: words of each lane (uint32), then the words (uint16)."""
-    ids = ids.astype(np.int64)
-    lanes = max(1, min(lanes, len(ids) // 16))
-    steps = -(-len(ids) // lanes)
-    # Lane i has the ids from i * steps on; the lanes that end a step earlier come last.
-    full = len(ids) - lanes * (steps - 1)
+def _lanes(n: int, lanes: int) -> tuple[int, int, int, np.ndarray]:
+    """Lanes, steps, lanes that take the last step, and ids of each lane: lane i has the next ``sizes[i]`` ids of the block."""
+    lanes = max(1, min(lanes, n // 16))
+    steps = -(-n // lanes)
+    full = n - lanes * (steps - 1)
     sizes = np.full(lanes, steps)
     sizes[full:] -= 1
+    return lanes, steps, full, sizes
+
+
+#: A lane's range is 2**48 at least; below, 16 bits go out.
+_LEAST, _TOP, _OUT = _U(1 << 48), _U(48), _U(16)
+
+
+def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
+    """The payload of a block: words of each lane (uint32), then the words (uint16)."""
+    lanes, steps, full, sizes = _lanes(len(ids), lanes)
     starts = np.cumsum(sizes) - sizes
+    ids = ids.astype(np.int64)
     model = Model(vocab, lanes)
-    low, wide = np.zeros(lanes, _U), np.full(lanes, 1 << 47, _U)
-    words, at = np.zeros((lanes, 3 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
-
-    def narrow(who: np.ndarray | slice, rows: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray, most: int) -> None:
-        lo, wi = low[who] + unit * start, unit * share
-        over = np.flatnonzero(lo >> _U(48))
-        if len(over):
-            words[rows[over], at[rows[over]] - 1] += 1
-            lo[over] &= _U((1 << 48) - 1)
-        for _ in range(most):
-            small = np.flatnonzero(wi < _U(1 << 32))
-            if not len(small):
-                break
-            r = rows[small]
-            words[r, at[r]] = (lo[small] >> _U(32)).astype(np.uint32)
-            at[r] += 1
-            lo[small] = (lo[small] & _U((1 << 32) - 1)) << _U(16)
-            wi[small] <<= _U(16)
-        low[who], wide[who] = lo, wi
-
-    every = np.arange(lanes)
+    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    cap = 3 * steps + 8
+    words = np.zeros(lanes * cap, np.uint32)
+    at = np.arange(lanes) * cap + 1  # the word before a lane's first takes no carry
+    first = at.copy()
     for k in range(steps):
         n = lanes if k < steps - 1 else full
-        now, rows = ids[starts[:n] + k], every[:n]
+        now = ids[starts[:n] + k]
         model.look(n)
-        flag = np.where((now == model.g2) & (model.t2 > 0), 0, np.where((now == model.g1) & (model.t1 > 0), 1, 2))
-        narrow(slice(0, n), rows, wide[:n] >> _U(12), model.flag_starts[model.context, flag], model.flags[model.context, flag], 1)
+        one, none = model.starts
+        flag = np.where((now == model.g2) & (model.t2 > 0), np.int8(0), np.where((now == model.g1) & (model.t1 > 0), np.int8(1), np.int8(2)))
+        begin = np.where(flag == 0, _U(0), np.where(flag == 1, one, none))
+        end = np.where(flag == 0, one, np.where(flag == 1, none, _U(4096)))
+        unit = wide[:n] >> _U(12)
+        wi, off = unit * (end - begin), unit * begin
         miss = np.flatnonzero(flag == 2)
         own = now[miss]
-        narrow(miss, miss, wide[miss] // _U(model.total), model.bounds[own].astype(_U), (model.bounds[own + 1] - model.bounds[own]).astype(_U), 2)
-        model.learn(now, flag)
+        part = wi[miss] // _U(model.total)
+        from_ = model.bounds[own]
+        off[miss] += part * from_.astype(_U)
+        wi[miss] = part * (model.bounds[own + 1] - from_).astype(_U)
+        lo = low[:n] + off
+        over = np.flatnonzero(lo < off)
+        if len(over):
+            words[at[over] - 1] += 1
+        # A word is written for each lane; only where it goes out does the place move on.
+        a = at[:n]
+        small = wi < _LEAST
+        words[a] = lo >> _TOP
+        a += small
+        shift = small.astype(_U) << _U(4)
+        lo <<= shift
+        wi <<= shift
+        again = np.flatnonzero(wi < _LEAST)
+        while len(again):
+            words[a[again]] = lo[again] >> _TOP
+            a[again] += 1
+            lo[again] <<= _OUT
+            wi[again] <<= _OUT
+            again = again[wi[again] < _LEAST]
+        low[:n], wide[:n] = lo, wi
+        model.learn(now, flag, own)
     # One word more names a number within each lane's last range; the words after it count as zero.
-    last = low + _U((1 << 32) - 1)
-    over = np.flatnonzero(last >> _U(48))
-    words[over, at[over] - 1] += 1
-    words[every, at] = ((last & _U((1 << 48) - 1)) >> _U(32)).astype(np.uint32)
-    at += 1
-    for c in range(words.shape[1] - 1, 0, -1):
-        words[:, c - 1] += words[:, c] >> 16
-    used = np.arange(words.shape[1])[None, :] < at[:, None]
-    return at.astype("<u4").tobytes() + (words[used] & 0xFFFF).astype("<u2").tobytes()
+    last = low + (_LEAST - _U(1))
+    words[at[last < low] - 1] += 1
+    words[at] = last >> _TOP
+    count = at + 1 - first
+    used = np.arange(int(count.max()))
+    table = np.where(used[None, :] < count[:, None], words.reshape(lanes, cap)[:, 1 : 1 + len(used)], np.uint32(0))
+    flat = table.reshape(-1)
+    over = np.flatnonzero(flat >> np.uint32(16))
+    while len(over):
+        flat[over] &= np.uint32(0xFFFF)
+        flat[over - 1] += np.uint32(1)
+        over = (over - 1)[flat[over - 1] > 0xFFFF]
+    return count.astype("<u4").tobytes() + table[used[None, :] < count[:, None]].astype("<u2").tobytes()
 
 
 def decode_block(payload: bytes, n_ids: int, vocab: int, lanes: int = LANES) -> np.ndarray:
-    lanes = max(1, min(lanes, n_ids // 16))
-    steps = -(-n_ids // lanes)
-    full = n_ids - lanes * (steps - 1)
-    sizes = np.full(lanes, steps)
-    sizes[full:] -= 1
+    lanes, steps, full, sizes = _lanes(n_ids, lanes)
     count = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    flat = np.frombuffer(payload, "<u2", offset=4 * lanes)
-    words = np.zeros((lanes, int(count.max()) + 4), _U)
-    words[np.arange(words.shape[1])[None, :] < count[:, None]] = flat
-    gap, wide, at = words[:, 0] << _U(32) | words[:, 1] << _U(16) | words[:, 2], np.full(lanes, 1 << 47, _U), np.full(lanes, 3, np.int64)
-    model, out = Model(vocab, lanes), np.zeros((lanes, steps), np.int64)
-
-    def narrow(who: np.ndarray | slice, rows: np.ndarray, unit: np.ndarray, start: np.ndarray, share: np.ndarray, most: int) -> None:
-        ga, wi = gap[who] - unit * start, unit * share
-        for _ in range(most):
-            small = np.flatnonzero(wi < _U(1 << 32))
-            if not len(small):
-                break
-            r = rows[small]
-            ga[small] = ga[small] << _U(16) | words[r, at[r]]
-            at[r] += 1
-            wi[small] <<= _U(16)
-        gap[who], wide[who] = ga, wi
-
-    every = np.arange(lanes)
+    cap = int(count.max()) + 8
+    table = np.zeros((lanes, cap), _U)
+    table[np.arange(cap)[None, :] < count[:, None]] = np.frombuffer(payload, "<u2", offset=4 * lanes)
+    gap, wide = table[:, 0] << _U(48) | table[:, 1] << _U(32) | table[:, 2] << _U(16) | table[:, 3], np.full(lanes, (1 << 64) - 1, _U)
+    words, at = table.reshape(-1), np.arange(lanes) * cap + 4
+    model, out = Model(vocab, lanes), np.zeros((steps, lanes), np.int64)
     for k in range(steps):
         n = lanes if k < steps - 1 else full
-        rows = every[:n]
         model.look(n)
+        one, none = model.starts
         unit = wide[:n] >> _U(12)
         v = gap[:n] // unit
-        starts = model.flag_starts[model.context]
-        flag = (v >= starts[:, 1]).astype(np.int64) + (v >= starts[:, 2])
-        narrow(slice(0, n), rows, unit, starts[rows, flag], model.flags[model.context, flag], 1)
+        flag = (v >= one).view(np.int8) + (v >= none).view(np.int8)
+        begin = np.where(flag == 0, _U(0), np.where(flag == 1, one, none))
+        end = np.where(flag == 0, one, np.where(flag == 1, none, _U(4096)))
+        wi, ga = unit * (end - begin), gap[:n] - unit * begin
         now = np.where(flag == 0, model.g2, model.g1).astype(np.int64)
         miss = np.flatnonzero(flag == 2)
-        unit = wide[miss] // _U(model.total)
-        v = np.minimum(gap[miss] // unit, _U(model.total - 1)).astype(np.int64)
-        own = np.searchsorted(model.bounds, v, "right") - 1
+        part = wi[miss] // _U(model.total)
+        own = np.searchsorted(model.narrow, np.minimum(ga[miss] // part, _U(model.total - 1)).astype(np.int32), "right") - 1
         now[miss] = own
-        narrow(miss, miss, unit, model.bounds[own].astype(_U), (model.bounds[own + 1] - model.bounds[own]).astype(_U), 2)
-        out[:n, k] = now
-        model.learn(now, flag)
-    return out[np.arange(steps)[None, :] < sizes[:, None]]
+        from_ = model.bounds[own]
+        ga[miss] -= part * from_.astype(_U)
+        wi[miss] = part * (model.bounds[own + 1] - from_).astype(_U)
+        a = at[:n]
+        small = wi < _LEAST
+        shift = small.astype(_U) << _U(4)
+        ga = (ga << shift) | (words[a] * small)
+        wi <<= shift
+        a += small
+        again = np.flatnonzero(wi < _LEAST)
+        while len(again):
+            ga[again] = ga[again] << _OUT | words[a[again]]
+            wi[again] <<= _OUT
+            a[again] += 1
+            again = again[wi[again] < _LEAST]
+        gap[:n], wide[:n] = ga, wi
+        out[k, :n] = now
+        model.learn(now, flag, own)
+    return out.T[np.arange(steps)[None, :] < sizes[:, None]]
 
 
 def pack(part: int, first: int, goes_on: bool, docs: list[tuple[int | None, int]], ids: np.ndarray, vocab: int) -> bytes:
@@ -256,8 +282,6 @@ class Tokens:
     encoded whole, as are all texts if the file's first step is another."""
 
     def __init__(self, path: str) -> None:
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
