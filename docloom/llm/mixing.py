@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 def offset(source: Column, seed: int) -> Column:
     """One number in (0, 1) for each source, the same at each run; multiples of 2**-20, so that sums with ranks stay exact."""
-    return (F.pmod(F.xxhash64(F.coalesce(source, F.lit("")), source.isNull(), F.lit(seed)), F.lit((1 << 20) - 1)) + 1) / F.lit(float(1 << 20))
+    named = F.concat(F.lit(f"{seed}:"), F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("is "), source)))
+    return (F.conv(F.substring(F.sha2(named, 256), 1, 5), 16, 10).cast("long") % ((1 << 20) - 1) + 1) / F.lit(float(1 << 20))
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -86,3 +87,19 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: The same mix in SQL (ids tell the rows apart here, so ranks need no row key).
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS most, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY most / w, source NULLS LAST) AS at_, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT min(at_) AS first, arg_min(level, at_) AS level FROM o WHERE most >= level * w),
+t AS (SELECT o.source, source_size, CASE WHEN f.first IS NULL OR at_ < f.first THEN most::DOUBLE ELSE f.level * w END AS target FROM o, f),
+r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS n FROM d),
+x AS (SELECT doc_id, size, source_size, target, n, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share,
+  (('0x' || substr(sha256('42:' || CASE WHEN r.source IS NULL THEN 'null' ELSE 'is ' || r.source END), 1, 5))::BIGINT % 1048575 + 1) / 1048576.0::DOUBLE AS u FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least(floor(u + n * share) - floor(u + (n - 1) * share), 3) * size)::BIGINT AS taken FROM x
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}

@@ -248,6 +248,18 @@ def test_mix(spark, documents):
     assert all(abs(taken - target) <= 2 * most + 1 for taken, target, most in sums.values())
 
 
+def test_mix_against_sql(spark, sf_dir):
+    import duckdb
+
+    from docloom.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    columns = "doc_id, size, source_size, target, taken"
+    wanted = c.sql(f"select {columns} from ({ORACLE_SQL['op4_mixing']}) order by doc_id").fetchall()
+    assert [tuple(r) for r in mixing.query(spark, sf_dir).select(*columns.split(", ")).orderBy("doc_id").collect()] == wanted
+
+
 def test_mix_edges(edge, empty):
     got = mixing.mix(edge).collect()
     assert len(got) == edge.count() and {r["size"] for r in got if r.doc_id in (1, 2, 3)} == {0}
