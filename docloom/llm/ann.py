@@ -195,7 +195,7 @@ def nearest_in(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -
         if len(base) > k:
             kth = np.partition(d[i], k - 1)[k - 1]
             at = np.flatnonzero(d[i] <= kth + 1e-9 * (1 + abs(kth)) * (1 + float(q @ q)))
-        exact = np.sqrt(((base[at] - q) ** 2).sum(axis=1))
+        exact = np.sqrt(np.cumsum((base[at] - q) ** 2, axis=1)[:, -1])  # added one after another, as SQL adds
         order = np.lexsort((ids[at], exact))[:k]
         out.append((ids[at][order], exact[order]))
     return out
@@ -270,3 +270,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
 
 def query(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+#: Exact neighbours in SQL. Up to ``2 * PART_ROWS`` vectors there is one part, and the search is exact as well.
+SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(e.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""

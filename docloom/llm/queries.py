@@ -17,4 +17,5 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+#: That of op1 is exact search, as the operator is up to 2 * ann.PART_ROWS vectors.
+ORACLE_SQL: dict[str, str] = {"op1_ann": ann.SQL, "op4_mixing": mixing.SQL}

@@ -125,6 +125,18 @@ def test_recall_against_brute_force(spark, monkeypatch):
             assert s == pytest.approx(float(np.sqrt(((x[i].astype(float) - x[q]) ** 2).sum())), rel=1e-14)
 
 
+def test_small_tables_against_sql(spark, sf_dir):
+    import duckdb
+
+    from docloom.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    wanted = c.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['op1_ann']}) order by 1, 2").fetchall()
+    assert [tuple(r) for r in ann.query(spark, sf_dir).select(*columns).orderBy("query_id", "rank").collect()] == wanted
+
+
 def test_parts_are_balanced():
     rnd = np.random.default_rng(2)
     graph = ann.neighbour_graph(rnd.normal(size=(1000, 8)))
