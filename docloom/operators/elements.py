@@ -39,25 +39,27 @@ def text_elements(docs: DataFrame, document_id: str = "document_id", text: str =
     2,000 characters is all there is, windows of 2,000. ``##`` lines and short lines that don't end a sentence are headers; lines
     of a pipe table stay text. A text without any element is one element.
     """
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)(<table>.*?</table>)", "\u0001$1\u0001")
-    parts = docs.select(F.col(document_id).alias("document_id"), F.coalesce(text, F.lit("")).alias("_all"), F.posexplode(F.split(marked, "\u0001")).alias("_s", "_segment"))
-    table = F.lower(F.ltrim("_segment")).startswith("<table>")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    segments = F.split(F.regexp_replace(whole, r"(?is)(<table>.*?</table>)", "\u0001$1\u0001"), "\u0001")
+    one = lambda kind, x: F.struct(F.lit(kind).alias("k"), x.alias("x"))
     long_ = lambda x: F.char_length(trim_ws(x)) > LEAST_LINE
-    lines = F.filter(F.split("_segment", r"\r?\n"), long_)
-    lines = F.when((F.size(lines) <= 1) & (F.char_length("_segment") > WINDOW), F.filter(windows(F.col("_segment"), WINDOW), long_)).otherwise(lines)
-    # A text whose segments give nothing becomes one element, which its first segment carries.
-    own = F.when(table, F.array(F.struct(F.lit("t").alias("k"), trim_ws(F.col("_segment")).alias("x")))).otherwise(F.transform(lines, lambda x: F.struct(F.lit("p").alias("k"), trim_ws(x).alias("x"))))
-    parts = parts.withColumn("_own", own)
-    some = F.sum(F.size("_own")).over(Window.partitionBy("document_id"))
-    parts = parts.withColumn("_n", some).withColumn("_own", F.when((F.col("_n") == 0) & (F.col("_s") == 0), F.array(F.struct(F.lit("w").alias("k"), F.col("_all").alias("x")))).otherwise(F.col("_own")))
-    out = parts.select("document_id", "_s", F.posexplode("_own").alias("_p", "_e")).select("document_id", "_s", "_p", "_e.k", "_e.x")
+
+    def of_segment(segment: Column) -> Column:
+        lines = F.filter(F.split(segment, r"\r?\n"), long_)
+        lines = F.when((F.size(lines) <= 1) & (F.char_length(segment) > WINDOW), F.filter(windows(segment, WINDOW), long_)).otherwise(lines)
+        table = F.lower(F.ltrim(segment)).startswith("<table>")
+        return F.when(table, F.array(one("t", trim_ws(segment)))).otherwise(F.transform(lines, lambda x: one("p", trim_ws(x))))
+
+    # All within a row: a document's elements need no shuffle.
+    own = docs.select(F.col(document_id).alias("document_id"), whole.alias("_all"), F.flatten(F.transform(segments, of_segment)).alias("_own"))
+    own = own.select("document_id", F.when(F.size("_own") == 0, F.array(one("w", F.col("_all")))).otherwise(F.col("_own")).alias("_own"))
+    out = own.select("document_id", F.posexplode("_own").alias("ord", "_e")).select("document_id", "ord", "_e.k", "_e.x")
     marked_header = (F.col("k") == "p") & F.col("x").startswith("##")
     header = marked_header | ((F.col("k") == "p") & is_heading(F.col("x")) & ~F.col("x").startswith("|"))
     category = F.when(F.col("k") == "t", "Table").when(header, "SectionHeader").otherwise("Text")
     body = F.when(marked_header, trim_ws(F.regexp_replace("x", "^#+", ""))).otherwise(F.col("x"))
     bbox = F.when(marked_header, box(0, 0, 1000, 30)).when(F.col("k") == "w", box(0, 0, 1000, 1000)).otherwise(box(0, 0, 1000, 50))
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("_s", "_p")) - 1
-    return out.select("document_id", order.alias("ord"), F.lit(1).alias("page"), category.alias("category"), body.alias("text"), bbox.alias("bbox"))
+    return out.select("document_id", "ord", F.lit(1).alias("page"), category.alias("category"), body.alias("text"), bbox.alias("bbox"))
 
 
 def salvage_json(c: Column) -> Column:

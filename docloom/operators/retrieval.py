@@ -71,9 +71,11 @@ def scaled(hits: DataFrame, name: str) -> DataFrame:
     return hits.select("query_id", "id", value.alias(name), F.col("rank").alias(f"{name}_rank"))
 
 
-def merged(queries: DataFrame, chunks: DataFrame, top: int = TOP) -> DataFrame:
-    """``query_id, id, vec, bm25`` and both ranks: what fusing needs, whatever the weight."""
-    v, t = scaled(knn(queries, chunks, top * SPREAD), "vec"), scaled(bm25(queries, chunks, top * SPREAD), "bm25")
+def merged(queries: DataFrame, chunks: DataFrame, top: int = TOP, texts: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, vec, bm25`` and both ranks: what fusing needs, whatever the weight. ``texts``: the same chunks without
+    vectors, where those are kept apart, so that BM25 doesn't read vectors."""
+    v = scaled(knn(queries, chunks, top * SPREAD), "vec")
+    t = scaled(bm25(queries, chunks if texts is None else texts, top * SPREAD), "bm25")
     return v.join(t, ["query_id", "id"], "full_outer").withColumns({"vec": F.coalesce("vec", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))})
 
 
@@ -85,16 +87,16 @@ def fuse(hits: DataFrame, weight: Column, top: int = TOP, threshold: float = THR
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumn("similarity", F.bround("score", 4))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, top: int = TOP, weight: float = WEIGHT, threshold: float = THRESHOLD) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, top: int = TOP, weight: float = WEIGHT, threshold: float = THRESHOLD, texts: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, chunk_id, content, document_id, document_name, image_id, similarity``."""
-    best = fuse(merged(queries, chunks, top), F.lit(weight), top, threshold).select("query_id", "rank", "id", "similarity")
-    texts = chunks.select("id", "content", "document_id", "document_name")
-    return best.join(texts, "id").select("query_id", "rank", F.col("id").alias("chunk_id"), "content", "document_id", "document_name", F.lit(None).cast("string").alias("image_id"), "similarity")
+    best = fuse(merged(queries, chunks, top, texts), F.lit(weight), top, threshold).select("query_id", "rank", "id", "similarity")
+    named = (chunks if texts is None else texts).select("id", "content", "document_id", "document_name")
+    return best.join(named, "id").select("query_id", "rank", F.col("id").alias("chunk_id"), "content", "document_id", "document_name", F.lit(None).cast("string").alias("image_id"), "similarity")
 
 
-def sweep(queries: DataFrame, chunks: DataFrame, weights: tuple[float, ...] = WEIGHTS, top: int = TOP) -> DataFrame:
+def sweep(queries: DataFrame, chunks: DataFrame, weights: tuple[float, ...] = WEIGHTS, top: int = TOP, texts: DataFrame | None = None) -> DataFrame:
     """``weight, query_id, id, rank, similarity``: hits are found once and fused again for each weight."""
-    hits = merged(queries, chunks, top).withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    hits = merged(queries, chunks, top, texts).withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     return fuse(hits, F.col("weight"), top, by=("weight", "query_id")).select("weight", "query_id", "id", "rank", "similarity")
 
 

@@ -29,12 +29,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _retrieved(questions, spark, sf_dir):
+    return retrieval.retrieve(questions, T.chunks(spark, sf_dir), texts=T.chunks(spark, sf_dir, False))
+
+
 # Retrieval ---------------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {SQL_HITS} SELECT s.query_id, s.rank, s.id AS chunk_id, c.document_id, c.document_name, s.similarity FROM swept s JOIN chunks c ON c.id = s.id WHERE weight = 0.3")
 def hybrid_topn(spark, sf_dir):
-    got = retrieval.retrieve(T.questions(spark, sf_dir), T.chunks(spark, sf_dir))
+    got = _retrieved(T.questions(spark, sf_dir), spark, sf_dir)
     return got.select("query_id", "rank", "chunk_id", "document_id", "document_name", "similarity")
 
 
@@ -55,7 +59,7 @@ def minmax_norm(spark, sf_dir):
 
 @query(f"WITH {SQL_HITS} SELECT query_id, id, round(vec, 5) AS vec, round(bm25, 5) AS bm25 FROM merged")
 def hybrid_merge(spark, sf_dir):
-    got = retrieval.merged(T.questions(spark, sf_dir), T.chunks(spark, sf_dir))
+    got = retrieval.merged(T.questions(spark, sf_dir), T.chunks(spark, sf_dir), texts=T.chunks(spark, sf_dir, False))
     return got.select("query_id", "id", F.round("vec", 5).alias("vec"), F.round("bm25", 5).alias("bm25"))
 
 
@@ -69,8 +73,8 @@ rows AS (SELECT weight, round(p, 6) AS "precision", round(r, 6) AS recall, round
 
 
 def _sweep(spark, sf_dir):
-    q, c = T.questions(spark, sf_dir), T.chunks(spark, sf_dir)
-    got = retrieval.sweep_metrics(retrieval.sweep(q, c), q, c)
+    q, c = T.questions(spark, sf_dir), T.chunks(spark, sf_dir, False)
+    got = retrieval.sweep_metrics(retrieval.sweep(q, T.chunks(spark, sf_dir), texts=c), q, c)
     return got.select("weight", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1", "combined")])
 
 
@@ -91,7 +95,7 @@ n AS (SELECT pair_id, len(list_intersect(i, j)) AS n_both, len(list_distinct(lis
 SELECT pair_id, n_both::INT AS n_both, n_union::INT AS n_union, CASE WHEN n_union = 0 THEN 0 ELSE round_even(n_both / n_union, 4) END AS jaccard FROM n""")
 def paraphrase_jaccard(spark, sf_dir):
     q = T.questions(spark, sf_dir)
-    hits = retrieval.retrieve(q, T.chunks(spark, sf_dir))
+    hits = _retrieved(q, spark, sf_dir)
     ids = q.select("query_id")
     pairs = ids.select(F.col("query_id").alias("a")).join(ids.select(F.col("query_id").alias("b")), F.col("a") < F.col("b")).withColumn("pair_id", F.col("a") * 10 + F.col("b"))
     return retrieval.paraphrase_overlap(hits, pairs).select("pair_id", F.size("both").alias("n_both"), "n_union", "jaccard")
@@ -100,13 +104,13 @@ def paraphrase_jaccard(spark, sf_dir):
 @query(f"""WITH {SQL_HITS} SELECT query_id, string_agg('[ID:' || (rank - 1) || '] ' || trim(content), chr(10) || chr(10) ORDER BY rank) AS context
 FROM swept s JOIN chunks c ON c.id = s.id WHERE weight = 0.3 GROUP BY query_id""")
 def context_block(spark, sf_dir):
-    return retrieval.context_block(retrieval.retrieve(T.questions(spark, sf_dir), T.chunks(spark, sf_dir)))
+    return retrieval.context_block(_retrieved(T.questions(spark, sf_dir), spark, sf_dir))
 
 
 @query()
 def evaluate(spark, sf_dir):
     q = T.questions(spark, sf_dir)
-    got = evaluation.evaluate(q, retrieval.retrieve(q, T.chunks(spark, sf_dir)))
+    got = evaluation.evaluate(q, _retrieved(q, spark, sf_dir))
     return got.withColumn("average", evaluation.row_average(F.col("faithfulness"), F.col("relevancy"), F.col("error")))
 
 
