@@ -41,18 +41,21 @@ def majority(total: Column, tag: str = "v") -> Column:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``_row``, the ``keep`` columns and ``fp`` (long) for each row; texts without words (null, empty) get 0."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """``_row``, the ``keep`` columns and ``fp`` (long) for each row; texts without words (null, empty) get 0. ``wide`` adds
+    ``fp2``, 64 bits more, from the hashes of the hashes."""
     p = F.col("_p")
-    shingle = F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(SHINGLE)])
-    return (
+    joined = F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(shingle)])
+    hashed = (
         keyed(docs.select(*keep, F.col(text).alias("_t"))).select("_row", *keep, words(lower_ascii(F.col("_t"))).alias("_w"))
         .select("_row", *keep, "_w", F.size("_w").alias("_n"), F.posexplode("_w").alias("_p", "_x"))
-        .where((p == 0) | (p + (SHINGLE - 1) < F.col("_n")))
-        .select("_row", *keep, F.when((F.col("_n") == 1) & (F.col("_x") == ""), F.lit(0).cast("long")).otherwise(F.xxhash64(shingle)).alias("_h"))
-        .groupBy("_row", *keep).agg(F.count("*").alias("_total"), *vote_columns(F.col("_h")))
-        .select("_row", *keep, majority(F.col("_total")).alias("fp"))
+        .where((p == 0) | (p + (shingle - 1) < F.col("_n")))
+        .select("_row", *keep, ((F.col("_n") == 1) & (F.col("_x") == "")).alias("_none"), F.xxhash64(joined).alias("_h"))
     )
+    unless = lambda h: F.when(F.col("_none"), F.lit(0).cast("long")).otherwise(h)
+    hashed = hashed.select("_row", *keep, unless(F.col("_h")).alias("_h"), *[unless(F.xxhash64("_h")).alias("_g")] * wide)
+    counted = hashed.groupBy("_row", *keep).agg(F.count("*").alias("_total"), *vote_columns(F.col("_h")), *(vote_columns(F.col("_g"), "u") if wide else []))
+    return counted.select("_row", *keep, majority(F.col("_total")).alias("fp"), *[majority(F.col("_total"), "u").alias("fp2")] * wide)
 
 
 def tables_for(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -87,13 +90,17 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(planes: np.ndarray, queries: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of (query, word) pairs those with a fingerprint within the radius, and a word whose set bits say which."""
+    """Of (query, word) pairs those with a fingerprint within the radius, and a word whose set bits say which.
+
+    ``planes``: (64 x parts, words); ``queries``: (parts, pairs), or (pairs,) for fingerprints of one part.
+    """
+    queries = np.atleast_2d(queries)
     width = max(1, radius.bit_length())
-    at = np.arange(len(queries))
-    sums = [np.zeros(len(queries), np.uint64) for _ in range(width)]
-    over = np.zeros(len(queries), np.uint64)
-    for b in range(64):
-        carry = planes[b][word] ^ (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))
+    at = np.arange(queries.shape[1])
+    sums = [np.zeros(len(at), np.uint64) for _ in range(width)]
+    over = np.zeros(len(at), np.uint64)
+    for b in range(len(planes)):
+        carry = planes[b][word] ^ (np.uint64(0) - ((queries[b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
         for s in sums:
             s_and = s & carry
             s ^= carry
@@ -110,25 +117,18 @@ def within(planes: np.ndarray, queries: np.ndarray, word: np.ndarray, radius: in
                     same = same & ~sums[i]
             open_ = ~(over | more)
             keep = np.flatnonzero(open_)
-            if b == 63:
+            if b == len(planes) - 1:
                 return at[keep], open_[keep]
             if len(keep) < len(at):
-                at, word, queries, over = at[keep], word[keep], queries[keep], over[keep]
+                at, word, queries, over = at[keep], word[keep], queries[:, keep], over[keep]
                 sums = [s[keep] for s in sums]
     raise AssertionError
 
 
-def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int = RADIUS, step: int = 1 << 18) -> np.ndarray:
-    """Row -> smallest row linked to it in its bucket; rows of bucket i are ``starts[i]:ends[i]``."""
-    planes, parent = bit_planes(fps), np.arange(len(fps))
-
-    def root(x: np.ndarray) -> np.ndarray:
-        while True:
-            y = parent[x]
-            if np.array_equal(x, y):
-                return x
-            x = y
-
+def pairs_within(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller row, larger row) of one bucket within the radius, some at a time. ``fps``: (parts, rows); rows of bucket i
+    are ``starts[i]:ends[i]``."""
+    planes = np.concatenate([bit_planes(f) for f in fps])
     end = np.repeat(ends, ends - starts)
     rows = np.repeat(starts, ends - starts) + np.arange(len(end)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
     first = (rows + 1) >> 6
@@ -141,63 +141,124 @@ def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int =
         c = count[lo:hi]
         who = np.repeat(np.arange(lo, hi), c)
         word = first[who] + np.arange(len(who)) - np.repeat(np.cumsum(c) - c, c)
-        at, bits = within(planes, fps[rows[who]], word, radius)
+        at, bits = within(planes, fps[:, rows[who]], word, radius)
         lanes = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, lane = np.nonzero(lanes)
         u, v = rows[who[at[i]]], word[at[i]] * 64 + lane
         ok = (v > u) & (v < end[who[at[i]]])
-        u, v = u[ok], v[ok]
-        while len(u):
-            ru, rv = root(u), root(v)
-            differ = ru != rv
-            u, v, ru, rv = u[differ], v[differ], ru[differ], rv[differ]
-            if len(u):
-                np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
+        yield u[ok], v[ok]
         lo = hi
-    return root(parent)
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    def found(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        y = parent[x]
+        if np.array_equal(x, y):
+            return x
+        x = y
+
+
+def _unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    while len(u):
+        ru, rv = _root(parent, u), _root(parent, v)
+        differ = ru != rv
+        u, v, ru, rv = u[differ], v[differ], ru[differ], rv[differ]
+        if len(u):
+            np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
+
+
+def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Row -> smallest row linked to it in its bucket."""
+    parent = np.arange(fps.shape[-1])
+    for u, v in pairs_within(np.atleast_2d(fps), starts, ends, radius):
+        _unite(parent, u, v)
+    return _root(parent, parent)
+
+
+def closest_forest(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links of a minimum spanning forest by ``d``: it joins, at each distance, what all links up to it join."""
+    rank = np.empty(len(d), np.int64)
+    rank[np.argsort(d, kind="stable")] = np.arange(len(d))
+    parent, chosen, left = np.arange(n), [], np.arange(len(d))
+    while len(left):
+        ru, rv = _root(parent, u[left]), _root(parent, v[left])
+        differ = ru != rv
+        left, ru, rv = left[differ], ru[differ], rv[differ]
+        if len(left):
+            best = np.full(n, len(d))
+            np.minimum.at(best, ru, rank[left])
+            np.minimum.at(best, rv, rank[left])
+            take = left[(best[ru] == rank[left]) | (best[rv] == rank[left])]
+            chosen.append(take)
+            _unite(parent, u[take], v[take])
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows sorted by ``key``, some whole buckets at a time: the columns, and where the buckets of two rows or more start and end."""
+
+    def cut(keys: np.ndarray, rest: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
         many = ends - starts > 1
-        to = forest(fps.view(np.uint64), starts[many], ends[many], radius)
-        own = np.flatnonzero(to != np.arange(len(to)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[to[own]])], names=["a", "b"])
+        return rest, starts[many], ends[many]
 
-    held_k, held_f, size = [], [], 0
+    held, size = [], 0
     for batch in batches:
-        k, f = (batch.column(c).to_numpy() for c in ("key", "fp"))
-        held_k.append(k), held_f.append(f)
-        size += len(k)
+        held.append([batch.column(c).to_numpy() for c in ("key", *columns)])
+        size += batch.num_rows
         if size >= 4 * PART:
-            keys, fps = np.concatenate(held_k), np.concatenate(held_f)
+            keys, *rest = (np.concatenate(x) for x in zip(*held))
             last = int(np.searchsorted(keys, keys[-1], "left"))  # the last bucket may go on
             if last:
-                yield found(keys[:last], fps[:last])
-            held_k, held_f, size = [keys[last:]], [fps[last:]], len(keys) - last
+                yield cut(keys[:last], [x[:last] for x in rest])
+            held, size = [[keys[last:], *[x[last:] for x in rest]]], len(keys) - last
     if size:
-        yield found(np.concatenate(held_k), np.concatenate(held_f))
+        keys, *rest = (np.concatenate(x) for x in zip(*held))
+        yield cut(keys, rest)
 
 
-def link_components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(fp, root)`` for the fingerprints of ``distinct(fp)`` that are linked to a smaller one, directly or over others.
+def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    for (fps,), starts, ends in _buckets(batches, ("fp",)):
+        to = forest(fps.view(np.uint64), starts, ends, radius)
+        own = np.flatnonzero(to != np.arange(len(to)))
+        yield pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[to[own]])], names=["a", "b"])
+
+
+def _close_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    for (node, fp, fp2), starts, ends in _buckets(batches, ("node", "fp", "fp2")):
+        fps = np.stack([fp.view(np.uint64), fp2.view(np.uint64)])
+        u, v, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for more_u, more_v in pairs_within(fps, starts, ends, radius):
+            u, v = np.concatenate([u, more_u]), np.concatenate([v, more_v])
+            d = np.concatenate([d, np.bitwise_count(fps[:, more_u] ^ fps[:, more_v]).sum(axis=0, dtype=np.int64)])
+            keep = closest_forest(len(node), u, v, d)  # never more than a link a row is held from one step to the next
+            u, v, d = u[keep], v[keep], d[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[u], node[v])), pa.array(np.minimum(node[u], node[v]))], names=["a", "b"])
+
 
-    A bucket of over ``PART`` fingerprints is cut into parts by a hash; each two parts meet in a task of their own, so a task
-    holds two parts at most and no link is lost.
+def in_buckets(rows: DataFrame, keys: Column, by: str) -> DataFrame:
+    """``rows`` with ``key``, once for each of the bucket ``keys`` (an array of longs), dealt and sorted by it.
+
+    A bucket of over ``PART`` rows is cut into parts by a hash of ``by``; each two parts meet in a group of their own, so a task
+    holds two parts at most and no pair is lost.
     """
-    tables = tables_for(distinct.count(), radius)
-    dealt = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), tables)).alias("k"))
+    dealt = rows.select("*", F.explode(keys).alias("k"))
     large = dealt.groupBy("k").count().where(F.col("count") > PART).select("k", F.ceil(F.col("count") / (PART // 2)).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col("n")).cast("int")
     parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce(F.col("n"), F.lit(1)) - 1), lambda o: (F.least(own, o) * F.col("n") + F.greatest(own, o)).cast("long"))
     )
-    dealt = dealt.join(large, "k", "left").select("fp", "k", F.explode(parts).alias("p"))
+    dealt = dealt.join(large, "k", "left").select(*rows.columns, "k", F.explode(parts).alias("p"))
     # One number for bucket and parts: buckets that this mixes are compared as one, which adds no false link.
-    dealt = dealt.select("fp", F.when(F.col("p") == 0, F.col("k")).otherwise(F.xxhash64("k", "p")).alias("key"))
-    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    dealt = dealt.select(*rows.columns, F.when(F.col("p") == 0, F.col("k")).otherwise(F.xxhash64("k", "p")).alias("key"))
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def link_components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, root)`` for the fingerprints of ``distinct(fp)`` that are linked to a smaller one, directly or over others."""
+    dealt = in_buckets(distinct.select("fp"), bucket_keys(F.col("fp"), tables_for(distinct.count(), radius)), "fp")
+    edges = dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long")
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 
@@ -221,13 +282,53 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest doc_id (null last; of repeated rows the first)."""
-    rows = near_duplicates(docs, radius)
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
-    first = rows.groupBy(F.col("component_id").isNull().alias("_none"), group.alias("_group")).agg(
-        F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")
-    )
+def sampled_keys(fp: Column, n: int, agreement: float, recall: float = 0.96, seed: int = 2) -> Column:
+    """Bucket keys by bits of the 64 drawn at random: as many bits as keep buckets small for ``n`` rows, and as many tables as
+    find a pair that agrees on a share ``agreement`` of its bits with probability ``recall``."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 14, 40))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agreement**bits)))
+    rnd = np.random.default_rng(seed)
+    masks = [sum(1 << int(b) for b in rnd.choice(64, bits, replace=False)) for _ in range(tables)]
+    return F.transform(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), lambda m, i: F.xxhash64(i, fp.bitwiseAND(m)))
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    """Distinct hashes of a text's shingles; of the whole sequence where it has fewer words."""
+    w = words(lower_ascii(text))
+    last = F.greatest(F.size(w) - shingle, F.lit(0))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, shingle), " "))))
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``_row, doc_id, node, root`` for each row of ``docs(doc_id, text)``: rows of one ``root`` are joined by links between texts
+    whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more.
+
+    128-bit fingerprints propose links: in tables keyed by sampled bits, rows of a bucket within the radius that such a pair
+    keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
+    shingles. Equal fingerprints (so also null and empty texts) are one node.
+    """
+    prints = stash(fingerprints(docs, shingle=shingle, wide=True), "fp")
+    nodes = stash(prints.groupBy("fp", "fp2").agg(F.min("_row").alias("node")), "nodes")
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
+    radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))
+    dealt = in_buckets(nodes, sampled_keys(F.col("fp"), nodes.count(), 1 - differ), "node")
+    proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
+    named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = keyed(docs.select("text")).join(named, "_row", "left_semi").select("_row", shingle_set(F.col("text"), shingle).alias("s"))
+    sets = stash(sets, "sets")
+    met = proposed.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    roots = components(links)
+    discard(sets)
+    named = nodes.join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("root"))
+    return prints.join(named, ["fp", "fp2"]).select("_row", "doc_id", "node", "root")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows the first)."""
+    rows = similar_components(docs, similarity, shingle)
+    first = rows.groupBy("root").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
     key = fresh(docs, "_row")
     return keyed(docs, key).join(first.select(F.col("_row").alias(key)), key, "left_semi").select(*docs.columns)
 

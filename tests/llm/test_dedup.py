@@ -33,6 +33,64 @@ def brute_components(prints, radius=4):
     return {i: find(i) for i in ids}
 
 
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def brute_similar(texts, similarity=0.8):
+    """Text -> smallest id reachable over Jaccard similarities of ``similarity`` or more."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= similarity * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+def test_similar_texts_are_joined(spark):
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = {}
+    for k in range(60):
+        words = [rnd.choice(vocab) for _ in range(rnd.choice([40, 200, 400]))]
+        for j in range(4):
+            own = list(words)
+            for _ in range(int(len(own) * rnd.choice([0, 0.005, 0.01, 0.05, 0.2]))):
+                own[rnd.randrange(len(own))] = rnd.choice(vocab)
+            texts[4 * k + j] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in simhash_dedup.similar_components(df).collect()}
+    wanted = brute_similar(texts)
+    same = lambda x: {frozenset(i for i in x if x[i] == r) for r in x.values()}
+    missed = same(wanted) - same(got)
+    assert len(missed) <= 0.05 * len(same(wanted))
+    for group in same(got):  # no text is joined with one that isn't similar to any of its group
+        assert len({wanted[i] for i in group}) == 1
+
+
+def test_closest_forest_joins_what_all_links_join():
+    rnd = np.random.default_rng(3)
+    u, v, d = rnd.integers(0, 200, 3000), rnd.integers(0, 200, 3000), rnd.integers(0, 20, 3000)
+    keep = simhash_dedup.closest_forest(200, u, v, d)
+    assert len(keep) <= 199
+    for most in range(20):
+        joined = []
+        for at in (np.flatnonzero(d <= most), keep[d[keep] <= most]):
+            parent = np.arange(200)
+            simhash_dedup._unite(parent, u[at], v[at])
+            joined.append(simhash_dedup._root(parent, parent))
+        assert np.array_equal(*joined)
+
+
 def test_query_against_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: r for r in simhash_dedup.query(spark, sf_dir).collect()}
     prints = {i: brute_fp(t) for i, t in texts.items()}
