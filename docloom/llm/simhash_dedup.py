@@ -245,6 +245,7 @@ def in_buckets(rows: DataFrame, keys: Column, by: str) -> DataFrame:
     """
     dealt = rows.select("*", F.explode(keys).alias("k"))
     large = dealt.groupBy("k").count().where(F.col("count") > PART).select("k", F.ceil(F.col("count") / (PART // 2)).cast("int").alias("n"))
+    large = stash(large, "large")  # written first: if it is small, as it is unless data are crowded, the join below needs no shuffle
     own = F.pmod(F.xxhash64(by), F.col("n")).cast("int")
     parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce(F.col("n"), F.lit(1)) - 1), lambda o: (F.least(own, o) * F.col("n") + F.greatest(own, o)).cast("long"))
@@ -282,14 +283,18 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def sampled_keys(fp: Column, n: int, agreement: float, recall: float = 0.96, seed: int = 2) -> Column:
-    """Bucket keys by bits of the 64 drawn at random: as many bits as keep buckets small for ``n`` rows, and as many tables as
+def sampled_keys(fp: Column, fp2: Column, n: int, agreement: float, recall: float = 0.99, seed: int = 2) -> Column:
+    """Bucket keys by bits of the 128 drawn at random: as many bits as keep buckets small for ``n`` rows, and as many tables as
     find a pair that agrees on a share ``agreement`` of its bits with probability ``recall``."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 14, 40))
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 12, 40))
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agreement**bits)))
     rnd = np.random.default_rng(seed)
-    masks = [sum(1 << int(b) for b in rnd.choice(64, bits, replace=False)) for _ in range(tables)]
-    return F.transform(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), lambda m, i: F.xxhash64(i, fp.bitwiseAND(m)))
+    masks = []
+    for _ in range(tables):
+        drawn = sum(1 << int(b) for b in rnd.choice(128, bits, replace=False))
+        masks.append([x - (1 << 64) if x >> 63 else x for x in (drawn & (1 << 64) - 1, drawn >> 64)])
+    both = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip("xy", m)]) for m in masks])
+    return F.transform(both, lambda m, i: F.xxhash64(i, fp.bitwiseAND(m["x"]), fp2.bitwiseAND(m["y"])))
 
 
 def shingle_set(text: Column, shingle: int) -> Column:
@@ -303,7 +308,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     """``_row, doc_id, node, root`` for each row of ``docs(doc_id, text)``: rows of one ``root`` are joined by links between texts
     whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more.
 
-    128-bit fingerprints propose links: in tables keyed by sampled bits, rows of a bucket within the radius that such a pair
+    128-bit fingerprints propose links: in tables keyed by bits drawn at random, rows of a bucket within the radius that such a pair
     keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
     shingles. Equal fingerprints (so also null and empty texts) are one node.
     """
@@ -311,7 +316,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     nodes = stash(prints.groupBy("fp", "fp2").agg(F.min("_row").alias("node")), "nodes")
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
     radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))
-    dealt = in_buckets(nodes, sampled_keys(F.col("fp"), nodes.count(), 1 - differ), "node")
+    dealt = in_buckets(nodes, sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ), "node")
     proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
     named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = keyed(docs.select("text")).join(named, "_row", "left_semi").select("_row", shingle_set(F.col("text"), shingle).alias("s"))
