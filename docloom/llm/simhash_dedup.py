@@ -285,9 +285,10 @@ def hex64(fp: Column) -> Column:
 
 def sampled_keys(fp: Column, fp2: Column, n: int, agreement: float, recall: float = 0.99, seed: int = 2) -> Column:
     """Bucket keys by bits of the 128 drawn at random: as many bits as keep buckets small for ``n`` rows, and as many tables as
-    find a pair that agrees on a share ``agreement`` of its bits with probability ``recall``."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 12, 40))
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agreement**bits)))
+    find, with probability ``recall``, a pair that agrees on fewer bits than ``agreement`` says by one standard deviation."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 6, 8, 40))  # about 64 rows a bucket: a word of bit planes
+    worse = agreement - (agreement * (1 - agreement) / 128) ** 0.5
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - worse**bits)))
     rnd = np.random.default_rng(seed)
     masks = []
     for _ in range(tables):
