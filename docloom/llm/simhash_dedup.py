@@ -298,11 +298,16 @@ def sampled_keys(fp: Column, fp2: Column, n: int, agreement: float, recall: floa
     return F.transform(both, lambda m, i: F.xxhash64(i, fp.bitwiseAND(m["x"]), fp2.bitwiseAND(m["y"])))
 
 
-def shingle_set(text: Column, shingle: int) -> Column:
-    """Distinct hashes of a text's shingles; of the whole sequence where it has fewer words."""
-    w = words(lower_ascii(text))
-    last = F.greatest(F.size(w) - shingle, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, shingle), " "))))
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``_row, s`` of ``rows(_row, text)``: distinct hashes of a text's shingles; of the whole sequence where it has fewer words.
+
+    The words are a column of their own: a lambda would split the text again for each shingle.
+    """
+    w, p = F.col("_w"), F.col("_p")
+    joined = F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(shingle)])
+    split = rows.select("_row", words(lower_ascii(F.col("text"))).alias("_w")).select("_row", "_w", F.posexplode("_w").alias("_p", "_x"))
+    hashed = split.where((p == 0) | (p + (shingle - 1) < F.size(w))).select("_row", F.xxhash64(joined).alias("_h"))
+    return hashed.groupBy("_row").agg(F.collect_set("_h").alias("s"))
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -320,8 +325,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     dealt = in_buckets(nodes, sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ), "node")
     proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
     named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = keyed(docs.select("text")).join(named, "_row", "left_semi").select("_row", shingle_set(F.col("text"), shingle).alias("s"))
-    sets = stash(sets, "sets")
+    sets = stash(shingle_sets(keyed(docs.select("text")).join(named, "_row", "left_semi"), shingle), "sets")
     met = proposed.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
