@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import tokens
+from docloom.functions.text import let, tokens
 
 Embed = Callable[[Column], Column]
 #: Converts a file's bytes to another format (such as DOCX to PDF) outside of this engine.
@@ -18,8 +18,8 @@ Convert = Callable[[Column], Column]
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """Stand-in for an embedding model: counts of token hashes; empty for a text without tokens."""
     slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("float"))
-    return F.when(F.size(slots) == 0, F.array().cast("array<float>")).otherwise(counts)
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(own, lambda s: s == d)).cast("float"))
+    return let(slots, lambda own: F.when(F.size(own) == 0, F.array().cast("array<float>")).otherwise(counts(own)))
 
 
 def embed_chunks(chunks: DataFrame, embed: Embed = hashed_embedding) -> DataFrame:

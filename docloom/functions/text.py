@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 FOREIGN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{0600}-\x{06FF}\x{AC00}-\x{D7AF}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: within lambdas Spark would compute a repeated expression again each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -100,9 +105,8 @@ def usable_output(c: Column) -> Column:
 
 def word_list_ratio(c: Column, words: list[str]) -> Column:
     """Share of the blank-separated words that are in a list."""
-    own = F.filter(F.split(F.lower(text_or_empty(c)), r"\s+"), lambda w: w != "")
-    hits = F.size(F.filter(own, lambda w: F.array_contains(F.array(*map(F.lit, words)), w)))
-    return F.when(F.size(own) == 0, 0.0).otherwise(hits / F.size(own))
+    hits = lambda own: F.size(F.filter(own, lambda w: F.array_contains(F.array(*map(F.lit, words)), w)))
+    return let(F.filter(F.split(F.lower(text_or_empty(c)), r"\s+"), lambda w: w != ""), lambda own: F.when(F.size(own) == 0, 0.0).otherwise(hits(own) / F.size(own)))
 
 
 def placeholder_if_listed(c: Column, words: list[str], placeholder: str = "[unreadable]", most: float = 0.55, least_words: int = 4) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import chunk_id, is_blank, trim_ws
+from docloom.functions.text import chunk_id, is_blank, let, trim_ws
 from docloom.operators.elements import windows
 from docloom.schemas import BBOX
 
@@ -34,7 +34,6 @@ def split_table(html: Column) -> Column:
     """A table's pieces: the whole up to 1,500 characters; else batches of rows of at most 1,200 under the first row again; a
     long table without rows in windows of 1,500. An oversized first data row leaves an empty batch before it, and a long table
     of one row gives nothing."""
-    rows = table_rows(html)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     full = lambda acc, row: F.char_length(acc["now"]) + F.char_length(row) > TABLE_BATCH
     step = lambda acc, row: F.struct(
@@ -42,9 +41,13 @@ def split_table(html: Column) -> Column:
         F.when(full(acc, row), row).otherwise(F.concat(acc["now"], row)).alias("now"),
     )
     finish = lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
-    batches = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), start, step, finish)
-    whole = F.transform(batches, lambda b: F.concat(F.lit("<table>"), F.get(rows, F.lit(0)), b, F.lit("</table>")))
-    return F.when(F.char_length(html) <= SMALL_TABLE, F.array(html)).when(F.size(rows) == 0, windows(html, SMALL_TABLE)).otherwise(whole)
+
+    def by_rows(rows: Column) -> Column:
+        batches = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), start, step, finish)
+        whole = F.transform(batches, lambda b: F.concat(F.lit("<table>"), F.get(rows, F.lit(0)), b, F.lit("</table>")))
+        return F.when(F.size(rows) == 0, windows(html, SMALL_TABLE)).otherwise(whole)
+
+    return F.when(F.char_length(html) <= SMALL_TABLE, F.array(html)).otherwise(let(table_rows(html), by_rows))
 
 
 def layout_chunks(elements: DataFrame) -> DataFrame:

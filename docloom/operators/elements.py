@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import category_code, is_blank, is_foreign, placeholder_if_listed, strip_fence, trim_ws
+from docloom.functions.text import category_code, is_blank, is_foreign, let, placeholder_if_listed, strip_fence, trim_ws
 from docloom.schemas import BBOX
 
 LAYOUT = "array<struct<bbox:array<int>,category:string,text:string>>"
@@ -45,8 +45,8 @@ def text_elements(docs: DataFrame, document_id: str = "document_id", text: str =
     long_ = lambda x: F.char_length(trim_ws(x)) > LEAST_LINE
 
     def of_segment(segment: Column) -> Column:
-        lines = F.filter(F.split(segment, r"\r?\n"), long_)
-        lines = F.when((F.size(lines) <= 1) & (F.char_length(segment) > WINDOW), F.filter(windows(segment, WINDOW), long_)).otherwise(lines)
+        cut = lambda lines: F.when((F.size(lines) <= 1) & (F.char_length(segment) > WINDOW), F.filter(windows(segment, WINDOW), long_)).otherwise(lines)
+        lines = let(F.filter(F.split(segment, r"\r?\n"), long_), cut)
         table = F.lower(F.ltrim(segment)).startswith("<table>")
         return F.when(table, F.array(one("t", trim_ws(segment)))).otherwise(F.transform(lines, lambda x: one("p", trim_ws(x))))
 
