@@ -24,12 +24,16 @@ def text_or_empty(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), r"(?U)\s+", "") == ""
+    return trim_ws(text_or_empty(c)) == ""
+
+
+#: The white space of Unicode.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_ws(c: Column) -> Column:
     """Trim all Unicode white space, not blanks alone."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def normalise_ws(c: Column) -> Column:

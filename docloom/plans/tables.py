@@ -10,7 +10,10 @@ from docloom.schemas import DEPARTMENTS, DOC_TYPES, SCOPES, STATUSES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    # A text table in one small file would keep one core busy; filters and column pruning pass the repartitioning.
+    return df.repartition(n) if name in ("documents", "pages") and df.rdd.getNumPartitions() < n else df
 
 
 def _pick(values: tuple[str, ...], i) -> F.Column:
