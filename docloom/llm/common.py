@@ -65,6 +65,13 @@ def discard(df: DataFrame | None) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew only if it has fewer partitions than the cluster has cores (a small table in one file). Not for inputs that
+    are given row keys: these must come in the order of the files."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
     """Add a row key. Both uses of one input agree as long as it is a table or files, whose splits stay the same."""
     return df.withColumn(key, F.monotonically_increasing_id())

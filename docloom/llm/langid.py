@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import crc_of_id, fresh, table
+from docloom.llm.common import crc_of_id, fresh, spread, table
 
 DIM = 1024
 SYMBOLS = 64
@@ -197,7 +197,7 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Repeated rows stay rows; a null id is learnt from unless its crc32 (of the empty text) says otherwise."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), model)  # no other columns, so the names below are these
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

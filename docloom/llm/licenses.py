@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import table
+from docloom.llm.common import spread, table
 
 # The wording of public licenses and of usual notices; (name, words that must agree, text).
 _MIT_GRANT = (
@@ -211,7 +211,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """A row for each document: its number of licenses, their places (license:start:end) and how many wordings differ."""
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(spread(table(spark, sf_dir, "documents")))
     places = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["license"], h["start"], h["end"])), ",")
     differ = F.size(F.filter("hits", lambda h: F.size(h["differences"]) > 0)).cast("long")
     return found.select("doc_id", F.size("hits").cast("long").alias("n_licenses"), places.alias("licenses"), differ.alias("n_reworded"), "hits")

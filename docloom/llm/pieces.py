@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import table
+from docloom.llm.common import spread, table
 
 SPACE = "▁"
 #: Stretches remembered by a worker, and piece pairs; beyond, the memory starts anew.
@@ -398,4 +398,4 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 def query(spark, sf_dir: str, model: str | None = None) -> DataFrame:
     """Null and empty texts have no ids; repeated rows stay rows."""
-    return encoded(table(spark, sf_dir, "documents"), load(model or default_model()))
+    return encoded(spread(table(spark, sf_dir, "documents")), load(model or default_model()))

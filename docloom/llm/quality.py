@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_of_id, stash, table
+from docloom.llm.common import crc_of_id, spread, stash, table
 
 #: Bound of the labelled sample that trees are fitted on, about; it holds at most this many rows at any input size.
 SAMPLE = 20_000
@@ -185,6 +185,6 @@ def score(features: DataFrame, trees: Trees) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Null and empty texts are scored by their zero statistics; repeated rows stay rows."""
-    features = stash(with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    features = stash(with_statistics(spread(table(spark, sf_dir, "documents"))), "statistics")
     trees = learn(features, table(spark, sf_dir, "labels"))
     return score(features, trees).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
