@@ -41,9 +41,8 @@ def majority(total: Column, tag: str = "v") -> Column:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """``_row``, the ``keep`` columns and ``fp`` (long) for each row; texts without words (null, empty) get 0. ``wide`` adds
-    ``fp2``, 64 bits more, from the hashes of the hashes."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+    """``_row``, the ``keep`` columns and ``fp`` (long) for each row; texts without words (null, empty) get 0."""
     p = F.col("_p")
     joined = F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(shingle)])
     hashed = (
@@ -52,10 +51,9 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         .where((p == 0) | (p + (shingle - 1) < F.col("_n")))
         .select("_row", *keep, ((F.col("_n") == 1) & (F.col("_x") == "")).alias("_none"), F.xxhash64(joined).alias("_h"))
     )
-    unless = lambda h: F.when(F.col("_none"), F.lit(0).cast("long")).otherwise(h)
-    hashed = hashed.select("_row", *keep, unless(F.col("_h")).alias("_h"), *[unless(F.xxhash64("_h")).alias("_g")] * wide)
-    counted = hashed.groupBy("_row", *keep).agg(F.count("*").alias("_total"), *vote_columns(F.col("_h")), *(vote_columns(F.col("_g"), "u") if wide else []))
-    return counted.select("_row", *keep, majority(F.col("_total")).alias("fp"), *[majority(F.col("_total"), "u").alias("fp2")] * wide)
+    hashed = hashed.select("_row", *keep, F.when(F.col("_none"), F.lit(0).cast("long")).otherwise(F.col("_h")).alias("_h"))
+    counted = hashed.groupBy("_row", *keep).agg(F.count("*").alias("_total"), *vote_columns(F.col("_h")))
+    return counted.select("_row", *keep, majority(F.col("_total")).alias("fp"))
 
 
 def tables_for(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -298,16 +296,27 @@ def sampled_keys(fp: Column, fp2: Column, n: int, agreement: float, recall: floa
     return F.transform(both, lambda m, i: F.xxhash64(i, fp.bitwiseAND(m["x"]), fp2.bitwiseAND(m["y"])))
 
 
-def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """``_row, s`` of ``rows(_row, text)``: distinct hashes of a text's shingles; of the whole sequence where it has fewer words.
+def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``_row``, the ``keep`` columns and ``s`` of ``rows(_row, text)``: distinct hashes of a text's shingles; of the whole sequence
+    where it has fewer words; 0 alone where it has none.
 
-    The words are a column of their own: a lambda would split the text again for each shingle.
+    The words are the column of a generator: a lambda over an expression would split the text again for each shingle.
     """
-    w, p = F.col("_w"), F.col("_p")
-    joined = F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(shingle)])
-    split = rows.select("_row", words(lower_ascii(F.col("text"))).alias("_w")).select("_row", "_w", F.posexplode("_w").alias("_p", "_x"))
-    hashed = split.where((p == 0) | (p + (shingle - 1) < F.size(w))).select("_row", F.xxhash64(joined).alias("_h"))
-    return hashed.groupBy("_row").agg(F.collect_set("_h").alias("s"))
+    split = rows.select("_row", *keep, F.explode(F.array(words(lower_ascii(F.col("text"))))).alias("_w"))
+    hashed = lambda p: F.xxhash64(F.concat_ws(" ", *[F.get("_w", p + i if i else p) for i in range(shingle)]))
+    at = F.sequence(F.lit(0), F.greatest(F.size("_w") - shingle, F.lit(0)))
+    none = (F.size("_w") == 1) & (F.get("_w", F.lit(0)) == "")
+    return split.select("_row", *keep, F.when(none, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(at, hashed))).alias("s"))
+
+
+def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``_row, doc_id, fp, fp2`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes of the hashes) to which each
+    distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line is repeated."""
+    h = F.col("_h")
+    votes = shingle_sets(keyed(docs.select("doc_id", "text")), shingle, ("doc_id",)).select("_row", "doc_id", F.explode("s").alias("_h"))
+    votes = votes.select("_row", "doc_id", "_h", F.when(h == 0, h).otherwise(F.xxhash64(h)).alias("_g"))
+    counted = votes.groupBy("_row", "doc_id").agg(F.count("*").alias("_total"), *vote_columns(h), *vote_columns(F.col("_g"), "u"))
+    return counted.select("_row", "doc_id", majority(F.col("_total")).alias("fp"), majority(F.col("_total"), "u").alias("fp2"))
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -318,7 +327,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
     shingles. Equal fingerprints (so also null and empty texts) are one node.
     """
-    prints = stash(fingerprints(docs, shingle=shingle, wide=True), "fp")
+    prints = stash(set_fingerprints(docs, shingle), "fp")
     nodes = stash(prints.groupBy("fp", "fp2").agg(F.min("_row").alias("node")), "nodes")
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
     radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))

@@ -77,6 +77,19 @@ def test_similar_texts_are_joined(spark):
         assert len({wanted[i] for i in group}) == 1
 
 
+def test_repeated_lines_hide_no_similar_texts(spark):
+    """A footer repeated many times adds few shingles, however many words it has."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for k in range(8):
+        texts[2 * k] = " ".join(word() for _ in range(300))
+        texts[2 * k + 1] = texts[2 * k] + " please read our terms of use" * 100
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in simhash_dedup.similar_components(df).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(8)) and len(set(got.values())) == 8
+
+
 def test_closest_forest_joins_what_all_links_join():
     rnd = np.random.default_rng(3)
     u, v, d = rnd.integers(0, 200, 3000), rnd.integers(0, 200, 3000), rnd.integers(0, 20, 3000)
