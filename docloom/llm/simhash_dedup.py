@@ -310,13 +310,15 @@ def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> D
 
 
 def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``_row, doc_id, fp, fp2`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes of the hashes) to which each
-    distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line is repeated."""
+    """``_row, doc_id, fp, fp2, n, x, y`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes of the hashes) to which
+    each distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line is repeated; ``n, x,
+    y`` (size, and 128 bits of all members) are equal for equal sets alone."""
     h = F.col("_h")
     votes = shingle_sets(keyed(docs.select("doc_id", "text")), shingle, ("doc_id",)).select("_row", "doc_id", F.explode("s").alias("_h"))
     votes = votes.select("_row", "doc_id", "_h", F.when(h == 0, h).otherwise(F.xxhash64(h)).alias("_g"))
-    counted = votes.groupBy("_row", "doc_id").agg(F.count("*").alias("_total"), *vote_columns(h), *vote_columns(F.col("_g"), "u"))
-    return counted.select("_row", "doc_id", majority(F.col("_total")).alias("fp"), majority(F.col("_total"), "u").alias("fp2"))
+    of_set = [F.count("*").alias("n"), F.bit_xor("_h").alias("x"), F.bit_xor("_g").alias("y")]
+    counted = votes.groupBy("_row", "doc_id").agg(*of_set, *vote_columns(h), *vote_columns(F.col("_g"), "u"))
+    return counted.select("_row", "doc_id", majority(F.col("n")).alias("fp"), majority(F.col("n"), "u").alias("fp2"), "n", "x", "y")
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -325,13 +327,14 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     128-bit fingerprints propose links: in tables keyed by bits drawn at random, rows of a bucket within the radius that such a pair
     keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
-    shingles. Equal fingerprints (so also null and empty texts) are one node.
+    shingles. Equal sets (so also null and empty texts) are one node; different texts of equal fingerprints are confirmed like others.
     """
     prints = stash(set_fingerprints(docs, shingle), "fp")
-    nodes = stash(prints.groupBy("fp", "fp2").agg(F.min("_row").alias("node")), "nodes")
+    same = ["fp", "fp2", "n", "x", "y"]
+    nodes = stash(prints.groupBy(*same).agg(F.min("_row").alias("node")), "nodes")
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
     radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))
-    dealt = in_buckets(nodes, sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ), "node")
+    dealt = in_buckets(nodes.select("node", "fp", "fp2"), sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ), "node")
     proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
     named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = stash(shingle_sets(keyed(docs.select("text")).join(named, "_row", "left_semi"), shingle), "sets")
@@ -340,8 +343,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     links = met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     roots = components(links)
     discard(sets)
-    named = nodes.join(roots, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("root"))
-    return prints.join(named, ["fp", "fp2"]).select("_row", "doc_id", "node", "root")
+    named = nodes.join(roots, "node", "left").select(*same, "node", F.coalesce("root", "node").alias("root"))
+    return prints.join(named, same).select("_row", "doc_id", "node", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -90,6 +90,16 @@ def test_repeated_lines_hide_no_similar_texts(spark):
     assert all(got[2 * k] == got[2 * k + 1] for k in range(8)) and len(set(got.values())) == 8
 
 
+def test_equal_fingerprints_alone_join_nothing(spark, monkeypatch):
+    """Different texts whose fingerprints are equal stay; equal texts are one."""
+    real = simhash_dedup.set_fingerprints
+    monkeypatch.setattr(simhash_dedup, "set_fingerprints", lambda *a: real(*a).withColumns({"fp": F.lit(7).cast("long"), "fp2": F.lit(7).cast("long")}))
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[1]])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.drop_near_duplicates(df).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_closest_forest_joins_what_all_links_join():
     rnd = np.random.default_rng(3)
     u, v, d = rnd.integers(0, 200, 3000), rnd.integers(0, 200, 3000), rnd.integers(0, 20, 3000)
