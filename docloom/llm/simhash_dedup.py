@@ -192,8 +192,9 @@ def closest_forest(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.nd
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Rows sorted by ``key``, some whole buckets at a time: the columns, and where the buckets of two rows or more start and end."""
+def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows sorted by ``key``, some whole buckets (of ``rows`` rows in all, or a few more) at a time: the columns, and where the
+    buckets of two rows or more start and end."""
 
     def cut(keys: np.ndarray, rest: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -203,9 +204,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Ite
 
     held, size = [], 0
     for batch in batches:
-        held.append([batch.column(c).to_numpy() for c in ("key", *columns)])
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", *columns)])
         size += batch.num_rows
-        if size >= 4 * PART:
+        if size >= (rows or 4 * PART):
             keys, *rest = (np.concatenate(x) for x in zip(*held))
             last = int(np.searchsorted(keys, keys[-1], "left"))  # the last bucket may go on
             if last:
@@ -235,6 +236,60 @@ def _close_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[u], node[v])), pa.array(np.minimum(node[u], node[v]))], names=["a", "b"])
 
 
+def _open_rows(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows with another within the radius to which no confirmed link joins them, unless the forest of their bucket had all such pairs."""
+    names = ["key", "node", "root", "fp", "fp2"]
+    for columns, starts, ends in _buckets(batches, tuple(names)):
+        root, n = columns[2], len(columns[2])
+        fps = np.stack([columns[3].view(np.uint64), columns[4].view(np.uint64)])
+        parent, pairs, apart = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+        for u, v in pairs_within(fps, starts, ends, radius):
+            _unite(parent, u, v)
+            pairs += np.bincount(u, minlength=n)
+            differ = root[u] != root[v]
+            apart[u[differ]] = apart[v[differ]] = True
+        top = _root(parent, parent)
+        left_out = np.bincount(top, pairs, n) >= np.bincount(top, minlength=n)  # more pairs than a forest has
+        # The parts of a large bucket may have been other parts before.
+        crowded = np.repeat(ends - starts >= PART // 4, ends - starts)
+        left_out = left_out[top]
+        left_out[np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts) + np.arange(len(crowded))] |= crowded
+        own = np.flatnonzero(apart & left_out)
+        yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in columns], names=names)
+
+
+def _confirmed_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Links between rows whose sets ``s`` are similar, of all pairs within the radius but those that confirmed links join already."""
+    for (node, root, fp, fp2, sets), starts, ends in _buckets(batches, ("node", "root", "fp", "fp2", "s"), PART // 4):
+        fps = np.stack([fp.view(np.uint64), fp2.view(np.uint64)])
+        size = np.array([len(x) for x in sets])
+        begin = np.cumsum(size) - size
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(len(flat), np.int64)
+        _, first, place = np.unique(root, return_index=True, return_inverse=True)
+        parent, a, b = first[place], [], []
+        for u, v in pairs_within(fps, starts, ends, radius):
+            cuts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(u))):
+                x, others = u[lo], v[lo:hi]
+                mine = flat[begin[x] : begin[x] + size[x]]
+                mark[mine] = 1
+                while len(others):
+                    others = others[_root(parent, others) != _root(parent, x)]
+                    now = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), most)))]
+                    others = others[len(now) :]
+                    if len(now):
+                        at = np.cumsum(size[now]) - size[now]
+                        both = np.add.reduceat(mark[flat[np.repeat(begin[now] - at, size[now]) + np.arange(size[now].sum())]], at)
+                        now = now[both >= similarity * (size[x] + size[now] - both)]
+                        now = now[np.unique(_root(parent, now), return_index=True)[1]]
+                        a.append(np.maximum(node[now], node[x]))
+                        b.append(np.minimum(node[now], node[x]))
+                        _unite(parent, np.full(len(now), x), now)
+                mark[mine] = 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in (a, b)], names=["a", "b"])
+
+
 def in_buckets(rows: DataFrame, keys: Column, by: str) -> DataFrame:
     """``rows`` with ``key``, once for each of the bucket ``keys`` (an array of longs), dealt and sorted by it.
 
@@ -327,21 +382,32 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     128-bit fingerprints propose links: in tables keyed by bits drawn at random, rows of a bucket within the radius that such a pair
     keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
-    shingles. Equal sets (so also null and empty texts) are one node; different texts of equal fingerprints are confirmed like others.
+    shingles. Where links fail, the forest may have kept them in place of true ones: rows beside a failed link meet in their buckets
+    again, with their sets, and each pair within the radius is compared that no confirmed link joins by then. Equal sets (so also
+    null and empty texts) are one node; different texts of equal fingerprints are confirmed like others.
     """
     prints = stash(set_fingerprints(docs, shingle), "fp")
     same = ["fp", "fp2", "n", "x", "y"]
     nodes = stash(prints.groupBy(*same).agg(F.min("_row").alias("node")), "nodes")
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
     radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))
-    dealt = in_buckets(nodes.select("node", "fp", "fp2"), sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ), "node")
+    keys = sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ)
+    dealt = in_buckets(nodes.select("node", "fp", "fp2"), keys, "node")
     proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
     named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = stash(shingle_sets(keyed(docs.select("text")).join(named, "_row", "left_semi"), shingle), "sets")
     met = proposed.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    links = met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = stash(met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
     roots = components(links)
+    rooted = stash(nodes.join(roots, "node", "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("root")), "rooted")
+    ends = [rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    failed = proposed.join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
+    again = in_buckets(stash(rooted.join(failed, "root", "left_semi").select("node", "root", "fp", "fp2"), "again"), keys, "node")
+    open_ = stash(again.mapInArrow(lambda it: _open_rows(it, radius), "key long, node long, root long, fp long, fp2 long"), "open")
+    open_ = open_.join(sets.select(F.col("_row").alias("node"), "s"), "node").repartition("key").sortWithinPartitions("key")
+    more = open_.mapInArrow(lambda it: _confirmed_links(it, radius, similarity), "a long, b long")
+    roots = components(links.unionByName(more))
     discard(sets)
     named = nodes.join(roots, "node", "left").select(*same, "node", F.coalesce("root", "node").alias("root"))
     return prints.join(named, same).select("_row", "doc_id", "node", "root")

@@ -100,6 +100,52 @@ def test_equal_fingerprints_alone_join_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash_dedup.drop_near_duplicates(df).collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_texts_between_hide_no_similar_pair(spark):
+    """A and B are similar; between them in fingerprints lie many texts C that are similar to neither."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts, n = {}, 400
+
+    def changed(words, times):
+        own = list(words)
+        for k in range(times):
+            own[(k * n) // times + rnd.randrange(5)] = word()
+        return own
+
+    for k in range(12):
+        base = [word() for _ in range(n)]
+        for j in range(30):
+            texts[100 * k + j] = " ".join(changed(base, 7) if j < 4 else changed(base, 13))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.root for r in simhash_dedup.similar_components(df).collect()}
+    wanted = brute_similar(texts)
+    linked = [i for i in texts if wanted[i] != i]
+    assert len(linked) > 20
+    missed = [i for i in linked if got[i] != got[wanted[i]]]
+    assert len(missed) <= 0.02 * len(linked), (len(missed), len(linked))
+    for i in texts:
+        for j in texts:
+            assert got[i] != got[j] or wanted[i] == wanted[j]
+
+
+@pytest.mark.parametrize("part", [16, 8192])
+def test_all_pairs_of_a_bucket_are_compared(monkeypatch, part):
+    """Row 0 and row 1 are similar, row 2 lies between them and is similar to neither: the forest keeps 0-2 and 1-2 alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash_dedup, "PART", part)
+    fp, zero = np.array([0b1111, 0b11110000, 0], np.int64), np.zeros(3, np.int64)
+    keep = simhash_dedup.closest_forest(3, np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([8, 4, 4]))
+    assert sorted(keep) == [1, 2]
+    nodes = np.array([10, 11, 12])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (zero + 5, nodes, nodes, fp, zero)], names=["key", "node", "root", "fp", "fp2"])
+    (got,) = simhash_dedup._open_rows(iter([batch]), 8)
+    assert got.column("node").to_pylist() == [10, 11, 12]
+    sets = pa.array([list(range(100)), list(range(5, 100)), list(range(20, 120))], pa.list_(pa.int64()))
+    (links,) = simhash_dedup._confirmed_links(iter([pa.RecordBatch.from_arrays([*got.columns, sets], names=[*got.schema.names, "s"])]), 8, 0.8)
+    assert links.to_pydict() == {"a": [11], "b": [10]}
+
+
 def test_closest_forest_joins_what_all_links_join():
     rnd = np.random.default_rng(3)
     u, v, d = rnd.integers(0, 200, 3000), rnd.integers(0, 200, 3000), rnd.integers(0, 20, 3000)
