@@ -279,16 +279,18 @@ OTHER = re.compile(f"[^\x00-\x7f{_LETTER}]")
 class Tokens:
     """Ids of texts by the tokenizers library. Merging never crosses the cuts that its own first step makes; where all of a
     text's characters are of the kinds that ``CUT`` knows, each piece is encoded once and then remembered. Other texts are
-    encoded whole, as are all texts if the file's first step is another."""
+    encoded whole, as are texts that hold the string of an added token (one id, whatever its characters), and all texts if the file's
+    first step is another."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # the strings of special tokens are ordinary text here
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        added = [re.escape(t["content"]) for t in parts.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) if added else "(?!)")
         first = parts.get("pre_tokenizer") or {}
         self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not parts.get("normalizer")
         self.known: dict[str, bytes] = {}
@@ -297,7 +299,7 @@ class Tokens:
         return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, t in enumerate(texts) if self.cuts and (t.isascii() or not OTHER.search(t))]
+        plain = [i for i, t in enumerate(texts) if self.cuts and (t.isascii() or not OTHER.search(t)) and not self.added.search(t)]
         out: list = [None] * len(texts)
         rest = sorted(set(range(len(texts))).difference(plain))
         for i, ids in zip(rest, self.whole([texts[i] for i in rest])):

@@ -186,6 +186,17 @@ def test_files_of_ids(spark, documents, edge, empty, tmp_path, monkeypatch):
     assert idcoder.read_documents(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_added_tokens_are_one_id():
+    """The library's own call, no switch of it set: the string of an added token is that token wherever it stands."""
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "one <|endoftext|>two", "<|endoftext|><|endoftext|> é", "日本<|endoftext|>", "<|endoftext|", "plain words, 12 of them"]
+    tokens, model = idcoder.Tokens(idcoder.default_tokenizer()), Tokenizer.from_file(idcoder.default_tokenizer())
+    for _ in range(2):
+        assert [x.tolist() for x in tokens.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.encode(texts[:1])] == [[50256]]
+
+
 def test_documents_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(idcoder, "BLOCK", 100)
     docs = [(1, 30), (2, 350), (None, 10), (3, 0), (4, 100), (5, 101)]
