@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,13 +35,16 @@ def _array_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance of arrays, a row of the table at a time."""
 
     def one(x, y) -> int:
-        x, y = list(x), list(y)
-        row = list(range(len(y) + 1))
+        number: dict = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in (() if z is None else z)], np.int32) for z in sorted((x, y), key=lambda z: 0 if z is None else len(z)))
+        at = np.arange(len(y) + 1, dtype=np.int32)
+        row = at.copy()
         for i, p in enumerate(x, 1):
-            corner, row[0] = row[0], i
-            for j, q in enumerate(y, 1):
-                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (p != q))
-        return row[-1]
+            # Steps from above and from the corner; then those from the left, all at once.
+            row[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != p))
+            row[0] = i
+            row = np.minimum.accumulate(row - at) + at
+        return int(row[-1])
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
