@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,7 +171,6 @@ def check_files(spark, df, path, monkeypatch, block=None, chars=None):
         monkeypatch.setattr(idcoder, "FILE_CHARS", chars)
     idcoder.write_ids(df, path, idcoder.default_tokenizer())
     model = Tokenizer.from_file(idcoder.default_tokenizer())
-    model.encode_special_tokens = True
     got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in idcoder.read_documents(spark, path).orderBy("part", "seq").collect()]
     wanted = []
     for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
@@ -193,8 +193,31 @@ def test_added_tokens_are_one_id():
     texts = ["<|endoftext|>", "one <|endoftext|>two", "<|endoftext|><|endoftext|> é", "日本<|endoftext|>", "<|endoftext|", "plain words, 12 of them"]
     tokens, model = idcoder.Tokens(idcoder.default_tokenizer()), Tokenizer.from_file(idcoder.default_tokenizer())
     for _ in range(2):
-        assert [x.tolist() for x in tokens.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in tokens.encode(texts[:1])] == [[50256]]
+        assert [x.tolist() for x in tokens.encode(pa.array(texts))] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.encode(pa.array(texts[:1]))] == [[50256]]
+
+
+def test_remembered_words_have_the_ids_of_whole_texts(monkeypatch):
+    """Texts of blanks, line breaks, marks, letters and digits of many kinds in any order; also where words are forgotten."""
+    from tokenizers import Tokenizer
+
+    rnd = np.random.default_rng(5)
+    signs = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", ".", ",", "###", "'s", "'", "_", "-", "a", "the", "Word", "words", "é", "日本", "ا", "12", "½", "²", "́", "😀", "x" * 70, "don't", "Ġ", "ǅ"]
+    texts = ["".join(rnd.choice(signs, rnd.integers(0, 30))) for _ in range(3000)] + ["", " ", "  ", "\n", " a", "a ", "a\n\nb c", "a.\nB c.\n", "it's 's. 's"]
+    monkeypatch.setattr(idcoder, "REMEMBERED", 300)
+    tokens, model = idcoder.Tokens(idcoder.default_tokenizer()), Tokenizer.from_file(idcoder.default_tokenizer())
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        assert [x.tolist() for x in tokens.encode(pa.array(part))] == [model.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_steps_hold_few_bytes(monkeypatch):
+    monkeypatch.setattr(idcoder, "STEP_BYTES", 10)
+    monkeypatch.setattr(idcoder, "STEP_ROWS", 3)
+    texts = ["x" * n for n in (0, 30, 1, 2, 3, 4, 5, 0, 0, 0, 0, 12)]
+    got = [b.column("text").to_pylist() for b in idcoder.steps_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text")]
+    assert [t for g in got for t in g] == texts
+    assert all(len(g) == 1 or len(g) <= 3 and sum(map(len, g)) <= 10 for g in got)
 
 
 def test_documents_longer_than_a_block(monkeypatch):
