@@ -37,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
     return _LOCAL[0]
@@ -73,7 +75,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
-    """Add a row key. Both uses of one input agree as long as it is a table or files, whose splits stay the same."""
+    """Add a row key that holds within one plan. It follows the splits of files, which may differ at the next reading (more cores):
+    write the rows with it before they are used twice, or tell rows by what they hold."""
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
@@ -130,4 +133,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         sign = (seen["n"], seen["h"])
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._docloom_path = now._docloom_path
+    return out

@@ -1,33 +1,37 @@
 """Document fingerprints: 128-bit SimHash of weighted word pairs, and a search by permuted block tables.
 
 DataFrame and SQL functions only. Each term's hash votes with the term's weight on 128 signed bits; a text's repeats of a term
-vote again, so term frequency is part of the weight. Two fingerprints within ``radius`` bits agree on one of ``radius + 1``
-blocks at least, so one table for each block, keyed by that block, holds every such pair.
+vote again, so term frequency is part of the weight. Two fingerprints within ``radius`` bits agree on two of ``radius + 2``
+blocks at least, so one table for each two blocks, permuted to the front as its key, holds every such pair.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keyed, stash, table, words
+from docloom.llm.common import stash, table, words
 
 BITS = 128
-#: Radius of the search: at most this many of the 128 bits differ.
-RADIUS = 3
+#: Radius of the search: at most this many of the 128 bits differ (an estimated cosine of 0.989 or more).
+RADIUS = 6
 #: Rows aimed at in a range of ids, and the most ranges that are cut.
 RANGE_ROWS, MAX_RANGES = 4096, 20_000
-#: Texts whose words are longer than this on average (no spaces between words) are cut into pieces of ``PIECE`` code points.
+#: A word longer than this (no spaces between words) stands for all its stretches of ``PIECE`` code points.
 LONG_WORD, PIECE = 24, 6
 
 
 def weighted_terms(text: Column) -> Column:
-    """The words of a text, from which neighbouring pairs are taken as terms."""
+    """The words of a text, from which neighbouring pairs are taken as terms; in place of a long word its pieces, one from each of
+    its code points. That holds for each word by itself, so texts that differ in one word differ in that word's terms."""
     plain = words(text)
-    pieces = words(F.regexp_replace(F.coalesce(text, F.lit("")), f"([^\\x20\\x09-\\x0D]{{{PIECE}}})", "$1 "))
-    return F.when(F.char_length(F.coalesce(text, F.lit(""))) > LONG_WORD * F.size(plain), pieces).otherwise(plain)
+    pieces = lambda w: F.when(F.char_length(w) > LONG_WORD, F.regexp_extract_all(w, F.lit(f"(?s)(?=(.{{{PIECE}}}))"), 1)).otherwise(F.array(w))
+    # A text without a long word, as most are, is its words; it needn't be put together again.
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[^\\x20\\x09-\\x0D]{{{LONG_WORD + 1}}}"), F.flatten(F.transform(plain, pieces))).otherwise(plain)
 
 
 def term_weight(term: Column) -> Column:
@@ -99,29 +103,44 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``_row, doc_id, text, _next_row, _next_text``: each row with that of the next doc_id, the last with the first.
+    """``doc_id, text, _key, _next_id, _next_key, _next_text``: each row, a hash of its text, and those of the row with the next doc_id;
+    the last row has the first. Null ids come first; rows of one id are ordered by the hash.
 
-    Texts are dealt once, by ranges of doc_id cut at its quantiles; the first row of each range is added to the range before
-    it. Null ids come first; rows of one id follow in the table's order.
+    Rows are dealt by what they hold, so a table may be read again with other splits. Texts are dealt once, by ranges of doc_id cut at
+    its quantiles; an id (or null) that fills a range or more is cut further by the hash. The first row of each range is added to the
+    range before it.
     """
-    spark, own = docs.sparkSession, keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
     n = docs.count()
     parts = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS), max(1, n))
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []
-    own = own.withColumn("_part", _range_of(F.col("doc_id"), sorted(set(cuts))))
-    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row")
-    firsts = own.drop("text").groupBy("_part").agg(F.min_by("_row", order).alias("_row"))
+    shares = F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 10 * parts)
+    seen = docs.select(shares.alias("q"), F.count("doc_id").alias("n")).first()
+    cuts = Counter(seen["q"] or [])
+    # How often an id's hashes are halved: an id that fills k ranges is the quantile k times.
+    halved = {x: min(14, k.bit_length()) for x, k in cuts.items() if k > 1}
+    of_null = min(14, ((n - seen["n"]) * parts // max(1, n)).bit_length())
+    piece = lambda bits: F.call_function("shiftright", F.col("_key"), 64 - bits) + F.call_function("shiftleft", F.lit(1).cast("long"), bits - 1)
+    own_piece = F.lit(1 << 15).cast("long")
+    if halved:
+        bits = F.create_map(*[F.lit(v) for x, k in halved.items() for v in (x, k)])
+        own_piece = F.coalesce(piece(F.try_element_at(bits, F.col("doc_id"))), own_piece)
+    null_piece = piece(F.lit(of_null)) if of_null else F.lit(0).cast("long")
+    part = F.when(F.col("doc_id").isNull(), null_piece).otherwise((_range_of(F.col("doc_id"), sorted(cuts)).cast("long") + 1) * (1 << 16) + own_piece)
+    own = own.withColumn("_part", part)
+    firsts = own.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "_key")).alias("f"))
     before = Window.orderBy(F.col("_part").desc())
-    ring = firsts.select("_row", F.coalesce(F.lead("_part").over(before), F.max("_part").over(Window.partitionBy())).alias("_to"))  # a row for each range
-    # The ring has a row for each range, MAX_RANGES at most, so that it may be broadcast and the texts stay where they are.
-    ends = own.join(F.broadcast(ring), "_row").select("_row", "doc_id", "text", F.col("_to").alias("_part"), F.lit(1).alias("_end"))
-    along = Window.partitionBy("_part").orderBy("_end", F.col("doc_id").asc_nulls_first(), "_row")
-    out = own.select("_row", "doc_id", "text", "_part", F.lit(0).alias("_end")).unionByName(ends)
-    return out.withColumns({"_next_row": F.lead("_row").over(along), "_next_text": F.lead("text").over(along)}).where("_end = 0").drop("_end", "_part")
+    ring = firsts.select(F.col("_part").alias("_p"), F.col("f.doc_id").alias("_d"), F.col("f._key").alias("_g"), F.coalesce(F.lead("_part").over(before), F.max("_part").over(Window.partitionBy())).alias("_to"))
+    # The ring has a row for each range, some MAX_RANGES, so that it may be broadcast and the texts stay where they are.
+    ends = own.join(F.broadcast(ring), (F.col("_part") == F.col("_p")) & (F.col("_key") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    ends = ends.select("doc_id", "text", "_key", F.col("_to").alias("_part"), F.lit(1).alias("_end"))
+    along = Window.partitionBy("_part").orderBy("_end", F.col("doc_id").asc_nulls_first(), "_key")
+    out = own.withColumn("_end", F.lit(0)).unionByName(ends)
+    return out.withColumns({f"_next_{k}": F.lead(c).over(along) for k, c in (("id", "doc_id"), ("key", "_key"), ("text", "text"))}).where("_end = 0").drop("_end", "_part")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """``_row, doc_id, n_chars, edited_sha256, hi, lo, edited_hi, edited_lo, near_edited, near_next`` for each row of ``docs``.
+    """``doc_id, n_chars, edited_sha256, hi, lo, edited_hi, edited_lo, near_edited, near_next`` for each row of ``docs``.
 
     Null texts count as empty; the edited text of an empty text is empty; in a table of one row the next document is that row;
     repeated rows stay rows; other columns are ignored; an empty table gives no rows.
@@ -129,34 +148,37 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     pairs = with_next(docs)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), F.substring(F.col("_next_text"), F.lit(1), half))
-    texts = pairs.select("_row", "doc_id", "_next_row", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("_edited"))
-    texts = texts.select("_row", "doc_id", "_next_row", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.posexplode(F.array("text", "_edited")).alias("_which", "_text"))
-    keys = ["_row", "doc_id", "_next_row", "n_chars", "_sha", "_which"]
-    both = simhash(texts, "_text", keys)
+    kept = ["_row", "doc_id", "_key", "_next_id", "_next_key", "n_chars"]
+    texts = pairs.withColumns({"_row": F.monotonically_increasing_id(), "n_chars": F.char_length("text").cast("long")}).select(*kept, "text", edited.alias("_edited"))
+    texts = texts.select(*kept, F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.posexplode(F.array("text", "_edited")).alias("_which", "_text"))
+    both = simhash(texts, "_text", [*kept, "_sha", "_which"])
     of = lambda c, k: F.max(F.when(F.col("_which") == k, F.col(c)))
     one = both.groupBy("_row").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "_next_row", "n_chars", "_sha")], of("hi", 0).alias("hi"), of("lo", 0).alias("lo"), of("hi", 1).alias("edited_hi"), of("lo", 1).alias("edited_lo")
+        *[F.max(c).alias(c) for c in (*kept[1:], "_sha")], of("hi", 0).alias("hi"), of("lo", 0).alias("lo"), of("hi", 1).alias("edited_hi"), of("lo", 1).alias("edited_lo")
     )
     one = stash(one, "prints")
-    after = one.select(F.col("_row").alias("_next_row"), F.col("hi").alias("_nhi"), F.col("lo").alias("_nlo"))
+    # Rows of one id and text have one fingerprint.
+    after = one.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_g")).agg(F.any_value("hi").alias("_nhi"), F.any_value("lo").alias("_nlo"))
     c = F.col
-    return one.join(after, "_next_row").select(
-        "_row", "doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "hi", "lo", "edited_hi", "edited_lo",
+    return one.join(after, c("_next_id").eqNullSafe(c("_d")) & (c("_next_key") == c("_g"))).select(
+        "doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "hi", "lo", "edited_hi", "edited_lo",
         likeness(differing(c("hi"), c("lo"), c("edited_hi"), c("edited_lo"))).alias("near_edited"),
         likeness(differing(c("hi"), c("lo"), c("_nhi"), c("_nlo"))).alias("near_next"),
     )
 
 
 def block_tables(hi: Column, lo: Column, radius: int) -> Column:
-    """For each of ``radius + 1`` blocks of the 128 bits, permuted to the front: the table's number and the block's value."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    out = []
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        take = lambda x, s, e: F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << (e - s)) - 1 if e - s < 64 else -1))
-        high = take(hi, a, min(b, 64)) if a < 64 else F.lit(0).cast("long")
-        low = take(lo, max(a, 64) - 64, b - 64) if b > 64 else F.lit(0).cast("long")
-        out.append(F.struct(F.lit(k).alias("t"), high.alias("x"), low.alias("y")))
-    return F.array(*out)
+    """For each two of ``radius + 2`` blocks of the 128 bits, permuted to the front: the table's number and the blocks' bits."""
+    cuts = [BITS * i // (radius + 2) for i in range(radius + 3)]
+    take = lambda x, s, e: F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << (e - s)) - 1 if e - s < 64 else -1))
+
+    def block(a: int, b: int) -> Column:
+        if b <= 64:
+            return take(hi, a, b)
+        return take(lo, a - 64, b - 64) if a >= 64 else take(hi, a, 64).bitwiseOR(F.shiftleft(take(lo, 0, b - 64), 64 - a))
+
+    own = [(block(a, b), b - a) for a, b in zip(cuts, cuts[1:])]
+    return F.array(*[F.struct(F.lit(k).alias("t"), F.shiftleft(x, n).bitwiseOR(y).alias("x")) for k, ((x, _), (y, n)) in enumerate(combinations(own, 2))])
 
 
 def near_search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -170,7 +192,7 @@ def near_search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) ->
     q = q.select("q_hi", "q_lo", F.explode("_q").alias("_b")).select("q_hi", "q_lo", "_b.*")
     bits = differing(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo"))
     first = F.array_position(F.zip_with(block_tables(F.col("q_hi"), F.col("q_lo"), radius), block_tables(F.col("hi"), F.col("lo"), radius), lambda a, b: a == b), F.lit(True)) - 1
-    met = q.join(all_, (q["t"] == all_["t"]) & (q["x"] == all_["x"]) & (q["y"] == all_["y"]) & (bits <= radius))
+    met = q.join(all_, (q["t"] == all_["t"]) & (q["x"] == all_["x"]) & (bits <= radius))
     return met.where(first == q["t"]).select("q_hi", "q_lo", "hi", "lo", bits.alias("bits"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh, keyed, n_words, stash, table
+from docloom.llm.common import n_words, stash, table
 
 WEIGHTS = (5, 2, 1)
 #: No source is given more than this many times its size.
@@ -45,43 +45,50 @@ def offset(source: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.sha2(named, 256), 1, 5), 16, 10).cast("long") % ((1 << 20) - 1) + 1) / F.lit(float(1 << 20))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """``rows(_row, doc_id, source, size)`` with ``_rank``, from 1 within the source, by size, doc_id and row.
+def dealt_in_order(rows: DataFrame) -> DataFrame:
+    """``rows(source, size, doc_id, ...)`` by source, size and doc_id, written once with ``_part`` and their place ``_at``. The rows are
+    dealt by ranges of that order, so that a hot source lies in many."""
+    order = [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id").asc_nulls_first()]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stash(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
 
-    The rows are dealt by ranges of that order and written; ranks are counted within a range, and the counts of the ranges
-    before it in the source are added. A hot source lies in many ranges.
-    """
-    order = [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("_row")]
-    dealt = stash(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("source", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("source", "_part").orderBy("size", F.col("doc_id").asc_nulls_first(), "_row")
-    dealt = dealt.withColumn("_own", F.row_number().over(within))
-    met = dealt.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (dealt["_part"] == counts["_part"]))
-    return met.select("_row", "doc_id", "source", "size", (F.col("_before") + F.col("_own")).alias("_rank"))
+
+def ranked(dealt: DataFrame) -> DataFrame:
+    """Rows in order with ``_rank``, from 1 within the source: the place from the source's first row in the range, added to the
+    source's rows in the ranges before. The counts joined to the rows are one for each range and source in it."""
+    counts = dealt.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = dealt.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return met.select(*dealt.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_rank"))
+
+
+def copied(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """``rows(source, size, doc_id, ...)`` with ``source_size``, ``target`` and ``copies``."""
+    dealt = dealt_in_order(rows)
+    aims = targets(dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_s")
+    met = ranked(dealt).join(aims, F.col("source").eqNullSafe(F.col("_s")))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    crossed = F.floor(offset(F.col("source"), seed) + F.col("_rank") * share) - F.floor(offset(F.col("source"), seed) + (F.col("_rank") - 1) * share)
+    return met.select(*rows.columns, "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``_row, doc_id, size, source_size, target, copies`` for each row of ``docs(doc_id, text, source)``.
+    """``doc_id, source, size, source_size, target, copies`` for each row of ``docs(doc_id, text, source)``.
 
     Sizes are words; null and empty texts have none. Repeated rows are rows of their own; null sources are one source, the
     last. A source of size 0 has target 0 and takes nothing; an empty table gives no rows. Reruns on the same rows agree.
     """
-    rows = stash(keyed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))).select("_row", "doc_id", "source", "size"), "sizes")
-    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_s")
-    met = ranked(rows).join(aims, F.col("source").eqNullSafe(F.col("_s")))
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = F.floor(offset(F.col("source"), seed) + F.col("_rank") * share) - F.floor(offset(F.col("source"), seed) + (F.col("_rank") - 1) * share)
-    return met.select("_row", "doc_id", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
+    sizes = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")  # texts are read once
+    return copied(sizes, weights, cap, seed)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns as they were."""
-    key, times = fresh(docs, "_row"), fresh(docs, "_copies")
-    copies = mix(docs, **how).where("copies > 0").select(F.col("_row").alias(key), F.col("copies").cast("int").alias(times))
-    again = F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh(docs, "_copy"))
-    return keyed(docs, key).join(copies, key).select(*docs.columns, again).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; columns as they were. Whole rows are dealt by the order of ``ranked``
+    and written once, so that no row has to be found again."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("_all"))
+    out = copied(rows, **how).where("copies > 0")
+    return out.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

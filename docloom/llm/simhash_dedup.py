@@ -14,10 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, discard, fresh, keyed, lower_ascii, stash, words
+from docloom.llm.common import components, discard, keyed, lower_ascii, stash, words
 
 RADIUS = 4
 SHINGLE = 4
@@ -336,19 +336,20 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def sampled_keys(fp: Column, fp2: Column, n: int, agreement: float, recall: float = 0.99, seed: int = 2) -> Column:
-    """Bucket keys by bits of the 128 drawn at random: as many bits as keep buckets small for ``n`` rows, and as many tables as
-    find, with probability ``recall``, a pair that agrees on fewer bits than ``agreement`` says by one standard deviation."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 6, 8, 40))  # about 64 rows a bucket: a word of bit planes
-    worse = agreement - (agreement * (1 - agreement) / 128) ** 0.5
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - worse**bits)))
+#: Least hashes of a shingle set in a bucket key, and bucket keys: sets of similarity 0.8 share a key with probability 0.991
+#: (1 - (1 - 0.8**4)**9), more similar ones more surely, and unrelated ones never, however many rows there are.
+BAND, BANDS = 4, 9
+
+
+def least_hashes(h: Column, seed: int = 2) -> list[Column]:
+    """For each of ``BAND * BANDS`` random numbers the member nearest to it (by exclusive or): two sets agree on each as often as a
+    member of their union is one of both."""
     rnd = np.random.default_rng(seed)
-    masks = []
-    for _ in range(tables):
-        drawn = sum(1 << int(b) for b in rnd.choice(128, bits, replace=False))
-        masks.append([x - (1 << 64) if x >> 63 else x for x in (drawn & (1 << 64) - 1, drawn >> 64)])
-    both = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip("xy", m)]) for m in masks])
-    return F.transform(both, lambda m, i: F.xxhash64(i, fp.bitwiseAND(m["x"]), fp2.bitwiseAND(m["y"])))
+    return [F.min(h.bitwiseXOR(F.lit(int(m)))).alias(f"m{i}") for i, m in enumerate(rnd.integers(-(1 << 63), (1 << 63) - 1, BAND * BANDS))]
+
+
+def band_keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in range(BAND * k, BAND * k + BAND)]) for k in range(BANDS)])
 
 
 def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -364,61 +365,84 @@ def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> D
     return split.select("_row", *keep, F.when(none, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(at, hashed))).alias("s"))
 
 
+#: What tells a row: whether it has an id, its id, and 128 bits of its text. It is the same at each reading of a table, however
+#: its files are split; rows that share it are repeated rows.
+ROW = ["_none", "_id", "_t1", "_t2"]
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))
+    return docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t1": F.xxhash64(text), "_t2": F.xxhash64(text, F.lit(1))})
+
+
 def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``_row, doc_id, fp, fp2, n, x, y`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes of the hashes) to which
-    each distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line is repeated; ``n, x,
-    y`` (size, and 128 bits of all members) are equal for equal sets alone."""
-    h = F.col("_h")
-    votes = shingle_sets(keyed(docs.select("doc_id", "text")), shingle, ("doc_id",)).select("_row", "doc_id", F.explode("s").alias("_h"))
-    votes = votes.select("_row", "doc_id", "_h", F.when(h == 0, h).otherwise(F.xxhash64(h)).alias("_g"))
+    """``doc_id``, ``ROW``, ``fp, fp2, n, x, y`` and ``keys`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes
+    of the hashes) to which each distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line
+    is repeated; ``n, x, y`` (size, and 128 bits of all members) are equal for equal sets alone; ``keys``: the bucket keys of the set."""
+    h, by = F.col("_h"), ["_row", "doc_id", *ROW]
+    votes = shingle_sets(keyed(with_row(docs.select("doc_id", "text"))), shingle, tuple(by[1:])).select(*by, F.explode("s").alias("_h"))
+    votes = votes.select(*by, "_h", F.when(h == 0, h).otherwise(F.xxhash64(h)).alias("_g"))
     of_set = [F.count("*").alias("n"), F.bit_xor("_h").alias("x"), F.bit_xor("_g").alias("y")]
-    counted = votes.groupBy("_row", "doc_id").agg(*of_set, *vote_columns(h), *vote_columns(F.col("_g"), "u"))
-    return counted.select("_row", "doc_id", majority(F.col("n")).alias("fp"), majority(F.col("n"), "u").alias("fp2"), "n", "x", "y")
+    counted = votes.groupBy(*by).agg(*of_set, *vote_columns(h), *vote_columns(F.col("_g"), "u"), *least_hashes(h))
+    return counted.select("doc_id", *ROW, majority(F.col("n")).alias("fp"), majority(F.col("n"), "u").alias("fp2"), "n", "x", "y", band_keys().alias("keys"))
+
+
+def radius_of(similarity: float) -> int:
+    """Bits of 128 within which 99.9% of pairs of sets of this similarity lie (of one size; others lie nearer than their share of common
+    members says)."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(128 * differ + 3.1 * (128 * differ * (1 - differ)) ** 0.5))
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``_row, doc_id, node, root`` for each row of ``docs(doc_id, text)``: rows of one ``root`` are joined by links between texts
+    """``doc_id``, ``ROW``, ``root`` for each row of ``docs(doc_id, text)``: rows of one ``root`` are joined by links between texts
     whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more.
 
-    128-bit fingerprints propose links: in tables keyed by bits drawn at random, rows of a bucket within the radius that such a pair
-    keeps with 99% are joined by a minimum spanning forest, closest first. Each proposed link is then confirmed on the texts'
-    shingles. Where links fail, the forest may have kept them in place of true ones: rows beside a failed link meet in their buckets
-    again, with their sets, and each pair within the radius is compared that no confirmed link joins by then. Equal sets (so also
-    null and empty texts) are one node; different texts of equal fingerprints are confirmed like others.
+    Sets that agree on ``BAND`` least hashes meet in a bucket, in ``BANDS`` tables at any number of rows. There 128-bit fingerprints
+    propose links: rows within the radius that such a pair keeps are joined by a minimum spanning forest, closest first. Each proposed
+    link is then confirmed on the texts' shingles. Where links fail, the forest may have kept them in place of true ones: rows beside a
+    failed link meet in their buckets again, with their sets, and each pair within the radius is compared that no confirmed link joins by
+    then. Equal sets (so also null and empty texts) are one node; different texts of equal fingerprints are confirmed like others.
     """
     prints = stash(set_fingerprints(docs, shingle), "fp")
-    same = ["fp", "fp2", "n", "x", "y"]
-    nodes = stash(prints.groupBy(*same).agg(F.min("_row").alias("node")), "nodes")
-    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, for sets of one size
-    radius = int(np.ceil(128 * differ + 2.33 * (128 * differ * (1 - differ)) ** 0.5))
-    keys = sampled_keys(F.col("fp"), F.col("fp2"), nodes.count(), 1 - differ)
-    dealt = in_buckets(nodes.select("node", "fp", "fp2"), keys, "node")
+    same, row = ["fp", "fp2", "n", "x", "y"], F.struct(*ROW)
+    # The number of a node is written with it; one row of the node stands for its text.
+    nodes = prints.groupBy(*same).agg(F.min(row).alias("at"), F.any_value("keys").alias("keys"))
+    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    radius = radius_of(similarity)
+    dealt = in_buckets(nodes.select("node", "fp", "fp2", "keys"), F.col("keys"), "node").select("key", "node", "fp", "fp2")
     proposed = stash(dealt.mapInArrow(lambda it: _close_links(it, radius), "a long, b long").distinct(), "proposed")
-    named = proposed.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = stash(shingle_sets(keyed(docs.select("text")).join(named, "_row", "left_semi"), shingle), "sets")
+    named = nodes.join(proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "at.*")
+    texts = with_row(docs.select("doc_id", "text")).join(named, ROW).select(F.col("node").alias("_row"), "text")
+    sets = stash(shingle_sets(texts, shingle).dropDuplicates(["_row"]), "sets")  # repeated rows have one set
     met = proposed.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = stash(met.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
     roots = components(links)
-    rooted = stash(nodes.join(roots, "node", "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = stash(nodes.join(roots, "node", "left").select("node", "fp", "fp2", "keys", F.coalesce("root", "node").alias("root")), "rooted")
+    discard(roots)
     ends = [rooted.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
     failed = proposed.join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
-    again = in_buckets(stash(rooted.join(failed, "root", "left_semi").select("node", "root", "fp", "fp2"), "again"), keys, "node")
-    open_ = stash(again.mapInArrow(lambda it: _open_rows(it, radius), "key long, node long, root long, fp long, fp2 long"), "open")
-    open_ = open_.join(sets.select(F.col("_row").alias("node"), "s"), "node").repartition("key").sortWithinPartitions("key")
-    more = open_.mapInArrow(lambda it: _confirmed_links(it, radius, similarity), "a long, b long")
+    again = stash(rooted.join(failed, "root", "left_semi").select("node", "root", "fp", "fp2", "keys"), "again")
+    beside = in_buckets(again, F.col("keys"), "node").select("key", "node", "root", "fp", "fp2")
+    open_ = stash(beside.mapInArrow(lambda it: _open_rows(it, radius), "key long, node long, root long, fp long, fp2 long"), "open")
+    met = open_.join(sets.select(F.col("_row").alias("node"), "s"), "node").repartition("key").sortWithinPartitions("key")
+    more = met.mapInArrow(lambda it: _confirmed_links(it, radius, similarity), "a long, b long")
     roots = components(links.unionByName(more))
-    discard(sets)
-    named = nodes.join(roots, "node", "left").select(*same, "node", F.coalesce("root", "node").alias("root"))
-    return prints.join(named, same).select("_row", "doc_id", "node", "root")
+    named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("root"))
+    out = stash(prints.join(named, same).select("doc_id", *ROW, "root"), "similar")
+    for df in (prints, nodes, proposed, sets, links, rooted, again, open_, roots):
+        discard(df)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows the first)."""
-    rows = similar_components(docs, similarity, shingle)
-    first = rows.groupBy("root").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-    key = fresh(docs, "_row")
-    return keyed(docs, key).join(first.select(F.col("_row").alias(key)), key, "left_semi").select(*docs.columns)
+    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows one)."""
+    first = similar_components(docs, similarity, shingle).groupBy("root").agg(F.min(F.struct(*ROW)).alias("at")).select("at.*")
+    # Columns of the input may have these names: they travel in a struct.
+    rows = with_row(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_all"))).join(first, ROW)
+    one = F.row_number().over(Window.partitionBy(*ROW).orderBy("_t1"))
+    return rows.select("_all", one.alias("_one")).where("_one = 1").select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -238,11 +239,11 @@ def likeness(a, b):
 def test_search_finds_all_within_the_radius(spark):
     rnd = random.Random(1)
     base = [rnd.getrandbits(128) for _ in range(50)]
-    rows = {x ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 6))) for x in base for _ in range(10)}
+    rows = {x ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 9))) for x in base for _ in range(10)}
     halves = lambda x: tuple(h - (1 << 64) if h >> 63 else h for h in (x >> 64, x & (1 << 64) - 1))
     df = lambda xs: spark.createDataFrame([halves(x) for x in xs], "hi long, lo long")
     got = {(r.q_hi, r.q_lo, r.hi, r.lo) for r in fingerprints.near_search(df(base), df(rows)).collect()}
-    assert got == {(*halves(q), *halves(x)) for q in base for x in rows if (q ^ x).bit_count() <= 3}
+    assert got == {(*halves(q), *halves(x)) for q in base for x in rows if (q ^ x).bit_count() <= fingerprints.RADIUS}
 
 
 def test_fingerprints_run_without_python(spark, sf_dir):
@@ -265,3 +266,59 @@ def test_next_goes_over_the_ends_of_ranges(spark, monkeypatch):
     rows = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)]
     got = {r.doc_id: r._next_text for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: f"t{(i + 1) % 101}" for i in range(101)}
+
+
+def test_next_among_many_rows_of_one_id(spark, monkeypatch):
+    """An id, and null, that fill many ranges are cut by the text's hash; rows follow each other in that order, all round."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    rows = [(None, f"n{i}") for i in range(60)] + [(7, f"h{i}") for i in range(90)] + [(i, f"t{i}") for i in (1, 3, 9, 12, 13)] + [(7, "h0")] * 3
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r._key, r.text) for r in got))
+    assert len(got) == len(rows)
+    after = {a[1:]: b[3] for a, b in zip(order, order[1:] + order[:1])}
+    for r in got:
+        wanted = after[(r.doc_id or 0, r._key, r.text)]
+        assert r._next_text == wanted or r.text == r._next_text == "h0"
+
+
+@pytest.mark.parametrize("n", [23, 24, 25, 26, 60])
+def test_terms_do_not_switch_at_long_words(spark, n):
+    """Two texts that differ in the length of one word, on each side of the bound, stay alike; so do texts without spaces, edited."""
+    words = [f"word{i} of" for i in range(200)]
+    long = "".join(random.Random(n).sample("abcdefghijklmnopqrstuvwxyz" * 3, n + 1))
+    cjk = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(400))
+    rows = [(0, " ".join([*words, long[:n]])), (1, " ".join([*words, long])), (2, cjk), (3, "前" + cjk[:200] + cjk[203:])]
+    got = {r._row: r for r in fingerprints.simhash(spark.createDataFrame(rows, "_row long, text string"), "text", ["_row"]).collect()}
+    bits = lambda a, b: ((got[a].hi ^ got[b].hi) & (1 << 64) - 1).bit_count() + ((got[a].lo ^ got[b].lo) & (1 << 64) - 1).bit_count()
+    assert bits(0, 1) <= 16 and bits(2, 3) <= 24 and bits(0, 2) > 40
+
+
+def brute_print(text):
+    """128 bits of weighted word pairs, term by term."""
+    def xx(raw, seed=42):
+        return xxhash.xxh64_intdigest(raw, seed=seed)
+
+    words = []
+    for w in re.split(r"[\x20\x09-\x0D]+", (text or "").strip(" \t\n\x0b\x0c\r")):
+        words += [w[i : i + 6] for i in range(len(w) - 5)] if len(w) > 24 else [w]
+    if words == [""]:
+        return 0
+    votes, total = np.zeros(128, int), 0
+    for a, b in zip(words, words[1:]) if len(words) > 1 else [(words[0], None)]:
+        term = a if b is None else f"{a} {b}"
+        weight = min(4, 1 + len(term.encode()) // 6)
+        h = xx(term.encode())
+        g = xx(h.to_bytes(8, "little"))
+        votes += weight * np.array([h >> i & 1 for i in range(64)] + [g >> i & 1 for i in range(64)])
+        total += weight
+    bits = [int(2 * v > total) for v in votes]
+    return sum(b << (64 + i) for i, b in enumerate(bits[:64])) | sum(b << i for i, b in enumerate(bits[64:]))
+
+
+def test_fingerprints_against_brute_force(spark, sf_dir, texts):
+    got = {r.doc_id: r.fingerprint for r in fingerprints.query(spark, sf_dir).collect()}
+    some = sorted(texts, key=lambda i: len(texts[i]))
+    assert all(got[i] == f"{brute_print(texts[i]):032x}" for i in some[:120])
+    rows = [(0, "x" * 40 + " " + "日本" * 30 + " end"), (1, ""), (2, None), (3, "one"), (4, "a\x85b  c")]
+    own = {r._row: ((r.hi & (1 << 64) - 1) << 64) | (r.lo & (1 << 64) - 1) for r in fingerprints.simhash(spark.createDataFrame(rows, "_row long, text string"), "text", ["_row"]).collect()}
+    assert own == {i: brute_print(t) for i, t in rows}

@@ -269,9 +269,9 @@ def test_targets(spark, sizes):
 
 
 def test_mix(spark, documents):
-    rows = [r for r in mixing.mix(documents).collect()]
-    again = {r._row: r.copies for r in mixing.mix(documents).collect()}
-    assert again == {r._row: r.copies for r in rows}
+    rows = mixing.mix(documents).collect()
+    again = {r.doc_id: r.copies for r in mixing.mix(documents.repartition(5)).collect()}
+    assert again == {r.doc_id: r.copies for r in rows}
     sources = {r.doc_id: r.source for r in documents.select("doc_id", "source").collect()}
     sums: dict = {}
     for r in rows:
@@ -302,6 +302,23 @@ def test_mix_edges(edge, empty):
     assert mixing.mixed(edge).count() == sum(r.copies for r in got)
 
 
+def test_stages_do_not_depend_on_splits(spark, documents, tmp_path):
+    """One table, read with few and with many splits for each file, gives the same rows."""
+    from docloom.llm import simhash_dedup
+
+    documents.repartition(3).write.parquet(f"{tmp_path}/t")
+    got = []
+    for most in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", most)
+        docs = spark.read.parquet(f"{tmp_path}/t")
+        kept, mix = simhash_dedup.drop_near_duplicates(docs), mixing.mixed(docs)
+        got.append([sorted(tuple(r) for r in df.collect()) for df in (kept, mix)])
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1]
+
+
 def test_pipeline_against_its_parts(spark, sf_dir, texts, library):
     import corpus_pipeline
 
