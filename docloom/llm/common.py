@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +84,17 @@ def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
     return df.withColumn(key, F.monotonically_increasing_id())
 
 
+#: What tells a row: whether it has an id, its id, and 128 bits of its text. It is the same at each reading of a table, however
+#: its files are split; rows that share it are repeated rows.
+ROW = ["_none", "_id", "_t1", "_t2"]
+
+
+def with_row(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with ``ROW``; further columns that tell rows apart go into the hashes."""
+    held = [F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")), *[F.coalesce(F.concat(F.lit("t"), F.col(c)), F.lit("")) for c in more]]
+    return docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t1": F.xxhash64(*held), "_t2": F.xxhash64(*held, F.lit(1))})
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}
@@ -107,6 +122,16 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def steps_of(batch: pa.RecordBatch, column: str, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some at a time: so many at most, and so many bytes of the column (strings), but one row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + most_rows, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star rounds.
 

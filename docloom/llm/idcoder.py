@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keyed, shared_dir, stash, table
+from docloom.llm.common import keyed, shared_dir, stash, steps_of, table
+from docloom.llm.wordtable import WordTable, stretches
 
 BLOCK, LANES = 1 << 22, 8192
 #: Code points aimed at in a file: the least, the most, and (between them) a share of all.
@@ -377,12 +378,6 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 
-def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places ``start, start + 1, ...`` of each stretch, one stretch after another."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def stem(word: str) -> int:
     """How many characters of a word come before the marks at its end, or before its only line break and the marks before that; the
     last of them is a letter or digit. All of them, if that can't be said."""
@@ -417,9 +412,8 @@ class Tokens:
         for piece, i in self.model.get_vocab().items():
             if piece.startswith("Ġ") and i < len(self.begins):
                 self.begins[i] = True
-        #: Words, each with the place and number of its ids, and how often it was met; words at the start of a text have no blank
-        #: before them, and a table of their own.
-        self.words, self.starts, self.sizes, self.uses, self.ids = pa.array([], pa.string()), np.zeros(0, _L), np.zeros(0, _L), np.zeros(0, _L), np.zeros(0, _I)
+        #: Words after a blank; words at the start of a text have none before them, and a memory of their own.
+        self.table = WordTable(self.learn, REMEMBERED, LONGEST)
         self.heads: dict[str, np.ndarray] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -432,33 +426,20 @@ class Tokens:
         begin = np.flatnonzero(self.begins[ids])  # a word's first piece, and no other, starts with the blank
         return ids, np.diff(np.append(begin, len(ids)))
 
-    def keep(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Add words with their ids, one word's after another's."""
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.words, self.ids = pa.concat_arrays([self.words, words]), np.append(self.ids, ids)
-        self.sizes, self.uses = np.append(self.sizes, sizes), np.append(self.uses, np.zeros(len(words), _L))
-
-    def leave(self, at: np.ndarray) -> None:
-        """Forget all words but those at these places."""
-        self.ids = self.ids[stretches(self.starts[at], self.sizes[at])]
-        self.words, self.sizes, self.uses = self.words.take(pa.array(at)), self.sizes[at], self.uses[at] >> 1
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def learn(self, new: pa.Array) -> None:
-        """Add distinct words that aren't known, in their order: the ids of the word's stem, then those of the rest."""
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words: those of the word's stem, then those of the rest."""
+        table = self.table
         words = new.to_pylist()
         cut = [stem(w) for w in words]
         stems = pa.array([w[:n] for w, n in zip(words, cut)], pa.string())
         rests = pa.array([w[n:] for w, n in zip(words, cut)], pa.string()).dictionary_encode()
         own = stems.unique()
-        known = pc.index_in(own, value_set=self.words)
-        known, gone = known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False)
+        known, gone = table.find(own)
         ids, sizes = self.after_blanks(own.filter(pa.array(gone)))
-        ids = np.append(self.ids, ids)
+        ids = np.append(table.ids, ids)
         starts, all_sizes = np.empty(len(own), _L), np.empty(len(own), _L)
-        all_sizes[gone], starts[gone] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
-        if len(self.words):
-            all_sizes[~gone], starts[~gone] = self.sizes[known[~gone]], self.starts[known[~gone]]
+        all_sizes[gone], starts[gone] = sizes, len(table.ids) + np.cumsum(sizes) - sizes
+        all_sizes[~gone], starts[~gone] = table.sizes[known[~gone]], table.starts[known[~gone]]
         at = pc.index_in(stems, value_set=own).to_numpy()
         starts, sizes = starts[at], all_sizes[at]
         made = self.rest(rests.dictionary.to_pylist())
@@ -468,7 +449,7 @@ class Tokens:
         out = np.empty(int(ends[-1]), _I)
         out[stretches(ends - more - sizes, sizes)] = ids[stretches(starts, sizes)]
         out[stretches(ends - more, more)] = np.concatenate(made)[stretches(after, more)]
-        self.keep(new, out, sizes + more)
+        return out, sizes + more
 
     def rest(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of what follows a stem."""
@@ -505,25 +486,16 @@ class Tokens:
         first[ends - many] = True
         heads = self.head(words.filter(pa.array(first)).to_pylist())
         words = words.filter(pa.array(~first))
-        if len(self.words) > REMEMBERED:
-            self.leave(np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]))
-        at = pc.index_in(words, value_set=self.words)
-        new = at.is_null().to_numpy(zero_copy_only=False)
-        at = at.fill_null(0).to_numpy().astype(_L)
-        if new.any():
-            coded = words.filter(pa.array(new)).dictionary_encode()
-            at[new] = len(self.words) + coded.indices.to_numpy().astype(_L)
-            self.learn(coded.dictionary)
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        table = self.table
+        table.tidy()
+        at = table.places(words)
         # In the order of the texts: a head's ids, then those of its words. Heads lie behind the words' ids.
         head_sizes = np.fromiter(map(len, heads), _L, len(heads))
         sizes, starts = np.empty(len(first), _L), np.empty(len(first), _L)
-        sizes[first], starts[first] = head_sizes, len(self.ids) + np.cumsum(head_sizes) - head_sizes
-        sizes[~first], starts[~first] = self.sizes[at], self.starts[at]
-        ids = np.concatenate([self.ids, *heads])[stretches(starts, sizes)]
+        sizes[first], starts[first] = head_sizes, len(table.ids) + np.cumsum(head_sizes) - head_sizes
+        sizes[~first], starts[~first] = table.sizes[at], table.starts[at]
+        ids = np.concatenate([table.ids, *heads])[stretches(starts, sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        if (self.sizes > LONGEST).any():
-            self.leave(np.flatnonzero(self.sizes <= LONGEST))
         return ids, upto[ends] - upto[ends - many]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -555,16 +527,6 @@ def tokens_of(path: str) -> Tokens:
     return _TOKENS[key]
 
 
-def steps_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, some at a time: ``STEP_ROWS`` and about ``STEP_BYTES`` of the column, one row at least."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_BYTES, "right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write ids of ``docs(doc_id, text)``, ascending doc_id (null first; rows of one id in the table's order), one file a range.
 
@@ -580,7 +542,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         writer = BlockWriter(TaskContext.get().partitionId(), max(tokens.model.get_vocab_size(), end_id + 1))
         wrap = lambda blocks: (pa.RecordBatch.from_arrays([pa.array([b], pa.binary())], names=["block"]) for b in blocks)
         for batch in batches:
-            for part in steps_of(batch, "text"):
+            for part in steps_of(batch, "text", STEP_BYTES, STEP_ROWS):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text"))):
                     yield from wrap(writer.add(doc_id, np.append(ids, _I(end_id))))
         yield from wrap(writer.flush())

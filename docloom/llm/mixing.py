@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import n_words, stash, table
+from docloom.llm.common import ROW, n_words, stash, table, with_row
 
 WEIGHTS = (5, 2, 1)
 #: No source is given more than this many times its size.
@@ -84,11 +84,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns as they were. Whole rows are dealt by the order of ``ranked``
-    and written once, so that no row has to be found again."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("_all"))
-    out = copied(rows, **how).where("copies > 0")
-    return out.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_all.*")
+    """The rows of ``docs``, each as often as the mix takes it; columns as they were.
+
+    The mix is made of ids, sources and sizes alone; rows are found again by what they hold. Repeated rows share the copies that all
+    of them have.
+    """
+    sizes = with_row(docs.select("doc_id", "source", "text"), "source").select("doc_id", "source", n_words(F.col("text")).alias("size"), *ROW)
+    copies = copied(stash(sizes, "sizes"), **how).groupBy(*ROW).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    rows = with_row(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_all")), "source").join(copies, ROW)
+    nth = F.row_number().over(Window.partitionBy(*ROW).orderBy("_t1"))
+    own = rows.withColumn("_nth", nth).withColumn("_own", F.expr("int(_copies * _nth div _rows - _copies * (_nth - 1) div _rows)")).where("_own > 0")
+    return own.select("_all", F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("_copy")).select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ best way has the largest sum of scores. For a BPE model a sequence of pieces is
 neighbours stand next to each other in their own merging, so a step to a boundary counts only where its piece agrees with the
 piece before; that leaves one way to each boundary, and the ids are those of the library. Only the last ``max_piece``
 boundaries can be stepped from; once the back pointers of these meet at one boundary, the ids before it are committed and
-forgotten. All ways also meet at boundaries that no piece crosses (before a space, round a line break); stretches between such
-boundaries are kept in a bounded memory, since most come again and again.
+forgotten. All ways also meet at boundaries that no piece crosses (before a space, round a line break): a window never reaches over
+them, and what lies between two of them is walked once and kept in a bounded table, since most words come again and again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
@@ -20,17 +21,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import spread, table
+from docloom.llm.common import fresh, spread, steps_of, table
+from docloom.llm.wordtable import WordTable, stretches
 
 SPACE = "▁"
-#: Stretches remembered by a worker, and piece pairs; beyond, the memory starts anew.
+#: Words remembered by a worker, and piece pairs; beyond, the words used least go, and the pairs' memory starts anew.
 REMEMBERED, PAIRS = 500_000, 500_000
-#: Stretches that stay remembered when the memory is full, if they are few enough.
-SHORT = 8
+#: What keeps a text from being encoded by words: spaces that stand together, or beside a line break, or at an end; the space's own sign.
+ODD = f"  | \n|^\n|^ | $|{SPACE}|^$"
 #: Characters between two looks for the boundary where the back pointers meet.
 LOOK = 64
 
@@ -85,6 +88,14 @@ class Pieces:
             self.usable = frozenset(self.parts) | {i for t, i in self.ids.items() if len(t) == 1}
 
 
+    def digest(self) -> bytes:
+        """What tells models apart: all pieces, scores and kinds."""
+        h = hashlib.sha256(repr((self.bpe, self.dummy_prefix)).encode())
+        for own in (self.texts, self.scores, self.kinds):
+            h.update(repr(own).encode("utf-8", "surrogatepass"))
+        return h.digest()
+
+
 def merged(text: str, pieces: Pieces) -> tuple[list[int], tuple[int, int] | None]:
     """BPE by merging, of a short text of known characters: its ids, and the last two pieces merged. Highest score first, then leftmost."""
     symbols = list(text)
@@ -129,7 +140,9 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.known: dict[str, bytes] = {}  # ids as little-endian int32
+        self.table = WordTable(self.walk_words, REMEMBERED)
+        self.known: dict[str, list[int]] = {}
+        self.parts: pa.Array | None = None
         self.pairs: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
         self.size = len(pieces.texts)
@@ -257,87 +270,72 @@ class Encoder:
             self.runs[n] = got
         return self.runs[n]
 
-    def learn(self, stretches: set[str]) -> None:
-        """Remember the ids of short stretches. In sorted order neighbours share their first characters, and so the states there."""
-        ids, bpe, scores = self.chosen, self.p.bpe, self.p.scores
-        tails, pairs, size, known = self.tails, self.pairs, self.size, self.known
-        piece, start, score, before_text = [-1], [0], [0.0], ""
-        for text in sorted(stretches):
-            if bpe and not text.strip(SPACE):
-                known[text] = np.array(self.run(len(text)), np.int32).tobytes()
-                continue
-            n, same = len(text), 0
-            for x, y in zip(text, before_text):
-                if x != y:
-                    break
-                same += 1
-            del piece[same + 1 :], start[same + 1 :], score[same + 1 :]
-            for end in range(same + 1, n + 1):
-                best_piece, best_start, best_score = None, 0, 0.0
-                for length in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else range(end, 0, -1):
-                    begin = end - length
-                    if begin < 0:
-                        continue
-                    i = ids.get(text[begin:end])
-                    if i is None:
-                        continue
-                    last = piece[begin]
-                    if bpe:
-                        verdict = last < 0 or pairs.get(last * size + i)
-                        if verdict or verdict is None and self.agree(last, i):
-                            best_piece, best_start = i, begin
-                            break
-                    else:
-                        s = score[begin] + scores[i]
-                        if best_piece is None or s > best_score:
-                            best_piece, best_start, best_score = i, begin, s
-                if best_piece is None:
-                    best_piece, best_start, best_score = -1 - ord(text[end - 1]), end - 1, score[end - 1] - 1e4
-                piece.append(best_piece), start.append(best_start), score.append(best_score)
-            before_text = text
-            chosen, at = [], n
-            while at:
-                chosen.append(piece[at])
-                at = start[at]
-            chosen.reverse()
-            if min(chosen) < 0:
-                chosen = list(chain.from_iterable([i] if i >= 0 else self.fallback(chr(-1 - i)) for i in chosen))
-            known[text] = struct.pack(f"<{len(chosen)}i", *chosen)
+    def walk_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after a blank; a line break in a word is a stretch of its own."""
+        made = []
+        for w in words.to_pylist():
+            first, *lines = w.split("\n")
+            ids = self.walk(SPACE + first)
+            for x in lines:
+                ids += self.walk("\n")
+                if x:
+                    ids += self.walk(x)
+            made.append(ids)
+        return np.fromiter(chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many are each text's; the texts are plain (see ``ODD``)."""
+        parts = pc.split_pattern(texts, " ")
+        many = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+        self.table.tidy()
+        at = self.table.places(parts.flatten())
+        sizes = self.table.sizes[at]
+        upto, ends = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(many)
+        return self.table.ids[stretches(self.table.starts[at], sizes)], upto[ends] - upto[ends - many]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all whole texts, one after another, and how many are each text's; none for null and empty."""
+        texts = texts.fill_null("")
+        odd = np.ones(len(texts), bool)
+        if self.stretch is not None and self.p.dummy_prefix:
+            odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.by_words(texts)
+        ids, sizes = self.by_words(texts.filter(pa.array(~odd)))
+        slow = [self.slow(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        n = np.zeros(len(texts), np.int64)
+        n[~odd], n[odd] = sizes, [len(x) for x in slow]
+        own, starts = np.concatenate([ids, *slow]), np.zeros(len(texts), np.int64)
+        starts[~odd], starts[odd] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(n[odd]) - n[odd]
+        return own[stretches(starts, n)].astype(np.int32), n
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text; none for null and empty."""
-        escaped = [((SPACE if self.p.dummy_prefix else "") + t.replace(" ", SPACE)) if t else "" for t in texts]
-        if self.stretch is None:
-            return [np.array(self.walk(t), np.int32) for t in escaped]
-        parts = [self.stretch.findall(t) for t in escaped]
-        if len(self.known) > REMEMBERED:
-            short = {s: v for s, v in self.known.items() if len(s) <= SHORT}  # these come again soonest
-            self.known = short if len(short) < REMEMBERED // 2 else {}
-        known = self.known
-        fresh = set(chain.from_iterable(parts)).difference(known)
-        long = {s for s in fresh if len(s) > LOOK}  # too long to remember
-        self.learn(fresh - long)
-        out = []
-        for text, stretches in zip(escaped, parts):
-            if long and not long.isdisjoint(stretches) or self.p.bpe and (SPACE * 2 in text or text[-1:] == SPACE or f"{SPACE}\n" in text):
-                out.append(self.slow(stretches))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, stretches)), "<i4"))
-        return out
+        """Ids of each whole text."""
+        ids, sizes = self.encode_all(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
 
-    def slow(self, stretches: list[str]) -> np.ndarray:
-        """Runs of spaces take in the space that the next stretch leaves alone at its start."""
+    def slow(self, text: str) -> np.ndarray:
+        """A text with spaces that stand together: in a BPE model a run of them takes in the space that the next stretch leaves alone
+        at its start."""
+        text = ((SPACE if self.p.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
+        if self.stretch is None:
+            return np.array(self.walk(text), np.int32)
         out: list[int] = []
         waiting = 0
-        for s in stretches:
+        for s in self.stretch.findall(text):
             if self.p.bpe and not s.strip(SPACE):
                 waiting += len(s)
                 continue
-            kept = self.known.get(s)
-            ids = self.walk(s) if kept is None else np.frombuffer(kept, "<i4").tolist()
+            ids = self.known.get(s)
+            if ids is None:
+                ids = self.walk(s)
+                if len(s) <= LOOK:
+                    if len(self.known) >= PAIRS // 8:
+                        self.known.clear()
+                    self.known[s] = ids
             if waiting:
                 alone = len(ids) > 0 and ids[0] == self.space
                 out += self.run(waiting + alone)
@@ -347,17 +345,39 @@ class Encoder:
             out += self.run(waiting)
         return np.array(out, np.int32)
 
+    def raw(self) -> list[bytes]:
+        """What each id stands for: bytes of byte pieces, nothing for control pieces."""
+        back = {i: bytes([b]) for b, i in self.p.byte_ids.items()}
+        return [back.get(i) or (b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else t.replace(SPACE, " ").encode()) for i, (t, k) in enumerate(zip(self.p.texts, self.p.kinds))]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: bytes are joined, the space that encoding put in front is taken off."""
-        texts, kinds = self.p.texts, self.p.kinds
-        if not hasattr(self, "_raw"):
-            back = {i: bytes([b]) for b, i in self.p.byte_ids.items()}
-            self._raw = [back.get(i) or (b"" if kinds[i] == 3 else b" \xe2\x81\x87 " if kinds[i] == 2 else texts[i].replace(SPACE, " ").encode()) for i in range(self.size)]
-        raw = b"".join(map(self._raw.__getitem__, ids.tolist()))
+        if self.parts is None:
+            self.parts = pa.array([*(raw := self.raw()), *[r[1:] if r[:1] == b" " else r for r in raw]], pa.binary())
+        raw = b"".join(self.parts.take(pa.array(ids)).to_pylist())
         if self.p.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of the ids, so many for each. Second versions of the pieces lack the space in front; a text's first piece is one."""
+        if self.parts is None:
+            self.decode(ids[:0])
+        ids, ends = ids.astype(np.int64), np.cumsum(sizes)
+        starts = (ends - sizes)[sizes > 0]
+        if self.p.dummy_prefix:
+            ids[starts] += self.size
+        joined = self.parts.take(pa.array(ids))
+        if len(ids) and joined.offset == 0:
+            at = np.frombuffer(joined.buffers()[1], np.int32)[np.concatenate([[0], ends])]
+            out = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(at), joined.buffers()[2]])
+            try:
+                out.validate(full=True)
+                return out
+            except pa.ArrowInvalid:  # bytes that are no text
+                pass
+        return pa.array([self.decode(x) for x in np.split(ids % self.size, ends[:-1])], pa.string())
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -365,26 +385,31 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
+#: Bytes of text that a step takes.
+STEP_BYTES = 1 << 23
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and ``decoded`` (the text that the ids decode to; null for null) instead of ``text``."""
+    """``docs`` with ``ids`` and ``decoded`` (the text that the ids decode to; null for null) instead of ``text``; both with underscores
+    in front if ``docs`` has such columns."""
     rest = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    token = hash(tuple(pieces.texts[:64]) + (len(pieces.texts),))
+    schema = T.StructType([*rest, T.StructField(fresh(docs, "ids"), T.ArrayType(T.IntegerType())), T.StructField(fresh(docs, "decoded"), T.StringType())])
+    token = pieces.digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(token, Encoder(pieces))
+        if token not in _ENCODERS:
+            _ENCODERS.clear()  # a worker keeps the last model's
+            _ENCODERS[token] = Encoder(pieces)
+        encoder = _ENCODERS[token]
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                texts = batch.column(text).to_pylist()
-                ids = encoder.encode_many(texts)
-                decoded = [None if t is None else encoder.decode(i) for t, i in zip(texts, ids)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], flat, pa.array(decoded, pa.string())], names=[f.name for f in schema])
+            for batch in steps_of(whole, text, STEP_BYTES, 8192):
+                texts = batch.column(text)
+                ids, sizes = encoder.encode_all(texts)
+                decoded = pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), encoder.decode_all(ids, sizes))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], flat, decoded], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

@@ -14,10 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import components, discard, keyed, lower_ascii, stash, words
+from docloom.llm.common import ROW, components, discard, keyed, lower_ascii, stash, steps_of, with_row, words
 
 RADIUS = 4
 SHINGLE = 4
@@ -341,15 +343,78 @@ def hex64(fp: Column) -> Column:
 BAND, BANDS = 4, 9
 
 
-def least_hashes(h: Column, seed: int = 2) -> list[Column]:
-    """For each of ``BAND * BANDS`` random numbers the member nearest to it (by exclusive or): two sets agree on each as often as a
-    member of their union is one of both."""
-    rnd = np.random.default_rng(seed)
-    return [F.min(h.bitwiseXOR(F.lit(int(m)))).alias(f"m{i}") for i, m in enumerate(rnd.integers(-(1 << 63), (1 << 63) - 1, BAND * BANDS))]
+_U = np.uint64
+#: Of each byte, its bits as the bytes of a number: sums of up to 255 of them count eight bits at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(_U).ravel()
 
 
-def band_keys() -> Column:
-    return F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in range(BAND * k, BAND * k + BAND)]) for k in range(BANDS)])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _majorities(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each stretch of hashes the number whose bit is 1 where over half of them set it."""
+    runs = -(-sizes // 255)
+    first = np.cumsum(runs) - runs
+    cuts = np.repeat(starts, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+    parts = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    set_ = np.empty((len(starts), 64), bool)
+    for k in range(8):
+        counts = np.add.reduceat(_SPREAD[parts[:, k]], cuts).view(np.uint8).reshape(-1, 8)
+        set_[:, 8 * k : 8 * k + 8] = 2 * np.add.reduceat(counts, first, axis=0, dtype=np.int64) > sizes[:, None]
+    return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _band_keys(h: np.ndarray, starts: np.ndarray, seed: int = 2) -> np.ndarray:
+    """(sets, ``BANDS``): for each of ``BAND * BANDS`` random numbers the member nearest to it by exclusive or, ``BAND`` in a key. Two
+    sets agree on such a member as often as a member of their union is one of both."""
+    out = np.empty((len(starts), BANDS), _U)
+    for k, masks in enumerate(np.random.default_rng(seed).integers(0, 1 << 63, (BANDS, BAND)).astype(_U) * _U(2) + _U(1)):
+        key = np.full(len(starts), k, _U)
+        for m in masks:
+            key = _mixed(key + np.minimum.reduceat(h ^ m, starts))
+        out[:, k] = key
+    return out
+
+
+def _shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as hashes, sorted within the text, one text's after another's; and how many are each text's. A text
+    of fewer words has the whole sequence, one of none has one hash that no shingle has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, n = split.flatten(), np.diff(split.offsets.to_numpy()).astype(np.int64)
+    blank = pc.equal(words, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # at the ends of a text
+        n -= np.bincount(np.repeat(np.arange(len(n)), n), blank, len(n)).astype(np.int64)
+        words = words.filter(pa.array(~blank))
+    coded = words.cast(pa.binary()).dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), _U, len(coded.dictionary))
+    w = np.concatenate([own[coded.indices.to_numpy()] if len(words) else own, np.zeros(shingle, _U)])
+    many = np.maximum(n - shingle + 1, 1)  # shingles, repeats included
+    ends = np.cumsum(many)
+    row = np.repeat(np.arange(len(n)), many)
+    at = (np.cumsum(n) - n)[row] + np.arange(int(ends[-1]) if len(ends) else 0) - (ends - many)[row]
+    h = np.zeros(len(at), _U)
+    for j in range(shingle):
+        h = _mixed(h + np.where(j < n[row], w[at + j], _U(0)) + _U(j))
+    # A text's number and 51 bits of the hash make a key: its sorted order brings repeats together.
+    keys = row.astype(_U) << _U(51) | np.where(n[row] > 0, h >> _U(13), _U(0))
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return _mixed(keys & _U((1 << 51) - 1)), np.bincount((keys >> _U(51)).astype(np.int64), minlength=len(n))
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch], shingle: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in steps_of(whole, "text", 1 << 23, 1 << 12):
+            h, n = _shingle_hashes(batch.column("text").fill_null(""), shingle)
+            starts = np.cumsum(n) - n
+            more = _mixed(h + _U(1))
+            signed = lambda x: pa.array(x.astype(_U).view(np.int64))
+            keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32), signed(_band_keys(h, starts).ravel()))
+            made = [_majorities(h, starts, n), _majorities(more, starts, n), n, np.bitwise_xor.reduceat(h, starts), np.bitwise_xor.reduceat(more, starts)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(signed, made), keys], names=[*kept, "fp", "fp2", "n", "x", "y", "keys"])
 
 
 def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -365,26 +430,14 @@ def shingle_sets(rows: DataFrame, shingle: int, keep: tuple[str, ...] = ()) -> D
     return split.select("_row", *keep, F.when(none, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(at, hashed))).alias("s"))
 
 
-#: What tells a row: whether it has an id, its id, and 128 bits of its text. It is the same at each reading of a table, however
-#: its files are split; rows that share it are repeated rows.
-ROW = ["_none", "_id", "_t1", "_t2"]
-
-
-def with_row(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))
-    return docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_t1": F.xxhash64(text), "_t2": F.xxhash64(text, F.lit(1))})
-
-
 def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id``, ``ROW``, ``fp, fp2, n, x, y`` and ``keys`` for each row of ``docs(doc_id, text)``: 128 bits (``fp2`` from the hashes
     of the hashes) to which each distinct shingle of a text adds one vote, so that they tell how alike the sets are, however often a line
     is repeated; ``n, x, y`` (size, and 128 bits of all members) are equal for equal sets alone; ``keys``: the bucket keys of the set."""
-    h, by = F.col("_h"), ["_row", "doc_id", *ROW]
-    votes = shingle_sets(keyed(with_row(docs.select("doc_id", "text"))), shingle, tuple(by[1:])).select(*by, F.explode("s").alias("_h"))
-    votes = votes.select(*by, "_h", F.when(h == 0, h).otherwise(F.xxhash64(h)).alias("_g"))
-    of_set = [F.count("*").alias("n"), F.bit_xor("_h").alias("x"), F.bit_xor("_g").alias("y")]
-    counted = votes.groupBy(*by).agg(*of_set, *vote_columns(h), *vote_columns(F.col("_g"), "u"), *least_hashes(h))
-    return counted.select("doc_id", *ROW, majority(F.col("n")).alias("fp"), majority(F.col("n"), "u").alias("fp2"), "n", "x", "y", band_keys().alias("keys"))
+    kept = ["doc_id", *ROW]
+    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    made = "_none boolean, _id long, _t1 long, _t2 long, fp long, fp2 long, n long, x long, y long, keys array<long>"
+    return rows.mapInArrow(lambda it: _set_prints(it, shingle, kept), f"doc_id long, {made}")
 
 
 def radius_of(similarity: float) -> int:

@@ -91,6 +91,35 @@ def test_repeated_lines_hide_no_similar_texts(spark):
     assert all(got[2 * k] == got[2 * k + 1] for k in range(8)) and len(set(got.values())) == 8
 
 
+def test_set_fingerprints_against_loops():
+    """Distinct shingles, majorities of bits and least hashes, each counted one by one; texts of few words and of none among them."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["a", "B", "cc", "Éa", "日"]) for _ in range(n)) for n in (1, 3, 5, 6, 40, 3000)] + ["", " \t ", "A b", "a B", " a  b\n", "a\x85b"]
+    h, n = simhash_dedup._shingle_hashes(pa.array(texts), 5)
+    ends = np.cumsum(n)
+    sets = [set(h[e - k : e].tolist()) for e, k in zip(ends, n)]
+    own = [shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(x) for x in own] == n.tolist()
+    for i, a in enumerate(own):
+        for j, b in enumerate(own):
+            assert len(sets[i] & sets[j]) == len(a & b), (i, j)
+    prints = simhash_dedup._majorities(h, ends - n, n)
+    for s, p in zip(sets, prints.tolist()):
+        assert p == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) > len(s))
+    keys = simhash_dedup._band_keys(h, ends - n)
+    assert all((keys[i] == keys[j]).all() == (own[i] == own[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_least_hashes_agree_as_often_as_sets_are_alike():
+    rnd = np.random.default_rng(1)
+    h = rnd.integers(0, 1 << 63, 600 * 100).astype(np.uint64) * np.uint64(2)
+    pairs = np.concatenate([np.concatenate([x[:500], x[100:]]) for x in h.reshape(100, 600)])  # similarity 400 / 600
+    keys = simhash_dedup._band_keys(pairs, np.arange(0, len(pairs), 500)).reshape(100, 2, -1)
+    assert abs((keys[:, 0] == keys[:, 1]).mean() - (4 / 6) ** 4) < 0.05
+
+
 def test_equal_fingerprints_alone_join_nothing(spark, monkeypatch):
     """Different texts whose fingerprints are equal stay; equal texts are one."""
     real = simhash_dedup.set_fingerprints

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import idcoder, licenses, mixing, pieces, pii
+from docloom.llm import common, idcoder, licenses, mixing, pieces, pii
 
 
 def found(text):
@@ -211,11 +211,10 @@ def test_remembered_words_have_the_ids_of_whole_texts(monkeypatch):
         assert [x.tolist() for x in tokens.encode(pa.array(part))] == [model.encode(t, add_special_tokens=False).ids for t in part]
 
 
-def test_steps_hold_few_bytes(monkeypatch):
-    monkeypatch.setattr(idcoder, "STEP_BYTES", 10)
-    monkeypatch.setattr(idcoder, "STEP_ROWS", 3)
+def test_steps_hold_few_bytes():
     texts = ["x" * n for n in (0, 30, 1, 2, 3, 4, 5, 0, 0, 0, 0, 12)]
-    got = [b.column("text").to_pylist() for b in idcoder.steps_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text")]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [b.column("text").to_pylist() for b in common.steps_of(batch, "text", 10, 3)]
     assert [t for g in got for t in g] == texts
     assert all(len(g) == 1 or len(g) <= 3 and sum(map(len, g)) <= 10 for g in got)
 
