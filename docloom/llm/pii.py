@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 from docloom.llm.common import spread, table
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is looked for at each @: what may come before it is the run of such characters, so no run is read twice.
+EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+EMAIL_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+# A match that can't start at a number's first digit can't start at another of its digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -46,29 +49,30 @@ DIGIT_WORDS = {
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto|period"
 _NAME = r"[A-Za-z0-9_%+-]+"
-_GAP = r"[ \t]*[,;._/()-]{0,2}[ \t]*"
+# Blanks and brackets that stand together, and parts of an address, are counted up to a bound: so long runs are read once.
+_GAP = r"[ \t]{0,3}[,;._/()-]{0,2}[ \t]{0,3}"
 #: Digits, most of them spelled, one after another; a dot word or a full stop between them stays as a full stop.
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus\b|\+)[ \t]*)?(?:{_WORDS})(?:{_GAP}(?:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+))+|(?i:(?<!\w)(?:plus\b|\+)[ \t]*)?[0-9]+(?:{_GAP}(?i:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+(?!\w)))+")
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus\b|\+)[ \t]{{0,3}})?(?:{_WORDS})(?:{_GAP}(?:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+))+|(?:(?i:(?<!\w)(?:plus\b|\+)[ \t]{{0,3}})|(?<![0-9]))[0-9]++(?:{_GAP}(?i:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]++(?!\w)))+")
 _SPELLED_TOKEN = re.compile(rf"(?i)(plus)\b|({_WORDS})(?!\w)|({_DOT})(?!\w)|([0-9]+)|(\+)|(\.)")
 _HAS_WORDS = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w){_GAP}(?:(?:{_WORDS}|{_DOT})(?!\w)|[0-9])")
 #: Letters that stand for digits within a number.
 LEET = re.compile(r"(?<![\w@.%-])\+?[0-9OolIB](?:[ .()-]{0,2}[0-9OolIBS]){6,}(?![\w@])")
 _LEET = str.maketrans("OolIBS", "001185")
 _RUN, _LETTER_FOR_DIGIT = re.compile("[0-9A-Za-z]+"), re.compile("[OolIBS]")
-BRACKETED_AT = re.compile(rf"(?i)[ \t]*(?:[\[({{<]+[ \t]*(?:{_AT}|@)[ \t]*[\])}}>]+|[_*|]+(?:{_AT})[_*|]+|-at-)[ \t]*|[ \t]+@[ \t]*|[ \t]*@[ \t]+")
-BRACKETED_DOT = re.compile(rf"(?i)[ \t]*(?:[\[({{<]+[ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>]+|[_*|]+(?:{_DOT})[_*|]+|-dot-)[ \t]*")
+BRACKETED_AT = re.compile(rf"(?i)[ \t]{{0,3}}(?:[\[({{<]{{1,3}}[ \t]{{0,3}}(?:{_AT}|@)[ \t]{{0,3}}[\])}}>]{{1,3}}|[_*|]{{1,3}}(?:{_AT})[_*|]{{1,3}}|-at-)[ \t]{{0,3}}|[ \t]{{1,3}}@[ \t]{{0,3}}|[ \t]{{0,3}}@[ \t]{{1,3}}")
+BRACKETED_DOT = re.compile(rf"(?i)[ \t]{{0,3}}(?:[\[({{<]{{1,3}}[ \t]{{0,3}}(?:{_DOT}|\.)[ \t]{{0,3}}[\])}}>]{{1,3}}|[_*|]{{1,3}}(?:{_DOT})[_*|]{{1,3}}|-dot-)[ \t]{{0,3}}")
 _ADDRESS = re.compile(
-    rf"(?i)(?<![\w.%+-])(?P<local>{_NAME}(?:(?:\.|[ \t]+(?:{_DOT})[ \t]+){_NAME})*)(?P<at>@|[ \t]+(?:{_AT})[ \t]+)"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]+(?:{_DOT})[ \t]+)[A-Za-z0-9-]+)+)(?![\w-])"
+    rf"(?i)(?<![\w.%+-])(?P<local>{_NAME}(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}){_NAME}){{0,8}})(?P<at>@|[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}})"
+    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})[A-Za-z0-9-]+){{1,8}})(?![\w-])"
 )
-_DOT_WORD = re.compile(rf"(?i)[ \t]+(?:{_DOT})[ \t]+")
+_DOT_WORD = re.compile(rf"(?i)[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}")
 #: What marks a word as the local part of an address.
 _NAMED = re.compile(r"[A-Za-z][._+-][A-Za-z0-9]|[0-9]")
-_PLAIN_HOST = re.compile(rf"(?i)[ \t](?:{_AT})[ \t]+[A-Za-z0-9-]+\.[A-Za-z]")
-_NUMBER_DOT = re.compile(rf"(?i)[ \t]+(?:{_DOT}|\.)[ \t]+")
-_DOTTED_NUMBERS = re.compile(rf"(?i)(?<!\w)[0-9]{{1,3}}(?:[ \t]+(?:{_DOT}|\.)[ \t]+[0-9]{{1,3}}){{3}}(?!\w)")
+_PLAIN_HOST = re.compile(rf"(?i)[ \t](?:{_AT})[ \t]{{1,3}}[A-Za-z0-9-]+\.[A-Za-z]")
+_NUMBER_DOT = re.compile(rf"(?i)[ \t]{{1,3}}(?:{_DOT}|\.)[ \t]{{1,3}}")
+_DOTTED_NUMBERS = re.compile(rf"(?i)(?<!\w)[0-9]{{1,3}}(?:[ \t]{{1,3}}(?:{_DOT}|\.)[ \t]{{1,3}}[0-9]{{1,3}}){{3}}(?!\w)")
 _LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile("[0-9]")
-_MARKED = re.compile(rf"(?i)[\[({{<_*|-][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>_*|-]")
+_MARKED = re.compile(rf"(?i)[\[({{<_*|-][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[\])}}>_*|-]")
 _AT_SET, _DOT_SET = frozenset(_AT.split("|")), frozenset(_DOT.split("|"))
 
 
@@ -84,11 +88,24 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses from left to right, in time linear in the text."""
+    least, at = 0, text.find("@")
+    while at >= 0:
+        host = EMAIL_HOST.match(text, at + 1)
+        start = least + len(text[least:at].rstrip(EMAIL_LOCAL)) if host else at
+        if start < at:
+            yield start, host.end()
+            least = host.end()
+        else:
+            least = at + 1
+        at = text.find("@", least)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind, end) order is the caller's; here (start, end, kind) of what the base patterns find."""
     out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out += [(s, e, "email") for s, e in emails(text)]
     if "." in text:
         out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text) if _DIGIT.search(text) else ():
@@ -285,7 +302,11 @@ def redact(text: str | None) -> str | None:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, spans``: for each row of ``docs(doc_id, text)`` its base spans and all its spans, as arrays of structs."""
+    """``doc_id, base, spans``: for each row of ``docs(doc_id, text)`` its base spans and all its spans, as arrays of structs.
+
+    Null and empty texts have none; a long text is read whole, in time linear in it; spans of one start and kind are ordered by
+    their end; repeated rows stay rows; other columns are ignored; an empty table gives no rows.
+    """
     one = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("base", one), T.StructField("spans", one)])
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
