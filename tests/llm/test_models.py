@@ -11,23 +11,72 @@ from pyspark.sql import functions as F
 from docloom.llm import ann, langid, quality
 
 
-def test_text_vectors_bind_and_bundle():
-    letters = langid.letter_vectors()
-    text = "Ab c1d"
-    syms = [0, *(langid.symbols_of(text).tolist()), 0]
-    wanted = np.zeros(langid.DIM)
+def brute_vector(text, seed=9):
+    """Trigram by trigram; each letter's vector is drawn alone."""
+    out = np.zeros(langid.DIM, int)
+    syms = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""), 0]
+    own = {s: langid.letter_vectors(np.array([s]), seed)[0].astype(int) for s in set(syms)}
     for a, b, c in zip(syms, syms[1:], syms[2:]):
         if b:
-            wanted += letters[0][a].astype(int) * letters[1][b] * letters[2][c]
-    assert np.array_equal(langid.text_vectors([text, None, ""], letters), np.stack([wanted, np.zeros(langid.DIM), np.zeros(langid.DIM)]).astype(np.float32))
+            out += np.roll(own[a], 2) * np.roll(own[b], 1) * own[c]
+    return out
+
+
+def test_text_vectors_bind_and_bundle(monkeypatch):
+    texts = ["Ab c1d", None, "", "日本語のテキスト 漢字かな交じり文", "Привет, мир!", "𝔘𝔫𝔦 a𐐀𐐨", "é\u0301x"]
+    wanted = np.stack([brute_vector(t) for t in texts]).astype(np.float32)
+    assert np.array_equal(langid.text_vectors(texts), wanted)
+    monkeypatch.setattr(langid, "TRIGRAMS", 3)
+    assert np.array_equal(langid.text_vectors(texts), wanted)
+
+
+def test_each_letter_has_a_vector_of_its_own():
+    letters = [ord(c) for c in "abzåжщωשقかカ漢字한"] + [0x4E00 + 37 * i for i in range(500)]
+    v = langid.letter_vectors(np.array(letters)).astype(int)
+    cosines = v @ v.T / langid.DIM
+    assert (np.abs(cosines - np.eye(len(letters))) < 0.2).all() and set(np.unique(v)) == {-1, 1}
+
+
+def test_many_letters_at_once():
+    rnd = random.Random(4)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(300)) for _ in range(20)]
+    assert np.array_equal(langid.text_vectors(texts), np.stack([brute_vector(t) for t in texts]).astype(np.float32))
 
 
 def test_long_texts_are_taken_apart_without_loss(monkeypatch):
-    letters = langid.letter_vectors()
     texts = ["abc def " * 50, "xyz"]
-    whole = langid.text_vectors(texts, letters)
+    whole = langid.text_vectors(texts)
     monkeypatch.setattr(langid, "PIECE", 7)
-    assert np.array_equal(whole, langid.text_vectors(texts, letters))
+    assert np.array_equal(whole, langid.text_vectors(texts))
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    """All of it one document at a time: sample (all rows, at this size), prototypes, cosines, the best of them and its share."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    norm = lambda x: x / np.linalg.norm(x) if np.linalg.norm(x) else x * 0.0
+    own = {r.doc_id: norm(brute_vector(r.text)) for r in rows}
+    langs = sorted({r.lang for r in rows if r.lang})
+    sums = [norm(sum(own[r.doc_id] for r in rows if r.lang == k and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5)) for k in langs]
+    prototypes = np.stack([norm(s - np.mean(sums, axis=0)) for s in sums])
+    for r in langid.query(spark, sf_dir).collect():
+        cosines = prototypes @ own[r.doc_id]
+        if not own[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        share = np.exp(12 * cosines) / np.exp(12 * cosines).sum()
+        assert r.score == pytest.approx(share.max(), abs=1e-4)
+        assert cosines[langs.index(r.lang_pred)] >= cosines.max() - 1e-5
+
+
+def test_rejection_does_not_depend_on_the_number_of_languages(spark):
+    """Short clean texts stay, whether there is one language or thirty."""
+    rnd = random.Random(9)
+    for n in (1, 2, 30):
+        alphabets = [[chr(0x61 + rnd.randrange(26)) + chr(0x61 + rnd.randrange(26)) for _ in range(14)] for _ in range(n)]
+        word = lambda k: "".join(rnd.choice(alphabets[k]) for _ in range(rnd.randint(1, 4)))
+        rows = [(40 * k + i, " ".join(word(k) for _ in range(12)), f"l{k:02d}") for k in range(n) for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert langid.accepted(df).count() >= 0.99 * len(rows)
 
 
 def test_language_of_held_out_documents(spark, sf_dir, documents):
