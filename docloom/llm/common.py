@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
         top = Path(__file__).resolve().parents[1]
         path = f"{tempfile.mkdtemp(prefix='docloom-')}/docloom.zip"
         with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(top.rglob("*.py")):
+            for p in sorted([*top.rglob("*.py"), *top.rglob("*.txt")]):
                 z.write(p, f"{top.name}/{p.relative_to(top)}")
         spark.sparkContext.addPyFile(path)
 
