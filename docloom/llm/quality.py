@@ -155,11 +155,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(features: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Trees:
-    """Trees from ``features(doc_id, x)`` and ``labels(doc_id, quality)``; rows without a label, or held out, don't count.
+    """Trees from ``features(doc_id, x)`` and ``labels(doc_id, quality)``; rows without a label or an id, or held out, don't count.
 
-    Beyond ``sample`` labelled rows, those with the smallest hashes of their id are taken.
+    An id that is labelled more than once has the label of most of its rows (0 in a tie); rows that share a labelled id all count. Beyond
+    ``sample`` labelled rows, those with the smallest hashes of their id are taken. Without any, or with one label alone, all scores are
+    alike.
     """
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    labels = labels.groupBy("doc_id").agg((F.avg((F.col("quality") > 0).cast("int")) > 0.5).cast("int").alias("quality"))
     n = labels.count()
     if n > sample:
         labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(0.97 * sample / n * (1 << 30)))

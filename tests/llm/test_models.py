@@ -119,6 +119,57 @@ def test_trees_walk_like_a_loop():
     assert quality.fit(x, np.ones(600)).predict(x)[0] > 0.99 and quality.fit(x[:0], y[:0]).predict(x)[0] == 0.5
 
 
+def brute_statistics(text):
+    raw = (text or "").encode()
+    n, words, lines = len(raw), raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    out = dict.fromkeys(quality.FEATURES, 0.0)
+    if not n:
+        return list(out.values())
+    share = lambda test: sum(map(test, raw)) / n
+    out["log_bytes"] = math.log1p(n)
+    for name, chars in (("digit", b"0123456789"), ("space", b" \t\r\x0b\x0c"), ("newline", b"\n"), ("sentence_marks", b".,;:?"), ("exclamations", b"!"), ("pipes", b"|"), ("symbols", b"#$%&*<>{}[]\\/=+~^_@"), ("quotes", b"\"'`()")):
+        out[name] = share(lambda c, chars=chars: c in chars)
+    out["upper"], out["lower"] = share(lambda c: 65 <= c <= 90), share(lambda c: 97 <= c <= 122)
+    out["non_ascii"], out["control"] = share(lambda c: c >= 128), share(lambda c: c < 32 and c not in (9, 10, 11, 12, 13) or c == 127)
+    if words:
+        lens = [len(w) for w in words]
+        mean = sum(lens) / len(lens)
+        out |= {"log_words": math.log1p(len(words)), "mean_word": mean, "sd_word": (sum((x - mean) ** 2 for x in lens) / len(lens)) ** 0.5, "max_word": math.log1p(max(lens)), "distinct_words": len(set(words)) / len(words)}
+        out |= {"short_words": sum(x <= 3 for x in lens) / len(lens), "symbol_ends": sum(w[-1:] in [bytes([c]) for c in b"#$%&*<>{}[]\\/=+~^_@|!"] for w in words) / len(words), "upper_starts": sum(b"A" <= w[:1] <= b"Z" for w in words) / len(words)}
+        out |= {"most_common_word": max(map(words.count, set(words))) / len(words), "distinct_pairs": len({(a, b) for a, b in zip(words, words[1:])}) / max(1, len(words) - 1)}
+    if lines:
+        out |= {"log_lines": math.log1p(len(lines)), "distinct_lines": len(set(lines)) / len(lines), "mean_line": math.log1p(n / len(lines)), "closed_lines": sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines)}
+    return list(out.values())
+
+
+def test_quality_query_against_loops(spark, sf_dir):
+    """Statistics one by one, trees fitted on the labelled rows that aren't held out, and walked node by node."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    x = {i: np.array(brute_statistics(t), np.float32) for i, t in rows.items()}
+    for t in ("a\x00b é\n\n  Two! three?\nA|b #", " \n", "one"):
+        assert np.allclose(quality.statistics(t), brute_statistics(t), atol=1e-12)
+    learnt = [i for i in sorted(labels) if i in x and not held(i)]
+    trees = quality.fit(np.stack([x[i] for i in learnt]), np.array([float(labels[i] > 0) for i in learnt]))
+    for r in quality.query(spark, sf_dir).collect():
+        total = trees.base
+        for f, c, v in zip(trees.feature, trees.cut, trees.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(x[r.doc_id][f[node]] > c[node])
+            total += v[node - len(f)]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and r.held_out == held(r.doc_id)
+
+
+def test_repeated_labels(spark):
+    x = quality.with_statistics(spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(40)], "doc_id long, text string"))
+    rows = [(i, int(i > 20)) for i in range(40)]
+    once = quality.learn(x, spark.createDataFrame(rows, "doc_id long, quality int"))
+    again = quality.learn(x, spark.createDataFrame([*rows, *rows, *rows[:5], (None, 1)], "doc_id long, quality int"))
+    assert all(np.array_equal(a, b) for a, b in zip((once.feature, once.cut, once.value), (again.feature, again.cut, again.value)))
+
+
 def test_quality_of_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = quality.query(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
@@ -162,8 +213,8 @@ def test_recall_against_brute_force(spark, monkeypatch):
     centres = rnd.normal(size=(40, 16))
     x = (centres[rnd.integers(0, 40, 4000)] + 0.4 * rnd.normal(size=(4000, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    router = ann.fit(x[:2000].astype(float), 4000)
-    assert router.w2.shape[1] == 16 and router.probes < 8
+    router = ann.fit(x[:2000].astype(float), ann.parts_for(4000, 2000))
+    assert router.w2.shape[1] == 16 and router.probes < 10
     got, wanted = found(ann.search(df, F.col("id") % 20 == 0)), brute_nearest({i: v.astype(float) for i, v in enumerate(x)}, 10, lambda i: i % 20 == 0)
     assert got.keys() == wanted.keys() and all(len(v) == 10 for v in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) for q in wanted)
@@ -174,16 +225,47 @@ def test_recall_against_brute_force(spark, monkeypatch):
             assert s == pytest.approx(float(np.sqrt(((x[i].astype(float) - x[q]) ** 2).sum())), rel=1e-14)
 
 
-def test_small_tables_against_sql(spark, sf_dir):
-    import duckdb
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_against_brute_force(spark, monkeypatch, sf):
+    """The table's own vectors go through parts as those of any size: recall of 0.9 or more, exact distances, more than one part."""
+    seen, real = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").collect()}
+    got, wanted = found(ann.query(spark, f"/root/testdata/sf{sf}")), brute_nearest(rows, 10, lambda i: i % 100 == 0)
+    assert seen[0].w2.shape[1] == 8
+    assert got.keys() == wanted.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) for q in wanted)
+    assert hits >= 0.9 * sum(map(len, wanted.values()))
+    for q, near in got.items():
+        assert len(near) == 10 and near == sorted(near, key=lambda r: (r[1], r[0]))
+        assert all(s == pytest.approx(float(np.sqrt(((rows[i] - rows[q]) ** 2).sum())), rel=1e-13) for i, s in near)
+
+
+def test_parts_grow_with_rows():
+    assert [ann.parts_for(n, min(n, ann.SAMPLE)) for n in (10, 63, 64, 300, 4095, 4096, 16_383, 16_384, 1 << 20, 1 << 30)] == [1, 1, 2, 8, 8, 8, 8, 8, 512, 512]
 
-    from docloom.llm.queries import ORACLE_SQL
 
-    c = duckdb.connect()
-    c.sql(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
-    columns = ["query_id", "rank", "vec_id", "score"]
-    wanted = c.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['op1_ann']}) order by 1, 2").fetchall()
-    assert [tuple(r) for r in ann.query(spark, sf_dir).select(*columns).orderBy("query_id", "rank").collect()] == wanted
+def test_parts_are_cut_again(spark, monkeypatch):
+    """Two levels, with pieces within parts: recall of 0.9 or more."""
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "ROUTED", 300)
+    monkeypatch.setattr(ann, "PIECE", 50)
+    rnd = np.random.default_rng(6)
+    x = (rnd.normal(size=(60, 12))[rnd.integers(0, 60, 6000)] + 0.5 * rnd.normal(size=(6000, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    levels, real = [], ann.within_parts
+
+    def counted(*a, **b):
+        out = real(*a, **b)
+        levels.append(out.where("asks = 0").select("part", "sub").distinct().groupBy("part").count().agg(F.count("*"), F.max("count")).first())
+        return out
+
+    monkeypatch.setattr(ann, "within_parts", counted)
+    got, wanted = found(ann.search(df, F.col("id") % 50 == 0, sample=512)), brute_nearest({i: v.astype(float) for i, v in enumerate(x)}, 10, lambda i: i % 50 == 0)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) for q in wanted)
+    assert hits >= 0.9 * 10 * len(wanted) and all(len(v) == 10 for v in got.values())
+    assert levels[0][0] > 4 and levels[0][1] > 2
 
 
 def test_parts_are_balanced():
@@ -200,6 +282,8 @@ def test_copies_and_unusable_vectors(spark):
     got = found(ann.search(df, F.col("id") % 20 == 0))
     assert got[0] == [(i, 0.0) for i in range(1, 11)] and got[20] == [(i, 0.0) for i in range(10)]
     assert got[60] == [(i, 0.5) for i in range(10)] and set(got) == {0, 20, 40, 60}
+    other = spark.createDataFrame([(i, [float(i)] * (2 + i % 2)) for i in range(1, 9)], "vec_id long, embedding array<double>")
+    assert found(ann.search(other, F.col("id") == 4)) == {4: [(i, pytest.approx(abs(4 - i) * 2**0.5)) for i in (2, 6, 8)]}
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert found(ann.search(few, F.col("id") == 0)) == {0: [(1, 1.0)]}
