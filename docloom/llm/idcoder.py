@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keyed, shared_dir, stash, steps_of, table
+from docloom.llm.common import keyed, shared_dir, stash, steps_of, table, tidied
 from docloom.llm.wordtable import WordTable, stretches
 
 BLOCK, LANES = 1 << 22, 8192
@@ -548,7 +548,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         yield from wrap(writer.flush())
 
     dealt = own.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_row")
-    dealt.select("doc_id", "text").mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
+    dealt.select("doc_id", "text").mapInArrow(lambda it: tidied(run(it)), "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
 def read_documents(spark, path: str) -> DataFrame:
     """``part, seq, doc_id, n_tokens, ids_crc32`` of each document in the files, from their ids."""
 
@@ -570,7 +570,7 @@ def read_documents(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "seq", "doc_id", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lambda it: tidied(run(it)), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

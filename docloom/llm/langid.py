@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import crc_of_id, fresh, spread, steps_of, table
+from docloom.llm.common import crc_of_id, fresh, spread, steps_of, table, tidied
 
 DIM = 1024
 #: Texts are taken apart into pieces of this many characters; a step works on about ``STEP`` characters, and on so many trigrams at once.
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in steps_of(whole, text, 1 << 23, 1024):
+            for batch in steps_of(whole, text, 1 << 22, 1024):
                 best, score, lead = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 if model.langs:
                     cosines, some = model.cosines(batch.column(text).to_pylist())
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     lead = (top - cosines.max(axis=1)) * some
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best].tolist(), pa.string()), *(pa.array(x.astype(np.float64)) for x in (score, lead))], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: tidied(run(it)), schema)
 
 
 def held_out(doc_id) -> F.Column:

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import fresh, spread, steps_of, table
+from docloom.llm.common import fresh, spread, steps_of, table, tidied
 from docloom.llm.wordtable import WordTable, stretches
 
 SPACE = "▁"
 #: Words remembered by a worker, and piece pairs; beyond, the words used least go, and the pairs' memory starts anew.
-REMEMBERED, PAIRS = 500_000, 500_000
+REMEMBERED, PAIRS = 300_000, 200_000
 #: What keeps a text from being encoded by words: spaces that stand together, or beside a line break, or at an end; the space's own sign.
 ODD = f"  | \n|^\n|^ | $|{SPACE}|^$"
 #: Characters between two looks for the boundary where the back pointers meet.
@@ -387,7 +387,7 @@ def default_model() -> str:
 
 _ENCODERS: dict[bytes, Encoder] = {}
 #: Bytes of text that a step takes.
-STEP_BYTES = 1 << 23
+STEP_BYTES = 1 << 22
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -411,7 +411,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], flat, decoded], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: tidied(run(it)), schema)
 
 
 def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ROW, components, discard, keyed, lower_ascii, stash, steps_of, with_row, words
+from docloom.llm.common import ROW, components, discard, keyed, lower_ascii, stash, steps_of, tidied, with_row, words
 
 RADIUS = 4
 SHINGLE = 4
@@ -407,7 +407,7 @@ def _shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 def _set_prints(batches: Iterator[pa.RecordBatch], shingle: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in steps_of(whole, "text", 1 << 23, 1 << 12):
+        for batch in steps_of(whole, "text", 1 << 22, 1 << 12):
             h, n = _shingle_hashes(batch.column("text").fill_null(""), shingle)
             starts = np.cumsum(n) - n
             more = _mixed(h + _U(1))
@@ -437,7 +437,7 @@ def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     kept = ["doc_id", *ROW]
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     made = "_none boolean, _id long, _t1 long, _t2 long, fp long, fp2 long, n long, x long, y long, keys array<long>"
-    return rows.mapInArrow(lambda it: _set_prints(it, shingle, kept), f"doc_id long, {made}")
+    return rows.mapInArrow(lambda it: tidied(_set_prints(it, shingle, kept)), f"doc_id long, {made}")
 
 
 def radius_of(similarity: float) -> int:
