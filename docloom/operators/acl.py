@@ -47,11 +47,13 @@ def first_admin(users: DataFrame) -> DataFrame:
 
 
 def valid_username(c: Column) -> Column:
-    return c.rlike(r"^[A-Za-z0-9._-]{3,32}$")
+    """Three characters or more: letters and digits of any script, ``_`` and ``-``."""
+    return c.rlike(r"\A[\p{L}\p{Nd}_-]{3,}\z")
 
 
 def valid_password(c: Column) -> Column:
-    return (F.char_length(c) >= 8) & c.rlike("[A-Za-z]") & c.rlike("[0-9]")
+    """Six characters or more, not all of them blank."""
+    return (F.char_length(c) >= 6) & c.rlike(r"(?U)\S")
 
 
 def valid_template_id(c: Column) -> Column:
@@ -59,7 +61,7 @@ def valid_template_id(c: Column) -> Column:
 
 
 def is_image(name: Column) -> Column:
-    return name.rlike(r"(?i)\.(png|jpe?g|gif|webp|bmp|tiff?)$")
+    return name.rlike(r"(?i)\.(png|jpe?g|gif|webp)$")
 
 
 def is_pdf(name: Column) -> Column:

@@ -60,7 +60,7 @@ def layout_chunks(elements: DataFrame) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        doc, header, texts, boxes, page, size, number, waiting = None, None, [], [], None, 0, 0, False
+        doc, header, texts, boxes, page, size, number, waiting, begun = None, None, [], [], None, 0, 0, False, False
 
         def emit(content: str, kind: str, on: int, bbox) -> None:
             nonlocal number
@@ -77,9 +77,9 @@ def layout_chunks(elements: DataFrame) -> DataFrame:
 
         for frame in batches:
             for document_id, category, text, on, bbox, pieces in zip(frame["document_id"], frame["category"], frame["text"], frame["page"], frame["bbox"], frame["pieces"]):
-                if document_id != doc:
+                if not begun or document_id != doc:  # null is a document of its own
                     flush()
-                    doc, header, number = document_id, None, 0
+                    doc, header, number, begun = document_id, None, 0, True
                 if category in HEADERS:
                     flush()
                     header = text.strip() if text is not None else None
@@ -111,6 +111,34 @@ def fixed_chunks(texts: DataFrame, size: int, key: str = "document_id", text: st
     return texts.select(key, F.posexplode(windows(F.coalesce(text, F.lit("")), size)).alias("chunk_no", "content"))
 
 
+def joined_chunks(texts: DataFrame, size: int, key: str, text: str = "text", block: int = 4096) -> DataFrame:
+    """``chunk_no, content``: windows of ``size`` characters over all texts joined by a blank line, in the order of the integer ``key``
+    (rows without one first). Null texts count as empty.
+
+    No text is ever joined to all others: each row's place on the line is the sum of the lengths before it, counted within blocks of
+    keys and then over the blocks; a row gives a piece to each window that it reaches into, and a window's pieces are put together.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    own = texts.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_b", F.coalesce(F.floor(F.col("_k") / block), F.lit(-(1 << 62))))
+    own = own.withColumn("_n", F.char_length("_t") + 2)
+    sums = own.groupBy("_b").agg(F.sum("_n").alias("_s"))  # a row for each block of keys
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"), (F.sum("_s").over(Window.partitionBy()) - 2).alias("_all"))
+    within = Window.partitionBy("_b").orderBy(F.col("_k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.withColumn("_w", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(sums, "_b")
+    at = F.col("_o") + F.col("_w")
+    # The last text has no blank line after it.
+    rows = rows.select(at.alias("_a"), F.concat("_t", F.when(at + F.col("_n") < F.col("_all") + 2, F.lit("\n\n")).otherwise(F.lit(""))).alias("_t")).where("_t <> ''")
+    first, last = F.floor(F.col("_a") / size), F.floor((F.col("_a") + F.char_length("_t") - 1) / size)
+    pieces = rows.select("_a", "_t", F.explode(F.sequence(first, last)).alias("chunk_no"))
+    from_ = F.greatest(F.col("chunk_no") * size - F.col("_a"), F.lit(0))
+    upto = F.least((F.col("chunk_no") + 1) * size - F.col("_a"), F.char_length("_t"))
+    pieces = pieces.select("chunk_no", "_a", F.substring("_t", (from_ + 1).cast("int"), (upto - from_).cast("int")).alias("_p"))
+    whole = pieces.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("_a", "_p"))).alias("x"))  # one window's
+    return whole.select("chunk_no", F.array_join(F.transform("x", lambda e: e["_p"]), "").alias("content"))
+
+
 def length_stats(chunks: DataFrame, strategy: str, preserves: bool, order: list[str]) -> DataFrame:
     """One row: number, mean, least and greatest length, and the first two chunks cut to 200 characters."""
     first = F.expr(f"slice(array_sort(collect_list(s)), 1, 2)")
@@ -120,12 +148,16 @@ def length_stats(chunks: DataFrame, strategy: str, preserves: bool, order: list[
     return stats.crossJoin(F.broadcast(samples)).withColumns({"strategy": F.lit(strategy), "preserves_structure": F.lit(preserves)})  # one row each
 
 
+#: Digits of a chunk's place in the ``seq:`` keyword.
+SEQUENCE = 10
+
+
 def to_store(chunks: DataFrame, tags: DataFrame, dataset_id: str) -> DataFrame:
     """Chunks as rows of the store, with stable ids and the document's tags; ``tags`` has a row for each document."""
     own = chunks.withColumn("id", chunk_id(F.col("document_id"), F.col("chunk_no")))
     return own.join(tags, "document_id", "left").select(
         "id", F.lit(dataset_id).alias("dataset_id"), "document_id", "document_name", "content", F.array().cast("array<float>").alias("embedding"),
-        F.array(F.concat(F.lit("seq:"), F.lpad(F.col("chunk_no").cast("string"), 4, "0"))).alias("keywords"), "department", "doc_type", "scope", "status", "chunk_no",
+        F.array(F.concat(F.lit("seq:"), F.lpad(F.col("chunk_no").cast("string"), SEQUENCE, "0"))).alias("keywords"), "department", "doc_type", "scope", "status", "chunk_no",
     )
 
 

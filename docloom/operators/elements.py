@@ -136,9 +136,22 @@ def repetitive_pages(elements: DataFrame, least: int = 5, most: float = 0.6) ->
     return sums.select("document_id", "page", ((F.col("n") >= least) & (F.col("two") / F.col("n") > most)).alias("repetitive"))
 
 
-def ocr_cascade(first: Column, second: Column, fallback: Column, usable, placeholder: str = "[page could not be read]") -> Column:
-    """First usable of two attempts, else the second engine's text, else a placeholder."""
-    return F.coalesce(F.when(usable(first), first), F.when(usable(second), second), F.when(~is_blank(fallback), fallback), F.lit(placeholder))
+def repeats(json: Column, least: int = 5, most: float = 0.6) -> Column:
+    """Whether layout JSON says the same again and again: of five texts or more, the two most frequent make over 60%."""
+    said = F.filter(F.transform(F.from_json(salvage_json(json), LAYOUT), lambda e: trim_ws(e["text"])), lambda t: t != "")
+
+    def test(texts: Column) -> Column:
+        counts = F.reverse(F.array_sort(F.transform(F.array_distinct(texts), lambda d: F.size(F.filter(texts, lambda t: t == d)))))
+        two = F.coalesce(F.get(counts, F.lit(0)), F.lit(0)) + F.coalesce(F.get(counts, F.lit(1)), F.lit(0))
+        return (F.size(texts) >= least) & (two / F.size(texts) > most)
+
+    return F.coalesce(let(said, test), F.lit(False))
+
+
+def ocr_cascade(first: Column, second: Column, fallback: Column, usable, placeholder: str = "[page could not be read]", repeated=repeats) -> Column:
+    """First of two attempts that is usable and doesn't repeat itself, else the second engine's text, else a placeholder."""
+    fine = lambda c: usable(c) & ~repeated(c)
+    return F.coalesce(F.when(fine(first), first), F.when(fine(second), second), F.when(~is_blank(fallback), fallback), F.lit(placeholder))
 
 
 def pdf_elements(text_rows: DataFrame, ocr_rows: DataFrame) -> DataFrame:
@@ -146,7 +159,7 @@ def pdf_elements(text_rows: DataFrame, ocr_rows: DataFrame) -> DataFrame:
     with a null text are the empty ones."""
     empty = text_rows.where(is_blank(F.col("text"))).select("document_id", "page").distinct()
     digital = text_rows.where(~is_blank(F.col("text")))
-    return digital.unionByName(ocr_rows.join(empty, ["document_id", "page"], "left_semi").select(*digital.columns))
+    return digital.unionByName(ocr_rows.join(empty, ["document_id", "page"], "left_semi").select(*digital.columns)).sortWithinPartitions("document_id", "page")
 
 
 def svg_text(c: Column) -> Column:

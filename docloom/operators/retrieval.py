@@ -16,6 +16,8 @@ from docloom.functions.vectors import dot, min_max, norm
 from docloom.operators.acl import visible_to
 
 TOP, SPREAD, WEIGHT, THRESHOLD = 8, 6, 0.3, 0.2
+#: Distinct terms of all questions that a plan may name; beyond, they are joined.
+MOST_TERMS = 20_000
 WEIGHTS = (0.0, 0.2, 0.3, 0.5, 0.7, 1.0)
 
 
@@ -40,22 +42,30 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP * SPREAD) -> DataFra
     c = c.withColumn("c_norm", norm(F.col("embedding"))).where("c_norm > 0")
     met = c.join(q, _may_see(q, c) & (F.size("embedding") == F.size("q_vector")))
     cosine = dot(F.col("embedding"), F.col("q_vector")) / (F.col("c_norm") * F.col("q_norm"))
-    return top_k(met.select("query_id", "id", F.round(cosine, 9).alias("score")), k)
+    return top_k(met.select("query_id", "id", cosine.alias("score")), k)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP * SPREAD, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, id, score, rank``: chunks that share a term with the question.
 
-    N, document frequencies and mean length are of all chunks, before any access filter. Only the questions' terms are ever
-    turned into postings, so the shuffle carries those and no others.
+    N, document frequencies and mean length are of all chunks, before any access filter. Chunks are read and taken apart once: each
+    gives its lengths, and postings of the questions' terms alone; the three uses of these share one shuffle. Scores are rounded to
+    nine digits before ranking, as a sum's last digits depend on the order in which terms arrive.
     """
     asked = _asked(queries, F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "q_dataset", "q_admin", "q_department", "term").agg(F.count("*").alias("qtf"))
-    lengths = chunks.select(F.coalesce(F.regexp_count("content", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("dl"))  # as many as tokens, without making them
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    words = chunks.select("id", "dataset_id", "department", "scope", "status", tokens(F.col("content")).alias("words"))
-    words = words.select("id", "dataset_id", "department", "scope", "status", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    terms = asked.select("term").distinct()
-    tf = words.join(terms, "term", "left_semi").groupBy("id", "dataset_id", "department", "scope", "status", "dl", "term").agg(F.count("*").alias("tf"))
+    own = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    kept = ["id", "dataset_id", "department", "scope", "status"]
+    words = chunks.select(*kept, tokens(F.col("content")).alias("words"))
+    # A chunk's length travels as a posting without a term, one for each chunk.
+    length = F.array(F.lit(None).cast("string"))
+    if len(own) <= MOST_TERMS:
+        hits = words.select(*kept, F.size("words").alias("dl"), F.explode(F.concat(F.filter("words", lambda w: w.isin(own) if own else F.lit(False)), length)).alias("term"))
+    else:  # too many for the plan: all words meet the terms
+        all_ = words.select(*kept, F.size("words").alias("dl"), F.explode(F.concat("words", length)).alias("term"))
+        hits = all_.join(asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "_t"), F.col("term").eqNullSafe(F.col("_t")), "left_semi")
+    tf = hits.groupBy(*kept, "dl", "term").agg(F.count("*").alias("tf"))
+    totals = tf.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))  # one row
+    tf = tf.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     q = asked.join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

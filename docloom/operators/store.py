@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def set_tag(chunks: DataFrame, document_id: str, field: str, value: str) -> Data
     return chunks.withColumn(field, F.when(F.col("document_id") == document_id, F.lit(value)).otherwise(F.col(field)))
 
 
-def edit_chunk(chunks: DataFrame, chunk_id: str, content: str, embed) -> DataFrame:
+def edit_chunk(chunks: DataFrame, chunk_id: str | Column, content: str, embed) -> DataFrame:
     """Replace a chunk's content; ``embed`` is a column function from text to a vector."""
     hit = F.col("id") == chunk_id
     out = chunks.withColumn("content", F.when(hit, F.lit(content)).otherwise(F.col("content")))
@@ -92,17 +93,36 @@ def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents, key, "left_semi")
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap: a reader sees the old rows or the new, and ``df`` may read the table itself."""
-    spark = df.sparkSession
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in place of ``path``. The old one is removed last, and comes back if the new one can't be put there; in
+    between the path is missing for a moment, so readers that must never see that read a path of their own."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"))
-    df.write.parquet(fresh.toString())
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{path}.old-{uuid.uuid4().hex}"))
     fs = at.getFileSystem(conf)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(fresh, at)
-    fs.delete(old, True)
+
+    def moved(a, b) -> bool:
+        try:
+            return bool(fs.rename(a, b))
+        except Py4JJavaError:
+            return False
+
+    had = fs.exists(at)
+    if had and not moved(at, old):
+        raise OSError(f"{path} could not be moved aside; it is as it was, the new rows are in {fresh}")
+    # A file system may move the folder into one that has appeared meanwhile.
+    if fs.exists(at) or not moved(new, at):
+        if had and not fs.exists(at):
+            moved(old, at)
+        raise OSError(f"{fresh} could not be moved to {path}; the old rows are in {path if not fs.exists(old) else old.toString()}")
+    if had:
+        fs.delete(old, True)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Write beside the table, then swap; ``df`` may read the table itself."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    swap(df.sparkSession, fresh, path)
 
 
 def documents(chunks: DataFrame) -> DataFrame:
@@ -146,9 +166,13 @@ def page(rows: DataFrame, number: int, size: int, *order) -> DataFrame:
 
 
 def by_sequence(chunks: DataFrame) -> DataFrame:
-    """By the ``seq:`` keyword, as text, missing last."""
-    seq = F.get(F.filter("keywords", lambda k: k.startswith("seq:")), F.lit(0))
-    return chunks.orderBy(F.coalesce(F.substring(seq, 5, 1 << 20), F.lit("9999")), "id")
+    """By the ``seq:`` keyword, as text of ten digits, missing last."""
+    return chunks.orderBy(sequence_of(F.col("keywords")), "id")
+
+
+def sequence_of(keywords: Column) -> Column:
+    seq = F.get(F.filter(keywords, lambda k: k.startswith("seq:")), F.lit(0))
+    return F.coalesce(F.lpad(F.substring(seq, 5, 1 << 20), 10, "0"), F.lit("9" * 10))
 
 
 def scale_metrics(chunks: DataFrame) -> DataFrame:

@@ -1,51 +1,144 @@
-"""Incremental ingestion: documents arrive as files, chunks are upserted, job states are kept."""
+"""Incremental ingestion: documents arrive as files, chunks are upserted, job states are kept. Uploads and reparses are two queues,
+each a stream of its own; what a document has is what its latest job left, of whichever queue."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import layout_chunks
 from docloom.operators.elements import text_elements
+from docloom.operators.store import latest, swap
 
 JOB = "job_id string, dataset_id string, document_id string, text string, file_name string, department string, doc_type string, scope string, status string"
+REPARSE = "job_id string, document_id string, file_name string"
+TAGS = ["dataset_id", "document_name", "department", "doc_type", "scope", "status"]
 
 
-def job_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+def job_stream(spark: SparkSession, path: str, files_per_batch: int = 100, schema: str = JOB) -> DataFrame:
     """Jobs dropped as Parquet files; at most ``files_per_batch`` are taken at once, the rest waits in the folder."""
-    return spark.readStream.schema(JOB).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id: int) -> None:
-    """One micro-batch: chunk its documents, write them under the batch's own folder, and log a state for each job. A document
-    without chunks fails alone. Writing the same batch again replaces it, so a restart adds nothing twice."""
-    jobs = jobs.persist()
+def _states(jobs: DataFrame, state: str, path: str) -> None:
+    at = F.current_timestamp()
+    jobs.select("job_id", "document_id", "file_name", F.lit(state).alias("state"), F.lit(None).cast("string").alias("message"), at.alias("at"), F.lit(None).cast("timestamp").alias("finished_at")).write.mode("overwrite").parquet(path)
+
+
+def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], piece: str = "0") -> None:
+    """Write the chunks of jobs. If that fails, the jobs are halved until those that fail are alone: these alone are lost."""
     try:
         chunks = layout_chunks(text_elements(jobs.where("trim(coalesce(text, '')) <> ''")))
-        tags = jobs.select("document_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
-        rows = chunks.join(tags, "document_id")
-        rows.write.mode("overwrite").parquet(f"{chunks_path}/batch={batch_id}")
-        done = jobs.sparkSession.read.parquet(f"{chunks_path}/batch={batch_id}").groupBy("document_id").agg(F.count("*").alias("n"))
-        states = jobs.join(done, "document_id", "left").select(
-            "job_id", "file_name", F.when(F.col("n") > 0, "done").otherwise("failed").alias("state"), F.when(F.col("n").isNull(), F.lit("no chunks")).alias("message"),
-            F.current_timestamp().alias("at"), F.current_timestamp().alias("finished_at"),
-        )
-        states.write.mode("overwrite").parquet(f"{states_path}/batch={batch_id}")
+        tags = jobs.select("document_id", "job_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
+        chunks.join(tags, "document_id").write.mode("overwrite").parquet(f"{path}/piece={piece}")
+    except Exception as e:
+        ids = [r["job_id"] for r in jobs.select("job_id").orderBy("job_id").collect()]  # of one micro-batch
+        if len(ids) <= 1:
+            failed += [(i, f"{type(e).__name__}: {e}"[:500]) for i in ids]
+            return
+        half = ids[len(ids) // 2]
+        _chunked(jobs.where(F.col("job_id") < half), path, failed, piece + "0")
+        _chunked(jobs.where(F.col("job_id") >= half), path, failed, piece + "1")
+
+
+def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id: int, queue: str = "upload") -> None:
+    """One micro-batch: its jobs go from pending over processing to done or failed; the chunks of its documents are written under the
+    batch's own folder. Of several jobs of a document the one with the largest job_id counts, the others are done without effect. A
+    document without chunks, or one that can't be worked on, fails alone. Writing the same batch again replaces it, so a restart adds
+    nothing twice."""
+    spark = jobs.sparkSession
+    jobs = jobs.persist()
+    own, log = f"{chunks_path}/queue={queue}/batch={batch_id}", f"{states_path}/queue={queue}/batch={batch_id}"
+    try:
+        for folder in (own, log):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _states(jobs, "pending", f"{log}/step=0")
+        last = latest(jobs.withColumn("_at", F.lit(0)), ["document_id"], "_at", "job_id").drop("_at")
+        _states(last, "processing", f"{log}/step=1")
+        failed: list[tuple[str, str]] = []
+        _chunked(last, own, failed)
+        done = stored_chunks(spark, own).groupBy("job_id").agg(F.count("*").alias("n"))
+        why = spark.createDataFrame(failed, "job_id string, why string")
+        kept = last.select(F.col("job_id").alias("kept"), F.col("document_id").alias("d"))
+        rows = jobs.join(done, "job_id", "left").join(why, "job_id", "left").join(kept, F.col("document_id").eqNullSafe(F.col("d")), "left")
+        old = F.col("kept") != F.col("job_id")
+        message = F.when(old, F.concat(F.lit("replaced by "), "kept")).otherwise(F.coalesce("why", F.when(F.col("n").isNull(), F.lit("no chunks"))))
+        state = F.when(old | (F.col("n") > 0), "done").otherwise("failed")
+        rows = rows.select("job_id", "document_id", "file_name", state.alias("state"), message.alias("message"), F.current_timestamp().alias("at"), F.current_timestamp().alias("finished_at"))
+        rows.write.mode("overwrite").parquet(f"{log}/step=2")
     finally:
         jobs.unpersist()
 
 
 def ingest(stream: DataFrame, chunks_path: str, states_path: str, checkpoint: str, available_now: bool = True):
     """Start ingestion; with ``available_now`` it ends when the folder is worked off."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: ingest_batch(df, chunks_path, states_path, k))
+    return _start(stream, checkpoint, available_now, lambda df, k: ingest_batch(df, chunks_path, states_path, k))
+
+
+def reparse(stream: DataFrame, texts, chunks_path: str, states_path: str, checkpoint: str, available_now: bool = True):
+    """Start the second queue: documents are read again and chunked anew, with the tags that their chunks have. ``texts`` gives the cached
+    files as they are now: a function of the session that returns ``document_id, text``."""
+
+    def batch(df: DataFrame, k: int) -> None:
+        spark = df.sparkSession
+        had = latest(current_chunks(spark, chunks_path, states_path), ["document_id"], "chunk_no").select("document_id", *TAGS)
+        jobs = df.join(texts(spark).select("document_id", "text"), "document_id", "left").join(had, "document_id", "left")
+        name = F.coalesce("document_name", "file_name")
+        jobs = jobs.select("job_id", "dataset_id", "document_id", "text", name.alias("file_name"), "department", "doc_type", "scope", "status")
+        ingest_batch(jobs, chunks_path, states_path, k, "reparse")
+
+    return _start(stream, checkpoint, available_now, batch)
+
+
+def _start(stream: DataFrame, checkpoint: str, available_now: bool, batch):
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="3 seconds")).start()
 
 
-def current_chunks(spark: SparkSession, chunks_path: str) -> DataFrame:
-    """Chunks of the latest batch of each document: what upserting leaves."""
-    rows = spark.read.parquet(chunks_path)
-    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
+CHUNKS = (
+    "document_id string, chunk_no int, content string, content_type string, page int, bbox struct<x1:int,y1:int,x2:int,y2:int>, section string, job_id string, dataset_id string, document_name string, "
+    "department string, doc_type string, scope string, status string"
+)
+STATES = "job_id string, document_id string, file_name string, state string, message string, at timestamp, finished_at timestamp"
+
+
+def _read(spark: SparkSession, path: str, schema: str, *folders: str) -> DataFrame:
+    """Rows of a folder with the columns of its subfolders; none where nothing has been written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], ", ".join([schema, *folders]))
+    return spark.read.schema(", ".join([schema, *folders])).parquet(path)
+
+
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, CHUNKS)
+
+
+def states(spark: SparkSession, states_path: str) -> DataFrame:
+    """All states that jobs have gone through."""
+    return _read(spark, states_path, STATES, "queue string", "batch long", "step int")
+
+
+def current_chunks(spark: SparkSession, chunks_path: str, states_path: str) -> DataFrame:
+    """What upserting leaves: the chunks of each document's latest job; none if that has none, as it replaces what was there."""
+    ended = states(spark, states_path).where("step = 2 and coalesce(message, '') not like 'replaced by %'")
+    last = ended.groupBy("document_id").agg(F.max_by(F.struct("queue", "batch"), F.struct("at", "batch")).alias("x")).select("document_id", "x.*")
+    rows = _read(spark, chunks_path, CHUNKS, "queue string", "batch long", "piece string")
+    return rows.join(last, ["document_id", "queue", "batch"], "left_semi").drop("queue", "batch", "piece", "job_id")
+
+
+def compact(spark: SparkSession, chunks_path: str, states_path: str) -> None:
+    """Write the chunks anew without those that were replaced. For times when no stream runs; rows keep their queue and batch, so the
+    streams go on as before."""
+    ended = states(spark, states_path).where("step = 2 and coalesce(message, '') not like 'replaced by %'")
+    last = ended.groupBy("document_id").agg(F.max_by(F.struct("queue", "batch"), F.struct("at", "batch")).alias("x")).select("document_id", "x.*")
+    rows = _read(spark, chunks_path, CHUNKS, "queue string", "batch long", "piece string").join(last, ["document_id", "queue", "batch"], "left_semi")
+    fresh = f"{chunks_path}.new-{uuid.uuid4().hex}"
+    rows.withColumn("piece", F.lit("0")).repartition("queue", "batch").write.partitionBy("queue", "batch", "piece").parquet(fresh)
+    swap(spark, fresh, chunks_path)
 
 
 def windowed_counts(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

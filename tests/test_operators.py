@@ -187,19 +187,145 @@ def test_questions_fall_through_to_the_second_path(spark, tmp_path):
     assert files.read_questions(spark, f"file://{tmp_path}/missing.json").count() == 0
 
 
-def test_stream_upserts_and_isolates_failures(spark, tmp_path):
+LONG = "A sentence that is long enough to be a text."
+JOB_TAGS = ("DEV", "guide", "company", "in_force")
+
+
+@pytest.fixture
+def queue(spark, tmp_path):
+    """Drops jobs and works them off; what is current, and the states."""
     base = f"file://{tmp_path}"
-    long = "A sentence that is long enough to be a text."
-    job = lambda rows: spark.createDataFrame(rows, ingest.JOB)
-    tags = ("DEV", "guide", "company", "in_force")
-    run = lambda: ingest.ingest(ingest.job_stream(spark, f"{base}/jobs"), f"{base}/chunks", f"{base}/states", f"{base}/cp").awaitTermination()
-    job([("j1", "ds", "d1", long, "a.txt", *tags), ("j2", "ds", "d2", None, "b.txt", *tags)]).write.mode("append").parquet(f"{base}/jobs")
-    run()
-    job([("j3", "ds", "d1", long + " Now changed.", "a.txt", *tags)]).write.mode("append").parquet(f"{base}/jobs")
-    run()
-    states = {r.job_id: r.state for r in spark.read.parquet(f"{base}/states").collect()}
-    assert states == {"j1": "done", "j2": "failed", "j3": "done"}
-    assert [r.content for r in ingest.current_chunks(spark, f"{base}/chunks").collect()] == [long + " Now changed."]
+
+    class Queue:
+        def run(self, *rows):
+            spark.createDataFrame([(*r, *JOB_TAGS) for r in rows], ingest.JOB).write.mode("append").parquet(f"{base}/jobs")
+            ingest.ingest(ingest.job_stream(spark, f"{base}/jobs"), f"{base}/chunks", f"{base}/states", f"{base}/cp").awaitTermination()
+
+        def reparse(self, texts, *rows):
+            spark.createDataFrame(list(rows), ingest.REPARSE).write.mode("append").parquet(f"{base}/again")
+            now = lambda s: s.createDataFrame(list(texts.items()), "document_id string, text string")
+            ingest.reparse(ingest.job_stream(spark, f"{base}/again", schema=ingest.REPARSE), now, f"{base}/chunks", f"{base}/states", f"{base}/cp2").awaitTermination()
+
+        def chunks(self):
+            rows = ingest.current_chunks(spark, f"{base}/chunks", f"{base}/states").collect()
+            assert all((r.department, r.status) == ("DEV", "in_force") for r in rows)
+            return sorted((r.document_id, r.content) for r in rows)
+
+        def states(self):
+            from docloom.operators.jobs import job_states
+
+            return {r.job_id: (r.state, r.message) for r in job_states(ingest.states(spark, f"{base}/states")).collect()}
+
+        def compact(self):
+            ingest.compact(spark, f"{base}/chunks", f"{base}/states")
+
+        def seen(self, job):
+            return [r.state for r in ingest.states(spark, f"{base}/states").where(F.col("job_id") == job).orderBy("step").collect()]
+
+    return Queue()
+
+
+def test_stream_upserts_and_isolates_failures(queue):
+    queue.run(("j1", "ds", "d1", LONG, "a.txt"), ("j2", "ds", "d2", None, "b.txt"))
+    queue.run(("j3", "ds", "d1", LONG + " Now changed.", "a.txt"))
+    assert queue.states() == {"j1": ("done", None), "j2": ("failed", "no chunks"), "j3": ("done", None)}
+    assert queue.chunks() == [("d1", LONG + " Now changed.")]
+    assert queue.seen("j1") == ["pending", "processing", "done"]
+
+
+def test_two_jobs_of_a_document_in_one_batch(queue):
+    queue.run(("j1", "ds", "d1", LONG, "a.txt"), ("j2", "ds", "d1", LONG + " Later.", "a.txt"))
+    assert queue.chunks() == [("d1", LONG + " Later.")]
+    assert queue.states() == {"j1": ("done", "replaced by j2"), "j2": ("done", None)}
+
+
+def test_a_job_without_chunks_takes_the_old_ones_away(queue):
+    queue.run(("j1", "ds", "d1", LONG, "a.txt"), ("j2", "ds", "d2", LONG, "b.txt"))
+    queue.run(("j3", "ds", "d1", " ", "a.txt"))
+    assert queue.chunks() == [("d2", LONG)] and queue.states()["j3"] == ("failed", "no chunks")
+
+
+def test_a_raising_document_fails_alone(queue, monkeypatch):
+    real = ingest.text_elements
+    bad = lambda jobs: real(jobs).withColumn("text", F.when(F.col("text").contains("BAD"), F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    monkeypatch.setattr(ingest, "text_elements", bad)
+    queue.run(*[(f"j{i}", "ds", f"d{i}", LONG + (" BAD" if i == 2 else ""), "a.txt") for i in range(5)])
+    assert [d for d, _ in queue.chunks()] == ["d0", "d1", "d3", "d4"]
+    states = queue.states()
+    assert states["j2"][0] == "failed" and "broken" in states["j2"][1] and all(states[f"j{i}"] == ("done", None) for i in (0, 1, 3, 4))
+
+
+def test_reparse_is_a_queue_of_its_own(queue):
+    queue.run(("j1", "ds", "d1", LONG, "a.txt"), ("j2", "ds", "d2", LONG, "b.txt"))
+    queue.reparse({"d1": LONG + " Read again."}, ("r1", "d1", "a.txt"))
+    assert queue.chunks() == [("d1", LONG + " Read again."), ("d2", LONG)] and queue.states()["r1"] == ("done", None)
+    queue.compact()
+    assert queue.chunks() == [("d1", LONG + " Read again."), ("d2", LONG)]
+    queue.run(("j3", "ds", "d1", LONG + " Third.", "a.txt"))
+    assert queue.chunks() == [("d1", LONG + " Third."), ("d2", LONG)]
+
+
+def test_save_keeps_the_table_when_it_cannot_swap(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    store.save(spark.range(3), path)
+    store.save(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(OSError):
+        store.swap(spark, f"file://{tmp_path}/not-there", path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_access_rules(spark):
+    from docloom.operators import acl
+
+    names = {"abc": True, "ab": False, "user.name": False, "Žofie_ä-9": True, "a" * 40: True, "a b c": False, "abc\n": False, "": False}
+    words = {"123456": True, "      ": False, "12345": False, "pässwörd": True, "a     ": True}
+    files_ = {"a.PNG": True, "a.jpeg": True, "a.bmp": False, "a.tif": False, "a.webp": True, "png": False}
+    for f, cases in ((acl.valid_username, names), (acl.valid_password, words), (acl.is_image, files_)):
+        got = {r.s: r.ok for r in spark.createDataFrame([(k,) for k in cases], "s string").select("s", f(F.col("s")).alias("ok")).collect()}
+        assert got == cases
+
+
+def test_sequence_numbers_of_any_length(spark):
+    chunks = spark.createDataFrame([("d", i, f"c{i}", "text", 1, None, None) for i in (0, 9, 10, 9999, 10_000, 123_456)], "document_id string, chunk_no int, content string, content_type string, page int, bbox string, section string")
+    tags = spark.createDataFrame([("d", "n", "HR", "guide", "company", "in_force")], "document_id string, document_name string, department string, doc_type string, scope string, status string")
+    rows = chunking.to_store(chunks, tags, "ds")
+    more = rows.limit(1).withColumns({"id": F.lit("z"), "content": F.lit("none"), "keywords": F.array().cast("array<string>")})
+    assert [r.content for r in store.by_sequence(rows.unionByName(more)).collect()] == ["c0", "c9", "c10", "c9999", "c10000", "c123456", "none"]
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_windows_of_the_joined_corpus(spark, block):
+    texts = {i: "x" * (i * 7 % 23) + str(i) for i in range(60)} | {60: "", 61: None, 62: "y" * 300, 63: "end"}
+    got = chunking.joined_chunks(spark.createDataFrame(list(texts.items()), "k long, text string"), 50, "k", block=block).orderBy("chunk_no").collect()
+    whole = "\n\n".join(t or "" for _, t in sorted(texts.items()))
+    assert [r.content for r in got] == [whole[i : i + 50] for i in range(0, len(whole), 50)] and [r.chunk_no for r in got] == list(range(len(got)))
+
+
+def test_null_documents_are_chunked_alone(spark):
+    rows = [(None, 0, "SectionHeader", "Head"), (None, 1, "Text", "one"), ("a", 0, "Text", "two"), ("a", 1, "Text", "three")]
+    df = spark.createDataFrame([(*r, 1, None, None) for r in rows], "document_id string, ord int, category string, text string, page int, bbox struct<x1:int,y1:int,x2:int,y2:int>, pieces string").drop("pieces")
+    got = {(r.document_id, r.chunk_no): (r.content, r.section) for r in chunking.layout_chunks(df.coalesce(1)).collect()}
+    assert got == {(None, 0): ("## Head\n\none", "Head"), ("a", 0): ("two\n\nthree", None)}
+
+
+def test_bm25_by_names_and_by_join(spark, monkeypatch):
+    chunks = spark.createDataFrame([(str(i), "ds", "HR", "company", "in_force", t) for i, t in enumerate(["red apple tree", "blue sky", "", None, "red red rose"])], "id string, dataset_id string, department string, scope string, status string, content string")
+    q = spark.createDataFrame([(1, "red apple", "ds", True, None), (2, "", "ds", True, None)], "query_id long, question string, dataset_id string, is_admin boolean, department string")
+    by_name = retrieval.bm25(q, chunks).collect()
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 1)
+    assert sorted(by_name) == sorted(retrieval.bm25(q, chunks).collect()) and [r.id for r in sorted(by_name, key=lambda r: r["rank"])] == ["0", "4"]
+
+
+def test_ocr_that_repeats_itself_is_not_taken(spark):
+    from docloom.functions.text import usable_output
+    from docloom.operators import elements
+
+    page = lambda *t: "[" + ",".join(f'{{"bbox":[1,2,3,4],"category":"Text","text":"{x}"}}' for x in t) + "]"
+    loop, fine = page(*"aaaabc"), page(*"aabcdef")
+    rows = [(1, loop, fine, "x"), (2, loop, loop, "other"), (3, fine, loop, None), (4, page("a", "a", "a", "a"), None, None), (5, loop, None, " ")]
+    got = {r.id: r.t for r in spark.createDataFrame(rows, "id int, a string, b string, c string").select("id", elements.ocr_cascade(F.col("a"), F.col("b"), F.col("c"), usable_output).alias("t")).collect()}
+    assert got == {1: fine, 2: "other", 3: fine, 4: page("a", "a", "a", "a"), 5: "[page could not be read]"}
 
 
 def test_windowed_stream(spark, sf_dir, tmp_path):
@@ -232,6 +358,17 @@ def test_docx_forms(spark):
     got = rows.select(docx_forms.docx_fields("raw").alias("f"), docx_forms.docx_fill("raw", "v").alias("d")).collect()
     assert [r.key for r in got[0].f] == ["job_title", "city", "unit", "full_name", "phone", "address"] and got[1].f is None and got[1].d is None
     text = files.docx_text(bytes(got[0].d))
+    more = (
+        p("Address:") + "<w:p/>" + p("Kind:") + p("taken already") + p("Needed papers:") + "<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>a list</w:t></w:r></w:p>"
+        + '<w:p><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> MERGEFI</w:instrText></w:r><w:r><w:instrText>ELD street </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r>'
+        + '<w:r><w:t>«str</w:t></w:r><w:r><w:t>eet»</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p>'
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{more}</w:body></w:document>')
+    assert [k for k, _ in docx_forms.fields(out.getvalue())] == ["street", "address", "kind"]
+    filled = files.docx_text(docx_forms.fill(out.getvalue(), {"address": "Via 1", "kind": "new", "needed_papers": "no", "street": "Main"}))
+    assert filled.split("\n") == ["Address:", "Via 1", "Kind: new", "taken already", "Needed papers:", "a list", "Main"]
     assert "Dear Ann," in text and "Phone: 12" in text and "Rome" in text and "<td>R</td>" in text and "One, two: ____" in text
 
 
