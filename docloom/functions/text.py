@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: CJK, CJK extension A, kana, Arabic, Hangul.
+# The scripts that documents don't use: CJK, CJK extension A, kana, Arabic, Hangul.
 FOREIGN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{0600}-\x{06FF}\x{AC00}-\x{D7AF}]"
 
 
@@ -131,15 +131,24 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N}_]", ""), "^_+|_+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def ascii_key(s: pd.Series) -> pd.Series:
-    """Marks stripped, then only a-z, 0-9 and ``_`` kept (upper case goes)."""
+_ACCENTS: list[str] = []
+
 
-    def one(x: str) -> str:
-        bare = "".join(c for c in unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn")
-        return "".join(c for c in bare if c in "abcdefghijklmnopqrstuvwxyz0123456789_")
+def _accented() -> tuple[str, str]:
+    """Letters with marks, and the ASCII letters under them (canonical decomposition); and đ."""
+    if not _ACCENTS:
+        bare = {"đ": "d"}
+        for cp in range(0x80, 0x3000):
+            letters = [c for c in unicodedata.normalize("NFD", chr(cp)) if unicodedata.category(c) != "Mn"]
+            if len(letters) == 1 and "a" <= letters[0] <= "z":
+                bare[chr(cp)] = letters[0]
+        _ACCENTS.extend(("".join(bare), "".join(bare.values())))
+    return _ACCENTS[0], _ACCENTS[1]
 
-    return s.map(one, na_action="ignore")
+
+def ascii_key(c: Column) -> Column:
+    """Marks stripped, then only a-z, 0-9 and ``_`` kept (upper case goes)."""
+    return F.regexp_replace(F.translate(F.replace(c, F.lit("Đ"), F.lit("D")), *_accented()), "[^a-z0-9_]", "")
 
 
 def clean_label(c: Column) -> Column:

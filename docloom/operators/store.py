@@ -181,5 +181,10 @@ def scale_metrics(chunks: DataFrame) -> DataFrame:
     return out.select("total_chunks", "documents", "datasets", F.coalesce(F.bround("a", 1), F.lit(0.0)).alias("avg_chars"), F.bround(F.col("total_chunks") * 0.01, 2).alias("est_query_ms"))
 
 
+def named(ids: Column, names: Column) -> Column:
+    """The name of each id of an array, by place; the id itself where there is none."""
+    return F.transform(F.arrays_zip(ids.alias("i"), names.alias("n")), lambda x: F.coalesce(x["n"], x["i"]))
+
+
 def match_name(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.where(F.lower(column) == name.lower()).orderBy(column).limit(1)

@@ -12,6 +12,7 @@ from docloom.functions import text as X
 from docloom.operators import acl, chunking, conversations, elements, evaluation, forms, jobs, retrieval, store
 from docloom.plans import tables as T
 from docloom.plans.tables import SQL_CHUNKS, SQL_HITS, SQL_STORE, SQL_TAGS, SQL_TOKENS
+from docloom.schemas import CATEGORIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,7 +90,7 @@ def sweep_best(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_HITS}, best AS (SELECT query_id, list(id) AS ids FROM swept WHERE weight = 0.3 GROUP BY query_id),
-pairs AS (SELECT a.query_id AS a, b.query_id AS b, a.query_id * 10 + b.query_id AS pair_id FROM questions a, questions b WHERE a.query_id < b.query_id),
+pairs AS (SELECT a.query_id AS a, b.query_id AS b, a.query_id * 100000 + b.query_id AS pair_id FROM questions a, questions b WHERE a.query_id < b.query_id),
 met AS (SELECT pair_id, coalesce(x.ids, []) AS i, coalesce(y.ids, []) AS j FROM pairs LEFT JOIN best x ON x.query_id = a LEFT JOIN best y ON y.query_id = b),
 n AS (SELECT pair_id, len(list_intersect(i, j)) AS n_both, len(list_distinct(list_concat(i, j))) AS n_union FROM met)
 SELECT pair_id, n_both::INT AS n_both, n_union::INT AS n_union, CASE WHEN n_union = 0 THEN 0 ELSE round_even(n_both / n_union, 4) END AS jaccard FROM n""")
@@ -97,7 +98,7 @@ def paraphrase_jaccard(spark, sf_dir):
     q = T.questions(spark, sf_dir)
     hits = _retrieved(q, spark, sf_dir)
     ids = q.select("query_id")
-    pairs = ids.select(F.col("query_id").alias("a")).join(ids.select(F.col("query_id").alias("b")), F.col("a") < F.col("b")).withColumn("pair_id", F.col("a") * 10 + F.col("b"))
+    pairs = ids.select(F.col("query_id").alias("a")).join(ids.select(F.col("query_id").alias("b")), F.col("a") < F.col("b")).withColumn("pair_id", F.col("a") * 100_000 + F.col("b"))
     return retrieval.paraphrase_overlap(hits, pairs).select("pair_id", F.size("both").alias("n_both"), "n_union", "jaccard")
 
 
@@ -107,7 +108,13 @@ def context_block(spark, sf_dir):
     return retrieval.context_block(_retrieved(T.questions(spark, sf_dir), spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_HITS},
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || trim(content), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM swept s JOIN chunks c ON c.id = s.id WHERE weight = 0.3 GROUP BY query_id),
+a AS (SELECT q.query_id, question, coalesce(n, 0) AS n, context, left(context, 200) AS answer FROM questions q LEFT JOIN ctx USING (query_id)),
+t AS (SELECT *, list_distinct({SQL_TOKENS.format('answer')}) AS ta, {SQL_TOKENS.format('context')} AS tc, list_distinct({SQL_TOKENS.format('question')}) AS tq FROM a),
+r AS (SELECT *, CASE WHEN len(ta) = 0 THEN 0 ELSE len(list_intersect(ta, tc)) / len(ta) END AS f, CASE WHEN len(tq) = 0 THEN 0 ELSE len(list_intersect(tq, ta)) / len(tq) END AS v FROM t)
+SELECT query_id::INT AS id, answer, n::INT AS chunk_count, CASE WHEN answer IS NOT NULL THEN f END AS faithfulness, CASE WHEN answer IS NOT NULL THEN v END AS relevancy, CASE WHEN answer IS NULL THEN 'no chunks' END AS error,
+  CASE WHEN answer IS NULL THEN -1 ELSE (f + v) / 2 END AS average FROM r""")
 def evaluate(spark, sf_dir):
     q = T.questions(spark, sf_dir)
     got = evaluation.evaluate(q, _retrieved(q, spark, sf_dir))
@@ -137,9 +144,10 @@ def documents_list(spark, sf_dir):
     return store.documents(T.store(spark, sf_dir)).select("document_id", "document_name", "department", "status", "chunk_count")
 
 
-@query(f"WITH {SQL_STORE} SELECT document_id, document_name FROM store GROUP BY 1, 2 ORDER BY lower(document_name) DESC, document_id DESC LIMIT 7")
+@query(f"WITH {SQL_STORE} SELECT document_id, document_name, row_number() OVER (ORDER BY lower(document_name) DESC, document_id DESC) AS pos FROM store GROUP BY 1, 2")
 def documents_sorted(spark, sf_dir):
-    return store.sort_documents(store.documents(T.store(spark, sf_dir)), "name", True).select("document_id", "document_name").limit(7)
+    got = store.sort_documents(store.documents(T.store(spark, sf_dir)), "name", True).select("document_id", "document_name").withColumn("at", F.monotonically_increasing_id())
+    return got.select("document_id", "document_name", F.row_number().over(Window.orderBy("at")).alias("pos"))  # a row for each document
 
 
 @query(f"WITH {SQL_STORE}, d AS (SELECT document_id, arg_min(department, chunk_no) AS department, arg_min(scope, chunk_no) AS scope FROM store GROUP BY 1) SELECT count(*) FILTER (department = 'DEV') AS visible, count(*) AS total FROM d")
@@ -199,8 +207,7 @@ def update_tag(spark, sf_dir):
 @query(f"WITH {SQL_STORE} SELECT id, CASE WHEN chunk_no = 7 THEN sha256('edited') ELSE sha256(content) END AS h FROM store")
 def edit_chunk(spark, sf_dir):
     rows = T.store(spark, sf_dir).withColumn("embedding", F.array().cast("array<float>"))
-    one = rows.where("chunk_no = 7").select("id").first()["id"]
-    return store.edit_chunk(rows, one, "edited", lambda c: F.array(F.char_length(c).cast("float"))).select("id", F.sha2("content", 256).alias("h"))
+    return store.edit_chunk(rows, X.chunk_id(F.col("document_id"), F.lit(7)), "edited", lambda c: F.array(F.char_length(c).cast("float"))).select("id", F.sha2("content", 256).alias("h"))
 
 
 @query(f"""WITH {SQL_STORE}, first AS (SELECT arg_min(department, chunk_no) AS department, arg_min(dataset_id, chunk_no) AS dataset_id FROM store WHERE document_id = 'src3')
@@ -218,9 +225,9 @@ def insert_if_absent(spark, sf_dir):
     return store.insert_if_absent(base, new, "name")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id = 5 THEN 'approved' ELSE 'pending' END AS status FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id, CASE WHEN doc_id = 5 THEN 'approved' ELSE 'pending' END AS status FROM documents")
 def status_update(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.lit("pending").alias("status"))
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", F.lit("pending").alias("status"))
     return store.set_status(rows, "doc_id", 5, "approved")
 
 
@@ -240,10 +247,10 @@ def cascade_delete(spark, sf_dir):
     return store.cascade(rows, rows.where("session_id % 2 = 0").select("session_id").distinct(), "session_id").select("session_id", "turn")
 
 
-@query(f"WITH {SQL_STORE} SELECT id FROM store WHERE document_id = 'src3' ORDER BY lpad((chunk_no % 7)::VARCHAR, 4, '0'), id LIMIT 5")
+@query(f"WITH {SQL_STORE} SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY lpad((chunk_no % 7)::VARCHAR, 10, '0'), id) AS pos FROM store")
 def sequence_order(spark, sf_dir):
-    rows = T.store(spark, sf_dir).where("document_id = 'src3'").withColumn("keywords", F.array(F.concat(F.lit("seq:"), F.lpad((F.col("chunk_no") % 7).cast("string"), 4, "0"))))
-    return store.by_sequence(rows).select("id").limit(5)
+    rows = T.store(spark, sf_dir).withColumn("keywords", F.array(F.concat(F.lit("seq:"), (F.col("chunk_no") % 7).cast("string"))))
+    return rows.select("id", F.row_number().over(Window.partitionBy("document_id").orderBy(store.sequence_of(F.col("keywords")), "id")).alias("pos"))
 
 
 @query("SELECT source AS name FROM documents WHERE lower(source) = 'src7' LIMIT 1")
@@ -257,21 +264,24 @@ def dead_letters(spark, sf_dir):
     return chunking.documents_without_chunks(docs, T.chunks(spark, sf_dir).where("embedding is not null").select("document_id"))
 
 
-_USERS = [("root", True, "ds1", "", 1), ("boss", True, "", "DEV", 2), ("ann", False, "own", "HR", 3), ("bob", False, None, None, 4)]
-
-
-@query("SELECT * FROM (VALUES ('root', 'ds1', 'ds1'), ('boss', 'ds1', 'ds1'), ('ann', 'ds1', 'ds1'), ('bob', 'ds1', 'ds1')) t(username, reads_dataset, first_admin_dataset)")
+@query("""WITH u AS (SELECT DISTINCT 'u' || conv_id AS username, conv_id % 5 = 0 AS is_admin, CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'ds' || conv_id END AS dataset_id, conv_id AS created_at FROM conversations),
+f AS (SELECT arg_min(dataset_id, created_at) AS shared FROM u WHERE is_admin AND coalesce(dataset_id, '') <> '')
+SELECT username, CASE WHEN is_admin AND coalesce(dataset_id, '') <> '' THEN dataset_id ELSE shared END AS reads_dataset, shared AS first_admin_dataset FROM u, f""")
 def dataset_of_user(spark, sf_dir):
-    users = spark.createDataFrame(_USERS, "username string, is_admin boolean, dataset_id string, department string, created_at int")
+    n = F.col("session_id")
+    ids = T.messages(spark, sf_dir).select("session_id").distinct()
+    users = ids.select(F.concat(F.lit("u"), n.cast("string")).alias("username"), (n % 5 == 0).alias("is_admin"), F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("ds"), n.cast("string"))).alias("dataset_id"), F.lit("").alias("department"), n.alias("created_at"))
     first = acl.first_admin(users).select(F.col("dataset_id").alias("first_admin_dataset"))
     return acl.viewer_columns(users).select("username", "reads_dataset").crossJoin(F.broadcast(first))  # one row
 
 
-@query("SELECT * FROM (VALUES ('ab', false, false, false, true, false), ('user.name', false, true, false, false, true), ('0123456789abcdef0123456789abcdef', true, true, true, false, false)) t(s, password, username, template, image, pdf)")
+@query("""WITH r AS (SELECT doc_id, substr(text, 1, (doc_id % 9)::INT) AS s, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE upper(md5(text)) END AS t, 'f' || ['.PNG','.pdf','.doc','.jpeg','.bmp','.webp','.tiff','.PDF'][(doc_id % 8 + 1)::INT] AS f FROM documents)
+SELECT doc_id, regexp_full_match(s, '[\\p{L}\\p{Nd}_-]{3,}') AS username, length(s) >= 6 AND regexp_matches(s, '\\S') AS password, regexp_full_match(t, '[a-f0-9]{32}') AS template, doc_id % 8 IN (0, 3, 5) AS image, doc_id % 8 IN (1, 7) AS pdf FROM r""")
 def validations(spark, sf_dir):
-    rows = spark.createDataFrame([("ab", "x.PNG"), ("user.name", "a.pdf"), ("0123456789abcdef0123456789abcdef", "a.doc")], "s string, f string")
-    c = F.col("s")
-    return rows.select("s", acl.valid_password(c).alias("password"), acl.valid_username(c).alias("username"), acl.valid_template_id(c).alias("template"), acl.is_image(F.col("f")).alias("image"), acl.is_pdf(F.col("f")).alias("pdf"))
+    d, ends = F.col("doc_id"), (".PNG", ".pdf", ".doc", ".jpeg", ".bmp", ".webp", ".tiff", ".PDF")
+    f = F.concat(F.lit("f"), F.element_at(F.array(*map(F.lit, ends)), (d % 8 + 1).cast("int")))
+    s, t = F.substring(F.col("text"), F.lit(1), (d % 9).cast("int")), F.when(d % 2 == 0, F.md5("text")).otherwise(F.upper(F.md5("text")))
+    return T.table(spark, sf_dir, "documents").select("doc_id", acl.valid_username(s).alias("username"), acl.valid_password(s).alias("password"), acl.valid_template_id(t).alias("template"), acl.is_image(f).alias("image"), acl.is_pdf(f).alias("pdf"))
 
 
 # Elements and chunks -----------------------------------------------------------------------------------------------------------
@@ -299,25 +309,46 @@ def section_carry(spark, sf_dir):
     return chunking.with_section(T.elements(spark, sf_dir)).select(F.col("document_id").alias("doc_id"), F.col("ord").cast("long").alias("ord"), "category", "section")
 
 
-@query()
+#: The cut at 8,000 characters depends on all before it: one element after another.
+SQL_LAYOUT = f"""{SQL_LINES},
+fold AS (SELECT doc_id, ord, category, text, 0 AS grp, CASE WHEN category = 'SectionHeader' THEN 0 ELSE length(text) END AS size, CASE WHEN category = 'SectionHeader' THEN trim(text) END AS section FROM elements WHERE ord = 0
+  UNION ALL SELECT e.doc_id, e.ord, e.category, e.text, CASE WHEN 'SectionHeader' IN (e.category, f.category) OR f.size >= 8000 THEN grp + 1 ELSE grp END,
+    CASE WHEN e.category = 'SectionHeader' THEN 0 WHEN f.category = 'SectionHeader' OR f.size >= 8000 THEN length(e.text) ELSE f.size + length(e.text) END, CASE WHEN e.category = 'SectionHeader' THEN trim(e.text) ELSE section END
+  FROM fold f JOIN elements e ON e.doc_id = f.doc_id AND e.ord = f.ord + 1),
+bodies AS (SELECT doc_id, grp, section, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY ord) FILTER (regexp_matches(text, '\\S')) AS body FROM fold WHERE category <> 'SectionHeader' GROUP BY ALL),
+layout AS (SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1)::INT AS chunk_no, CASE WHEN section IS NOT NULL THEN '## ' || section || chr(10) || chr(10) || body ELSE body END AS content, section FROM bodies WHERE body <> '')"""
+
+
+@query(f"WITH RECURSIVE {SQL_LAYOUT} SELECT document_id, chunk_no, content, 'text' AS content_type, 1 AS page, section FROM layout")
 def layout_chunks(spark, sf_dir):
     rows = T.elements(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
     return chunking.layout_chunks(rows).select("document_id", "chunk_no", "content", "content_type", "page", "section")
 
 
-@query("SELECT doc_id, i // 500 AS chunk_no, sha256(substr(text, i::INT + 1, 500)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS i FROM documents)")
+SQL_JOINED = "whole AS (SELECT string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents), pieces AS (SELECT unnest(regexp_extract_all(t, '(?s).{1,500}')) AS c, generate_subscripts(regexp_extract_all(t, '(?s).{1,500}'), 1) AS n FROM whole)"
+
+
+@query(f"WITH {SQL_JOINED} SELECT (n - 1)::BIGINT AS chunk_no, sha256(c) AS h FROM pieces")
 def naive_chunks(spark, sf_dir):
+    got = chunking.joined_chunks(T.table(spark, sf_dir, "documents"), 500, "doc_id")
+    return got.select("chunk_no", F.sha2("content", 256).alias("h"))
+
+
+@query("SELECT doc_id, i // 500 AS chunk_no, sha256(substr(text, i::INT + 1, 500)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS i FROM documents)")
+def fixed_chunks(spark, sf_dir):
     got = chunking.fixed_chunks(T.table(spark, sf_dir, "documents"), 500, "doc_id")
     return got.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.sha2("content", 256).alias("h"))
 
 
-@query("""SELECT 'whole' AS strategy, true AS preserves_structure, count(*) AS chunks, round(avg(length(text)), 4) AS avg_len, min(length(text))::INT AS min_len, max(length(text))::INT AS max_len FROM documents
-UNION ALL SELECT 'fixed', false, count(*), round(avg(length(c)), 4), min(length(c))::INT, max(length(c))::INT FROM (SELECT substr(text, i::INT + 1, 500) AS c FROM (SELECT text, unnest(range(0, length(text), 500)) AS i FROM documents))""")
+@query(f"""WITH {SQL_JOINED}, d AS (SELECT text AS c, row_number() OVER (ORDER BY doc_id) AS n FROM documents)
+SELECT 'whole' AS strategy, true AS preserves_structure, count(*) AS chunks, round(avg(length(c)), 4) AS avg_len, min(length(c))::INT AS min_len, max(length(c))::INT AS max_len, max(left(c, 200) || '…') FILTER (n = 1) AS first, max(left(c, 200) || '…') FILTER (n = 2) AS second FROM d
+UNION ALL SELECT 'fixed', false, count(*), round(avg(length(c)), 4), min(length(c))::INT, max(length(c))::INT, max(left(c, 200) || '…') FILTER (n = 1), max(left(c, 200) || '…') FILTER (n = 2) FROM pieces""")
 def chunk_length_stats(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents")
     whole = chunking.length_stats(docs.select("doc_id", F.col("text").alias("content")), "whole", True, ["doc_id"])
-    fixed = chunking.length_stats(chunking.fixed_chunks(docs, 500, "doc_id"), "fixed", False, ["doc_id", "chunk_no"])
-    return whole.unionByName(fixed).select("strategy", "preserves_structure", "chunks", F.round("avg_len", 4).alias("avg_len"), "min_len", "max_len")
+    fixed = chunking.length_stats(chunking.joined_chunks(docs, 500, "doc_id"), "fixed", False, ["chunk_no"])
+    sample = lambda i, n: F.get("samples", F.lit(i)).alias(n)
+    return whole.unionByName(fixed).select("strategy", "preserves_structure", "chunks", F.round("avg_len", 4).alias("avg_len"), "min_len", "max_len", sample(0, "first"), sample(1, "second"))
 
 
 @query("SELECT doc_id, i AS chunk_no, substr(sha256(doc_id::VARCHAR || i::VARCHAR), 1, 16) AS chunk_id FROM documents, (SELECT unnest([0, 1]) AS i)")
@@ -326,17 +357,16 @@ def chunk_ids(spark, sf_dir):
     return rows.withColumn("chunk_id", X.chunk_id(F.col("doc_id"), F.col("chunk_no")))
 
 
-_TABLES = [
-    (1, "<table><tr><th>a</th></tr><tr><td>b</td></tr></table>"),
-    (2, "<table>" + "<tr><td>" + "x" * 400 + "</td></tr>" + "".join(f"<TR><td>{'y' * 500}{i}</td></TR>" for i in range(5)) + "</table>"),
-    (3, "<table>" + "z" * 1600 + "</table>"), (4, "<table><tr>" + "h" * 1600 + "</tr></table>"), (5, "<table><tr><td>h</td></tr><tr><td>" + "w" * 1500 + "</td></tr></table>"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 53), (2, 0, 1471), (2, 1, 1471), (2, 2, 952), (3, 0, 1500), (3, 1, 115), (5, 0, 34), (5, 1, 1552)) t(id, pos, n)""")
+@query("""WITH t AS (SELECT doc_id, 38 + doc_id % 300 AS r, doc_id % 40 AS k FROM documents), m AS (SELECT *, 34 + k * r AS whole, 1200 // r AS m FROM t),
+p AS (SELECT doc_id, whole, m, k, r, unnest(range(0, CASE WHEN whole <= 1500 THEN 1 ELSE (k + m - 1) // m END)) AS pos FROM m)
+SELECT doc_id, pos::INT AS pos, (CASE WHEN whole <= 1500 THEN whole ELSE 34 + r * least(m, k - pos * m) END)::INT AS n FROM p""")
 def table_split(spark, sf_dir):
-    rows = spark.createDataFrame(_TABLES, "id int, html string")
-    return rows.select("id", F.posexplode(chunking.split_table(F.col("html"))).alias("pos", "piece")).select("id", "pos", F.char_length("piece").alias("n"))
+    """A table for each document: a header and up to 39 rows of one length; long ones are cut between rows."""
+    d = F.col("doc_id")
+    row = F.concat(F.lit("<tr><td>"), F.repeat(F.lit("x"), (20 + d % 300).cast("int")), F.lit("</td></tr>"))
+    html = F.concat(F.lit("<table><tr><th>h</th></tr>"), F.repeat(row, (d % 40).cast("int")), F.lit("</table>"))
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+    return rows.select("doc_id", F.posexplode(chunking.split_table(F.col("html"))).alias("pos", "piece")).select("doc_id", "pos", F.char_length("piece").alias("n"))
 
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, 0 AS x1, 0 AS y1, 1000 AS x2, max(CASE WHEN doc_id IN (SELECT doc_id FROM whole) THEN 1000 ELSE 50 END) AS y2 FROM elements GROUP BY doc_id")
@@ -349,64 +379,76 @@ def joined_text(spark, sf_dir):
     return chunking.join_texts(T.elements(spark, sf_dir)).select(F.col("document_id").alias("doc_id"), F.sha2("text", 256).alias("h"))
 
 
-_OCR = [
-    ("d1", 1, '```json\n[{"bbox":[1,2,3,4],"category":"section-header","text":"Head"},{"bbox":[5,6,7,8],"category":"Picture"},{"bbox":[1,1,2,2],"category":"text","text":"  "}]\n```'),
-    ("d1", 2, '[{"bbox":[1,2,3,4],"category":"Text","text":"one"},{"bbox":[1,2,3,4],"category":"TABLE","text":"<table></table>"},{"bbox":[9,9'), ("d2", 1, "not json"), ("d2", 2, '[{"bbox":[1,2'),
-]
-
-
-@query("SELECT * FROM (VALUES ('d1', 1, 0, 'SectionHeader', 'Head', 4), ('d1', 1, 1, 'Picture', NULL, 8), ('d1', 2, 0, 'Text', 'one', 4), ('d1', 2, 1, 'Table', '<table></table>', 4)) t(document_id, page, ord, category, text, y2)")
+@query(f"WITH {SQL_LINES} SELECT doc_id AS document_id, 1 AS page, ord::INT AS ord, category, text, CASE WHEN doc_id IN (SELECT doc_id FROM whole) THEN 1000 ELSE 50 END AS y2 FROM elements WHERE doc_id % 7 <> 0 AND regexp_matches(text, '\\S')")
 def ocr_json_parse(spark, sf_dir):
-    got = elements.ocr_elements(spark.createDataFrame(_OCR, "document_id string, page int, json string"))
+    got = elements.ocr_elements(T.ocr_pages(spark, sf_dir))
     return got.select("document_id", "page", "ord", "category", "text", F.col("bbox.y2").alias("y2"))
 
 
-@query("SELECT * FROM (VALUES ('d1', 1, true), ('d1', 2, true), ('d2', 1, false), ('d2', 2, false)) t(document_id, page, parsed)")
+@query("SELECT doc_id AS document_id, 1 AS page, doc_id % 7 <> 0 AS parsed FROM documents")
 def json_salvage(spark, sf_dir):
-    rows = spark.createDataFrame(_OCR, "document_id string, page int, json string")
-    return rows.select("document_id", "page", elements.salvage_json(F.col("json")).isNotNull().alias("parsed"))
+    return T.ocr_pages(spark, sf_dir).select("document_id", "page", elements.salvage_json(F.col("json")).isNotNull().alias("parsed"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Hello <b> & you' || chr(10) || 'again'), (2, '<svg><g/></svg>')) t(id, text)")
+@query(f"WITH {SQL_LINES} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord)) AS h FROM elements WHERE regexp_matches(text, '\\S') GROUP BY doc_id")
 def svg_text(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "<svg><text x='1'>Hello &lt;b&gt; &amp; <tspan>you</tspan></text><text> </text><TEXT>again</TEXT></svg>"), (2, "<svg><g/></svg>")], "id int, svg string")
-    return rows.select("id", elements.svg_text(F.col("svg")).alias("text"))
+    shown = F.concat(F.lit("<text x='1'>"), X.html_escape(F.col("text")), F.lit("</text>"))
+    rows = T.elements(spark, sf_dir).where(~X.is_blank(F.col("text"))).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t")))).alias("x"))
+    svg = F.concat(F.lit("<svg>"), F.array_join(F.transform("x", lambda e: e["t"]), ""), F.lit("<text> </text></svg>"))
+    return rows.select(F.col("document_id").alias("doc_id"), F.sha2(elements.svg_text(svg), 256).alias("h"))
 
 
-@query("SELECT * FROM (VALUES ('d', 1, 'first'), ('d', 3, 'third')) t(document_id, page, text)")
+@query(f"WITH {SQL_LINES} SELECT doc_id AS document_id, 1 AS page, ord::INT AS ord, trim(text) AS text FROM elements WHERE doc_id % 7 <> 0 AND regexp_matches(text, '\\S')")
 def second_ocr(spark, sf_dir):
-    rows = spark.createDataFrame([("d", 1, '{"results":[{"text":" first ","bbox":[1,2,3,4],"confidence":0.9},{"text":" "}]}'), ("d", 3, '{"results":[{"text":"third"}]}'), ("d", 4, "broken")], "document_id string, page int, json string")
-    return elements.second_ocr_elements(rows).select("document_id", "page", "text")
+    item = F.struct("ord", F.struct("text", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("bbox"), F.lit(0.9).alias("confidence")).alias("e"))
+    rows = T.elements(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    json = F.when(F.col("document_id") % 7 == 0, "broken").otherwise(F.to_json(F.struct(F.transform("x", lambda i: i["e"]).alias("results"))))
+    return elements.second_ocr_elements(rows.select("document_id", F.lit(1).alias("page"), json.alias("json"))).select("document_id", "page", "ord", "text")
 
 
-@query("SELECT * FROM (VALUES (1, 1, 2, 9, 8, 0.1234)) t(id, x1, y1, x2, y2, confidence)")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: trunc(x::DOUBLE * 1000)) AS v FROM embeddings)
+SELECT vec_id, list_min([v[1], v[3], v[5], v[7]])::INT AS x1, list_min([v[2], v[4], v[6], v[8]])::INT AS y1, list_max([v[1], v[3], v[5], v[7]])::INT AS x2, list_max([v[2], v[4], v[6], v[8]])::INT AS y2 FROM e""")
 def quad_boxes(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [[1.0, 3.0], [9.0, 2.0], [8.0, 8.0], [2.0, 7.0]], 0.12344)], "id int, quad array<array<double>>, confidence double")
-    return rows.withColumn("b", elements.quad_bbox(F.col("quad"))).select("id", "b.*", F.bround("confidence", 4).alias("confidence"))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 1000
+    quad = F.array(*[F.array(at(i), at(i + 1)) for i in (0, 2, 4, 6)])
+    return T.table(spark, sf_dir, "embeddings").withColumn("b", elements.quad_bbox(quad)).select("vec_id", "b.*")
 
 
-@query("SELECT * FROM (VALUES ('d1', 'Head' || chr(10) || 'one' || chr(10) || '<table></table>')) t(document_id, text)")
+@query(f"WITH {SQL_LINES} SELECT doc_id AS document_id, sha256(string_agg(trim(text), chr(10) ORDER BY ord)) AS h FROM elements WHERE doc_id % 7 <> 0 AND regexp_matches(text, '\\S') GROUP BY 1")
 def ocr_plain_text(spark, sf_dir):
-    return elements.ocr_text(elements.ocr_elements(spark.createDataFrame(_OCR, "document_id string, page int, json string")))
+    return elements.ocr_text(elements.ocr_elements(T.ocr_pages(spark, sf_dir))).select("document_id", F.sha2("text", 256).alias("h"))
 
 
-@query("SELECT * FROM (VALUES ('d', 1, 'digital'), ('d', 2, 'scanned'), ('e', 1, 'only text')) t(document_id, page, text)")
+@query(f"WITH {SQL_LINES} SELECT doc_id AS document_id, (ord + 1)::INT AS page, sha256(CASE WHEN ord % 3 = 1 OR NOT regexp_matches(text, '\\S') THEN 'scanned ' || ord ELSE text END) AS h FROM elements")
 def pdf_routing(spark, sf_dir):
-    text = spark.createDataFrame([("d", 1, "digital"), ("d", 2, " "), ("e", 1, "only text")], "document_id string, page int, text string")
-    ocr = spark.createDataFrame([("d", 1, "not used"), ("d", 2, "scanned"), ("e", 1, "not used")], "document_id string, page int, text string")
-    return elements.pdf_elements(text, ocr)
+    rows = T.elements(spark, sf_dir).select("document_id", (F.col("ord") + 1).alias("page"), F.when(F.col("ord") % 3 == 1, " ").otherwise(F.col("text")).alias("text"))
+    ocr = T.elements(spark, sf_dir).select("document_id", (F.col("ord") + 1).alias("page"), F.concat(F.lit("scanned "), F.col("ord").cast("string")).alias("text"))
+    return elements.pdf_elements(rows, ocr).select("document_id", "page", F.sha2("text", 256).alias("h"))
 
 
-@query("SELECT * FROM (VALUES (1, '[{}]'), (2, '[1]'), (3, 'plain words'), (4, '[page could not be read]')) t(id, text)")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '[{"id":' || doc_id || '}]' WHEN 1 THEN '[2]' WHEN 2 THEN 'plain ' || doc_id WHEN 3 THEN '[page could not be read]' WHEN 4 THEN '[4]' ELSE 'plain ' || doc_id END AS text FROM documents""")
 def ocr_cascade(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "[{}]", None, None), (2, "oops", "[1]", "x"), (3, "", "```", "plain words"), (4, None, None, " ")], "id int, a string, b string, c string")
-    return rows.select("id", elements.ocr_cascade(F.col("a"), F.col("b"), F.col("c"), X.usable_output).alias("text"))
+    """The fifth kind repeats itself at first, the sixth in both attempts."""
+    d = F.col("doc_id")
+    loop = F.lit("[" + ",".join('{"category":"Text","text":"%s"}' % c for c in "aaaabc") + "]")
+    a = F.when(d % 6 == 0, F.concat(F.lit('[{"id":'), d.cast("string"), F.lit("}]"))).when(d % 6 == 1, "oops").when(d % 6 >= 4, loop)
+    b = F.when(d % 6 == 1, "[2]").when(d % 6 == 2, "```").when(d % 6 == 4, "[4]").when(d % 6 == 5, loop)
+    c = F.when(d % 6 == 3, " ").otherwise(F.concat(F.lit("plain "), d.cast("string")))
+    return T.table(spark, sf_dir, "documents").select("doc_id", elements.ocr_cascade(a, b, c, X.usable_output).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Picture', NULL), (2, 'Table', '<table><tr><td></td><td>ok</td></tr></table>'), (4, 'Text', 'long enough'), (6, 'Text', '[unreadable]')) t(ord, category, text)")
+@query("""WITH e AS (SELECT doc_id AS ord, CASE WHEN doc_id % 6 = 0 THEN 'Picture' WHEN doc_id % 6 <= 2 THEN 'Table' ELSE 'Text' END AS category,
+ CASE doc_id % 6 WHEN 1 THEN '<table><tr><td></td><td>' || source || '</td></tr></table>' WHEN 3 THEN '[unreadable]' WHEN 4 THEN source END AS text FROM documents)
+SELECT * FROM e WHERE category = 'Picture' OR length(text) >= 5""")
 def clean_elements(spark, sf_dir):
-    rows = [(1, "Picture", None), (2, "Table", "<table><tr><td>漢字漢字</td><td>ok</td></tr></table>"), (3, "Table", "<table><tr><td>漢字</td></tr></table>"), (4, "Text", "long enough"), (5, "Text", "abc"), (6, "Text", "noise noise junk noise"), (7, "Text", "漢字かな漢字")]
-    return elements.clean_elements(spark.createDataFrame(rows, "ord int, category string, text string"), ["noise", "junk"])
+    """Pictures; tables with a foreign cell and with foreign cells alone; listed words; the source's name, which may be too short; foreign text."""
+    d = F.col("doc_id")
+    text = (
+        F.when(d % 6 == 1, F.concat(F.lit("<table><tr><td>漢字漢字</td><td>"), "source", F.lit("</td></tr></table>"))).when(d % 6 == 2, "<table><tr><td>漢字</td></tr></table>")
+        .when(d % 6 == 3, F.concat(F.lit("noise noise junk noise "), "source")).when(d % 6 == 4, F.col("source")).when(d % 6 == 5, "漢字かな漢字")
+    )
+    rows = T.table(spark, sf_dir, "documents").select(d.alias("ord"), F.when(d % 6 == 0, "Picture").when(d % 6 <= 2, "Table").otherwise("Text").alias("category"), text.alias("text"))
+    return elements.clean_elements(rows, ["noise", "junk"])
 
 
 @query(f"""WITH {SQL_LINES}, t AS (SELECT doc_id, trim(text) AS t, count(*) AS c FROM elements WHERE trim(text) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, t) AS r FROM t)
@@ -429,14 +471,14 @@ def normalise_ws(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalise_ws(F.col("text")), 256).alias("h"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '\\s+', '_', 'g'), '[^\\p{L}\\p{N}_]', '', 'g'), '_') AS slug FROM documents")
+@query("SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(trim(text)), '\\s+', '_', 'g'), '[^\\p{L}\\p{N}_]', '', 'g'), '_')) AS slug FROM documents")
 def slugify(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.slug(F.col("text")), 256).alias("slug"))
 
 
-@query("SELECT doc_id, regexp_replace(strip_accents(replace(replace(substr(text, 1, 80), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9_]', '', 'g') AS k FROM documents")
+@query("SELECT doc_id, sha256(regexp_replace(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9_]', '', 'g')) AS k FROM documents")
 def ascii_keys(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.ascii_key(F.substring("text", 1, 80)).alias("k"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.ascii_key(F.col("text")), 256).alias("k"))
 
 
 @query("""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w, length(regexp_replace(text, '\\s+', '', 'g')) AS n FROM documents)
@@ -453,27 +495,25 @@ def foreign_script_ratio(spark, sf_dir):
 _WORDS = ["the", "of", "and", "de", "la"]
 
 
-@query("""WITH w AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents), k AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS l FROM w)
+@query("""WITH w AS (SELECT doc_id, text AS t FROM documents), k AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS l FROM w)
 SELECT doc_id, round(CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda x: x IN ('the', 'of', 'and', 'de', 'la'))) / len(l) END, 6) AS ratio,
  sha256(array_to_string(list_filter(string_split(t, ' '), lambda x: lower(x) NOT IN ('the', 'of', 'and', 'de', 'la') OR length(x) <= 2), ' ')) AS h FROM k""")
 def word_lists(spark, sf_dir):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     return T.table(spark, sf_dir, "documents").select("doc_id", F.round(X.word_list_ratio(t, _WORDS), 6).alias("ratio"), F.sha2(X.drop_listed_words(t, _WORDS), 256).alias("h"))
 
 
-@query("SELECT page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g'))::INT AS n, sha256(replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages")
+@query("SELECT page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g'))::INT AS n, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages")
 def html_text(spark, sf_dir):
-    return T.table(spark, sf_dir, "pages").select("page_id", F.char_length(X.strip_tags(F.col("html"))).alias("n"), F.sha2(X.html_escape(F.substring("html", 1, 300)), 256).alias("escaped"))
+    return T.table(spark, sf_dir, "pages").select("page_id", F.char_length(X.strip_tags(F.col("html"))).alias("n"), F.sha2(X.html_escape(F.col("html")), 256).alias("escaped"))
 
 
-@query("""WITH p AS (SELECT a.doc_id, a.text AS r, b.text AS h FROM (SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) AS text FROM documents WHERE lang = 'en' AND doc_id < 100) a
- JOIN (SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) AS text FROM documents WHERE lang = 'en') b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, levenshtein(trim(r), trim(h))::INT AS char_edits, round_even(levenshtein(trim(r), trim(h)) / length(trim(r)), 4) AS cer FROM p WHERE NOT regexp_matches(r || h, '[^\\x00-\\x7F]')""")
+@query()
 def cer(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring(X.normalise_ws(F.col("text")), 1, 300).alias("t"))
-    pairs = d.where("doc_id < 100").select("doc_id", F.col("t").alias("reference")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("hypothesis")), "doc_id")
-    pairs = pairs.where(~F.concat("reference", "hypothesis").rlike(r"[^\x00-\x7F]"))
-    return evaluation.ocr_metrics(pairs).select("doc_id", "char_edits", "cer")
+    """Whole texts of all neighbours in id; the tests compute it anew."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    pairs = d.select("doc_id", F.col("t").alias("reference")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("hypothesis")), "doc_id")
+    return evaluation.ocr_metrics(pairs).select("doc_id", "char_edits", "ref_chars", "cer")
 
 
 @query()
@@ -483,15 +523,26 @@ def wer(spark, sf_dir):
     return evaluation.ocr_metrics(pairs).select("doc_id", "word_edits", "ref_words", "wer")
 
 
-@query("SELECT * FROM (VALUES (0, '0 B', '—'), (1536, '1.5 KB', '01/01/1970 00:00'), (3145728, '3.0 MB', '01/01/1970 00:52')) t(n, size, shown)")
+@query("""WITH r AS (SELECT event_id, (event_id * 2 + 1) * 7919 * CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 7919 END % 5000000000 AS n FROM events)
+SELECT event_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS size,
+ CASE WHEN n = 0 THEN '—' ELSE strftime(epoch_ms(n), '%d/%m/%Y %H:%M') END AS shown FROM r""")
 def formats(spark, sf_dir):
-    rows = spark.createDataFrame([(0,), (1536,), (3145728,)], "n long")
-    return rows.select("n", X.byte_size(F.col("n")).alias("size"), X.millis_text(F.col("n")).alias("shown"))
+    e = F.col("event_id")
+    n = (e * 2 + 1) * 7919 * F.when(e % 3 == 0, 0).when(e % 3 == 1, 1).otherwise(7919) % 5_000_000_000
+    return T.table(spark, sf_dir, "events").select("event_id", n.alias("n")).select("event_id", "n", X.byte_size(F.col("n")).alias("size"), X.millis_text(F.col("n")).alias("shown"))
+
 
+SQL_CATEGORY = f"{list(CATEGORIES)}[(event_id % {len(CATEGORIES)} + 1)::INT]"
 
-@query("SELECT * FROM (VALUES ('section-header', 'SectionHeader'), ('PAGE_FOOTER', 'PageFooter'), ('odd', 'Unknown')) t(raw, category)")
+
+@query(f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'Unknown' ELSE {SQL_CATEGORY} END AS category FROM events")
 def categories(spark, sf_dir):
-    return spark.createDataFrame([("section-header",), ("PAGE_FOOTER",), ("odd",)], "raw string").select("raw", X.category_code(F.col("raw")).alias("category"))
+    """Codes in kebab, snake and blank style, in their own, and unknown ones."""
+    e = F.col("event_id")
+    own = F.element_at(F.array(*map(F.lit, CATEGORIES)), (e % len(CATEGORIES) + 1).cast("int"))
+    kebab = F.lower(F.regexp_replace(own, "([a-z])([A-Z])", "$1-$2"))
+    raw = F.when(e % 5 == 0, kebab).when(e % 5 == 1, F.upper(F.replace(kebab, F.lit("-"), F.lit("_")))).when(e % 5 == 2, F.replace(kebab, F.lit("-"), F.lit(" "))).when(e % 5 == 3, own).otherwise(F.concat(F.lit("odd"), e.cast("string")))
+    return T.table(spark, sf_dir, "events").select("event_id", X.category_code(raw).alias("category"))
 
 
 @query("SELECT event_id, CASE WHEN props IS NULL THEN 0 ELSE coalesce(json_extract_string(props, '$.k')::BIGINT, 0) END AS k, coalesce(json_extract_string(props, '$.k')::BIGINT, 0) <> 0 AS flag FROM events")
@@ -499,25 +550,81 @@ def json_getters(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", X.json_long(F.col("props"), "$.k").alias("k"), X.json_flag(F.col("props"), "$.k").alias("flag"))
 
 
-@query("SELECT * FROM (VALUES (1, 'image/png', 4), (2, 'image/jpeg', 4), (3, 'application/octet-stream', 1)) t(id, type, n)")
+@query("SELECT event_id, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'application/pdf', 'application/octet-stream'][(event_id % 6 + 1)::INT] AS type, (4 + event_id % 50)::INT AS n FROM events")
 def image_types(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "data:image/png;base64,iVBORw=="), (2, "/9j/4A=="), (3, "QQ==")], "id int, uri string")
-    raw = X.decode_data_uri(F.col("uri"))
-    return rows.select("id", X.image_type(raw).alias("type"), F.octet_length(raw).alias("n"))
+    e, heads = F.col("event_id"), ("89504E47", "FFD8FFE0", "47494638", "52494646", "25504446", "00010203")
+    raw = F.base64(F.unhex(F.concat(F.element_at(F.array(*map(F.lit, heads)), (e % 6 + 1).cast("int")), F.repeat(F.lit("41"), (e % 50).cast("int")))))
+    got = X.decode_data_uri(F.when(e % 2 == 0, F.concat(F.lit("data:image/png;base64,"), raw)).otherwise(raw))
+    return T.table(spark, sf_dir, "events").select("event_id", X.image_type(got).alias("type"), F.octet_length(got).alias("n"))
+
 
+_ENDS = (".DOCX", ".md", ".xls", "", ".svg", ".PDF", ".txt", ".xlsx", ".Jpg", "")
 
-@query("SELECT * FROM (VALUES ('a.DOCX', 'docx'), ('b.md', 'text'), ('c.xls', NULL), ('d', 'pdf'), ('e.svg', 'svg')) t(path, kind)")
+
+@query("SELECT doc_id, ['docx', 'text', NULL, 'pdf', 'svg', 'pdf', 'text', 'xlsx', 'image', NULL][(doc_id % 10 + 1)::INT] AS kind FROM documents")
 def file_dispatch(spark, sf_dir):
     from docloom.sources.files import kind_of
 
-    rows = spark.createDataFrame([("a.DOCX", None), ("b.md", None), ("c.xls", ""), ("d", "application/pdf"), ("e.svg", None)], "path string, mime string")
-    return rows.select("path", kind_of(F.col("path"), F.col("mime")).alias("kind"))
+    d = F.col("doc_id")
+    path = F.concat(F.lit("folder.d/"), F.col("source"), F.element_at(F.array(*map(F.lit, _ENDS)), (d % 10 + 1).cast("int")))
+    return T.table(spark, sf_dir, "documents").select("doc_id", kind_of(path, F.when(d % 10 == 3, "application/pdf")).alias("kind"))
+
 
+SQL_CLEAN = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')"
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true)) t(id, usable)")
+
+@query(f"""WITH f AS (SELECT doc_id, source, {SQL_CLEAN} AS t, string_split({SQL_CLEAN}, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, string_agg('| ' || n || ' | ' || line || ' |', chr(10) ORDER BY n) AS x FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM f) GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS document_id, ['text', 'text', 'docx', 'xlsx', 'svg', NULL, 'docx'][(doc_id % 7 + 1)::INT] AS kind, [NULL, NULL, NULL, NULL, NULL, 'unsupported', 'unreadable'][(doc_id % 7 + 1)::INT] AS error,
+ sha256(CASE doc_id % 7 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t || chr(10) || '<table><tr><td>a&lt;b &amp; c</td><td>' || source || '</td></tr></table>' WHEN 3 THEN '## ' || source || chr(10) || x WHEN 4 THEN 'svg of ' || source END) AS h FROM f JOIN x USING (doc_id)""")
+def parse_files(spark, sf_dir):
+    from docloom.sources.files import parse
+
+    return parse(T.file_rows(spark, sf_dir)).select("document_id", "kind", "error", F.sha2("text", 256).alias("h"))
+
+
+SQL_PAGES = """pdfs AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', '', 'g'), '.{1,1000}') AS p FROM documents),
+pages_ AS (SELECT doc_id AS document_id, generate_subscripts(p, 1)::INT AS page, trim(unnest(p)) AS text FROM pdfs),
+usable AS (SELECT *, len(w) >= 10 AND CASE WHEN n = 0 THEN 1 ELSE len(regexp_extract_all(text, '[?]')) / n END <= 0.05 AND CASE WHEN len(w) = 0 THEN 0 ELSE n / len(w) END <= 15 AS usable
+  FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, length(replace(text, ' ', '')) AS n FROM pages_))"""
+
+
+@query(f"WITH {SQL_PAGES} SELECT document_id, page, sha256(text) AS h, usable FROM usable")
+def pdf_pages(spark, sf_dir):
+    from docloom.sources.files import pdf_text_rows
+
+    return pdf_text_rows(T.pdf_rows(spark, sf_dir)).select("document_id", "page", F.sha2("text", 256).alias("h"), "usable")
+
+
+@query(f"WITH {SQL_PAGES} SELECT document_id, sha256(string_agg('[PAGE ' || page || ']' || chr(10) || CASE WHEN usable THEN text WHEN page % 2 = 1 THEN 'read ' || page ELSE text END, chr(10) || chr(10) ORDER BY page)) AS h FROM usable GROUP BY 1")
+def smart_text(spark, sf_dir):
+    from docloom.sources.files import pdf_text_rows
+    from docloom.sources.files import smart_text as smart
+
+    pages = pdf_text_rows(T.pdf_rows(spark, sf_dir))
+    ocr = pages.where("page % 2 = 1").select("document_id", "page", F.concat(F.lit("read "), F.col("page").cast("string")).alias("ocr_text"))
+    return smart(pages, ocr).select("document_id", F.sha2("text", 256).alias("h"))
+
+
+@query("SELECT item_id::INT AS id, text AS question, 'truth ' || item_id AS ground_truth FROM benchmark")
+def json_questions(spark, sf_dir):
+    """A JSON array, read from the second of two paths; the first isn't there."""
+    import uuid
+
+    from docloom.sources.files import read_questions
+
+    at = f"{T.shared(spark)}/docloom-questions-{uuid.uuid4().hex}"
+    item = F.struct(F.col("item_id").cast("int").alias("id"), F.col("text").alias("question"), F.concat(F.lit("truth "), F.col("item_id").cast("string")).alias("ground_truth"))
+    rows = T.table(spark, sf_dir, "benchmark").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("value"))  # one file, as the service reads
+    rows.coalesce(1).write.text(at)
+    return read_questions(spark, f"{at}/missing.json", at)
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 1) AS usable FROM documents")
 def usable_output(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '```json\n[{"a":1}]\n```'), (2, "<svg><text>x</text></svg>"), (3, "  "), (4, "[1,"), (5, '{"a":2}')], "id int, t string")
-    return rows.select("id", X.usable_output(F.col("t")).alias("usable"))
+    d = F.col("doc_id")
+    t = F.when(d % 5 == 0, F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct("doc_id", "text"))), F.lit("\n```"))).when(d % 5 == 1, F.concat(F.lit("<svg><text>"), X.html_escape(F.col("text")), F.lit("</text></svg>"))).when(d % 5 == 2, "  ").when(d % 5 == 3, F.concat(F.lit("["), d.cast("string"), F.lit(",")))
+    return T.table(spark, sf_dir, "documents").select("doc_id", X.usable_output(F.coalesce(t, F.col("text"))).alias("usable"))
 
 
 # Conversations -----------------------------------------------------------------------------------------------------------------------
@@ -546,10 +653,10 @@ def message_ids(spark, sf_dir):
     return conversations.with_message_ids(rows).select("session_id", "turn", "message_id", "positional_id")
 
 
-@query("SELECT conv_id AS id, 'u' || (conv_id % 5) AS username FROM conversations WHERE conv_id % 5 = 2 GROUP BY conv_id ORDER BY conv_id DESC LIMIT 10")
+@query("SELECT conv_id AS id, 'u' || (conv_id % 5) AS username FROM conversations WHERE conv_id % 5 = 2 GROUP BY conv_id")
 def session_list(spark, sf_dir):
     s = T.messages(spark, sf_dir).groupBy("session_id").agg(F.max("turn").alias("t")).select(F.col("session_id").alias("id"), F.concat(F.lit("u"), (F.col("session_id") % 5).cast("string")).alias("username"), F.col("session_id").alias("created_at"))
-    return conversations.sessions_of(s, "u2").select("id", "username").limit(10)
+    return conversations.sessions_of(s, "u2").select("id", "username")
 
 
 @query("SELECT conv_id AS session_id, turn, CASE WHEN conv_id = 3 THEN 'again' ELSE text END AS content FROM conversations WHERE conv_id <> 3 OR turn = 0")
@@ -581,33 +688,43 @@ def message_ratings(spark, sf_dir):
     return conversations.with_ratings(conversations.with_message_ids(T.messages(spark, sf_dir)), own, F.lit("u1")).select("session_id", "turn", "rated")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 1, 'b'), (1, 2, 0, 'a'), (2, 0, 0, 'x')) t(id, pos, idx, chunk)")
+@query("""SELECT doc_id AS id, unnest([0, 2]) AS pos, unnest([doc_id % 3, doc_id % 2])::INT AS idx, unnest(['c' || doc_id % 3 || source, 'c' || doc_id % 2 || source]) AS chunk FROM documents""")
 def citations(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "See [ID:1], [ID: 7] and ##0$$.", ["a", "b"]), (2, "Only [ID:0]", ["x"]), (3, "none", ["y"])], "id int, content string, chunks array<string>")
-    return conversations.citations(rows, "id", "content")
+    """Three marks a message, of which the second names no chunk."""
+    d = F.col("doc_id")
+    said = F.concat(F.lit("See [ID:"), (d % 3).cast("string"), F.lit("], [ID: 7] and ##"), (d % 2).cast("string"), F.lit("$$."))
+    rows = T.table(spark, sf_dir, "documents").select(d.alias("id"), said.alias("content"), F.array(*[F.concat(F.lit(f"c{i}"), "source") for i in range(3)]).alias("chunks"))
+    return conversations.citations(rows, "id", "content").select("id", "pos", "idx", "chunk")
 
 
-@query("SELECT * FROM (VALUES (1, 'c1', 'text', 'd1', 0.5), (2, 'c2', 'more', 'd2', 0.0)) t(id, chunk_id, content, document_id, similarity)")
+@query("""SELECT doc_id AS id, 'c' || doc_id AS chunk_id, text AS content, source AS document_id, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS similarity FROM documents""")
 def completion_chunks(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '{"code":0,"data":{"answer":"a","reference":{"chunks":[{"chunk_id":"c1","content":"text","document_id":"d1","similarity":0.5}]}}}'), (2, '{"data":{"reference":[{"id":"c2","content_with_weight":"more","doc_id":"d2"}]}}')], "id int, json string")
+    """Both forms that answers come in."""
+    d = F.col("doc_id")
+    c = F.concat(F.lit("c"), d.cast("string"))
+    one = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.lit("a").alias("answer"), F.struct(F.array(F.struct(c.alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("document_id"), F.lit(0.5).alias("similarity"))).alias("chunks")).alias("reference")).alias("data")))
+    two = F.to_json(F.struct(F.struct(F.array(F.struct(c.alias("id"), F.col("text").alias("content_with_weight"), F.col("source").alias("doc_id"))).alias("reference")).alias("data")))
+    rows = T.table(spark, sf_dir, "documents").select(d.alias("id"), F.when(d % 2 == 0, one).otherwise(two).alias("json"))
     return rows.select("id", F.inline(conversations.completion_chunks(F.col("json")))).select("id", "chunk_id", "content", "document_id", "similarity")
 
 
-@query("""SELECT * FROM (VALUES (1, '{"code":0,"data":{"answer":"yes","reference":{"chunks":["a"]}}}')) t(id, json)""")
+@query("""SELECT doc_id AS id, '{"code":0,"data":{"answer":"' || source || '","reference":{"chunks":["' || lang || '"]}}}' AS json FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
 def completion_json(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "yes", ["a"])], "id int, answer string, chunks array<string>")
-    return rows.select("id", conversations.completion_json(F.col("answer"), F.col("chunks")).alias("json"))
+    rows = T.table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return rows.select(F.col("doc_id").alias("id"), conversations.completion_json(F.col("source"), F.array("lang")).alias("json"))
 
 
-@query("SELECT * FROM (VALUES (1, 'html', 0), (2, 'pipes', 2), (3, 'plain', 0)) t(id, kind, n)")
+@query("SELECT doc_id, ['html', 'pipes', 'plain'][(doc_id % 3 + 1)::INT] AS kind, CASE WHEN doc_id % 3 = 1 THEN (2 + doc_id % 5)::INT ELSE 0 END AS n FROM documents")
 def chunk_rendering(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "x <TABLE><tr/></TABLE>"), (2, "| a | b |\n|---|---|\n| c | d |"), (3, "words")], "id int, content string")
-    return rows.select("id", conversations.render_kind(F.col("content")).alias("kind"), F.size(conversations.pipe_rows(F.col("content"))).alias("n"))
+    d = F.col("doc_id")
+    pipes = F.concat(F.lit("| a | b |\n|---|---|"), F.repeat(F.lit("\n| c | d |"), (1 + d % 5).cast("int")))
+    c = F.when(d % 3 == 0, F.concat(F.lit("x <TABLE><tr/></TABLE>"), "source")).when(d % 3 == 1, pipes).otherwise(F.concat(F.lit("words of "), "source"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", conversations.render_kind(c).alias("kind"), F.size(conversations.pipe_rows(c)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '…' ELSE text END AS snippet FROM documents WHERE doc_id < 20")
+@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '…' ELSE text END AS snippet FROM documents")
 def snippets(spark, sf_dir):
-    return T.table(spark, sf_dir, "documents").where("doc_id < 20").select("doc_id", conversations.snippet(F.col("text")).alias("snippet"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", conversations.snippet(F.col("text")).alias("snippet"))
 
 
 # Evaluation ---------------------------------------------------------------------------------------------------------------------------
@@ -641,21 +758,27 @@ def csv_export(spark, sf_dir):
     return evaluation.csv_lines(rows)
 
 
-@query("SELECT '| weight | f1 |' || chr(10) || '|---|---|' || chr(10) || '| 0.0 | 0.5 |' || chr(10) || '| 0.3 | 0.75 |' AS markdown")
+@query("SELECT '| quality | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || quality || ' | ' || n || ' |', chr(10) ORDER BY quality) AS markdown FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)")
 def markdown_report(spark, sf_dir):
-    return evaluation.markdown_table(spark.createDataFrame([(0.3, 0.75), (0.0, 0.5)], "weight double, f1 double"), ["weight"])
+    return evaluation.markdown_table(T.table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n")), ["quality"])
 
 
-@query("SELECT * FROM (VALUES (1, 0.8, 'ok', false), (2, 1.0, '', false), (3, 0.0, 'x', false), (4, -1.0, NULL, true)) t(id, score, reason, is_error)")
+@query("""SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN quality::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS score, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 1 THEN '' ELSE 'r' || doc_id END AS reason, doc_id % 5 = 3 AS is_error FROM labels""")
 def score_json(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '```json\n{"score": 0.8, "reason": "ok"}\n```'), (2, 'Sure: {"score": 7}'), (3, '{"reason":"x"}'), (4, "no json")], "id int, raw string")
-    return rows.select("id", F.inline(F.array(evaluation.parse_judge(F.col("raw")))))
+    d = F.col("doc_id")
+    reason = F.concat(F.lit('"reason": "r'), d.cast("string"), F.lit('"}'))
+    raw = (
+        F.when(d % 5 == 0, F.concat(F.lit('```json\n{"score": '), F.col("quality").cast("string"), F.lit(", "), reason, F.lit("\n```"))).when(d % 5 == 1, 'Sure: {"score": 7}').when(d % 5 == 2, F.concat(F.lit("{"), reason))
+        .when(d % 5 == 3, "no json").otherwise(F.concat(F.lit('{"score": -3, '), reason))
+    )
+    return T.table(spark, sf_dir, "labels").select(d.alias("id"), F.inline(F.array(evaluation.parse_judge(raw))))
 
 
-@query("SELECT * FROM (VALUES (0.04, 'good', 'low'), (0.1, 'fair', 'low'), (0.3, 'poor', 'mid'), (0.6, 'poor', 'high')) t(v, error, overlap)")
+@query("""WITH r AS (SELECT event_id, event_id % 101 / 100 AS v FROM events)
+SELECT event_id, CASE WHEN v < 0.05 THEN 'good' WHEN v < 0.15 THEN 'fair' ELSE 'poor' END AS error, CASE WHEN v >= 0.5 THEN 'high' WHEN v >= 0.25 THEN 'mid' ELSE 'low' END AS overlap FROM r""")
 def rate_classes(spark, sf_dir):
-    rows = spark.createDataFrame([(0.04,), (0.1,), (0.3,), (0.6,)], "v double")
-    return rows.select("v", X.error_class(F.col("v")).alias("error"), X.overlap_class(F.col("v")).alias("overlap"))
+    v = F.col("event_id") % 101 / 100
+    return T.table(spark, sf_dir, "events").select("event_id", X.error_class(v).alias("error"), X.overlap_class(v).alias("overlap"))
 
 
 # Jobs and forms ------------------------------------------------------------------------------------------------------------------------
@@ -705,21 +828,23 @@ def form_cache(spark, sf_dir):
     return forms.cache_put(cache, new).select("file_hash")
 
 
-@query("SELECT * FROM (VALUES (1, 'a.pdf'), (2, 'id2')) t(id, name)")
+@query("SELECT doc_id, unnest([1, 2]) AS pos, unnest([source || '.txt', 'id' || doc_id]) AS name FROM documents")
 def file_names(spark, sf_dir):
-    rows = spark.createDataFrame([(["1", "id2"], ["a.pdf", None])], "ids array<string>, names array<string>")
-    pairs = rows.select(F.posexplode(F.arrays_zip("ids", "names")).alias("p", "x"))
-    return pairs.select((F.col("p") + 1).alias("id"), F.coalesce("x.names", "x.ids").alias("name"))
+    from docloom.operators.store import named
+
+    d = F.col("doc_id")
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("x"), F.concat(F.lit("id"), d.cast("string"))).alias("ids"), F.array(F.concat("source", F.lit(".txt"))).alias("names"))
+    return rows.select("doc_id", F.posexplode(named(F.col("ids"), F.col("names"))).alias("p", "name")).select("doc_id", (F.col("p") + 1).alias("pos"), "name")
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_LAYOUT} SELECT document_id, chunk_no, sha256(content) AS h, lang AS dataset_id, 'DEV' AS department FROM layout JOIN documents ON doc_id::VARCHAR = document_id")
 def stream_ingest(spark, sf_dir):
     """Documents as jobs, written as files, ingested by a stream that works off the folder, read back."""
     import uuid
 
     from docloom.streaming import ingest
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _temporary()).rstrip("/") + f"/docloom-stream-{uuid.uuid4().hex}"
+    base = f"{T.shared(spark)}/docloom-stream-{uuid.uuid4().hex}"
     d = T.table(spark, sf_dir, "documents")
     job = d.select(
         F.concat(F.lit("job"), F.col("doc_id").cast("string")).alias("job_id"), F.col("lang").alias("dataset_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.concat("source", F.lit(".txt")).alias("file_name"),
@@ -727,7 +852,7 @@ def stream_ingest(spark, sf_dir):
     )
     job.write.parquet(f"{base}/jobs")
     ingest.ingest(ingest.job_stream(spark, f"{base}/jobs"), f"{base}/chunks", f"{base}/states", f"{base}/checkpoint").awaitTermination()
-    return ingest.current_chunks(spark, f"{base}/chunks").select("document_id", "chunk_no", "content", "dataset_id", "department")
+    return ingest.current_chunks(spark, f"{base}/chunks", f"{base}/states").select("document_id", "chunk_no", F.sha2("content", 256).alias("h"), "dataset_id", "department")
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -736,9 +861,3 @@ def event_windows(spark, sf_dir):
 
     got = windowed_counts(T.table(spark, sf_dir, "events"))
     return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
-def _temporary() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="docloom-")

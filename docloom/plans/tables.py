@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import html
+import io
+import re
+import tempfile
+import zipfile
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import chunk_id
 from docloom.schemas import DEPARTMENTS, DOC_TYPES, SCOPES, STATUSES
@@ -46,10 +55,10 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """The first ``n`` benchmark passages as questions of one viewer, each with a fixed vector."""
-    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    vectors = table(spark, sf_dir, "embeddings").where((F.col("vec_id") % 7 == 0) & (F.col("vec_id") < 7 * n)).select((F.col("vec_id") / 7).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages as questions of one viewer, each with a fixed vector."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 7 == 0).select((F.col("vec_id") / 7).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
     return items.join(vectors, "query_id").select("query_id", "question", "vector", F.lit("en").alias("dataset_id"), F.lit(False).alias("is_admin"), F.lit("DEV").alias("department"))
 
 
@@ -78,6 +87,98 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("job_id"), state.alias("state"), F.col("event_type").alias("message"), F.col("ts").alias("at"), "event_id")
 
 
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout JSON of each document: as it is, within a fence, or cut short after its last element; of every seventh no JSON at all."""
+    e = elements(spark, sf_dir)
+    item = F.struct("ord", F.struct(F.array("bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2").alias("bbox"), "category", "text").alias("e"))
+    rows = e.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    json = F.to_json(F.transform("x", lambda i: i["e"]))
+    d = F.col("document_id")
+    made = F.when(d % 7 == 0, "not json").when(d % 3 == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(d % 3 == 2, F.concat(F.regexp_replace(json, r"\]$", ""), F.lit(',{"bbox":[9,9'))).otherwise(json)
+    return rows.select("document_id", F.lit(1).alias("page"), made.alias("json"))
+
+
+CLEAN = r"[\x00-\x08\x0B-\x1F\x7F]"
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def docx_of(text: str, source: str) -> bytes:
+    """A paragraph for each line, then a table of one row."""
+    p = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{html.escape(t)}</w:t></w:r></w:p>'
+    table_ = f"<w:tbl><w:tr><w:tc>{p('a<b & c')}</w:tc><w:tc>{p(source)}</w:tc></w:tr></w:tbl>"
+    return _zipped({"word/document.xml": f'<w:document xmlns:w="{_W}"><w:body>{"".join(map(p, text.split(chr(10))))}{table_}</w:body></w:document>'})
+
+
+def xlsx_of(text: str, source: str) -> bytes:
+    """A sheet named by the source, a row for each line: its number and the line."""
+    cell = lambda t: f'<c t="inlineStr"><is><t xml:space="preserve">{html.escape(t)}</t></is></c>'
+    rows = "".join(f"<row>{cell(str(i))}{cell(t)}</row>" for i, t in enumerate(text.split("\n"), 1))
+    return _zipped({
+        "xl/workbook.xml": f'<workbook xmlns="{_S}" xmlns:r="{_R}"><sheets><sheet name="{source}" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/one.xml"/></Relationships>',
+        "xl/worksheets/one.xml": f'<worksheet xmlns="{_S}"><sheetData>{rows}</sheetData></worksheet>',
+    })
+
+
+def pdf_of(text: str, size: int = 1000) -> bytes:
+    """A page for each ``size`` characters of printable ASCII, deflated."""
+    out = [b"%PDF-1.4"]
+    for i in range(0, len(text), size):
+        shown = re.sub(r"([()\\])", r"\\\1", text[i : i + size]).encode()
+        data = zlib.compress(b"BT (" + shown + b") Tj ET")
+        n = 2 * (i // size) + 1
+        out.append(b"%d 0 obj <</Type /Page /Contents %d 0 R>> endobj\n%d 0 obj <</Filter /FlateDecode>>\nstream\n%s\nendstream\nendobj" % (n, n + 1, n + 1, data))
+    return b"\n".join(out)
+
+
+def _maker(f):
+    return F.pandas_udf(lambda text, source: pd.Series([f(t, s) for t, s in zip(text, source)]), T.BinaryType())
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document, of seven kinds in turn: text, Markdown, DOCX, XLSX, SVG, one that no parser knows, a broken DOCX."""
+    d = F.col("doc_id")
+    kinds = (".txt", ".md", ".docx", ".xlsx", ".svg", ".xls", ".docx")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), CLEAN, "").alias("text"))
+    kind = lambda i: F.when(d % 7 == i, F.col("text"))
+    plain = F.when(d % 7 <= 1, F.col("text")).when(d % 7 == 4, F.concat(F.lit("<svg><text>svg of "), "source", F.lit("</text></svg>"))).when(d % 7 >= 5, F.lit("no")).cast("binary")
+    docx, xlsx = _maker(lambda t, s: None if t is None else docx_of(t, s)), _maker(lambda t, s: None if t is None else xlsx_of(t, s))
+    content = F.coalesce(plain, docx(kind(2), "source"), xlsx(kind(3), "source"))
+    return rows.select(F.concat(F.lit("file:/cache/"), d.cast("string"), F.element_at(F.array(*map(F.lit, kinds)), (d % 7 + 1).cast("int"))).alias("path"), content.alias("content"))
+
+
+def pdf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF of each document's printable ASCII."""
+    ascii_ = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", "")
+    made = _maker(lambda t, s: pdf_of(t))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), made(ascii_, "source").alias("content"))
+
+
+_LOCAL: list[str] = []
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
+    return _LOCAL[0]
+
+
 #: The same tables in SQL.
 SQL_TAGS = """
   ['HR','DEV','TEST','BA','FINANCE'][(doc_id % 5 + 1)::INT] AS department,
@@ -88,13 +189,13 @@ SQL_CHUNKS = f"""chunks AS (SELECT substr(sha256(doc_id::VARCHAR || '0'),1,16) A
   text AS content, {SQL_TAGS}, 0 AS chunk_no, doc_id, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
 SQL_STORE = f"""store AS (SELECT substr(sha256(source || doc_id::VARCHAR),1,16) AS id, lang AS dataset_id, source AS document_id, 'Doc ' || source AS document_name, text AS content, {SQL_TAGS}, doc_id AS chunk_no FROM documents)"""
 SQL_QUESTIONS = """questions AS (SELECT item_id AS query_id, text AS question, embedding AS vector, 'en' AS dataset_id, false AS is_admin, 'DEV' AS department
-  FROM benchmark JOIN embeddings ON vec_id = item_id * 7 WHERE item_id < 5)"""
+  FROM benchmark JOIN embeddings ON vec_id = item_id * 7)"""
 SQL_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 SQL_MAY_SEE = "c.dataset_id = q.dataset_id AND (q.is_admin OR (c.status = 'in_force' AND (c.scope = 'company' OR c.department = q.department)))"
 SQL_HITS = f"""{SQL_CHUNKS}, {SQL_QUESTIONS},
 knn AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT q.query_id, c.id, round(list_sum(list_transform(list_zip(c.embedding, q.vector), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) /
-    (sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.vector, lambda x: x::DOUBLE * x::DOUBLE)))), 9) AS score
+  SELECT q.query_id, c.id, list_sum(list_transform(list_zip(c.embedding, q.vector), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) /
+    (sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.vector, lambda x: x::DOUBLE * x::DOUBLE)))) AS score
   FROM chunks c JOIN questions q ON {SQL_MAY_SEE} WHERE c.embedding IS NOT NULL)) WHERE rank <= 48),
 toks AS (SELECT id, dataset_id, department, scope, status, {SQL_TOKENS.format('content')} AS w FROM chunks),
 tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
