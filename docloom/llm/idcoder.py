@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keyed, shared_dir, stash, steps_of, table, tidied
+from docloom.llm.common import keyed, shared_dir, stash, steps_of, table
 from docloom.llm.wordtable import WordTable, stretches
 
-BLOCK, LANES = 1 << 22, 8192
+BLOCK, LANES = 1 << 22, 12288
 #: Code points aimed at in a file: the least, the most, and (between them) a share of all.
 FILE_CHARS, MOST_FILE_CHARS, FILES = 1 << 24, 1 << 28, 1 << 12
 MAGIC, HEAD, FIXED = b"TCM2", struct.Struct("<4sIII"), struct.Struct("<IQBIIIQ")
@@ -67,11 +67,11 @@ _CONTEXTS = 8 * 6 * 8
 
 
 def _rebuilds() -> frozenset[int]:
-    """Steps before which the tables of orders 0 and 1 are made anew: the first four, then each time the past has grown by three quarters."""
+    """Steps before which the tables of orders 0 and 1 are made anew: the first four, then each time the past has doubled."""
     out, at = {1, 2, 3}, 4.0
     while at < 1 << 32:
         out.add(int(at))
-        at *= 1.75
+        at *= 2
     return frozenset(out)
 
 
@@ -206,7 +206,7 @@ class Model:
 
 def _lanes(n: int, lanes: int) -> tuple[int, int, int, np.ndarray]:
     """Lanes, steps, lanes that take the last step, and ids of each lane: lane i has the next ``sizes[i]`` ids of the block."""
-    lanes = max(1, min(lanes, n // 16))
+    lanes = max(1, min(lanes, n // 256))  # steps enough to learn from
     steps = -(-n // lanes)
     full = n - lanes * (steps - 1)
     sizes = np.full(lanes, steps)
@@ -221,8 +221,9 @@ _LEAST, _OUT, _FINE, _WORD = _U(1 << 32), _U(32), _U(20), _U(0xFFFFFFFF)
 def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
     """The payload of a block: words of each lane (uint32), then the words (uint32)."""
     lanes, steps, full, sizes = _lanes(len(ids), lanes)
-    starts = np.cumsum(sizes) - sizes
-    ids = ids.astype(_I)
+    # A row for each step; lanes that don't take the last step have any id there.
+    places = np.minimum((np.cumsum(sizes) - sizes)[:, None] + np.arange(steps), len(ids) - 1) if full < lanes else None
+    rows = np.ascontiguousarray((ids[places] if full < lanes else ids.reshape(lanes, steps)).T.astype(_I))
     model = Model(vocab, lanes, False)
     low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     cap = steps + 4
@@ -231,7 +232,7 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
     first = at.copy()
     for k in range(steps):
         n = lanes if k < steps - 1 else full
-        now = ids[starts[:n] + k]
+        now = rows[k, :n]
         model.look(n)
         right = (now == model.guess) & (model.state > 0)
         order, pair = model.find(now, right)
@@ -305,7 +306,8 @@ def decode_block(payload: bytes, n_ids: int, vocab: int, lanes: int = LANES) ->
         wide[:n] = wi
         out[k, :n] = now
         model.learn(now, order)
-    return out.T[np.arange(steps)[None, :] < sizes[:, None]]
+    whole = np.ascontiguousarray(out.T)
+    return whole.reshape(-1) if full == lanes else whole[np.arange(steps)[None, :] < sizes[:, None]]
 
 
 def pack(part: int, first: int, goes_on: bool, docs: list[tuple[int | None, int]], ids: np.ndarray, vocab: int) -> bytes:
@@ -548,7 +550,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         yield from wrap(writer.flush())
 
     dealt = own.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_row")
-    dealt.select("doc_id", "text").mapInArrow(lambda it: tidied(run(it)), "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
+    dealt.select("doc_id", "text").mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
 def read_documents(spark, path: str) -> DataFrame:
     """``part, seq, doc_id, n_tokens, ids_crc32`` of each document in the files, from their ids."""
 
@@ -570,7 +572,7 @@ def read_documents(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "seq", "doc_id", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(lambda it: tidied(run(it)), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
