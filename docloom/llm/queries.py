@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup
+from docloom.llm import ann, fim, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_language_id": langid.query,
     "op10_fingerprints": fingerprints.query,
+    "op12_fill_in_middle": fim.query,
 }
 
 #: The search of op1 is approximate at every size; tests hold it against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op12_fill_in_middle": fim.SQL}
