@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, fim, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup
+from docloom.llm import ann, fim, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup, urls
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_language_id": langid.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_url_filter": urls.query,
     "op12_fill_in_middle": fim.query,
 }
 
