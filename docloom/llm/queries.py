@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, fim, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup, urls
+from docloom.llm import ann, fim, fingerprints, idcoder, langid, licenses, mixing, pieces, pii, quality, simhash_dedup, urls, variants
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.query,
     "op11_url_filter": urls.query,
     "op12_fill_in_middle": fim.query,
+    "op13_spelling_variants": variants.query,
 }
 
 #: The search of op1 is approximate at every size; tests hold it against brute force.
