@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +50,8 @@ DIGIT_WORDS = {
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _AT, _DOT = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto|period"
 _NAME = r"[A-Za-z0-9_%+-]+"
-# Blanks and brackets that stand together, and parts of an address, are counted up to a bound: so long runs are read once.
+# Blanks and brackets that stand together are counted up to a bound, wider gaps end a disguise: so long runs are read once. Parts of an
+# address are as many as one may have: 64 characters before the at sign, 253 after it.
 _GAP = r"[ \t]{0,3}[,;._/()-]{0,2}[ \t]{0,3}"
 #: Digits, most of them spelled, one after another; a dot word or a full stop between them stays as a full stop.
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus\b|\+)[ \t]{{0,3}})?(?:{_WORDS})(?:{_GAP}(?:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]+))+|(?:(?i:(?<!\w)(?:plus\b|\+)[ \t]{{0,3}})|(?<![0-9]))[0-9]++(?:{_GAP}(?i:(?:{_WORDS})(?!\w)|(?:{_DOT})(?!\w)|[0-9]++(?!\w)))+")
@@ -62,8 +64,8 @@ _RUN, _LETTER_FOR_DIGIT = re.compile("[0-9A-Za-z]+"), re.compile("[OolIBS]")
 BRACKETED_AT = re.compile(rf"(?i)[ \t]{{0,3}}(?:[\[({{<]{{1,3}}[ \t]{{0,3}}(?:{_AT}|@)[ \t]{{0,3}}[\])}}>]{{1,3}}|[_*|]{{1,3}}(?:{_AT})[_*|]{{1,3}}|-at-)[ \t]{{0,3}}|[ \t]{{1,3}}@[ \t]{{0,3}}|[ \t]{{0,3}}@[ \t]{{1,3}}")
 BRACKETED_DOT = re.compile(rf"(?i)[ \t]{{0,3}}(?:[\[({{<]{{1,3}}[ \t]{{0,3}}(?:{_DOT}|\.)[ \t]{{0,3}}[\])}}>]{{1,3}}|[_*|]{{1,3}}(?:{_DOT})[_*|]{{1,3}}|-dot-)[ \t]{{0,3}}")
 _ADDRESS = re.compile(
-    rf"(?i)(?<![\w.%+-])(?P<local>{_NAME}(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}){_NAME}){{0,8}})(?P<at>@|[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}})"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})[A-Za-z0-9-]+){{1,8}})(?![\w-])"
+    rf"(?i)(?<![\w.%+-])(?P<local>{_NAME}(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}){_NAME}){{0,31}})(?P<at>@|[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}})"
+    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}})[A-Za-z0-9-]+){{1,126}})(?![\w-])"
 )
 _DOT_WORD = re.compile(rf"(?i)[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}")
 #: What marks a word as the local part of an address.
@@ -211,6 +213,7 @@ def disguises(text: str) -> tuple[Rewritten | None, list[tuple[int, int]]]:
         marks = [(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(text)]
         taken = _disjoint(marks)
         step = Rewritten(text, taken)
+        taken_starts, taken_ends = [t[0] for t in taken], [t[1] for t in taken]
         for m in _ADDRESS.finditer(step.text):
             own = []
             if "@" not in m.group("at") and not _DOT_WORD.search(m.group("host")) and m.group("at").strip() != "AT" and not _NAMED.search(m.group("local")):
@@ -219,7 +222,7 @@ def disguises(text: str) -> tuple[Rewritten | None, list[tuple[int, int]]]:
                 s, e, _ = step.source(a, b)
                 own.append((s, e, "@" if (a, b) == m.span("at") else "."))
             s, e, changed = step.source(m.start(), m.end())
-            own += [t for t in taken if s <= t[0] and t[1] <= e]
+            own += taken[bisect_left(taken_starts, s) : bisect_right(taken_ends, e)]
             edits += [t for t in own if text[t[0] : t[1]] != t[2]]
         edits += [(m.start() + x.start(), m.start() + x.end(), ".") for m in _DOTTED_NUMBERS.finditer(text) for x in _NUMBER_DOT.finditer(m.group())]
         # Full stops in brackets between numbers: addresses such as 10[.]0[.]0[.]1.
@@ -256,7 +259,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     if first is None and second is None:
         return []
     found = base_spans(second.text if second else step)
-    found += [(s, e, "phone") for s, e in numbers if not any(a < e and s < b for a, b, _ in found)]
+    covered = Covered(found)
+    found += [(s, e, "phone") for s, e in numbers if not covered.meets(s, e)]
+    own = {k: [(s, e) for s, e, kind in base if kind == k] for k in KINDS}
+    starts, ends = {k: [s for s, _ in x] for k, x in own.items()}, {k: [e for _, e in x] for k, x in own.items()}
     out = []
     for s, e, kind in found:
         changed = False
@@ -265,11 +271,25 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if first:
             s, e, also = first.source(s, e)
             changed = changed or also
-        if changed and not any(k == kind and a < e and s < b and not (s <= a and b <= e and (s, e) != (a, b)) for a, b, k in base):
+        # Base spans of a kind are disjoint: of those that meet this one, all but the first and the last lie within it.
+        met = own[kind][bisect_right(ends[kind], s) : bisect_left(starts[kind], e)]
+        if changed and all(s <= a and b <= e and (s, e) != (a, b) for a, b in (*met[:1], *met[-1:])):
             out.append((s, e, kind))
     return out
 
 
+class Covered:
+    """Whether a stretch meets one of some spans: by the largest end of all spans that begin before its end."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]) -> None:
+        spans = sorted(spans)
+        self.starts, self.ends = [s for s, *_ in spans], list(accumulate((e for _, e, _ in spans), max))
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_left(self.starts, e)
+        return k > 0 and self.ends[k - 1] > s
+
+
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and added spans (start, end, kind) of a whole text, each by start, then kind; none for null and empty."""
     if not text:
