@@ -8,6 +8,8 @@ the words taken come near the target. DataFrame and window functions only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,15 @@ def offset(source: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.sha2(named, 256), 1, 5), 16, 10).cast("long") % ((1 << 20) - 1) + 1) / F.lit(float(1 << 20))
 
 
-def dealt_in_order(rows: DataFrame) -> DataFrame:
-    """``rows(source, size, doc_id, ...)`` by source, size and doc_id, written once with ``_part`` and their place ``_at``. The rows are
-    dealt by ranges of that order, so that a hot source lies in many."""
-    order = [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id").asc_nulls_first()]
+def dealt_in_order(rows: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """``rows(source, size, doc_id, ...)`` by source, size, doc_id and the columns ``ties``, written once with ``_part`` and their place
+    ``_at``. The rows are dealt by ranges of that order, so that a hot source lies in many; the last column of the order is a row key,
+    which parts rows that are alike in all else and could change places."""
+    order = [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id").asc_nulls_first(), *map(F.col, ties), F.col("_like")]
+    columns = rows.columns
+    rows = rows.withColumn("_like", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stash(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    return stash(dealt.select(*columns).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
 
 
 def ranked(dealt: DataFrame) -> DataFrame:
@@ -63,9 +68,9 @@ def ranked(dealt: DataFrame) -> DataFrame:
     return met.select(*dealt.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_rank"))
 
 
-def copied(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """``rows(source, size, doc_id, ...)`` with ``source_size``, ``target`` and ``copies``."""
-    dealt = dealt_in_order(rows)
+def copied(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, ties: Sequence[str] = ()) -> DataFrame:
+    """``rows(source, size, doc_id, ...)`` with ``source_size``, ``target`` and ``copies``. Rows that tie in these three are told apart by ``ties``."""
+    dealt = dealt_in_order(rows, ties)
     aims = targets(dealt.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumnRenamed("source", "_s")
     met = ranked(dealt).join(aims, F.col("source").eqNullSafe(F.col("_s")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -76,8 +81,9 @@ def copied(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for each row of ``docs(doc_id, text, source)``.
 
-    Sizes are words; null and empty texts have none. Repeated rows are rows of their own; null sources are one source, the
-    last. A source of size 0 has target 0 and takes nothing; an empty table gives no rows. Reruns on the same rows agree.
+    Sizes are words, of whole texts of any length; null and empty texts have none. Repeated rows are rows of their own; null sources are one
+    source, the last. A source of size 0 has target 0 and takes nothing; an empty table gives no rows; other columns are ignored. Rows of
+    one source, size and id tie, and it makes no difference which of them is taken. Reruns on the same rows agree.
     """
     sizes = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")  # texts are read once
     return copied(sizes, weights, cap, seed)
@@ -86,11 +92,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns as they were.
 
-    The mix is made of ids, sources and sizes alone; rows are found again by what they hold. Repeated rows share the copies that all
-    of them have.
+    The mix is made of ids, sources, sizes and hashes of the texts alone; rows are found again by what they hold, and ranked by it, so that
+    ties in source, size and id (such as null ids) don't follow the splits of files. Repeated rows share the copies that all of them have.
+    Null and empty texts have size 0: they cross no boundary but that of a neighbour's, and cost no words. An empty table gives no rows.
     """
     sizes = with_row(docs.select("doc_id", "source", "text"), "source").select("doc_id", "source", n_words(F.col("text")).alias("size"), *ROW)
-    copies = copied(stash(sizes, "sizes"), **how).groupBy(*ROW).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    copies = copied(stash(sizes, "sizes"), ties=ROW, **how).groupBy(*ROW).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     rows = with_row(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_all")), "source").join(copies, ROW)
     nth = F.row_number().over(Window.partitionBy(*ROW).orderBy("_t1"))
     own = rows.withColumn("_nth", nth).withColumn("_own", F.expr("int(_copies * _nth div _rows - _copies * (_nth - 1) div _rows)")).where("_own > 0")
