@@ -530,12 +530,14 @@ def tokens_of(path: str) -> Tokens:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
-    """Write ids of ``docs(doc_id, text)``, ascending doc_id (null first; rows of one id in the table's order), one file a range.
+    """Write ids of ``docs(doc_id, text)``, ascending doc_id (null first; rows of one id by a hash of their text), one file a range.
 
-    Null and empty texts have the end id alone. A file holds ``FILE_CHARS`` code points or, in a table of more than ``FILES`` such
+    Null and empty texts have the end id alone; an empty table gives no blocks; other columns are ignored; long texts are encoded whole. A file holds ``FILE_CHARS`` code points or, in a table of more than ``FILES`` such
     files, a like share of all, up to ``MOST_FILE_CHARS``; a writer holds a block, whatever the size of its file.
     """
-    own = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    # The row key parts rows alike in id and text, which may change places; ids with many texts are ordered by what these hold.
+    own = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).withColumn("_text", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "_text", "_row"]
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, chars // min(MOST_FILE_CHARS, max(FILE_CHARS, chars // FILES)))
 
@@ -549,8 +551,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
                     yield from wrap(writer.add(doc_id, np.append(ids, _I(end_id))))
         yield from wrap(writer.flush())
 
-    dealt = own.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "_row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_row")
+    dealt = own.repartitionByRange(files, *order).sortWithinPartitions(*order)
     dealt.select("doc_id", "text").mapInArrow(run, "block binary").select(F.col("block").cast("string")).write.option("lineSep", "\n").text(path)
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """``part, seq, doc_id, n_tokens, ids_crc32`` of each document in the files, from their ids."""
 
