@@ -53,6 +53,15 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(T.questions(spark, sf_dir), T.chunks(spark, sf_dir, False)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {SQL_HITS} SELECT query_id, id, round(score, 6) AS score, rank FROM knn")
+def knn_index_topk(spark, sf_dir):
+    """The exact neighbours from a kept index, made here of all chunks: cells that can't hold a better one aren't read."""
+    from docloom.operators.vector_index import VectorIndex
+
+    index = VectorIndex(spark, T.own_folder(spark, "vectors")).build(T.chunks(spark, sf_dir))
+    return index.search(T.questions(spark, sf_dir), exact=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {SQL_HITS} SELECT query_id, id, round(v, 5) AS vec FROM vn")
 def minmax_norm(spark, sf_dir):
     return retrieval.scaled(retrieval.knn(T.questions(spark, sf_dir), T.chunks(spark, sf_dir)), "vec").select("query_id", "id", F.round("vec", 5).alias("vec"))

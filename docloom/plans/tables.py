@@ -6,6 +6,7 @@ import html
 import io
 import re
 import tempfile
+import uuid
 import zipfile
 import zlib
 
@@ -179,6 +180,11 @@ def shared(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+
+
 #: The same tables in SQL.
 SQL_TAGS = """
   ['HR','DEV','TEST','BA','FINANCE'][(doc_id % 5 + 1)::INT] AS department,
