@@ -37,6 +37,14 @@ def chunk_bucket(buckets: int, span: int = 4096) -> Column:
     return bucket_of(buckets, F.col("document_id"), F.floor(F.coalesce("chunk_no", F.lit(0)) / span))
 
 
+def _nullable(schema: T.StructType) -> str:
+    """The schema as JSON, with nulls allowed everywhere: later rows may have them."""
+    out = schema.json()
+    for word in ("nullable", "containsNull", "valueContainsNull"):
+        out = out.replace(f'"{word}":false', f'"{word}":true')
+    return out
+
+
 @dataclass
 class Manifest:
     version: int
@@ -127,7 +135,7 @@ class VersionedTable:
 
     def create(self, df: DataFrame, keys: Sequence[str], parts: Sequence[str], bucket: str | None = None, **properties) -> int:
         """Version 1, or the next one, with these rows alone. No two rows may share their keys."""
-        m = Manifest(self.version() + 1, df.schema.json(), list(keys), list(parts), bucket, properties=properties)
+        m = Manifest(self.version() + 1, _nullable(df.schema), list(keys), list(parts), bucket, properties=properties)
         top = f"v={m.version}-{uuid.uuid4().hex[:8]}"
         self._write(df, top, m)
         m.folders = self._folders(top, len(m.parts))
@@ -166,6 +174,18 @@ class VersionedTable:
         self._commit(m)
         return m.version
 
+    def append(self, rows: DataFrame, **properties) -> int:
+        """The next version: these rows beside the others, whose keys they must not share."""
+        m = self.manifest()
+        top = f"v={m.version + 1}-{uuid.uuid4().hex[:8]}"
+        schema = T.StructType.fromJson(json.loads(m.schema))
+        self._write(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), top, m)
+        m.folders += self._folders(top, len(m.parts))
+        m.version += 1
+        m.properties |= properties
+        self._commit(m)
+        return m.version
+
     def _holding(self, m: Manifest, changed: DataFrame, same: list[Column], buckets: list | None) -> list[str]:
         """The folders that hold a changed key."""
         if not m.folders:

@@ -62,6 +62,15 @@ def knn_index_topk(spark, sf_dir):
     return index.search(T.questions(spark, sf_dir), exact=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {SQL_HITS} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25")
+def bm25_index_topk(spark, sf_dir):
+    """From kept postings, made here of all chunks; the search itself reads no text."""
+    from docloom.operators.postings import PostingsIndex
+
+    index = PostingsIndex(spark, T.own_folder(spark, "postings")).build(T.chunks(spark, sf_dir, False))
+    return index.search(T.questions(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {SQL_HITS} SELECT query_id, id, round(v, 5) AS vec FROM vn")
 def minmax_norm(spark, sf_dir):
     return retrieval.scaled(retrieval.knn(T.questions(spark, sf_dir), T.chunks(spark, sf_dir)), "vec").select("query_id", "id", F.round("vec", 5).alias("vec"))
