@@ -236,6 +236,52 @@ def reingest(spark, sf_dir):
     return store.reingest(base, "src3", fresh).select("id", "document_id", "dataset_id", "department")
 
 
+@query(f"""WITH {SQL_STORE}, kept AS (SELECT * FROM store WHERE document_id <> 'src5'),
+tagged AS (SELECT id, document_id, chunk_no, content, CASE WHEN document_id = 'src3' THEN 'HR' ELSE department END AS department, CASE WHEN document_id = 'src4' THEN 'expired' ELSE status END AS status FROM kept)
+SELECT id, document_id, chunk_no, department, status, sha256(CASE WHEN document_id = 'src6' THEN 'new ' || content ELSE content END) AS h FROM tagged""")
+def store_versions(spark, sf_dir):
+    """A versioned store of all chunks after four changes, each of which wrote the folders it touched."""
+    from docloom.operators.chunk_store import ChunkStore
+
+    rows = T.store(spark, sf_dir).withColumns({"chunk_no": F.col("chunk_no").cast("int"), "embedding": F.array().cast("array<float>")})
+    kept = ChunkStore(spark, T.own_folder(spark, "store")).create(rows)
+    kept.set_tag("src3", "department", "HR")
+    kept.set_tag("src4", "status", "expired")
+    kept.delete_document("src5")
+    kept.upsert(kept.read().where("document_id = 'src6'").withColumn("content", F.concat(F.lit("new "), "content")))
+    return kept.read().select("id", "document_id", F.col("chunk_no").cast("long").alias("chunk_no"), "department", "status", F.sha2("content", 256).alias("h"))
+
+
+_SQL_VIEWERS = """viewers AS (SELECT DISTINCT source AS username, arg_min(lang, doc_id) OVER (PARTITION BY source) AS dataset_id, right(source, 1) = '1' AS is_admin,
+  CASE WHEN right(source, 1) = '2' THEN NULL WHEN right(source, 1) IN ('3', '5') THEN 'DEV' ELSE 'HR' END AS department FROM documents WHERE source IS NOT NULL)"""
+
+
+@query(f"""WITH {SQL_CHUNKS}, {_SQL_VIEWERS}, q AS (SELECT * FROM viewers)
+SELECT username, count(*) AS n, min(c.id) AS first, sum(doc_id)::BIGINT AS ids FROM q JOIN chunks c ON c.dataset_id = q.dataset_id AND (q.is_admin OR (c.status = 'in_force' AND (c.scope = 'company' OR c.department = q.department))) GROUP BY username""")
+def viewers_chunks(spark, sf_dir):
+    """What each of many viewers may see, admins and departments among them, from a store laid out by dataset and status."""
+    from docloom.operators.chunk_store import ChunkStore
+
+    kept = ChunkStore(spark, T.own_folder(spark, "access")).create(T.chunks(spark, sf_dir, False))
+    last = F.right(F.col("source"), F.lit(1))
+    viewers = T.table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("username"), (last == "1").alias("is_admin"), F.when(last == "2", F.lit(None)).when(last.isin("3", "5"), "DEV").otherwise("HR").alias("department")).agg(F.min_by("lang", "doc_id").alias("dataset_id"))
+    return kept.visible_to_each(viewers).groupBy("username").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("doc_id").alias("ids"))
+
+
+@query("""WITH old AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, doc_id, text FROM documents WHERE source IS NOT NULL),
+new AS (SELECT source, n, CASE WHEN doc_id % 10 = 3 THEN text || ' edited' ELSE text END AS text FROM old)
+SELECT source AS document_id, 'removed' AS kind, count(*) AS n FROM old o WHERE doc_id % 10 = 3 GROUP BY 1 UNION ALL SELECT source, 'added', count(*) FROM old WHERE doc_id % 10 = 3 GROUP BY 1
+UNION ALL SELECT source, 'kept', count(*) FROM old WHERE doc_id % 10 <> 3 GROUP BY 1""")
+def chunk_differences(spark, sf_dir):
+    """Each source as a document of chunks, against itself with every tenth chunk edited: those alone are new."""
+    from docloom.operators.chunk_store import differences
+
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    old = T.table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("document_id"), nth.alias("chunk_no"), X.text_or_empty(F.col("text")).alias("content"), "doc_id")
+    new = old.withColumn("content", F.when(F.col("doc_id") % 10 == 3, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    return differences(old, new).groupBy("document_id", "kind").agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT source AS name, CASE WHEN source IN ('src1', 'src2') THEN 'old' ELSE 'new' END AS kind FROM documents")
 def insert_if_absent(spark, sf_dir):
     base = spark.createDataFrame([("src1", "old"), ("src2", "old")], "name string, kind string")
