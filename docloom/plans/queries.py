@@ -912,13 +912,33 @@ def stream_ingest(spark, sf_dir):
     d = T.table(spark, sf_dir, "documents")
     job = d.select(
         F.concat(F.lit("job"), F.col("doc_id").cast("string")).alias("job_id"), F.col("lang").alias("dataset_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.concat("source", F.lit(".txt")).alias("file_name"),
-        *[F.lit(v).alias(n) for n, v in (("department", "DEV"), ("doc_type", "guide"), ("scope", "company"), ("status", "in_force"))],
+        *[F.lit(v).alias(n) for n, v in (("department", "DEV"), ("doc_type", "guide"), ("scope", "company"), ("status", "in_force"))], F.timestamp_seconds("doc_id").alias("queued_at"),
     )
     job.write.parquet(f"{base}/jobs")
     ingest.ingest(ingest.job_stream(spark, f"{base}/jobs"), f"{base}/chunks", f"{base}/states", f"{base}/checkpoint").awaitTermination()
     return ingest.current_chunks(spark, f"{base}/chunks", f"{base}/states").select("document_id", "chunk_no", F.sha2("content", 256).alias("h"), "dataset_id", "department")
 
 
+#: Jobs by the event's own time: an event moves a job on if its state is further than all states before it.
+SQL_KEPT = """e AS (SELECT user_id::VARCHAR AS job_id, [0, 1, 2, 2][(event_id % 4 + 1)::INT] AS place, ['pending','processing','done','failed'][(event_id % 4 + 1)::INT] AS state, ts, event_id FROM events),
+f AS (SELECT job_id, max(place) AS place FROM e GROUP BY 1),
+w AS (SELECT e.job_id, e.place, e.state, e.ts, row_number() OVER (PARTITION BY e.job_id ORDER BY ts, state, event_id) AS n FROM e JOIN f USING (job_id, place))"""
+
+
+@query(f"WITH {SQL_KEPT} SELECT job_id, state, ts AS at FROM w WHERE n = 1")
+def job_state_stream(spark, sf_dir):
+    """States kept in the state store, from the events as one stream: the furthest state each job reached, by its first event there."""
+    from docloom.streaming import job_state
+
+    base = T.own_folder(spark, "jobs")
+    state = F.element_at(F.array(*map(F.lit, ("pending", "processing", "done", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.lit(None).cast("string").alias("file_name"), state.alias("state"), F.lit(None).cast("string").alias("message"), F.col("ts").cast("timestamp").alias("at"))
+    rows.write.parquet(f"{base}/events")
+    # None is late, and states are kept longer than the events last.
+    job_state.track(spark.readStream.schema(job_state.EVENTS).parquet(f"{base}/events"), f"{base}/states", f"{base}/checkpoint", late="3650 days", hours=24 * 365 * 10).awaitTermination()
+    return job_state.current(spark, f"{base}/states").select("job_id", "state", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     from docloom.streaming.ingest import windowed_counts

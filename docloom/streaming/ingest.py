@@ -5,15 +5,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import layout_chunks
 from docloom.operators.elements import text_elements
 from docloom.operators.store import latest, swap
 
-JOB = "job_id string, dataset_id string, document_id string, text string, file_name string, department string, doc_type string, scope string, status string"
-REPARSE = "job_id string, document_id string, file_name string"
+JOB = "job_id string, dataset_id string, document_id string, text string, file_name string, department string, doc_type string, scope string, status string, queued_at timestamp"
+REPARSE = "job_id string, document_id string, file_name string, queued_at timestamp"
 TAGS = ["dataset_id", "document_name", "department", "doc_type", "scope", "status"]
 
 
@@ -27,26 +27,30 @@ def _states(jobs: DataFrame, state: str, path: str) -> None:
     jobs.select("job_id", "document_id", "file_name", F.lit(state).alias("state"), F.lit(None).cast("string").alias("message"), at.alias("at"), F.lit(None).cast("timestamp").alias("finished_at")).write.mode("overwrite").parquet(path)
 
 
-def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], piece: str = "0") -> None:
-    """Write the chunks of jobs. If that fails, the jobs are halved until those that fail are alone: these alone are lost."""
+#: A job's place among the jobs of a micro-batch; ids may be repeated or null.
+_PLACE = "_place"
+
+
+def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], n: int, first: int = 0, piece: str = "0") -> None:
+    """Write the chunks of the ``n`` jobs whose places begin at ``first``. If that fails, they are halved by place until those that fail are
+    alone: these alone are lost."""
+    own = jobs.where((F.col(_PLACE) >= first) & (F.col(_PLACE) < first + n))
     try:
-        chunks = layout_chunks(text_elements(jobs.where("trim(coalesce(text, '')) <> ''")))
-        tags = jobs.select("document_id", "job_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
-        chunks.join(tags, "document_id").write.mode("overwrite").parquet(f"{path}/piece={piece}")
+        chunks = layout_chunks(text_elements(own.where("trim(coalesce(text, '')) <> ''")))
+        tags = own.select(F.col("document_id").alias("_d"), "job_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
+        chunks.join(tags, F.col("document_id").eqNullSafe(F.col("_d"))).drop("_d").write.mode("overwrite").parquet(f"{path}/piece={piece}")
     except Exception as e:
-        ids = [r["job_id"] for r in jobs.select("job_id").orderBy("job_id").collect()]  # of one micro-batch
-        if len(ids) <= 1:
-            failed += [(i, f"{type(e).__name__}: {e}"[:500]) for i in ids]
+        if n <= 1:
+            failed += [(r["document_id"], f"{type(e).__name__}: {e}"[:500]) for r in own.select("document_id").collect()]
             return
-        half = ids[len(ids) // 2]
-        _chunked(jobs.where(F.col("job_id") < half), path, failed, piece + "0")
-        _chunked(jobs.where(F.col("job_id") >= half), path, failed, piece + "1")
+        _chunked(jobs, path, failed, n // 2, first, piece + "0")
+        _chunked(jobs, path, failed, n - n // 2, first + n // 2, piece + "1")
 
 
 def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id: int, queue: str = "upload") -> None:
     """One micro-batch: its jobs go from pending over processing to done or failed; the chunks of its documents are written under the
-    batch's own folder. Of several jobs of a document the one with the largest job_id counts, the others are done without effect. A
-    document without chunks, or one that can't be worked on, fails alone. Writing the same batch again replaces it, so a restart adds
+    batch's own folder. Of several jobs of a document the one queued last counts (of one time, that with the largest job_id), the others are
+    done without effect. A document without chunks, or one that can't be worked on, fails alone. Writing the same batch again replaces it, so a restart adds
     nothing twice."""
     spark = jobs.sparkSession
     jobs = jobs.persist()
@@ -56,17 +60,23 @@ def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id:
             at = spark._jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _states(jobs, "pending", f"{log}/step=0")
-        last = latest(jobs.withColumn("_at", F.lit(0)), ["document_id"], "_at", "job_id").drop("_at")
+        last = latest(jobs, ["document_id"], "queued_at", "job_id")
+        # A row for each document of the batch, written with its place: the places hold whatever is computed again.
+        order = Window.orderBy(F.col("document_id").asc_nulls_first())
+        held = f"{states_path}/_places/queue={queue}/batch={batch_id}"
+        last.withColumn(_PLACE, F.row_number().over(order) - 1).write.mode("overwrite").parquet(held)
+        last = spark.read.parquet(held)
         _states(last, "processing", f"{log}/step=1")
         failed: list[tuple[str, str]] = []
-        _chunked(last, own, failed)
-        done = stored_chunks(spark, own).groupBy("job_id").agg(F.count("*").alias("n"))
-        why = spark.createDataFrame(failed, "job_id string, why string")
-        kept = last.select(F.col("job_id").alias("kept"), F.col("document_id").alias("d"))
-        rows = jobs.join(done, "job_id", "left").join(why, "job_id", "left").join(kept, F.col("document_id").eqNullSafe(F.col("d")), "left")
-        old = F.col("kept") != F.col("job_id")
-        message = F.when(old, F.concat(F.lit("replaced by "), "kept")).otherwise(F.coalesce("why", F.when(F.col("n").isNull(), F.lit("no chunks"))))
-        state = F.when(old | (F.col("n") > 0), "done").otherwise("failed")
+        _chunked(last, own, failed, last.count())
+        done = stored_chunks(spark, own).groupBy(F.col("document_id").alias("d")).agg(F.count("*").alias("n"))
+        why = spark.createDataFrame(failed, "w string, why string")
+        kept = last.select(F.col("document_id").alias("l"), F.col("job_id").alias("kept"), F.col("queued_at").alias("kept_at"))
+        c = F.col
+        rows = jobs.join(kept, c("document_id").eqNullSafe(c("l")), "left").join(done, c("document_id").eqNullSafe(c("d")), "left").join(why, c("document_id").eqNullSafe(c("w")), "left")
+        old = ~(c("kept").eqNullSafe(c("job_id")) & c("kept_at").eqNullSafe(c("queued_at")))
+        message = F.when(old, F.concat(F.lit("replaced by "), F.coalesce("kept", F.lit("a later job")))).otherwise(F.coalesce("why", F.when(c("n").isNull(), F.lit("no chunks"))))
+        state = F.when(old | (c("n") > 0), "done").otherwise("failed")
         rows = rows.select("job_id", "document_id", "file_name", state.alias("state"), message.alias("message"), F.current_timestamp().alias("at"), F.current_timestamp().alias("finished_at"))
         rows.write.mode("overwrite").parquet(f"{log}/step=2")
     finally:
@@ -87,7 +97,7 @@ def reparse(stream: DataFrame, texts, chunks_path: str, states_path: str, checkp
         had = latest(current_chunks(spark, chunks_path, states_path), ["document_id"], "chunk_no").select("document_id", *TAGS)
         jobs = df.join(texts(spark).select("document_id", "text"), "document_id", "left").join(had, "document_id", "left")
         name = F.coalesce("document_name", "file_name")
-        jobs = jobs.select("job_id", "dataset_id", "document_id", "text", name.alias("file_name"), "department", "doc_type", "scope", "status")
+        jobs = jobs.select("job_id", "dataset_id", "document_id", "text", name.alias("file_name"), "department", "doc_type", "scope", "status", "queued_at")
         ingest_batch(jobs, chunks_path, states_path, k, "reparse")
 
     return _start(stream, checkpoint, available_now, batch)
@@ -122,20 +132,23 @@ def states(spark: SparkSession, states_path: str) -> DataFrame:
     return _read(spark, states_path, STATES, "queue string", "batch long", "step int")
 
 
-def current_chunks(spark: SparkSession, chunks_path: str, states_path: str) -> DataFrame:
-    """What upserting leaves: the chunks of each document's latest job; none if that has none, as it replaces what was there."""
+def _current(spark: SparkSession, chunks_path: str, states_path: str) -> DataFrame:
+    """The chunks that each document's latest job left, with the folders they lie in."""
     ended = states(spark, states_path).where("step = 2 and coalesce(message, '') not like 'replaced by %'")
-    last = ended.groupBy("document_id").agg(F.max_by(F.struct("queue", "batch"), F.struct("at", "batch")).alias("x")).select("document_id", "x.*")
+    last = ended.groupBy(F.col("document_id").alias("_d")).agg(F.max_by(F.struct(F.col("queue").alias("_q"), F.col("batch").alias("_b")), F.struct("at", "batch")).alias("x")).select("_d", "x.*")
     rows = _read(spark, chunks_path, CHUNKS, "queue string", "batch long", "piece string")
-    return rows.join(last, ["document_id", "queue", "batch"], "left_semi").drop("queue", "batch", "piece", "job_id")
+    return rows.join(last, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("queue") == F.col("_q")) & (F.col("batch") == F.col("_b")), "left_semi")
+
+
+def current_chunks(spark: SparkSession, chunks_path: str, states_path: str) -> DataFrame:
+    """What upserting leaves: the chunks of each document's latest job; none if that has none, as it replaces what was there."""
+    return _current(spark, chunks_path, states_path).drop("queue", "batch", "piece", "job_id")
 
 
 def compact(spark: SparkSession, chunks_path: str, states_path: str) -> None:
     """Write the chunks anew without those that were replaced. For times when no stream runs; rows keep their queue and batch, so the
     streams go on as before."""
-    ended = states(spark, states_path).where("step = 2 and coalesce(message, '') not like 'replaced by %'")
-    last = ended.groupBy("document_id").agg(F.max_by(F.struct("queue", "batch"), F.struct("at", "batch")).alias("x")).select("document_id", "x.*")
-    rows = _read(spark, chunks_path, CHUNKS, "queue string", "batch long", "piece string").join(last, ["document_id", "queue", "batch"], "left_semi")
+    rows = _current(spark, chunks_path, states_path)
     fresh = f"{chunks_path}.new-{uuid.uuid4().hex}"
     rows.withColumn("piece", F.lit("0")).repartition("queue", "batch").write.partitionBy("queue", "batch", "piece").parquet(fresh)
     swap(spark, fresh, chunks_path)

@@ -198,18 +198,18 @@ def queue(spark, tmp_path):
 
     class Queue:
         def run(self, *rows):
-            spark.createDataFrame([(*r, *JOB_TAGS) for r in rows], ingest.JOB).write.mode("append").parquet(f"{base}/jobs")
+            spark.createDataFrame([(*r[:5], *JOB_TAGS, r[5] if len(r) > 5 else None) for r in rows], ingest.JOB).write.mode("append").parquet(f"{base}/jobs")
             ingest.ingest(ingest.job_stream(spark, f"{base}/jobs"), f"{base}/chunks", f"{base}/states", f"{base}/cp").awaitTermination()
 
         def reparse(self, texts, *rows):
-            spark.createDataFrame(list(rows), ingest.REPARSE).write.mode("append").parquet(f"{base}/again")
+            spark.createDataFrame([(*r, None) for r in rows], ingest.REPARSE).write.mode("append").parquet(f"{base}/again")
             now = lambda s: s.createDataFrame(list(texts.items()), "document_id string, text string")
             ingest.reparse(ingest.job_stream(spark, f"{base}/again", schema=ingest.REPARSE), now, f"{base}/chunks", f"{base}/states", f"{base}/cp2").awaitTermination()
 
         def chunks(self):
             rows = ingest.current_chunks(spark, f"{base}/chunks", f"{base}/states").collect()
             assert all((r.department, r.status) == ("DEV", "in_force") for r in rows)
-            return sorted((r.document_id, r.content) for r in rows)
+            return sorted(((r.document_id, r.content) for r in rows), key=str)
 
         def states(self):
             from docloom.operators.jobs import job_states
@@ -219,6 +219,9 @@ def queue(spark, tmp_path):
         def compact(self):
             ingest.compact(spark, f"{base}/chunks", f"{base}/states")
 
+        def last_step(self):
+            return [(r.document_id, r.state) for r in ingest.states(spark, f"{base}/states").where("step = 2").collect()]
+
         def seen(self, job):
             return [r.state for r in ingest.states(spark, f"{base}/states").where(F.col("job_id") == job).orderBy("step").collect()]
 
@@ -239,6 +242,30 @@ def test_two_jobs_of_a_document_in_one_batch(queue):
     assert queue.states() == {"j1": ("done", "replaced by j2"), "j2": ("done", None)}
 
 
+def test_the_job_queued_last_counts(queue):
+    """Whatever the ids say: job9 before job10, and random ids."""
+    import datetime as dt
+    import uuid
+
+    at = lambda m: dt.datetime(2026, 1, 1, 12, m)
+    queue.run(("job9", "ds", "d1", LONG, "a.txt", at(1)), ("job10", "ds", "d1", LONG + " Later.", "a.txt", at(2)))
+    assert queue.chunks() == [("d1", LONG + " Later.")] and queue.states()["job9"] == ("done", "replaced by job10")
+    ids = sorted((uuid.uuid4().hex for _ in range(6)), reverse=True)
+    queue.run(*[(i, "ds", "d2", f"{LONG} Number {k}.", "b.txt", at(k)) for k, i in enumerate(ids)])
+    assert ("d2", f"{LONG} Number 5.") in queue.chunks()
+
+
+def test_failing_documents_that_share_a_job_id(queue, monkeypatch):
+    """Halving ends, and no job is lost: null and repeated ids, null documents."""
+    real = ingest.text_elements
+    bad = lambda jobs: real(jobs).withColumn("text", F.when(F.col("text").contains("BAD"), F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    monkeypatch.setattr(ingest, "text_elements", bad)
+    queue.run(*[(("same", None)[i % 2], "ds", f"d{i}" if i < 6 else None, LONG + (" BAD" if i in (1, 2, 4) else ""), "a.txt") for i in range(7)])
+    assert sorted(str(d) for d, _ in queue.chunks()) == ["None", "d0", "d3", "d5"]
+    states = queue.last_step()
+    assert sorted((str(d), s) for d, s in states) == [("None", "done"), ("d0", "done"), ("d1", "failed"), ("d2", "failed"), ("d3", "done"), ("d4", "failed"), ("d5", "done")]
+
+
 def test_a_job_without_chunks_takes_the_old_ones_away(queue):
     queue.run(("j1", "ds", "d1", LONG, "a.txt"), ("j2", "ds", "d2", LONG, "b.txt"))
     queue.run(("j3", "ds", "d1", " ", "a.txt"))
