@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from docloom.functions.edits import list_edits, text_edits
 from docloom.functions.text import normalise_ws, tokens
 
 
@@ -27,30 +25,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def char_edits(reference: Column, hypothesis: Column) -> Column:
-    return F.levenshtein(normalise_ws(reference), normalise_ws(hypothesis))
-
-
-@F.pandas_udf(T.IntegerType())
-def _array_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein distance of arrays, a row of the table at a time."""
-
-    def one(x, y) -> int:
-        number: dict = {}
-        x, y = (np.array([number.setdefault(w, len(number)) for w in (() if z is None else z)], np.int32) for z in sorted((x, y), key=lambda z: 0 if z is None else len(z)))
-        at = np.arange(len(y) + 1, dtype=np.int32)
-        row = at.copy()
-        for i, p in enumerate(x, 1):
-            # Steps from above and from the corner; then those from the left, all at once.
-            row[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != p))
-            row[0] = i
-            row = np.minimum.accumulate(row - at) + at
-        return int(row[-1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+    return text_edits(normalise_ws(reference), normalise_ws(hypothesis))
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    return _array_edits(tokens(normalise_ws(reference)), tokens(normalise_ws(hypothesis)))
+    return list_edits(tokens(normalise_ws(reference)), tokens(normalise_ws(hypothesis)))
 
 
 def rate(edits: Column, length: Column) -> Column:
