@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import chunk_id, is_blank, let, trim_ws
 from docloom.operators.elements import windows
 from docloom.schemas import BBOX
+from docloom.shared import discard, written
 
 CEILING, SMALL_TABLE, TABLE_BATCH = 8000, 1500, 1200
 DROPPED, HEADERS = ("PageHeader", "PageFooter", "Picture"), ("Title", "SectionHeader")
-CHUNK = f"document_id string, chunk_no int, content string, content_type string, page int, bbox {BBOX}, section string"
 
 
 def with_section(elements: DataFrame) -> DataFrame:
@@ -50,60 +46,80 @@ def split_table(html: Column) -> Column:
     return F.when(F.char_length(html) <= SMALL_TABLE, F.array(html)).otherwise(let(table_rows(html), by_rows))
 
 
+def _cut_starts(lengths: DataFrame) -> DataFrame | None:
+    """``document_id, ord`` of the elements that begin a chunk because the one before is full, among ``lengths(document_id, stretch, ord,
+    n)``, the elements of text between headers and tables; None where no stretch is as long as a chunk.
+
+    The sum of lengths before an element tells with which element a chunk that began there would be full: the first whose own sum is
+    ``CEILING`` more, found for all by one sort of both kinds of points. From each element that leads to the next beginning; these steps
+    are doubled (2, 4, 8 beginnings on), and the beginnings of a stretch are those that its first element reaches.
+    """
+    at = ["document_id", "stretch"]
+    along, whole = Window.partitionBy(*at).orderBy("ord"), Window.partitionBy(*at)
+    rows = lengths.withColumns({"s": F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "i": F.row_number().over(along), "all": F.sum("n").over(whole), "last": F.count("*").over(whole)})
+    rows = written(rows.where(F.col("all") >= CEILING), "stretches")
+    most = rows.agg(F.max("all")).first()[0]
+    if most is None:
+        discard(rows)
+        return None
+    points = rows.select(*at, "i", "last", F.col("s").alias("v"), F.lit(1).alias("full")).unionByName(rows.select(*at, "i", "last", (F.col("s") - F.col("n") + CEILING).alias("v"), F.lit(0).alias("full")))
+    down = Window.partitionBy(*at).orderBy(F.col("v").desc(), F.col("full").desc(), F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.last(F.when(F.col("full") == 1, F.col("i")), ignorenulls=True).over(down)
+    step = points.withColumn("j", nearest + 1).where((F.col("full") == 0) & (F.col("j") <= F.col("last"))).select(*at, "i", "j")
+
+    def onward(x: DataFrame, by: DataFrame) -> DataFrame:
+        """``x(..., j)`` with each j led on by ``by(i, j)``; those that it leads no further are left out."""
+        to = by.select(F.col("document_id").alias("_d"), F.col("stretch").alias("_s"), F.col("i").alias("_i"), F.col("j").alias("_j"))
+        met = x.join(to, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("stretch") == F.col("_s")) & (F.col("j") == F.col("_i")))
+        return met.drop("j", "_d", "_s", "_i").withColumnRenamed("_j", "j")
+
+    steps = [written(step, "steps")]
+    while 1 << len(steps) < most // CEILING + 1:  # no stretch has more beginnings
+        steps.append(written(onward(steps[-1], steps[-1]), "steps"))
+    reached = rows.where("i = 1").select(*at, F.col("i").cast("int").alias("j"))
+    for by in reversed(steps):  # each round is written: a row for each chunk, at the end
+        reached = reached.unionByName(written(onward(reached, by).select(*at, "j"), "reached"))
+    discard(*steps)
+    found = reached.where("j > 1").select(F.col("document_id").alias("_d"), F.col("stretch").alias("_s"), F.col("j").alias("_j"))
+    return rows.join(found, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("stretch") == F.col("_s")) & (F.col("i") == F.col("_j")), "left_semi").select("document_id", "ord")
+
+
 def layout_chunks(elements: DataFrame) -> DataFrame:
     """``document_id, chunk_no, content, content_type, page, bbox, section`` of each document's elements, in order.
 
-    The cut at 8,000 characters depends on all before it, so documents are folded one at a time, as their rows stream by in
-    order: sorted within partitions, never gathered as a group.
+    Headers, tables and full chunks are breaks; their number up to an element is the number of its chunk, whose texts are gathered. The
+    cut at 8,000 characters depends on all before it: see ``_cut_starts``, which handles numbers alone. Null is a document of its own.
     """
-    names = [x.split()[0] for x in re.sub(r"<[^>]*>", "", CHUNK).split(", ")]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        doc, header, texts, boxes, page, size, number, waiting, begun = None, None, [], [], None, 0, 0, False, False
-
-        def emit(content: str, kind: str, on: int, bbox) -> None:
-            nonlocal number
-            out.append((doc, number, f"## {header}\n\n{content}" if header is not None else content, kind, on, bbox, header))
-            number += 1
-
-        def flush() -> None:
-            nonlocal texts, boxes, size, waiting
-            body = "\n\n".join(t.strip() for t in texts if t and t.strip())
-            if body:
-                own = [b for b in boxes if b is not None]
-                emit(body, "text", page, (min(b["x1"] for b in own), min(b["y1"] for b in own), max(b["x2"] for b in own), max(b["y2"] for b in own)) if own else None)
-            texts, boxes, size, waiting = [], [], 0, False
-
-        for frame in batches:
-            for document_id, category, text, on, bbox, pieces in zip(frame["document_id"], frame["category"], frame["text"], frame["page"], frame["bbox"], frame["pieces"]):
-                if not begun or document_id != doc:  # null is a document of its own
-                    flush()
-                    doc, header, number, begun = document_id, None, 0, True
-                if category in HEADERS:
-                    flush()
-                    header = text.strip() if text is not None else None
-                elif category == "Table":
-                    flush()
-                    for piece in pieces if pieces is not None else []:
-                        emit(piece, "table", on, tuple(bbox[k] for k in ("x1", "y1", "x2", "y2")) if bbox is not None else None)
-                else:
-                    if not waiting:
-                        page, waiting = on, True
-                    texts.append(text)
-                    boxes.append(bbox)
-                    size += len(text or "")
-                    if size >= CEILING:
-                        flush()
-            if len(out) > 2000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        flush()
-        yield pd.DataFrame(out, columns=names)
-
-    kept = elements.where(~F.col("category").isin(*DROPPED)).withColumn("pieces", F.when(F.col("category") == "Table", split_table(F.coalesce("text", F.lit("")))))
-    ordered = kept.select("document_id", "ord", "category", "text", "page", "bbox", "pieces").repartition("document_id").sortWithinPartitions("document_id", "ord")
-    return ordered.mapInPandas(fold, CHUNK)
+    kept = elements.where(~F.col("category").isin(*DROPPED))
+    is_header, is_table = F.coalesce(F.col("category").isin(*HEADERS), F.lit(False)), F.coalesce(F.col("category") == "Table", F.lit(False))
+    along = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = kept.select("document_id", "ord", (is_header | is_table).alias("breaks"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    numbers = numbers.withColumn("stretch", F.sum(F.col("breaks").cast("int")).over(along)).where("not breaks")
+    full = _cut_starts(numbers.select("document_id", "stretch", "ord", "n"))
+    rows = kept.select("document_id", "ord", "category", "text", "page", "bbox")
+    if full is None:
+        rows = rows.withColumn("_cut", F.lit(False))
+    else:
+        full = full.select(F.col("document_id").alias("_d"), F.col("ord").alias("_o"), F.lit(True).alias("_c"))
+        rows = rows.join(full, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("ord") == F.col("_o")), "left").withColumn("_cut", F.coalesce("_c", F.lit(False))).drop("_d", "_o", "_c")
+    # A table is alone; what follows it begins anew.
+    header = F.when(is_header, F.struct(trim_ws(F.col("text")).alias("h")))
+    rows = rows.withColumns({"_head": is_header, "_table": is_table})
+    rows = rows.withColumn("_at", F.sum((F.col("_head") | F.col("_table") | F.col("_cut")).cast("int") + F.coalesce(F.lag("_table").over(Window.partitionBy("document_id").orderBy("ord")).cast("int"), F.lit(0))).over(along))
+    rows = rows.withColumn("section", F.last(header, ignorenulls=True).over(along)["h"]).where(~F.col("_head"))
+    body = trim_ws(F.coalesce("text", F.lit("")))
+    first = lambda c: F.min(F.struct("ord", F.col(c).alias("v")))["v"]
+    box = lambda f, k: f(F.col(f"bbox.{k}"))
+    around = F.when(F.count("bbox") > 0, F.struct(box(F.min, "x1").alias("x1"), box(F.min, "y1").alias("y1"), box(F.max, "x2").alias("x2"), box(F.max, "y2").alias("y2")))
+    texts = rows.where(~F.col("_table")).groupBy("document_id", "_at").agg(
+        F.array_sort(F.collect_list(F.when(body != "", F.struct("ord", body.alias("t"))))).alias("_x"), first("page").alias("page"), around.alias("bbox"), first("section").alias("section")
+    )
+    texts = texts.where(F.size("_x") > 0).select("document_id", "_at", F.lit(0).alias("_p"), F.array_join(F.transform("_x", lambda x: x["t"]), "\n\n").alias("content"), F.lit("text").alias("content_type"), "page", "bbox", "section")
+    tables = rows.where("_table").select("document_id", "_at", F.posexplode(split_table(F.coalesce("text", F.lit("")))).alias("_p", "content"), F.lit("table").alias("content_type"), "page", "bbox", "section")
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("_at", "_p")) - 1
+    content = F.when(F.col("section").isNotNull(), F.concat(F.lit("## "), "section", F.lit("\n\n"), "content")).otherwise(F.col("content"))
+    out = texts.unionByName(tables)
+    return out.select(F.col("document_id").cast("string").alias("document_id"), number.cast("int").alias("chunk_no"), content.alias("content"), "content_type", F.col("page").cast("int").alias("page"), F.col("bbox").cast(BBOX).alias("bbox"), "section")
 
 
 def fixed_chunks(texts: DataFrame, size: int, key: str = "document_id", text: str = "text") -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 import html
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 import zlib
 
@@ -17,6 +15,8 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import chunk_id
 from docloom.schemas import DEPARTMENTS, DOC_TYPES, SCOPES, STATUSES
+from docloom.shared import own_folder as own_folder
+from docloom.shared import shared_dir as shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,26 +165,6 @@ def pdf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), made(ascii_, "source").alias("content"))
 
 
-_LOCAL: list[str] = []
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    return _LOCAL[0]
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-
-
 #: The same tables in SQL.
 SQL_TAGS = """
   ['HR','DEV','TEST','BA','FINANCE'][(doc_id % 5 + 1)::INT] AS department,

@@ -94,6 +94,28 @@ def test_layout_chunks_against_a_fold(spark):
     assert got == {d: c for d, els in docs.items() if (c := python_chunks(els, chunking.CEILING))}
 
 
+def test_long_documents_are_cut_by_doubled_steps(spark, monkeypatch):
+    """Stretches of some hundred chunks, elements of no length at the cuts, an element longer than a chunk; without Python."""
+    monkeypatch.setattr(chunking, "CEILING", 100)
+    rnd = random.Random(6)
+    docs = {f"d{i}": [(rnd.choice(["Text"] * 60 + ["SectionHeader", "Picture"]), rnd.choice([None, "", "  ", "y" * 100, "x" * rnd.randint(1, 30), "x" * rnd.randint(1, 30), "z" * 250])) for _ in range(rnd.choice([1, 5, 900]))] for i in range(12)}
+    docs["one"] = [("Text", "x" * 50)] * 700
+    docs[None] = [("Text", "x" * 99), ("Text", "x"), ("Text", "after")]
+    rows = [(d, i, c, t) for d, els in docs.items() for i, (c, t) in enumerate(els)]
+    df = spark.createDataFrame(rows, "document_id string, ord int, category string, text string").select("*", F.col("ord").alias("page"), F.when(F.col("ord") % 3 > 0, elements.box(F.col("ord"), 0, 1, 1)).alias("bbox"))
+    out = chunking.layout_chunks(df)
+    got: dict = {}
+    for r in out.orderBy("document_id", "chunk_no").collect():
+        assert r.chunk_no == len(got.setdefault(r.document_id, []))
+        got[r.document_id].append(r.content)
+    assert got == {d: c for d, els in docs.items() if (c := python_chunks(els, 100))}
+    pages = [r.page for r in out.where("document_id = 'one'").orderBy("chunk_no").collect()]
+    assert pages == list(range(0, 700, 2))
+    boxes = [tuple(r.bbox) for r in out.where("document_id = 'one'").orderBy("chunk_no").limit(3).collect()]
+    assert boxes == [(1, 0, 1, 1), (2, 0, 1, 1), (4, 0, 1, 1)]
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_table_chunks_keep_their_section(spark):
     table = "<table><tr><td>a</td></tr></table>"
     rows = [("d", 0, "Text", "before"), ("d", 1, "SectionHeader", " Head "), ("d", 2, "Text", "body"), ("d", 3, "Table", table), ("d", 4, "Text", "after"), ("d", 5, "SectionHeader", "Empty")]
