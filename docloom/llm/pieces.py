@@ -31,7 +31,7 @@ from docloom.llm.wordtable import WordTable, stretches
 
 SPACE = "▁"
 #: Words remembered by a worker, and piece pairs; beyond, the words used least go, and the pairs' memory starts anew.
-REMEMBERED, PAIRS = 300_000, 200_000
+REMEMBERED, PAIRS = 500_000, 300_000
 #: What keeps a text from being encoded by words: spaces that stand together, or beside a line break, or at an end; the space's own sign.
 ODD = f"  | \n|^\n|^ | $|{SPACE}|^$"
 #: Characters between two looks for the boundary where the back pointers meet.
@@ -187,15 +187,12 @@ class Encoder:
             else:
                 until, left_first, b = scores[b], True, apart_b[0]
 
-    def walk(self, text: str) -> list[int]:
-        """Ids of a stretch of any length; characters without a piece come out as their bytes (or as unknown)."""
-        ids, top, bpe, scores = self.chosen, self.p.max_piece, self.p.bpe, self.p.scores
+    def reach(self, text: str, done: int, upto: int, base: int, piece: list[int], start: list[int], score: list[float]) -> None:
+        """Find the boundaries after ``done`` characters, up to ``upto``: of each the piece before it, where that starts, sum of scores.
+        Boundary k is at place k - base; it follows from the text before it alone."""
+        ids, bpe, scores = self.chosen, self.p.bpe, self.p.scores
         tails, pairs, size = self.tails, self.pairs, self.size
-        out: list[int] = []
-        # Of each boundary in the window: piece before it, where that starts, sum of scores. Boundary k is at place k - base.
-        piece, start, score, base = [-1], [0], [0.0], 0
-        n = len(text)
-        for end in range(1, n + 1):
+        for end in range(done + 1, upto + 1):
             best_piece, best_start, best_score = None, 0, 0.0
             for length in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else range(end, 0, -1):
                 begin = end - length
@@ -217,23 +214,60 @@ class Encoder:
             if best_piece is None:
                 best_piece, best_start, best_score = -1 - ord(text[end - 1]), end - 1, score[end - 1 - base] - 1e4
             piece.append(best_piece), start.append(best_start), score.append(best_score)
-            if end % LOOK == 0 or end == n:
-                # Follow the boundaries that can still be stepped from back to where they meet.
-                live = {end} if end == n else set(range(max(base, end - top + 1), end + 1))
-                while len(live) > 1:
-                    far = max(live)
-                    live.discard(far)
-                    live.add(start[far - base])
-                meet = live.pop()
-                chosen, at = [], meet
-                while at > base:
-                    chosen.append(piece[at - base])
-                    at = start[at - base]
-                for i in reversed(chosen):
-                    out += [i] if i >= 0 else self.fallback(chr(-1 - i))
-                cut = meet - base
-                del piece[:cut], start[:cut], score[:cut]
-                base = meet
+
+    def back(self, meet: int, base: int, piece: list[int], start: list[int]) -> list[int]:
+        """Ids from boundary ``base`` to boundary ``meet``."""
+        chosen, at = [], meet
+        while at > base:
+            chosen.append(piece[at - base])
+            at = start[at - base]
+        out: list[int] = []
+        for i in reversed(chosen):
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self.fallback(chr(-1 - i))
+        return out
+
+    def walk(self, text: str) -> list[int]:
+        """Ids of a stretch of any length; characters without a piece come out as their bytes (or as unknown)."""
+        top, n = self.p.max_piece, len(text)
+        out: list[int] = []
+        piece, start, score, base, end = [-1], [0], [0.0], 0, 0
+        while end < n:
+            upto = min(n, end + LOOK)
+            self.reach(text, end, upto, base, piece, start, score)
+            end = upto
+            # Follow the boundaries that can still be stepped from back to where they meet.
+            live = {end} if end == n else set(range(max(base, end - top + 1), end + 1))
+            while len(live) > 1:
+                far = max(live)
+                live.discard(far)
+                live.add(start[far - base])
+            meet = live.pop()
+            out += self.back(meet, base, piece, start)
+            cut = meet - base
+            del piece[:cut], start[:cut], score[:cut]
+            base = meet
+        return out
+
+    def walk_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of stretches. In sorted order one that is no longer than a window shares the boundaries of its beginning with the one before."""
+        out: list[list[int]] = [[]] * len(texts)
+        before, piece, start, score = "", [-1], [0], [0.0]
+        for k in sorted(range(len(texts)), key=texts.__getitem__):
+            text = texts[k]
+            if len(text) > LOOK:
+                out[k] = self.walk(text)
+                continue
+            same = 0
+            for x, y in zip(before, text):
+                if x != y:
+                    break
+                same += 1
+            del piece[same + 1 :], start[same + 1 :], score[same + 1 :]
+            self.reach(text, same, len(text), 0, piece, start, score)
+            out[k], before = self.back(len(text), 0, piece, start), text
         return out
 
     def fallback(self, char: str) -> list[int]:
@@ -272,15 +306,10 @@ class Encoder:
 
     def walk_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each after a blank; a line break in a word is a stretch of its own."""
-        made = []
-        for w in words.to_pylist():
-            first, *lines = w.split("\n")
-            ids = self.walk(SPACE + first)
-            for x in lines:
-                ids += self.walk("\n")
-                if x:
-                    ids += self.walk(x)
-            made.append(ids)
+        own = words.to_pylist()
+        parts = [[SPACE + first, *[x for line in lines for x in ("\n", line) if x]] for first, *lines in (w.split("\n") for w in own)]
+        ids = iter(self.walk_all([*chain.from_iterable(parts)]))
+        made = [next(ids) if len(p) == 1 else [*chain.from_iterable(next(ids) for _ in p)] for p in parts]
         return np.fromiter(chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
 
     def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
