@@ -431,10 +431,14 @@ class Tokens:
     def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new words: those of the word's stem, then those of the rest."""
         table = self.table
-        words = new.to_pylist()
-        cut = [stem(w) for w in words]
-        stems = pa.array([w[:n] for w, n in zip(words, cut)], pa.string())
-        rests = pa.array([w[n:] for w, n in zip(words, cut)], pa.string()).dictionary_encode()
+        # A word of letters and digits alone is its own stem, as most are.
+        plain = pc.utf8_is_alnum(new).to_numpy(zero_copy_only=False)
+        marked = new.filter(pa.array(~plain)).to_pylist()
+        cut = [stem(w) for w in marked]
+        places = np.arange(len(new))
+        places[~plain] = len(new) + np.arange(len(marked))
+        stems = pa.concat_arrays([new, pa.array([w[:n] for w, n in zip(marked, cut)], pa.string())]).take(pa.array(places))
+        rests = pa.concat_arrays([pa.array([""], pa.string()), pa.array([w[n:] for w, n in zip(marked, cut)], pa.string())]).take(pa.array(np.where(plain, 0, places - len(new) + 1))).dictionary_encode()
         own = stems.unique()
         known, gone = table.find(own)
         ids, sizes = self.after_blanks(own.filter(pa.array(gone)))
