@@ -165,6 +165,24 @@ def page(rows: DataFrame, number: int, size: int, *order) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, size: int, keys: list[str], after: tuple | None = None) -> DataFrame:
+    """The ``size`` rows that follow the one with the values ``after`` of ``keys`` (none null, together unique); the first page without it.
+    Where the rows lie sorted by the keys, those before are skipped by their files' statistics: a late page costs what the first does."""
+    if after is not None:
+        later = F.lit(False)
+        for i in reversed(range(len(keys))):
+            c, v = F.col(keys[i]), F.lit(after[i])
+            later = (c > v) if i == len(keys) - 1 else (c > v) | ((c == v) & later)
+        rows = rows.where((F.col(keys[0]) >= F.lit(after[0])) & later)
+    return rows.orderBy(*keys).limit(size)
+
+
+def cursor_of(page_: DataFrame, keys: list[str]) -> tuple | None:
+    """The values of the last row of a page, to go on from; None for an empty page."""
+    row = page_.orderBy(*[F.col(k).desc() for k in keys]).select(*keys).first()
+    return tuple(row) if row else None
+
+
 def by_sequence(chunks: DataFrame) -> DataFrame:
     """By the ``seq:`` keyword, as text of ten digits, missing last."""
     return chunks.orderBy(sequence_of(F.col("keywords")), "id")

@@ -190,6 +190,46 @@ def content_search(spark, sf_dir):
     return store.content_search(T.chunks(spark, sf_dir, False), "Then THE").select("id", "document_id")
 
 
+@query(f"WITH {SQL_CHUNKS} SELECT id, document_id FROM chunks WHERE contains(lower(content), lower('Then THE'))")
+def content_search_index(spark, sf_dir):
+    """The same from signatures of the folders of a store, made here; folders that can't hold the string aren't read."""
+    from docloom.operators.chunk_store import ChunkStore
+    from docloom.operators.text_index import SubstringIndex
+
+    kept = ChunkStore(spark, T.own_folder(spark, "search")).create(T.chunks(spark, sf_dir, False))
+    return SubstringIndex(kept.table, T.own_folder(spark, "signatures")).refresh().search("Then THE").select("id", "document_id")
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT doc_id, id FROM chunks ORDER BY doc_id LIMIT 20 OFFSET 40")
+def keyset_paging(spark, sf_dir):
+    """The third page, each page from the last row of the one before."""
+    rows, after = T.chunks(spark, sf_dir, False).select("doc_id", "id"), None
+    for _ in range(2):
+        after = store.cursor_of(store.page_after(rows, 20, ["doc_id"], after), ["doc_id"])
+    return store.page_after(rows, 20, ["doc_id"], after)
+
+
+@query("""SELECT (n // 25 + 1)::INT AS page, doc_id::VARCHAR AS id, coalesce(source, '') || '-' || doc_id || '.txt' AS name, coalesce(strlen(text), 0)::BIGINT AS size, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'doc' END AS type,
+  CASE WHEN doc_id % 4 = 0 THEN 'UNSTART' ELSE 'DONE' END AS run, 1 AS chunk_count, 0 AS token_count, (doc_id % 10) / 10 AS progress, doc_id * 1000 AS create_time
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)""")
+def rest_documents(spark, sf_dir):
+    """Documents from the pages of a listing: responses of 25 rows each, made of the table, some fields absent or of another type."""
+    from docloom.sources.listing import documents_of
+
+    d = T.table(spark, sf_dir, "documents")
+    ranges = d.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    first = ranges.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("m0"))
+    first = first.withColumn("o", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    rows = ranges.join(first, "p").withColumn("n", F.col("o") + F.col("m") - F.col("m0"))
+    i = F.col("doc_id")
+    row = F.struct(
+        i.cast("string").alias("id"), F.concat(F.coalesce("source", F.lit("")), F.lit("-"), i.cast("string"), F.lit(".txt")).alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.when(i % 3 != 0, "doc").alias("type"),
+        F.when(i % 4 != 0, "DONE").alias("run"), F.lit(1).alias("chunk_count"), F.lit("many").alias("token_count"), (i % 10 / 10).alias("progress"), (i * 1000).alias("create_time"),
+    )
+    bodies = rows.groupBy((F.floor(F.col("n") / 25) + 1).cast("int").alias("page")).agg(F.collect_list(row).alias("docs"), F.count("*").alias("total"))
+    return documents_of(bodies.select("page", F.to_json(F.struct(F.lit(0).alias("code"), F.struct("docs", "total").alias("data"))).alias("body")))
+
+
 @query(f"WITH {SQL_CHUNKS} SELECT doc_id, id FROM chunks ORDER BY doc_id LIMIT 20 OFFSET 40")
 def paging(spark, sf_dir):
     return store.page(T.chunks(spark, sf_dir, False), 3, 20, "doc_id").select("doc_id", "id")
