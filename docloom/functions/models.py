@@ -18,7 +18,7 @@ Convert = Callable[[Column], Column]
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """Stand-in for an embedding model: counts of token hashes; empty for a text without tokens."""
     slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(own, lambda s: s == d)).cast("float"))
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(own) - F.size(F.array_remove(own, d))).cast("float"))
     return let(slots, lambda own: F.when(F.size(own) == 0, F.array().cast("array<float>")).otherwise(counts(own)))
 
 

@@ -46,6 +46,13 @@ def first_admin(users: DataFrame) -> DataFrame:
     return users.where(F.col("is_admin") & (F.trim(F.coalesce("dataset_id", F.lit(""))) != "")).orderBy("created_at", "username").limit(1)
 
 
+def with_dataset(users: DataFrame) -> DataFrame:
+    """``users``, of whom each admin without a dataset is given a new one; its id follows from the username, so that a repeated run makes
+    the same."""
+    none = F.coalesce(F.col("is_admin"), F.lit(False)) & (F.trim(F.coalesce("dataset_id", F.lit(""))) == "")
+    return users.withColumn("dataset_id", F.when(none, F.left(F.sha2(F.concat(F.lit("dataset:"), "username"), 256), F.lit(32))).otherwise(F.col("dataset_id")))
+
+
 def valid_username(c: Column) -> Column:
     """Three characters or more: letters and digits of any script, ``_`` and ``-``."""
     return c.rlike(r"\A[\p{L}\p{Nd}_-]{3,}\z")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,12 @@ def scan_document(chunks: DataFrame, document_id: str) -> DataFrame:
 
 
 def store_size(spark: SparkSession, path: str) -> DataFrame:
-    """One row: bytes of all files under a path, 0 where it can't be read."""
+    """One row: bytes of all files under a path, whose contents aren't read; 0 where there is none."""
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    except Exception:
-        size = 0
-    return spark.createDataFrame([(size,)], "bytes long")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException:
+        return spark.range(1).select(F.lit(0).cast("long").alias("bytes"))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
@@ -139,6 +139,16 @@ def sort_documents(docs: DataFrame, by: str = "name", descending: bool = False)
     return docs.orderBy(key.desc() if descending else key.asc(), F.col("document_id").desc() if descending else F.col("document_id").asc())
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``pos``, their place in the order, from 0; rows that tie may take each other's. They are dealt by ranges of it, and a
+    range's first place is the sum of the ranges before: no row is sorted in one task with all others."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    first = dealt.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_m0"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = first.select("_p", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    return dealt.join(first, "_p").select(*rows.columns, (F.col("_o") + F.col("_m") - F.col("_m0")).alias("pos"))
+
+
 def department_counts(chunks: DataFrame, top: int = 20) -> DataFrame:
     return chunks.groupBy("department").agg(F.count("*").alias("chunks")).orderBy(F.col("chunks").desc(), "department").limit(top)
 

@@ -164,8 +164,8 @@ def documents_list(spark, sf_dir):
 
 @query(f"WITH {SQL_STORE} SELECT document_id, document_name, row_number() OVER (ORDER BY lower(document_name) DESC, document_id DESC) AS pos FROM store GROUP BY 1, 2")
 def documents_sorted(spark, sf_dir):
-    got = store.sort_documents(store.documents(T.store(spark, sf_dir)), "name", True).select("document_id", "document_name").withColumn("at", F.monotonically_increasing_id())
-    return got.select("document_id", "document_name", F.row_number().over(Window.orderBy("at")).alias("pos"))  # a row for each document
+    docs = store.documents(T.store(spark, sf_dir))
+    return store.numbered(docs, F.lower("document_name").desc(), F.col("document_id").desc()).select("document_id", "document_name", (F.col("pos") + 1).alias("pos"))
 
 
 @query(f"WITH {SQL_STORE}, d AS (SELECT document_id, arg_min(department, chunk_no) AS department, arg_min(scope, chunk_no) AS scope FROM store GROUP BY 1) SELECT count(*) FILTER (department = 'DEV') AS visible, count(*) AS total FROM d")
@@ -217,10 +217,7 @@ def rest_documents(spark, sf_dir):
     from docloom.sources.listing import documents_of
 
     d = T.table(spark, sf_dir, "documents")
-    ranges = d.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    first = ranges.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("m0"))
-    first = first.withColumn("o", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    rows = ranges.join(first, "p").withColumn("n", F.col("o") + F.col("m") - F.col("m0"))
+    rows = store.numbered(d, F.col("doc_id")).withColumnRenamed("pos", "n")
     i = F.col("doc_id")
     row = F.struct(
         i.cast("string").alias("id"), F.concat(F.coalesce("source", F.lit("")), F.lit("-"), i.cast("string"), F.lit(".txt")).alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.when(i % 3 != 0, "doc").alias("type"),
@@ -903,26 +900,99 @@ def job_purge(spark, sf_dir):
     return jobs.purge(states.crossJoin(F.broadcast(now)), F.col("now")).select("job_id", "state")
 
 
-_FORM = "{{ Full Name }}\nDate of birth: ____\nDEPARTMENT:\n\nfull name: ...\nThis line, with a comma: ____\nOne two three four five six: ____\n- Phone number: ______"
+_W = "coalesce(nullif(regexp_extract(text, '[A-Za-z]{2,}'), ''), 'Word')"
+#: A form for each document, of its words and its source.
+SQL_FORMS = f"""forms AS (SELECT doc_id, lang, source, '{{{{ ' || {_W} || ' Name }}}}' || chr(10) || {_W} || ' of birth: ____' || chr(10) || 'DEPARTMENT:' || chr(10) || chr(10) || upper({_W}) || ' name: ...' || chr(10) || 'Full name: ____ Phone: ....' || chr(10)
+  || 'This ' || {_W} || ', with a comma: ____' || chr(10) || {_W} || ' two three four five six: ____' || chr(10) || '- ' || coalesce(source, 'No source') || ' number: ______' || chr(10) || coalesce(text, '') AS t FROM documents)"""
+_LABEL = r"[^:\n\{\}_.]{1,80}"
+SQL_FIELDS = f"""{SQL_FORMS}, lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS l FROM (SELECT doc_id, string_split_regex(t, '\\r?\\n') AS l FROM forms)),
+found AS (SELECT doc_id, l, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM (SELECT doc_id, l, list_concat(list_concat(regexp_extract_all(line, '\\{{\\{{\\s*([^{{}}]+?)\\s*\\}}\\}}', 1), regexp_extract_all(line, '({_LABEL}):[ \\t]*(?:_{{2,}}|\\.{{3,}}|…+)', 1)),
+  CASE WHEN regexp_full_match(trim(line, ' '), '{_LABEL}:') THEN [left(trim(line, ' '), -1)] ELSE [] END) AS x FROM lines)),
+named AS (SELECT doc_id, l, p, regexp_replace(trim(regexp_replace(x, '^[,;\\s]+', '')), '^[\\-–•* ]+', '') AS label FROM found),
+keyed AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(label)), '\\s+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '^_+|_+$', '', 'g') AS field FROM named),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(field) ORDER BY l, p) AS n FROM keyed WHERE len(string_split_regex(label, '\\s+')) <= 5 AND NOT contains(label, ',') AND field <> ''),
+fields AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY l, p) - 1)::INT AS pos, field, label FROM once WHERE n = 1)"""
+
+
+def _form_texts(spark, sf_dir):
+    w = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]{2,}", 0), F.lit("")), F.lit("Word"))
+    t = F.concat(
+        F.lit("{{ "), w, F.lit(" Name }}\n"), w, F.lit(" of birth: ____\nDEPARTMENT:\n\n"), F.upper(w), F.lit(" name: ...\nFull name: ____ Phone: ....\nThis "), w, F.lit(", with a comma: ____\n"), w, F.lit(" two three four five six: ____\n- "),
+        F.coalesce("source", F.lit("No source")), F.lit(" number: ______\n"), X.text_or_empty(F.col("text")),
+    )
+    return T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("template_id"), "source", "lang", t.alias("text"))
 
 
-@query("SELECT * FROM (VALUES (0, 'full_name', 'Full Name'), (1, 'date_of_birth', 'Date of birth'), (2, 'department', 'DEPARTMENT'), (3, 'phone_number', 'Phone number')) t(pos, field, label)")
+@query(f"WITH {SQL_FIELDS} SELECT doc_id AS template_id, pos, field, label FROM fields")
 def form_fields(spark, sf_dir):
-    return forms.detect_fields(spark.createDataFrame([("t1", _FORM)], "template_id string, text string")).select("pos", "field", "label")
+    return forms.detect_fields(_form_texts(spark, sf_dir)).select("template_id", "pos", "field", "label")
 
 
-@query("SELECT * FROM (VALUES ('full_name', 'Ann B', 'profile'), ('date_of_birth', '', ''), ('department', 'R&D', 'ai'), ('phone_number', '123', 'profile')) t(field, suggested_value, source)")
+@query(f"""WITH {SQL_FIELDS}, users AS (SELECT source AS username, source || ' B' AS name, count(*)::VARCHAR AS phone FROM documents WHERE source IS NOT NULL GROUP BY source),
+ai AS (SELECT min(lang) AS v FROM documents), u AS (SELECT min(name) AS name, min(phone) AS phone FROM users WHERE username = 'src1')
+SELECT doc_id AS template_id, pos, field, coalesce(CASE field WHEN 'full_name' THEN u.name WHEN 'phone' THEN u.phone END, CASE field WHEN 'department' THEN ai.v END, '') AS suggested_value,
+  CASE WHEN field IN ('full_name', 'phone') AND u.name IS NOT NULL THEN 'profile' WHEN field = 'department' AND coalesce(ai.v, '') <> '' THEN 'ai' ELSE '' END AS source FROM fields, ai, u WHERE field IN ('full_name', 'phone', 'department', 'word_name')""")
 def form_suggestions(spark, sf_dir):
-    fields = forms.detect_fields(spark.createDataFrame([("t1", _FORM)], "template_id string, text string"))
-    users = spark.createDataFrame([("ann", '{"FullName":"Ann B","PhoneNumber":"123","Email":" "}')], "username string, profile_json string")
-    ai = spark.createDataFrame([('Here: {"department": "R&D", "full_name": "not used"}',)], "raw string").select(F.explode(forms.suggestions(F.col("raw"))).alias("field", "value"))
-    return forms.suggest(fields, "ann", forms.profile_values(users), ai).select("field", "suggested_value", "source")
+    """For the forms of all documents, from the profile of one of the sources and a model's answer made of the table."""
+    fields = forms.detect_fields(_form_texts(spark, sf_dir))
+    docs = T.table(spark, sf_dir, "documents")
+    profile = F.to_json(F.create_map(F.lit("FullName"), F.concat("username", F.lit(" B")), F.lit("PhoneNumber"), F.col("n").cast("string"), F.lit("Email"), F.lit(" ")))
+    users = docs.where("source is not null").groupBy(F.col("source").alias("username")).agg(F.count("*").alias("n")).select("username", profile.alias("profile_json"))
+    raw = docs.agg(F.concat(F.lit('Here: {"department": "'), F.min("lang"), F.lit('", "full_name": "not used"}')).alias("raw"))  # one row
+    got = forms.suggest(fields, "src1", forms.profile_values(users), raw.select(F.explode(forms.suggestions(F.col("raw"))).alias("field", "value")))
+    return got.where(F.col("field").isin("full_name", "phone", "department", "word_name")).select("template_id", "pos", "field", "suggested_value", "source")
 
 
-@query("SELECT 'Ann B' || chr(10) || 'Date of birth: ____' || chr(10) || 'DEPARTMENT:' || chr(10) || 'R&D' || chr(10) || 'full name: Ann B' || chr(10) || 'This line, with a comma: ____' || chr(10) || 'One two three four five six: ____' || chr(10) || '- Phone number: 123' AS filled")
+@query(f"""WITH {SQL_FORMS} SELECT doc_id AS template_id, sha256(replace(replace(replace(t, 'Full name: ____ Phone: ....', 'Full name: ' || coalesce(source, 'nobody') || ' Phone: 12'), 'DEPARTMENT:' || chr(10) || chr(10), 'DEPARTMENT:' || chr(10) || coalesce(lang, 'none') || chr(10)), chr(13) || chr(10), chr(10))) AS h FROM forms""")
 def form_fill(spark, sf_dir):
-    rows = spark.createDataFrame([(_FORM, '{"full_name":"Ann B","phone_number":"123","department":"R&D"}')], "t string, v string")
-    return rows.select(forms.fill_text(F.col("t"), F.col("v")).alias("filled"))
+    rows = _form_texts(spark, sf_dir).withColumn("v", F.to_json(F.struct(F.coalesce("source", F.lit("nobody")).alias("full_name"), F.lit("12").alias("phone"), F.coalesce("lang", F.lit("none")).alias("department"))))
+    return rows.select("template_id", F.sha2(forms.fill_text(F.col("text"), F.col("v")), 256).alias("h"))
+
+
+@query("SELECT conv_id AS session_id, 'Chat ' || strftime(min(ts), '%d/%m %H:%M') AS name, left(trim(min(text)), 80) AS renamed FROM conversations JOIN events ON event_id = conv_id GROUP BY conv_id")
+def session_names(spark, sf_dir):
+    c, e = T.table(spark, sf_dir, "conversations"), T.table(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), "ts")
+    rows = c.join(e, "conv_id").groupBy("conv_id").agg(F.min("ts").alias("at"), F.min("text").alias("t"))
+    return rows.select(F.col("conv_id").alias("session_id"), X.session_name(F.col("at")).alias("name"), X.renamed(F.col("t")).alias("renamed"))
+
+
+@query(f"WITH {SQL_JOBS} SELECT job_id, state, event_id FROM jobs WHERE job_id = '7'")
+def job_by_id(spark, sf_dir):
+    return jobs.job(jobs.job_states(T.job_events(spark, sf_dir)), "7").select("job_id", "state", "event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def stale_files(spark, sf_dir):
+    """Events as files of the cache: those last changed more than a day before the newest."""
+    files = T.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("modificationTime"))
+    now = files.agg(F.max("modificationTime").alias("now"))  # one row
+    return jobs.stale_files(files.crossJoin(F.broadcast(now)), F.col("now")).select("event_id")
+
+
+@query("SELECT count(*) AS ids, count(*) AS fit FROM documents")
+def new_ids(spark, sf_dir):
+    """As many different ids as documents, each of 32 hex digits."""
+    ids = T.table(spark, sf_dir, "documents").select(X.new_id().alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("ids"), F.count_if(F.col("id").rlike("^[0-9a-f]{32}$")).alias("fit"))
+
+
+@query("""WITH u AS (SELECT source AS username, min(doc_id) AS created_at, right(source, 1) IN ('1', '4') AS is_admin, CASE WHEN right(source, 1) IN ('4', '5') THEN 'ds' || min(doc_id) END AS had FROM documents WHERE source IS NOT NULL GROUP BY source),
+w AS (SELECT *, CASE WHEN is_admin AND had IS NULL THEN left(sha256('dataset:' || username), 32) ELSE had END AS dataset_id FROM u), f AS (SELECT arg_min(dataset_id, (created_at, username)) AS shared FROM w WHERE is_admin)
+SELECT username, is_admin, dataset_id, CASE WHEN is_admin THEN dataset_id ELSE shared END AS reads_dataset FROM w, f""")
+def dataset_creation(spark, sf_dir):
+    """Admins without a dataset are given one; others read that of the first admin."""
+    u = T.table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("username")).agg(F.min("doc_id").alias("at"))
+    users = u.select("username", F.right(F.col("username"), F.lit(1)).isin("1", "4").alias("is_admin"), F.when(F.right(F.col("username"), F.lit(1)).isin("4", "5"), F.concat(F.lit("ds"), F.col("at").cast("string"))).alias("dataset_id"), F.timestamp_seconds("at").alias("created_at"))
+    return acl.viewer_columns(acl.with_dataset(users)).select("username", "is_admin", "dataset_id", "reads_dataset")
+
+
+@query()
+def embedded_chunks(spark, sf_dir):
+    """Vectors of all texts by the stand-in model: their number of tokens is the sum of their components."""
+    from docloom.functions.models import embed_chunks
+
+    got = embed_chunks(T.chunks(spark, sf_dir, False).select("id", "content"))
+    return got.select("id", F.size("embedding").alias("dims"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).cast("long").alias("tokens"))
 
 
 @query("SELECT event_id AS file_hash FROM (SELECT event_id, ts FROM events UNION ALL SELECT -1, '2100-01-01'::TIMESTAMP) ORDER BY ts DESC, event_id LIMIT 500")
