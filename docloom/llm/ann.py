@@ -304,7 +304,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
 
     Unusable vectors (see ``usable``) and rows without a vec_id take no part; vectors of another length have no distance, so those of
     each length are searched by themselves. Equal vectors are searched as one, with their ``k + 1`` smallest ids, so that copies cost
-    nothing and none is lost; repeated rows are one row; ties go to the smaller vec_id. An empty table gives no rows.
+    nothing and none is lost; repeated rows are one row; ties go to the smaller vec_id. Vectors of any length are taken whole; other
+    columns, whatever their names, are ignored. An empty table gives no rows.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     lengths = [r["d"] for r in own.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]

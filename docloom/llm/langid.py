@@ -197,7 +197,8 @@ def _sums(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with three columns more (with further underscores if taken): ``_lang``, ``_score`` (0 to 1), and ``_lead``, by how much
     the best cosine is above the second (or above 0); ``und``, 0 and 0 for null texts and texts without a letter. Of equal cosines the
-    language that comes first by code point is told; repeated rows stay rows."""
+    language that comes first by code point is told; repeated rows stay rows; long texts are read whole, some at a time; an empty table
+    gives no rows."""
     more = {"_lang": T.StringType(), "_score": T.DoubleType(), "_lead": T.DoubleType()}
     schema = T.StructType([*docs.schema.fields, *[T.StructField(fresh(docs, c), t) for c, t in more.items()]])
     names = np.array([*model.langs, UNKNOWN], object)
@@ -229,7 +230,8 @@ MIN_LEAD = 0.01
 
 def accepted(docs: DataFrame, min_lead: float = MIN_LEAD) -> DataFrame:
     """The rows of ``docs`` whose language is told with ``min_lead`` at least; columns as they were. If no language can be
-    learnt (none is given), all texts with a letter stay."""
+    learnt (none is given), all texts with a letter stay. Null and empty texts go; repeated rows stay rows; long texts are read whole; an
+    empty table gives no rows."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -239,7 +241,8 @@ def accepted(docs: DataFrame, min_lead: float = MIN_LEAD) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Repeated rows stay rows; a null id is learnt from unless its crc32 (of the empty text) says otherwise."""
+    """Repeated rows stay rows; a null id is learnt from unless its crc32 (of the empty text) says otherwise; null and empty texts are
+    ``und``; long texts are read whole; columns but id, text and lang are ignored; an empty table gives no rows."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), model)  # no other columns, so the names below are these

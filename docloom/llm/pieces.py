@@ -451,5 +451,6 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def query(spark, sf_dir: str, model: str | None = None) -> DataFrame:
-    """Null and empty texts have no ids; repeated rows stay rows."""
+    """Null and empty texts have no ids; repeated rows stay rows; long texts are encoded whole, a window at a time; columns but id and text
+    are ignored; an empty table gives no rows."""
     return encoded(spread(table(spark, sf_dir, "documents")), load(model or default_model()))

@@ -345,7 +345,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data replaced in ``text``, and ``n_chars``, if there, counted anew. Null texts stay null."""
+    """``docs`` with personal data replaced in ``text``, and ``n_chars``, if there, counted anew.
+
+    Null and empty texts stay as they are; overlapping spans are replaced as one; repeated rows stay rows; long texts are read whole, in
+    time linear in them; other columns stay, whatever their names; an empty table gives no rows.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,7 +187,8 @@ def score(features: DataFrame, trees: Trees) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Null and empty texts are scored by their zero statistics; repeated rows stay rows."""
+    """Null and empty texts are scored by their zero statistics; repeated rows stay rows, and tie; a null id is held out if the crc32 of the
+    empty text says so; long texts are measured whole; columns but id and text are ignored; an empty table gives no rows."""
     features = stash(with_statistics(spread(table(spark, sf_dir, "documents"))), "statistics")
     trees = learn(features, table(spark, sf_dir, "labels"))
     return score(features, trees).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

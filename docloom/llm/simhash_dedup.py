@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``_row, doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``.
 
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay rows; ``component_id`` is the
-    smallest non-null doc_id reachable (null if none); other columns are ignored; an empty table gives no rows.
+    smallest non-null doc_id reachable (null if none); long texts are fingerprinted whole; other columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
     prints = stash(fingerprints(docs), "fp")
     distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -490,7 +491,11 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows one)."""
+    """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows one).
+
+    Null and empty texts have no shingle and are one group each time they are equal; texts of fewer than five words are one shingle; long
+    texts are compared whole; columns stay as they were, whatever their names; an empty table gives no rows.
+    """
     first = similar_components(docs, similarity, shingle).groupBy("root").agg(F.min(F.struct(*ROW)).alias("at")).select("at.*")
     # Columns of the input may have these names: they travel in a struct.
     rows = with_row(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_all"))).join(first, ROW)
