@@ -493,8 +493,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, one of each group of similar texts: that with the smallest doc_id (null last; of repeated rows one).
 
-    Null and empty texts have no shingle and are one group each time they are equal; texts of fewer than five words are one shingle; long
-    texts are compared whole; columns stay as they were, whatever their names; an empty table gives no rows.
+    Texts without words (null, empty, blank) are one group; one of fewer than five words is one shingle; long texts are compared whole;
+    columns stay as they were, whatever their names; an empty table gives no rows.
     """
     first = similar_components(docs, similarity, shingle).groupBy("root").agg(F.min(F.struct(*ROW)).alias("at")).select("at.*")
     # Columns of the input may have these names: they travel in a struct.
