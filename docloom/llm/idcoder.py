@@ -433,14 +433,24 @@ class Tokens:
         table = self.table
         # A word of letters and digits alone is its own stem, as most are.
         plain = pc.utf8_is_alnum(new).to_numpy(zero_copy_only=False)
-        marked = new.filter(pa.array(~plain)).to_pylist()
-        cut = [stem(w) for w in marked]
+        marked = new.filter(pa.array(~plain))
+        bare = pc.ascii_rtrim(marked, _MARKS)
+        fit = pc.and_(pc.utf8_is_alnum(pc.utf8_slice_codeunits(bare, -1)), pc.invert(pc.match_substring(marked, "\n"))).to_numpy(zero_copy_only=False)
+        cut = pc.utf8_length(bare).to_numpy(zero_copy_only=False).tolist()
+        marked = marked.to_pylist()
+        for i in np.flatnonzero(~fit).tolist():
+            cut[i] = stem(marked[i])
         places = np.arange(len(new))
         places[~plain] = len(new) + np.arange(len(marked))
         stems = pa.concat_arrays([new, pa.array([w[:n] for w, n in zip(marked, cut)], pa.string())]).take(pa.array(places))
         rests = pa.concat_arrays([pa.array([""], pa.string()), pa.array([w[n:] for w, n in zip(marked, cut)], pa.string())]).take(pa.array(np.where(plain, 0, places - len(new) + 1))).dictionary_encode()
         own = stems.unique()
-        known, gone = table.find(own)
+        # Few words are looked for in many: the many pass by a table of the few.
+        back = pc.index_in(table.words, value_set=own)
+        seen = np.flatnonzero(back.is_valid().to_numpy(zero_copy_only=False))
+        known, gone = np.zeros(len(own), _L), np.ones(len(own), bool)
+        at = back.drop_null().to_numpy()
+        known[at], gone[at] = seen, False
         ids, sizes = self.after_blanks(own.filter(pa.array(gone)))
         ids = np.append(table.ids, ids)
         starts, all_sizes = np.empty(len(own), _L), np.empty(len(own), _L)
