@@ -72,10 +72,16 @@ def html_escape(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
+def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def html_unescape(c: Column) -> Column:
+    """Character references resolved; texts without ``&`` stay in the JVM."""
+    has = F.contains(c, F.lit("&"))
+    return F.when(has, _unescaped(F.when(has, c))).otherwise(c)
+
+
 def strip_tags(c: Column, by: str = " ") -> Column:
     return F.regexp_replace(c, "<[^>]+>", by)
 

@@ -84,8 +84,12 @@ def scaled(hits: DataFrame, name: str) -> DataFrame:
 def merged(queries: DataFrame, chunks: DataFrame, top: int = TOP, texts: DataFrame | None = None) -> DataFrame:
     """``query_id, id, vec, bm25`` and both ranks: what fusing needs, whatever the weight. ``texts``: the same chunks without
     vectors, where those are kept apart, so that BM25 doesn't read vectors."""
-    v = scaled(knn(queries, chunks, top * SPREAD), "vec")
-    t = scaled(bm25(queries, chunks if texts is None else texts, top * SPREAD), "bm25")
+    return combined(knn(queries, chunks, top * SPREAD), bm25(queries, chunks if texts is None else texts, top * SPREAD))
+
+
+def combined(neighbours: DataFrame, matches: DataFrame) -> DataFrame:
+    """Both lists of hits scaled, and joined by question and chunk; a chunk that one of them lacks has 0 there."""
+    v, t = scaled(neighbours, "vec"), scaled(matches, "bm25")
     return v.join(t, ["query_id", "id"], "full_outer").withColumns({"vec": F.coalesce("vec", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))})
 
 
@@ -99,8 +103,19 @@ def fuse(hits: DataFrame, weight: Column, top: int = TOP, threshold: float = THR
 
 def retrieve(queries: DataFrame, chunks: DataFrame, top: int = TOP, weight: float = WEIGHT, threshold: float = THRESHOLD, texts: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, chunk_id, content, document_id, document_name, image_id, similarity``."""
-    best = fuse(merged(queries, chunks, top, texts), F.lit(weight), top, threshold).select("query_id", "rank", "id", "similarity")
-    named = (chunks if texts is None else texts).select("id", "content", "document_id", "document_name")
+    return _with_texts(fuse(merged(queries, chunks, top, texts), F.lit(weight), top, threshold), chunks if texts is None else texts)
+
+
+def retrieve_kept(queries: DataFrame, vectors, postings, texts: DataFrame, top: int = TOP, weight: float = WEIGHT, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """The same from a ``VectorIndex`` and a ``PostingsIndex`` of the chunks: no vector is read but those of the cells searched, and no text
+    but those of ``texts`` that are shown. Neighbours are those among 240 candidates or more, or, ``exact``, all."""
+    hits = combined(vectors.search(queries, top * SPREAD, exact=exact), postings.search(queries, top * SPREAD))
+    return _with_texts(fuse(hits, F.lit(weight), top, threshold), texts)
+
+
+def _with_texts(best: DataFrame, texts: DataFrame) -> DataFrame:
+    best = best.select("query_id", "rank", "id", "similarity")
+    named = texts.select("id", "content", "document_id", "document_name")
     return best.join(named, "id").select("query_id", "rank", F.col("id").alias("chunk_id"), "content", "document_id", "document_name", F.lit(None).cast("string").alias("image_id"), "similarity")
 
 

@@ -53,6 +53,19 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(T.questions(spark, sf_dir), T.chunks(spark, sf_dir, False)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {SQL_HITS} SELECT s.query_id, s.rank, s.id AS chunk_id, c.document_id, c.document_name, s.similarity FROM swept s JOIN chunks c ON c.id = s.id WHERE weight = 0.3")
+def hybrid_index_topn(spark, sf_dir):
+    """Hybrid retrieval from kept indexes of vectors and words, made here of all chunks."""
+    from docloom.operators.postings import PostingsIndex
+    from docloom.operators.vector_index import VectorIndex
+
+    texts = T.chunks(spark, sf_dir, False)
+    vectors = VectorIndex(spark, T.own_folder(spark, "vectors")).build(T.chunks(spark, sf_dir))
+    postings = PostingsIndex(spark, T.own_folder(spark, "postings")).build(texts)
+    got = retrieval.retrieve_kept(T.questions(spark, sf_dir), vectors, postings, texts, exact=True)
+    return got.select("query_id", "rank", "chunk_id", "document_id", "document_name", "similarity")
+
+
 @query(f"WITH {SQL_HITS} SELECT query_id, id, round(score, 6) AS score, rank FROM knn")
 def knn_index_topk(spark, sf_dir):
     """The exact neighbours from a kept index, made here of all chunks: cells that can't hold a better one aren't read."""
