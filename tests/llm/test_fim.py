@@ -83,3 +83,13 @@ def test_query_equals_brute_force(spark, sf_dir, texts):
     got = {r.doc_id: (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) for r in QUERIES["op12_fill_in_middle"](spark, sf_dir).collect()}
     want = {k: (*(b := brute(k, t))[:4], sha(b[4]), sha(t or "")) for k, t in texts.items()}
     assert got == want
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    columns = "doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256"
+    want = c.sql(f"select {columns} from ({fim.SQL}) order by doc_id").fetchall()
+    assert [tuple(r) for r in fim.query(spark, sf_dir).select(*columns.split(", ")).orderBy("doc_id").collect()] == want

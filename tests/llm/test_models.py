@@ -225,6 +225,25 @@ def test_recall_against_brute_force(spark, monkeypatch):
             assert s == pytest.approx(float(np.sqrt(((x[i].astype(float) - x[q]) ** 2).sum())), rel=1e-14)
 
 
+def test_routing_prunes_a_clustered_table(spark, monkeypatch):
+    """50,000 vectors in clusters: fewer than half of the parts are searched, and of the table's own neighbours 0.9 or more found."""
+    seen, real = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(300, 24))
+    x = (centres[rnd.integers(0, 300, 50_000)] + 0.35 * rnd.normal(size=(50_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = found(ann.search(df, F.col("id") % 500 == 0))
+    parts = seen[0].w2.shape[1]
+    assert parts == 24 and seen[0].probes < parts / 2, (parts, seen[0].probes)
+    hits = 0
+    for q in range(0, 50_000, 500):
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * 100, hits
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_query_against_brute_force(spark, monkeypatch, sf):
     """The table's own vectors go through parts as those of any size: recall of 0.9 or more, exact distances, more than one part."""
