@@ -649,7 +649,9 @@ def formats(spark, sf_dir):
 SQL_CATEGORY = f"{list(CATEGORIES)}[(event_id % {len(CATEGORIES)} + 1)::INT]"
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'Unknown' ELSE {SQL_CATEGORY} END AS category FROM events")
+@query(rf"""WITH r AS (SELECT event_id, own, lower(regexp_replace(own, '([a-z])([A-Z])', '\1-\2', 'g')) AS kebab FROM (SELECT event_id, {SQL_CATEGORY} AS own FROM events)),
+raw AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN kebab WHEN 1 THEN upper(replace(kebab, '-', '_')) WHEN 2 THEN replace(kebab, '-', ' ') WHEN 3 THEN own ELSE 'odd' || event_id END AS raw FROM r)
+SELECT event_id, coalesce(list_filter({list(CATEGORIES)}, lambda x: lower(x) = regexp_replace(lower(raw), '[\s_-]', '', 'g'))[1], 'Unknown') AS category FROM raw""")
 def categories(spark, sf_dir):
     """Codes in kebab, snake and blank style, in their own, and unknown ones."""
     e = F.col("event_id")
@@ -664,7 +666,9 @@ def json_getters(spark, sf_dir):
     return T.table(spark, sf_dir, "events").select("event_id", X.json_long(F.col("props"), "$.k").alias("k"), X.json_flag(F.col("props"), "$.k").alias("flag"))
 
 
-@query("SELECT event_id, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'application/pdf', 'application/octet-stream'][(event_id % 6 + 1)::INT] AS type, (4 + event_id % 50)::INT AS n FROM events")
+@query("""WITH r AS (SELECT event_id, ['89504E47', 'FFD8FFE0', '47494638', '52494646', '25504446', '00010203'][(event_id % 6 + 1)::INT] || repeat('41', (event_id % 50)::INT) AS h FROM events)
+SELECT event_id, CASE WHEN starts_with(h, '89504E47') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '47494638') THEN 'image/gif' WHEN starts_with(h, '52494646') THEN 'image/webp'
+  WHEN starts_with(h, '25504446') THEN 'application/pdf' ELSE 'application/octet-stream' END AS type, (length(h) // 2)::INT AS n FROM r""")
 def image_types(spark, sf_dir):
     e, heads = F.col("event_id"), ("89504E47", "FFD8FFE0", "47494638", "52494646", "25504446", "00010203")
     raw = F.base64(F.unhex(F.concat(F.element_at(F.array(*map(F.lit, heads)), (e % 6 + 1).cast("int")), F.repeat(F.lit("41"), (e % 50).cast("int")))))
@@ -675,7 +679,9 @@ def image_types(spark, sf_dir):
 _ENDS = (".DOCX", ".md", ".xls", "", ".svg", ".PDF", ".txt", ".xlsx", ".Jpg", "")
 
 
-@query("SELECT doc_id, ['docx', 'text', NULL, 'pdf', 'svg', 'pdf', 'text', 'xlsx', 'image', NULL][(doc_id % 10 + 1)::INT] AS kind FROM documents")
+@query(rf"""WITH r AS (SELECT doc_id, 'folder.d/' || source || {list(_ENDS)}[(doc_id % 10 + 1)::INT] AS path, CASE WHEN doc_id % 10 = 3 THEN 'application/pdf' ELSE '' END AS mime FROM documents),
+e AS (SELECT *, lower(regexp_extract(string_split(path, '/')[-1], '\.[^.]*$')) AS e FROM r)
+SELECT doc_id, CASE WHEN e IN ('.txt', '.md') THEN 'text' WHEN e IN ('.docx', '.xlsx', '.pdf', '.svg') THEN e[2:] WHEN e IN ('.png', '.jpg', '.jpeg', '.gif', '.webp') THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' END AS kind FROM e""")
 def file_dispatch(spark, sf_dir):
     from docloom.sources.files import kind_of
 
@@ -734,7 +740,10 @@ def json_questions(spark, sf_dir):
     return read_questions(spark, f"{at}/missing.json", at)
 
 
-@query("SELECT doc_id, doc_id % 5 IN (0, 1) AS usable FROM documents")
+@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || to_json([{'doc_id': doc_id, 'text': text}]) || chr(10) || '```' WHEN 1 THEN '<svg><text>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</text></svg>'
+  WHEN 2 THEN '  ' WHEN 3 THEN '[' || doc_id || ',' ELSE text END AS t FROM documents),
+b AS (SELECT doc_id, t, trim(regexp_replace(regexp_replace(trim(t, E' \t\r\n'), '^```[A-Za-z]*[ \t]*\r?\n?', ''), '\r?\n?```$', ''), E' \t\r\n') AS b FROM r)
+SELECT doc_id, coalesce(regexp_matches(t, '\S') AND (starts_with(lower(b), '<svg') OR ((starts_with(b, '[') OR starts_with(b, '{')) AND json_valid(b))), false) AS usable FROM b""")
 def usable_output(spark, sf_dir):
     d = F.col("doc_id")
     t = F.when(d % 5 == 0, F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct("doc_id", "text"))), F.lit("\n```"))).when(d % 5 == 1, F.concat(F.lit("<svg><text>"), X.html_escape(F.col("text")), F.lit("</text></svg>"))).when(d % 5 == 2, "  ").when(d % 5 == 3, F.concat(F.lit("["), d.cast("string"), F.lit(",")))
@@ -802,7 +811,9 @@ def message_ratings(spark, sf_dir):
     return conversations.with_ratings(conversations.with_message_ids(T.messages(spark, sf_dir)), own, F.lit("u1")).select("session_id", "turn", "rated")
 
 
-@query("""SELECT doc_id AS id, unnest([0, 2]) AS pos, unnest([doc_id % 3, doc_id % 2])::INT AS idx, unnest(['c' || doc_id % 3 || source, 'c' || doc_id % 2 || source]) AS chunk FROM documents""")
+@query(r"""WITH r AS (SELECT doc_id AS id, 'See [ID:' || doc_id % 3 || '], [ID: 7] and ##' || doc_id % 2 || '$$.' AS said, ['c0' || source, 'c1' || source, 'c2' || source] AS chunks FROM documents),
+m AS (SELECT id, chunks, unnest(x) AS mark, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(said, '\[ID:\s*(\d+)\]|##(\d+)\$\$') AS x FROM r)),
+i AS (SELECT *, regexp_replace(mark, '\D', '', 'g')::INT AS idx FROM m) SELECT id, pos, idx, chunks[idx + 1] AS chunk FROM i WHERE idx < len(chunks)""")
 def citations(spark, sf_dir):
     """Three marks a message, of which the second names no chunk."""
     d = F.col("doc_id")
@@ -828,7 +839,9 @@ def completion_json(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("id"), conversations.completion_json(F.col("source"), F.array("lang")).alias("json"))
 
 
-@query("SELECT doc_id, ['html', 'pipes', 'plain'][(doc_id % 3 + 1)::INT] AS kind, CASE WHEN doc_id % 3 = 1 THEN (2 + doc_id % 5)::INT ELSE 0 END AS n FROM documents")
+@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x <TABLE><tr/></TABLE>' || source WHEN 1 THEN '| a | b |' || chr(10) || '|---|---|' || repeat(chr(10) || '| c | d |', (1 + doc_id % 5)::INT) ELSE 'words of ' || source END AS c FROM documents),
+l AS (SELECT doc_id, c, list_filter(string_split_regex(c, '\r?\n'), lambda x: starts_with(trim(x), '|')) AS piped FROM r)
+SELECT doc_id, CASE WHEN contains(lower(c), '<table') THEN 'html' WHEN len(piped) >= 2 THEN 'pipes' ELSE 'plain' END AS kind, len(list_filter(piped, lambda x: NOT regexp_full_match(trim(x), '[|:\- ]+')))::INT AS n FROM l""")
 def chunk_rendering(spark, sf_dir):
     d = F.col("doc_id")
     pipes = F.concat(F.lit("| a | b |\n|---|---|"), F.repeat(F.lit("\n| c | d |"), (1 + d % 5).cast("int")))
@@ -877,7 +890,9 @@ def markdown_report(spark, sf_dir):
     return evaluation.markdown_table(T.table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n")), ["quality"])
 
 
-@query("""SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN quality::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS score, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 1 THEN '' ELSE 'r' || doc_id END AS reason, doc_id % 5 = 3 AS is_error FROM labels""")
+@query(r"""WITH r AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || '{"score": ' || quality || ', "reason": "r' || doc_id || '"}' || chr(10) || '```' WHEN 1 THEN 'Sure: {"score": 7}' WHEN 2 THEN '{"reason": "r' || doc_id || '"}'
+  WHEN 3 THEN 'no json' ELSE '{"score": -3, "reason": "r' || doc_id || '"}' END AS raw FROM labels), b AS (SELECT id, regexp_extract(coalesce(raw, ''), '(?s)\{.*\}') AS b FROM r), f AS (SELECT *, b <> '' AND json_valid(b) AS fine FROM b)
+SELECT id, CASE WHEN fine THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(json_extract_string(b, '$.score') AS DOUBLE), 0))) ELSE -1.0 END AS score, CASE WHEN fine THEN coalesce(json_extract_string(b, '$.reason'), '') END AS reason, NOT fine AS is_error FROM f""")
 def score_json(spark, sf_dir):
     d = F.col("doc_id")
     reason = F.concat(F.lit('"reason": "r'), d.cast("string"), F.lit('"}'))
