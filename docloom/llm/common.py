@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,11 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import shared
+from docloom.shared import shared_dir as shared_dir
+from docloom.shared import written as stash  # cuts lineage, and its rows survive lost executors
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: list[str] = []
 _SHIPPED: set[str] = set()
 
 
@@ -42,35 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    return _LOCAL[0]
-
-
-def stash(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and its rows survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
-    out._docloom_path = path
-    return out
-
-
 def discard(df: DataFrame | None) -> None:
     """Remove the files of a ``stash`` that nothing reads any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    if df is not None:
+        shared.discard(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
