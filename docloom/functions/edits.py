@@ -15,6 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.shared import by_value
+
+by_value(__name__)
 FIRST_BAND = 32
 #: Cells of a table up to which the JVM's own function, which fills all of it, is used for characters.
 SMALL = 1 << 16

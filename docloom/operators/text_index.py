@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import text_or_empty
 from docloom.operators.versioned import VersionedTable
+from docloom.shared import ship
 
 BITS = 1 << 18
 #: Words of a signature that lie in one folder, and bytes of text that are taken apart at once.
@@ -33,6 +34,7 @@ def positions(data: np.ndarray) -> np.ndarray:
 
 class SubstringIndex:
     def __init__(self, table: VersionedTable, path: str, text: str = "content") -> None:
+        ship(table.spark)
         self.table, self.text = table, text
         self.signatures = VersionedTable(table.spark, path)
 

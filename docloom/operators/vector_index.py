@@ -22,6 +22,7 @@ from docloom.functions.vectors import dot, norm
 from docloom.operators.acl import visible_to
 from docloom.operators.retrieval import SPREAD, TOP, top_k
 from docloom.operators.versioned import VersionedTable
+from docloom.shared import ship
 
 #: Vectors that a question looks at, at least, where a dataset has as many.
 CANDIDATES = 240
@@ -75,6 +76,7 @@ class VectorIndex:
     """``rows``: id, dataset, tags and vector by dataset and cell; ``cells``: counts and widest angles; ``centroids``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        ship(spark)
         self.spark = spark
         self.rows, self.cells, self.centroids = (VersionedTable(spark, f"{path.rstrip('/')}/{n}") for n in ("rows", "cells", "centroids"))
 

@@ -17,9 +17,11 @@ from docloom.functions.text import chunk_id
 from docloom.schemas import DEPARTMENTS, DOC_TYPES, SCOPES, STATUSES
 from docloom.shared import own_folder as own_folder
 from docloom.shared import shared_dir as shared
+from docloom.shared import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     n = spark.sparkContext.defaultParallelism
     # A text table in one small file would keep one core busy; filters and column pruning pass the repartitioning.

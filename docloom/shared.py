@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once in an application, so that Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        top = Path(__file__).resolve().parent
+        path = f"{tempfile.mkdtemp(prefix='docloom-')}/docloom.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted([*top.rglob("*.py"), *top.rglob("*.txt")]):
+                z.write(p, f"{top.name}/{p.relative_to(top)}")
+        spark.sparkContext.addPyFile(path)
+
+
+def by_value(module: str) -> None:
+    """Functions of a module travel to workers whole, for those that start before the package is sent, or beside it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
 def shared_dir(spark: SparkSession) -> str:

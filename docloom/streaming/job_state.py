@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.schemas import JOB_STATES
+from docloom.shared import by_value
 
+by_value(__name__)
 EVENTS = "job_id string, file_name string, state string, message string, at timestamp"
 STATES = "job_id string, file_name string, state string, message string, queued_at timestamp, finished_at timestamp, at timestamp, change string"
 _HELD = "file_name string, state string, message string, queued_at timestamp, finished_at timestamp, at timestamp"
