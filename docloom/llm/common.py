@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +14,13 @@ from pyspark.sql import functions as F
 
 from docloom import shared
 from docloom.shared import shared_dir as shared_dir
+from docloom.shared import ship as ship
 from docloom.shared import written as stash  # cuts lineage, and its rows survive lost executors
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once in an application, so that Python workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        top = Path(__file__).resolve().parents[1]
-        path = f"{tempfile.mkdtemp(prefix='docloom-')}/docloom.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted([*top.rglob("*.py"), *top.rglob("*.txt")]):
-                z.write(p, f"{top.name}/{p.relative_to(top)}")
-        spark.sparkContext.addPyFile(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
