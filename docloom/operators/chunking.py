@@ -89,8 +89,10 @@ def layout_chunks(elements: DataFrame) -> DataFrame:
 
     Headers, tables and full chunks are breaks; their number up to an element is the number of its chunk, whose texts are gathered. The
     cut at 8,000 characters depends on all before it: see ``_cut_starts``, which handles numbers alone. Null is a document of its own.
+    The elements are written to the shared folder; ``discard`` of the result, once it has been used, removes them.
     """
-    kept = elements.where(~F.col("category").isin(*DROPPED))
+    # Elements are made once: numbers, texts and tables are taken from what is written.
+    kept = written(elements.where(~F.col("category").isin(*DROPPED)).select("document_id", "ord", "category", "text", "page", "bbox"), "elements")
     is_header, is_table = F.coalesce(F.col("category").isin(*HEADERS), F.lit(False)), F.coalesce(F.col("category") == "Table", F.lit(False))
     along = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     numbers = kept.select("document_id", "ord", (is_header | is_table).alias("breaks"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
@@ -119,7 +121,9 @@ def layout_chunks(elements: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("_at", "_p")) - 1
     content = F.when(F.col("section").isNotNull(), F.concat(F.lit("## "), "section", F.lit("\n\n"), "content")).otherwise(F.col("content"))
     out = texts.unionByName(tables)
-    return out.select(F.col("document_id").cast("string").alias("document_id"), number.cast("int").alias("chunk_no"), content.alias("content"), "content_type", F.col("page").cast("int").alias("page"), F.col("bbox").cast(BBOX).alias("bbox"), "section")
+    out = out.select(F.col("document_id").cast("string").alias("document_id"), number.cast("int").alias("chunk_no"), content.alias("content"), "content_type", F.col("page").cast("int").alias("page"), F.col("bbox").cast(BBOX).alias("bbox"), "section")
+    out._docloom_path = kept._docloom_path
+    return out
 
 
 def fixed_chunks(texts: DataFrame, size: int, key: str = "document_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.operators.chunking import layout_chunks
 from docloom.operators.elements import text_elements
 from docloom.operators.store import latest, swap
+from docloom.shared import discard
 
 JOB = "job_id string, dataset_id string, document_id string, text string, file_name string, department string, doc_type string, scope string, status string, queued_at timestamp"
 REPARSE = "job_id string, document_id string, file_name string, queued_at timestamp"
@@ -39,6 +40,7 @@ def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], n: int,
         chunks = layout_chunks(text_elements(own.where("trim(coalesce(text, '')) <> ''")))
         tags = own.select(F.col("document_id").alias("_d"), "job_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
         chunks.join(tags, F.col("document_id").eqNullSafe(F.col("_d"))).drop("_d").write.mode("overwrite").parquet(f"{path}/piece={piece}")
+        discard(chunks)
     except Exception as e:
         if n <= 1:
             failed += [(r["document_id"], f"{type(e).__name__}: {e}"[:500]) for r in own.select("document_id").collect()]
