@@ -64,3 +64,32 @@ def test_late_events_are_dropped(jobs):
     jobs.run(("z", "pending", None, AT(11, 1)))
     jobs.run(("a", "done", "too late", AT(9, 1)), ("b", "done", "in time", AT(11, 2)))
     assert jobs.current()["a"] == ("processing", None) and jobs.current()["b"] == ("done", "in time")
+
+
+def test_many_events_of_a_job_cost_little():
+    """Each event is a row, not a table of its own."""
+    import time
+
+    from pyspark.sql import Row
+
+    class State:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        timers = []
+        getValueState = lambda self, name, schema: State()
+        registerTimer = timers.append
+
+    jobs = J.Jobs()
+    jobs.init(Handle())
+    events = [Row(job_id="a", file_name="f", state=("pending", "processing", None)[i % 3], message=None, at=AT(9) + dt.timedelta(seconds=i)) for i in range(20_000)]
+    began = time.process_time()
+    told = list(jobs.handleInputRows(("a",), iter([*events, Row(job_id="a", file_name="f", state="done", message="m", at=None)]), None))
+    assert time.process_time() - began < 5 and len(told) == 20_001
+    assert [told[i].change for i in (0, 1, 2, 3, 4)] == ["new", "moved", "refused", "refused", "repeated"]
+    assert (told[-1].change, told[-1].state, told[-1].at) == ("moved", "done", None) and jobs.state.get()[1] == "done" and not Handle.timers
