@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,11 @@ CEILING, SMALL_TABLE, TABLE_BATCH = 8000, 1500, 1200
 DROPPED, HEADERS = ("PageHeader", "PageFooter", "Picture"), ("Title", "SectionHeader")
 
 
-def with_section(elements: DataFrame) -> DataFrame:
-    """Elements with the header they stand under; a header without text resets it. Dropped categories are gone."""
+def with_section(elements: DataFrame, trim: Callable[[Column], Column] = trim_ws) -> DataFrame:
+    """Elements with the header they stand under, ``trim`` at its ends; a header without text resets it. Dropped categories are gone."""
     w = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     kept = elements.where(~F.col("category").isin(*DROPPED))
-    header = F.when(F.col("category").isin(*HEADERS), F.struct(trim_ws(F.col("text")).alias("h")))
+    header = F.when(F.col("category").isin(*HEADERS), F.struct(trim(F.col("text")).alias("h")))
     return kept.withColumn("section", F.last(header, ignorenulls=True).over(w)["h"])
 
 
@@ -190,7 +192,7 @@ def union_bbox(elements: DataFrame, *by: str) -> DataFrame:
     return elements.where("bbox is not null").groupBy(*by).agg(F.struct(F.min(c("bbox.x1")).alias("x1"), F.min(c("bbox.y1")).alias("y1"), F.max(c("bbox.x2")).alias("x2"), F.max(c("bbox.y2")).alias("y2")).alias("bbox"))
 
 
-def join_texts(elements: DataFrame, by: str = "document_id") -> DataFrame:
-    """Texts joined by a blank line, in order."""
-    rows = elements.where(~is_blank(F.col("text"))).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
-    return rows.select(by, F.array_join(F.transform("x", lambda e: trim_ws(e["text"])), "\n\n").alias("text"))
+def join_texts(elements: DataFrame, by: str = "document_id", trim: Callable[[Column], Column] = trim_ws) -> DataFrame:
+    """Texts joined by a blank line, in order, ``trim`` at their ends."""
+    rows = elements.where(trim(F.coalesce("text", F.lit(""))) != "").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
+    return rows.select(by, F.array_join(F.transform("x", lambda e: trim(e["text"])), "\n\n").alias("text"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import category_code, is_blank, is_foreign, let, placeholder_if_listed, strip_fence, trim_ws
+from docloom.functions.text import category_code, is_blank, is_foreign, let, placeholder_if_listed, strip_fence, trim_blanks, trim_ws
 from docloom.schemas import BBOX
 
 LAYOUT = "array<struct<bbox:array<int>,category:string,text:string>>"
@@ -32,23 +33,24 @@ def is_heading(t: Column) -> Column:
     return (F.char_length(t) < 100) & ~t.endswith(".") & ~t.endswith(",")
 
 
-def text_elements(docs: DataFrame, document_id: str = "document_id", text: str = "text") -> DataFrame:
+def text_elements(docs: DataFrame, document_id: str = "document_id", text: str = "text", trim: Callable[[Column], Column] = trim_ws) -> DataFrame:
     """``document_id, ord, page, category, text, bbox`` in text order.
 
     Paired tables are elements of their own; other stretches give their lines of over 20 characters, or, where one line of over
     2,000 characters is all there is, windows of 2,000. ``##`` lines and short lines that don't end a sentence are headers; lines
-    of a pipe table stay text. A text without any element is one element.
+    of a pipe table stay text. A text without any element is one element. ``trim`` says what goes at the ends of a line or window:
+    all white space, as the service does, or blanks alone, as SQL does.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     segments = F.split(F.regexp_replace(whole, r"(?is)(<table>.*?</table>)", "\u0001$1\u0001"), "\u0001")
     one = lambda kind, x: F.struct(F.lit(kind).alias("k"), x.alias("x"))
-    long_ = lambda x: F.char_length(trim_ws(x)) > LEAST_LINE
+    long_ = lambda x: F.char_length(trim(x)) > LEAST_LINE
 
     def of_segment(segment: Column) -> Column:
         cut = lambda lines: F.when((F.size(lines) <= 1) & (F.char_length(segment) > WINDOW), F.filter(windows(segment, WINDOW), long_)).otherwise(lines)
         lines = let(F.filter(F.split(segment, r"\r?\n"), long_), cut)
         table = F.lower(F.ltrim(segment)).startswith("<table>")
-        return F.when(table, F.array(one("t", trim_ws(segment)))).otherwise(F.transform(lines, lambda x: one("p", trim_ws(x))))
+        return F.when(table, F.array(one("t", trim_ws(segment)))).otherwise(F.transform(lines, lambda x: one("p", trim(x))))
 
     # All within a row: a document's elements need no shuffle.
     own = docs.select(F.col(document_id).alias("document_id"), whole.alias("_all"), F.flatten(F.transform(segments, of_segment)).alias("_own"))
@@ -84,7 +86,7 @@ def second_ocr_elements(pages: DataFrame, json: str = "json") -> DataFrame:
     rows = pages.select("document_id", "page", F.posexplode(parsed["results"]).alias("ord", "e")).where(~is_blank(F.col("e.text")))
     b = F.col("e.bbox")
     bbox = F.when(F.size(b) >= 4, F.struct(*[F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])).otherwise(box(0, 0, 1000, 50))
-    return rows.select("document_id", "page", "ord", F.lit("Text").alias("category"), F.trim("e.text").alias("text"), bbox.cast(BBOX).alias("bbox"))
+    return rows.select("document_id", "page", "ord", F.lit("Text").alias("category"), trim_blanks(F.col("e.text")).alias("text"), bbox.cast(BBOX).alias("bbox"))
 
 
 def quad_bbox(quad: Column) -> Column:
@@ -97,7 +99,7 @@ def ocr_text(elements: DataFrame) -> DataFrame:
     """``document_id, text``: elements joined in page order, without page headers, footers and pictures."""
     kept = elements.where(~F.col("category").isin("PageHeader", "PageFooter", "Picture") & ~is_blank(F.col("text")))
     rows = kept.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "ord", "text"))).alias("x"))
-    return rows.select("document_id", F.array_join(F.transform("x", lambda e: F.trim(e["text"])), "\n").alias("text"))
+    return rows.select("document_id", F.array_join(F.transform("x", lambda e: trim_blanks(e["text"])), "\n").alias("text"))
 
 
 @F.pandas_udf(T.StringType())
@@ -129,7 +131,7 @@ def clean_elements(elements: DataFrame, listed_words: list[str] | None = None) -
 
 def repetitive_pages(elements: DataFrame, least: int = 5, most: float = 0.6) -> DataFrame:
     """``document_id, page, repetitive``: at least five texts, of which the two most frequent make over 60%."""
-    texts = elements.where(~is_blank(F.col("text"))).groupBy("document_id", "page", F.trim("text").alias("t")).count()
+    texts = elements.where(~is_blank(F.col("text"))).groupBy("document_id", "page", trim_blanks(F.col("text")).alias("t")).count()
     w = Window.partitionBy("document_id", "page")
     top = texts.withColumn("r", F.row_number().over(w.orderBy(F.col("count").desc(), "t")))
     sums = top.groupBy("document_id", "page").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("r") <= 2, F.col("count"))).alias("two"))
@@ -162,9 +164,9 @@ def pdf_elements(text_rows: DataFrame, ocr_rows: DataFrame) -> DataFrame:
     return digital.unionByName(ocr_rows.join(empty, ["document_id", "page"], "left_semi").select(*digital.columns)).sortWithinPartitions("document_id", "page")
 
 
-def svg_text(c: Column) -> Column:
-    """Texts of an SVG, a line each; the input where there is none."""
+def svg_text(c: Column, trim: Callable[[Column], Column] = trim_ws) -> Column:
+    """Texts of an SVG, a line each, ``trim`` at their ends; the input where there is none."""
     from docloom.functions.text import html_unescape
 
-    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<text\b[^>]*>(.*?)</text>"), F.lit(1)), lambda x: trim_ws(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
+    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(?is)<text\b[^>]*>(.*?)</text>"), F.lit(1)), lambda x: trim(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: trim_ws(x) != "")
     return F.when(F.size(found) > 0, html_unescape(F.array_join(found, "\n"))).otherwise(c)
