@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.acl import Viewer, visible
 from docloom.schemas import TAG_VALUES
+from docloom.shared import written
 
 
 def scan_dataset(chunks: DataFrame, viewer: Viewer, cap: int | None = None) -> DataFrame:
@@ -141,8 +142,9 @@ def sort_documents(docs: DataFrame, by: str = "name", descending: bool = False)
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``pos``, their place in the order, from 0; rows that tie may take each other's. They are dealt by ranges of it, and a
-    range's first place is the sum of the ranges before: no row is sorted in one task with all others."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    range's first place is the sum of the ranges before: no row is sorted in one task with all others. The dealt rows are written, as their
+    ranges are read twice: planned twice, they would be cut otherwise by size. Give the columns that are needed alone."""
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}), "numbered")
     first = dealt.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_m0"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     first = first.select("_p", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))

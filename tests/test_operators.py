@@ -428,3 +428,21 @@ def test_stand_in_models_feed_retrieval(spark):
     q = spark.createDataFrame([(1, "red apple", "ds", True, None)], "query_id long, question string, dataset_id string, is_admin boolean, department string")
     got = retrieval.retrieve(models.embed_questions(q), models.embed_chunks(chunks).withColumns({"document_id": F.col("id"), "document_name": F.col("id")})).orderBy("rank").collect()
     assert got[0].chunk_id == "0" and got[0].similarity == 1.0 and "2" not in {r.chunk_id for r in got}
+
+
+def test_numbered_wide_rows(spark):
+    """Ranges of rows with texts are cut by size otherwise than ranges of the keys alone: each row has its place still."""
+    from docloom.operators.store import numbered
+
+    own = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        wide = spark.range(3000).select((F.col("id") * 3).alias("k"), F.concat(*[F.sha2(F.concat(F.lit(str(i)), F.col("id").cast("string")), 512) for i in range(4)]).alias("t"))
+        got = {r.k: r.pos for r in numbered(wide.repartition(5), F.col("k")).where("t is not null").select("k", "pos").collect()}
+        whole = numbered(wide.repartition(5), F.col("k")).agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("t"), F.sum("pos").alias("p")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {3 * i: i for i in range(3000)} and (whole.n, whole.t, whole.p) == (3000, 3000 * 512, 3000 * 2999 // 2)
