@@ -108,8 +108,9 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     met = places.where(both).select("document_id", "old_no", "new_no").unionByName(met.select("document_id", "old_no", "new_no"))
     pairs = met.where("old_no is not null and new_no is not null")
     # Pairs that change places with another: one before in the old order that comes later in the new one, or the other way round.
-    by_new = Window.partitionBy("document_id").orderBy("new_no")
-    pairs = pairs.withColumns({"_most": F.max("old_no").over(by_new.rowsBetween(Window.unboundedPreceding, -1)), "_least": F.min("old_no").over(by_new.rowsBetween(1, Window.unboundedFollowing))})
+    # Both from frames that grow: one that shrinks is summed up anew for each row.
+    upto = lambda *order: Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumns({"_most": F.max("old_no").over(upto(F.col("new_no"))), "_least": F.min("old_no").over(upto(F.col("new_no").desc()))})
     crossed = F.coalesce(F.col("_most") > F.col("old_no"), F.lit(False)) | F.coalesce(F.col("_least") < F.col("old_no"), F.lit(False))
     pairs = pairs.withColumn("_crossed", crossed).drop("_most", "_least")
 

@@ -168,3 +168,11 @@ def test_moved_chunks_keep_their_vectors(made):
     store.reingest(fresh.where("chunk_no in (0, 5)").withColumn("chunk_no", F.when(F.col("chunk_no") == 5, 1).otherwise(0)), EMBED)
     assert {r.chunk_no: r.content for r in store.read().where("document_id = 'd11'").collect()} == {0: "in front", 1: "text 11 4"}
     assert store.read().where("document_id = 'd10'").count() == 12
+
+
+def test_differences_of_a_long_document_take_no_shrinking_frames(spark):
+    """A frame up to the end is gone through anew for each row: quadratic in a document's chunks."""
+    rows = spark.range(2000).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("chunk_no"), F.col("id").cast("string").alias("content"))
+    got = differences(rows, rows.withColumn("chunk_no", 1999 - F.col("chunk_no")))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == {"moved": 1999, "kept": 1}
