@@ -148,7 +148,9 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     first = dealt.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_m0"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     first = first.select("_p", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    return dealt.join(first, "_p").select(*rows.columns, (F.col("_o") + F.col("_m") - F.col("_m0")).alias("pos"))
+    out = dealt.join(F.broadcast(first), "_p").select(*rows.columns, (F.col("_o") + F.col("_m") - F.col("_m0")).alias("pos"))  # a row for each range
+    out._docloom_path = dealt._docloom_path
+    return out
 
 
 def department_counts(chunks: DataFrame, top: int = 20) -> DataFrame:

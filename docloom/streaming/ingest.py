@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import layout_chunks
 from docloom.operators.elements import text_elements
-from docloom.operators.store import latest, swap
+from docloom.operators.store import latest, numbered, swap
 from docloom.shared import discard
 
 JOB = "job_id string, dataset_id string, document_id string, text string, file_name string, department string, doc_type string, scope string, status string, queued_at timestamp"
@@ -63,11 +63,9 @@ def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _states(jobs, "pending", f"{log}/step=0")
         last = latest(jobs, ["document_id"], "queued_at", "job_id")
-        # A row for each document of the batch, written with its place: the places hold whatever is computed again.
-        order = Window.orderBy(F.col("document_id").asc_nulls_first())
-        held = f"{states_path}/_places/queue={queue}/batch={batch_id}"
-        last.withColumn(_PLACE, F.row_number().over(order) - 1).write.mode("overwrite").parquet(held)
-        last = spark.read.parquet(held)
+        # A row for each document of the batch, written as it gets its place: the places hold whatever is computed again.
+        last = placed = numbered(last, F.col("document_id").asc_nulls_first())
+        last = last.withColumnRenamed("pos", _PLACE)
         _states(last, "processing", f"{log}/step=1")
         failed: list[tuple[str, str]] = []
         _chunked(last, own, failed, last.count())
@@ -81,6 +79,7 @@ def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id:
         state = F.when(old | (c("n") > 0), "done").otherwise("failed")
         rows = rows.select("job_id", "document_id", "file_name", state.alias("state"), message.alias("message"), F.current_timestamp().alias("at"), F.current_timestamp().alias("finished_at"))
         rows.write.mode("overwrite").parquet(f"{log}/step=2")
+        discard(placed)
     finally:
         jobs.unpersist()
 

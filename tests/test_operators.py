@@ -446,3 +446,22 @@ def test_numbered_wide_rows(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == {3 * i: i for i in range(3000)} and (whole.n, whole.t, whole.p) == (3000, 3000 * 512, 3000 * 2999 // 2)
+
+
+def test_places_of_a_batch_are_counted_in_many_tasks(spark, tmp_path, monkeypatch):
+    """No task reads the texts of all jobs of a micro-batch."""
+    seen = {}
+    monkeypatch.setattr(ingest, "discard", lambda *tables: [seen.setdefault(t._docloom_path, (t.columns, sorted(r[0] for r in t.select("pos").collect()), spark.read.parquet(t._docloom_path).select("_p").distinct().count())) for t in tables if "pos" in t.columns])
+    own = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        jobs = spark.range(400).select(*[F.col("id").cast("string").alias(c) for c in ("job_id", "document_id")], F.lit("en").alias("dataset_id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 4).alias("text"), *[F.lit("x").alias(c) for c in ("file_name", "department", "doc_type", "scope", "status")], F.current_timestamp().alias("queued_at"))
+        ingest.ingest_batch(jobs, f"file://{tmp_path}/chunks", f"file://{tmp_path}/states", 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    ((columns, places, files),) = seen.values()
+    assert "text" in columns and places == list(range(400)) and files > 1
+    assert ingest.current_chunks(spark, f"file://{tmp_path}/chunks", f"file://{tmp_path}/states").count() == 400
