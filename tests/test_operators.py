@@ -465,3 +465,12 @@ def test_places_of_a_batch_are_counted_in_many_tasks(spark, tmp_path, monkeypatc
     ((columns, places, files),) = seen.values()
     assert "text" in columns and places == list(range(400)) and files > 1
     assert ingest.current_chunks(spark, f"file://{tmp_path}/chunks", f"file://{tmp_path}/states").count() == 400
+
+
+def test_lines_without_a_mark_cost_no_search_for_labels(spark):
+    """Lines with neither a colon nor braces go before any pattern is tried; fields and their order stay."""
+    t = "word " * 50 + "\n{{ One }} and Two: ____ " + "x" * 90 + " Three: ...\nplain. Four: …\n" + "y" * 85 + ": __\nFive:\nSix.Seven:__"
+    got = forms.detect_fields(spark.createDataFrame([(1, t)], "template_id int, text string"))
+    assert "Contains(_line" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.pos, r.label) for r in got.orderBy("pos").collect()][:2] == [(0, "One"), (1, "and Two")]
+    assert {"Three", "Four", "Five", "Seven"} <= {r.label.split()[-1] for r in got.collect()}
