@@ -104,3 +104,13 @@ def test_far_texts_take_one_pass():
     far = time.process_time() - began
     began = time.process_time()
     assert d == E.whole(a, b) and far < 2 * (time.process_time() - began) + 0.5
+
+
+def test_far_lists_of_words_take_one_pass():
+    rnd = random.Random(11)
+    a, b = ([f"w{rnd.randint(0, 3000)}" for _ in range(6000)] for _ in range(2))
+    began = time.process_time()
+    d = E.distance(a, b)
+    far = time.process_time() - began
+    began = time.process_time()
+    assert d == E.whole(b, a) and far < 2 * (time.process_time() - began) + 0.5
