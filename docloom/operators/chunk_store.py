@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.acl import Viewer, visible
-from docloom.operators.versioned import VersionedTable, chunk_bucket
+from docloom.operators.versioned import SPREAD, VersionedTable, chunk_bucket
 from docloom.schemas import TAG_VALUES
 
 KEYS, PARTS = ["document_id", "chunk_no"], ["dataset_id", "status", "_bucket"]
@@ -24,11 +24,14 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.table = VersionedTable(spark, path)
 
-    def _laid(self, chunks: DataFrame, buckets: int | None = None) -> DataFrame:
-        return chunks.withColumn("_bucket", chunk_bucket(buckets or self.table.manifest().properties["buckets"]))
+    def _laid(self, chunks: DataFrame, layout: dict | None = None) -> DataFrame:
+        layout = layout or self.table.manifest().properties
+        # A store that says nothing of a spread was laid out without one.
+        return chunks.withColumn("_bucket", chunk_bucket(layout["buckets"], spread=layout.get("spread")))
 
     def create(self, chunks: DataFrame, buckets: int = BUCKETS) -> ChunkStore:
-        self.table.create(self._laid(chunks, buckets), KEYS, PARTS, "_bucket", buckets=buckets)
+        layout = {"buckets": buckets, "spread": SPREAD}
+        self.table.create(self._laid(chunks, layout), KEYS, PARTS, "_bucket", **layout)
         return self
 
     def read(self, version: int | None = None) -> DataFrame:

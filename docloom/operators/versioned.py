@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Versions that stay readable when old files are removed.
 KEEP = 2
+#: Buckets that the chunks of one document lie in, at most.
+SPREAD = 4
 
 
 class Conflict(RuntimeError):
@@ -32,9 +34,13 @@ def bucket_of(buckets: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def chunk_bucket(buckets: int, span: int = 4096) -> Column:
-    """The bucket of a chunk: all chunks of a document lie in one, but for documents of more than ``span`` chunks, which lie in several."""
-    return bucket_of(buckets, F.col("document_id"), F.floor(F.coalesce("chunk_no", F.lit(0)) / span))
+def chunk_bucket(buckets: int, span: int = 4096, spread: int | None = SPREAD) -> Column:
+    """The bucket of a chunk: all chunks of a document lie in one, but for documents of more than ``span`` chunks, which lie in several, at most
+    ``spread``: however long they grow, a change of one doesn't touch the others' buckets. Without ``spread`` a long document lies in all."""
+    place = F.floor(F.coalesce("chunk_no", F.lit(0)) / span)
+    if spread is None:
+        return bucket_of(buckets, F.col("document_id"), place)
+    return F.pmod(bucket_of(buckets, F.col("document_id")) + F.pmod(place, F.lit(spread)), F.lit(buckets)).cast("int")
 
 
 def _nullable(schema: T.StructType) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.operators import store as plain
 from docloom.operators.acl import Viewer, visible
 from docloom.operators.chunk_store import ChunkStore, differences, longest_rise
+from docloom.operators.versioned import chunk_bucket
 from docloom.schemas import DEPARTMENTS, SCOPES, STATUSES
 
 SCHEMA = "id string, document_id string, chunk_no int, content string, dataset_id string, document_name string, department string, doc_type string, scope string, status string, embedding array<float>"
@@ -176,3 +177,24 @@ def test_differences_of_a_long_document_take_no_shrinking_frames(spark):
     got = differences(rows, rows.withColumn("chunk_no", 1999 - F.col("chunk_no")))
     assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
     assert {r.kind: r["count"] for r in got.groupBy("kind").count().collect()} == {"moved": 1999, "kept": 1}
+
+
+def test_a_change_of_a_long_document_leaves_most_buckets(spark, tmp_path):
+    """However long its documents are, what a change writes doesn't grow beyond their own few buckets."""
+    rows = spark.range(60_000).select((F.col("id") % 2).cast("string").alias("document_id"), F.col("id").cast("int").alias("chunk_no"), F.lit("x").alias("content"), F.lit("en").alias("dataset_id"), F.lit("HR").alias("department"), F.lit("draft").alias("status"))
+    store = ChunkStore(spark, f"file://{tmp_path}/long").create(rows, buckets=64)
+    before = folders(store)
+    store.delete_document("1")
+    assert store.read().count() == 30_000 and len(before - folders(store)) <= 4
+    store.upsert(rows.where("chunk_no = 59998").withColumn("content", F.lit("new")))
+    assert store.read().where("content = 'new'").count() == 1 and store.read().count() == 30_000
+
+
+def test_a_store_laid_out_without_a_spread_is_kept(spark, tmp_path):
+    rows = spark.range(60_000).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("chunk_no"), F.lit("x").alias("content"), F.lit("en").alias("dataset_id"), F.lit("draft").alias("status"))
+    store = ChunkStore(spark, f"file://{tmp_path}/old")
+    store.table.create(rows.withColumn("_bucket", chunk_bucket(64, spread=None)), ["document_id", "chunk_no"], ["dataset_id", "status", "_bucket"], "_bucket", buckets=64)
+    store.upsert(rows.where("chunk_no % 5000 = 0").withColumn("content", F.lit("new")))
+    assert store.read().count() == 60_000 and store.read().where("content = 'new'").count() == 12
+    store.delete_document("d")
+    assert store.read().count() == 0
