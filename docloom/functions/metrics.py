@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.edits import list_edits, text_edits
-from docloom.functions.text import normalise_ws, tokens
+from docloom.functions.edits import text_edits, token_edits
+from docloom.functions.text import normalise_ws, token_line
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -29,7 +29,12 @@ def char_edits(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    return list_edits(tokens(normalise_ws(reference)), tokens(normalise_ws(hypothesis)))
+    return token_edits(token_line(reference), token_line(hypothesis))
+
+
+def word_count(line: Column) -> Column:
+    """Words of a line that has one blank between two."""
+    return F.when(line == "", 0).otherwise(F.char_length(line) - F.char_length(F.replace(line, F.lit(" "))) + 1)
 
 
 def rate(edits: Column, length: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.metrics import char_edits, rate, word_edits
-from docloom.functions.text import is_blank, normalise_ws, tokens
+from docloom.functions.edits import token_edits
+from docloom.functions.metrics import char_edits, rate, word_count
+from docloom.functions.text import is_blank, normalise_ws, token_line, tokens
 
 
 def parse_judge(raw: Column) -> Column:
@@ -62,7 +63,8 @@ def ocr_metrics(pairs: DataFrame, reference: str = "reference", hypothesis: str
     """``pairs`` with cer, wer, lengths and edits; a blank side gives an error row."""
     r, h = F.col(reference), F.col(hypothesis)
     blank = is_blank(r) | is_blank(h)
-    rows = pairs.withColumns({"char_edits": char_edits(r, h), "word_edits": word_edits(r, h), "ref_chars": F.char_length(normalise_ws(r)), "ref_words": F.size(tokens(normalise_ws(r)))})
+    rows = pairs.withColumn("_words", token_line(r))  # of the reference, for edits and length
+    rows = rows.withColumns({"char_edits": char_edits(r, h), "word_edits": token_edits(F.col("_words"), token_line(h)), "ref_chars": F.char_length(normalise_ws(r)), "ref_words": word_count(F.col("_words"))}).drop("_words")
     rows = rows.withColumns({"cer": rate(F.col("char_edits"), F.col("ref_chars")), "wer": rate(F.col("word_edits"), F.col("ref_words"))})
     own = ["char_edits", "word_edits", "ref_chars", "ref_words", "cer", "wer"]
     return rows.withColumns({**{c: F.when(~blank, F.col(c)) for c in own}, "error": F.when(blank, F.lit("both texts are required"))})

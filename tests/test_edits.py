@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.functions import edits as E
 
@@ -114,3 +115,31 @@ def test_far_lists_of_words_take_one_pass():
     far = time.process_time() - began
     began = time.process_time()
     assert d == E.whole(b, a) and far < 2 * (time.process_time() - began) + 0.5
+
+
+def test_words_cross_to_python_in_one_string(spark):
+    """Word edits equal those of arrays of tokens; no array is sent."""
+    from docloom.functions.metrics import word_count, word_edits
+    from docloom.functions.text import normalise_ws, token_line, tokens
+
+    texts = [None, "", " \t", "--", "a", "A  b_c\u00a0D9 \u00bd x\u2003y", "\u039f\u0394\u039f\u03a3\n\u03a3 \u03a3a", "e\u0301 \u0130I \u216b \u4e00\u4e8c, \U0001d538 \u0661\u0662", "a b c d\x85e f-g"]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate((x, y) for x in texts for y in texts)], "i int, a string, b string")
+    own = lambda c: tokens(normalise_ws(F.col(c)))
+    got = df.select("i", word_edits(F.col("a"), F.col("b")).alias("w"), E.list_edits(own("a"), own("b")).alias("v"), word_count(token_line(F.col("a"))).alias("n"), F.size(own("a")).alias("m"))
+    assert all(r.w == r.v and r.n == r.m for r in got.collect()) and len({r.w for r in got.collect()}) > 3
+    plan = df.select(word_edits(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "_token_edits" in plan
+
+
+def test_bands_that_too_few_shared_words_rule_out_are_not_tried(monkeypatch):
+    rnd = random.Random(3)
+    tried, within = [], E._within
+    monkeypatch.setattr(E, "_within", lambda a, b, t: tried.append(t) or within(a, b, t))
+    for _ in range(30):
+        a = [rnd.choice("abcdefgh") for _ in range(rnd.randint(80, 300))]
+        b = [rnd.choice("abcdijkl" if rnd.random() < 0.5 else "wxyz") for _ in range(len(a) - rnd.randint(0, 20))]
+        assert E.distance(a, b) == table(a, b) == E.whole(a, b)
+    few = len(tried)
+    a = [str(i) for i in range(400)]
+    assert E.distance(a, ["x", *a[:300]]) == 101 and tried[few:] == [100]
+    assert E.distance([*a, "y"], [f"-{i}" for i in range(400)]) == 401 and len(tried) == few + 1
