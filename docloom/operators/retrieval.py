@@ -48,26 +48,38 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP * SPREAD) -> DataFra
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP * SPREAD, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, id, score, rank``: chunks that share a term with the question.
 
-    N, document frequencies and mean length are of all chunks, before any access filter. Chunks are read and taken apart once: each
-    gives its lengths, and postings of the questions' terms alone; the three uses of these share one shuffle. Scores are rounded to
+    N, document frequencies and mean length are of all chunks, before any access filter; a chunk gives its length and its distinct terms, which
+    are summed up where it is read. Frequencies are then counted of the chunks alone that a question may see. Scores are rounded to
     nine digits before ranking, as a sum's last digits depend on the order in which terms arrive.
     """
     asked = _asked(queries, F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "q_dataset", "q_admin", "q_department", "term").agg(F.count("*").alias("qtf"))
     own = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     kept = ["id", "dataset_id", "department", "scope", "status"]
-    words = chunks.select(*kept, tokens(F.col("content")).alias("words"))
-    # A chunk's length travels as a posting without a term, one for each chunk.
-    length = F.array(F.lit(None).cast("string"))
-    if len(own) <= MOST_TERMS:
-        hits = words.select(*kept, F.size("words").alias("dl"), F.explode(F.concat(F.filter("words", lambda w: w.isin(own) if own else F.lit(False)), length)).alias("term"))
-    else:  # too many for the plan: all words meet the terms
-        all_ = words.select(*kept, F.size("words").alias("dl"), F.explode(F.concat("words", length)).alias("term"))
-        hits = all_.join(asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "_t"), F.col("term").eqNullSafe(F.col("_t")), "left_semi")
-    tf = hits.groupBy(*kept, "dl", "term").agg(F.count("*").alias("tf"))
-    totals = tf.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))  # one row
-    tf = tf.where("term is not null")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    q = asked.join(df, "term").crossJoin(F.broadcast(totals))
+
+    def terms(rows: DataFrame, once: bool) -> DataFrame:
+        """A posting for each term of the questions that a chunk has, each occurrence or ``once``, and one without a term, for its length."""
+        words = rows.select(*kept, tokens(F.col("content")).alias("words"))
+        length = F.array(F.lit(None).cast("string"))
+        named = F.filter("words", lambda w: w.isin(own) if own else F.lit(False)) if len(own) <= MOST_TERMS else F.col("words")
+        out = words.select(*kept, F.size("words").alias("dl"), F.explode(F.concat(F.array_distinct(named) if once else named, length)).alias("term"))
+        if len(own) <= MOST_TERMS:
+            return out
+        wanted = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "_t")
+        return out.join(wanted, F.col("term").eqNullSafe(F.col("_t")), "left_semi")  # too many for the plan: all words meet the terms
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return terms(rows, False).groupBy(*kept, "dl", "term").agg(F.count("*").alias("tf"))
+
+    if chunks.groupBy("id").count().where("count > 1").isEmpty():
+        every = terms(chunks, True).withColumn("tf", F.lit(1))
+    else:  # rows of one id, tags and length are one chunk
+        every = counted(chunks)
+    every = every.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("dl") * F.col("tf")).alias("length"))
+    # A row for each of the questions' terms, which all get the totals of the row without one: a filter of it would read the chunks again.
+    total = lambda c: F.sum(F.when(F.col("term").isNull(), F.col(c))).over(Window.partitionBy(F.lit(0)))
+    q = asked.join(every.select("term", "df", total("n").alias("n"), (total("length") / total("n")).alias("avgdl")), "term")
+    viewers = asked.select("q_dataset", "q_admin", "q_department").distinct()
+    tf = counted(chunks.join(F.broadcast(viewers), _may_see(viewers, chunks), "left_semi")).where("term is not null")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     met = tf.join(q, (tf["term"] == q["term"]) & _may_see(q, tf))

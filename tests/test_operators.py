@@ -474,3 +474,43 @@ def test_lines_without_a_mark_cost_no_search_for_labels(spark):
     assert "Contains(_line" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.pos, r.label) for r in got.orderBy("pos").collect()][:2] == [(0, "One"), (1, "and Two")]
     assert {"Three", "Four", "Five", "Seven"} <= {r.label.split()[-1] for r in got.collect()}
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_bm25_reads_texts_twice_and_counts_rows_of_one_chunk_together(spark, tmp_path, monkeypatch, named):
+    """Once for the statistics of all chunks, once for the frequencies of those that may be seen; scores as loops give them."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    if not named:
+        monkeypatch.setattr(retrieval, "MOST_TERMS", 2)
+    rnd = random.Random(4)
+    rows = [(f"c{i:02d}", rnd.choice(["en", "de"]), rnd.choice(["DEV", "HR"]), rnd.choice(["company", "department"]), rnd.choice(["in_force", "draft"]), " ".join(rnd.choice("ab cd ef gh ij kl".split()) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    asked = [(1, "ab ab CD?", "en", False, "DEV"), (2, "ef", "de", True, None), (3, "gh zz", "en", False, " "), (4, "", "en", True, None), (5, "ij kl ab", "xx", True, None)]
+    q = spark.createDataFrame([(i, t, [1.0], d, a, p) for i, t, d, a, p in asked], "query_id long, question string, vector array<float>, dataset_id string, is_admin boolean, department string")
+
+    def brute(rows):
+        held = defaultdict(Counter)
+        for *kept, text in rows:
+            held[(*kept, len(text.split()))].update(text.split())
+        n, average = len(rows), sum(len(r[-1].split()) for r in rows) / len(rows)
+        df = Counter(t for words in held.values() for t in words)
+        out = {}
+        for i, text, dataset, admin, department in asked:
+            own = defaultdict(float)
+            for (c, d, p, scope, status, dl), words in held.items():
+                if d == dataset and (admin or (status == "in_force" and (scope == "company" or (p == department and department.strip())))):
+                    for t, m in Counter(text.lower().replace("?", "").split()).items():
+                        if words[t]:
+                            own[c] += m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words[t] / (words[t] + 1.2 * (1 - 0.75 + 0.75 * dl / average))
+            out |= {(i, c): pytest.approx(x, abs=1e-8) for c, x in own.items()}
+        return out
+
+    for name, some in (("once", rows), ("again", [*rows, *rows[:20], rows[0]])):
+        spark.createDataFrame(some, "id string, dataset_id string, department string, scope string, status string, content string").write.parquet(f"{tmp_path}/{name}")
+        got = retrieval.bm25(q, spark.read.parquet(f"{tmp_path}/{name}"))
+        assert {(r.query_id, r.id): r.score for r in got.collect()} == brute(some)
+        if name == "once":
+            plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+            assert sum("FileScan" in x and "content" in x for x in plan.split("\n")) == 2
