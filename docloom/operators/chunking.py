@@ -86,11 +86,11 @@ def _cut_starts(lengths: DataFrame) -> DataFrame | None:
     return rows.join(found, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("stretch") == F.col("_s")) & (F.col("i") == F.col("_j")), "left_semi").select("document_id", "ord")
 
 
-def layout_chunks(elements: DataFrame) -> DataFrame:
+def layout_chunks(elements: DataFrame, trim_header: Callable[[Column], Column] = trim_ws, trim_body: Callable[[Column], Column] = trim_ws) -> DataFrame:
     """``document_id, chunk_no, content, content_type, page, bbox, section`` of each document's elements, in order.
 
     Headers, tables and full chunks are breaks; their number up to an element is the number of its chunk, whose texts are gathered. The
-    cut at 8,000 characters depends on all before it: see ``_cut_starts``, which handles numbers alone. Null is a document of its own.
+    cut at 8,000 characters depends on all before it: see ``_cut_starts``, which handles numbers alone. Null is a document of its own. ``trim_header`` and ``trim_body`` say what goes at the ends of headers and texts.
     The elements are written to the shared folder; ``discard`` of the result, once it has been used, removes them.
     """
     # Elements are made once: numbers, texts and tables are taken from what is written.
@@ -107,11 +107,11 @@ def layout_chunks(elements: DataFrame) -> DataFrame:
         full = full.select(F.col("document_id").alias("_d"), F.col("ord").alias("_o"), F.lit(True).alias("_c"))
         rows = rows.join(full, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("ord") == F.col("_o")), "left").withColumn("_cut", F.coalesce("_c", F.lit(False))).drop("_d", "_o", "_c")
     # A table is alone; what follows it begins anew.
-    header = F.when(is_header, F.struct(trim_ws(F.col("text")).alias("h")))
+    header = F.when(is_header, F.struct(trim_header(F.col("text")).alias("h")))
     rows = rows.withColumns({"_head": is_header, "_table": is_table})
     rows = rows.withColumn("_at", F.sum((F.col("_head") | F.col("_table") | F.col("_cut")).cast("int") + F.coalesce(F.lag("_table").over(Window.partitionBy("document_id").orderBy("ord")).cast("int"), F.lit(0))).over(along))
     rows = rows.withColumn("section", F.last(header, ignorenulls=True).over(along)["h"]).where(~F.col("_head"))
-    body = trim_ws(F.coalesce("text", F.lit("")))
+    body = trim_body(F.coalesce("text", F.lit("")))
     first = lambda c: F.min(F.struct("ord", F.col(c).alias("v")))["v"]
     box = lambda f, k: f(F.col(f"bbox.{k}"))
     around = F.when(F.count("bbox") > 0, F.struct(box(F.min, "x1").alias("x1"), box(F.min, "y1").alias("y1"), box(F.max, "x2").alias("x2"), box(F.max, "y2").alias("y2")))

@@ -4,6 +4,7 @@ each a stream of its own; what a document has is what its latest job left, of wh
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,17 @@ def _states(jobs: DataFrame, state: str, path: str) -> None:
 _PLACE = "_place"
 
 
-def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], n: int, first: int = 0, piece: str = "0") -> None:
+def chunks_of_texts(jobs: DataFrame) -> DataFrame:
+    """The chunks of ``jobs(document_id, text)``, as the service makes them."""
+    return layout_chunks(text_elements(jobs))
+
+
+def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], n: int, chunks_of: Callable[[DataFrame], DataFrame], first: int = 0, piece: str = "0") -> None:
     """Write the chunks of the ``n`` jobs whose places begin at ``first``. If that fails, they are halved by place until those that fail are
     alone: these alone are lost."""
     own = jobs.where((F.col(_PLACE) >= first) & (F.col(_PLACE) < first + n))
     try:
-        chunks = layout_chunks(text_elements(own.where("trim(coalesce(text, '')) <> ''")))
+        chunks = chunks_of(own.where("trim(coalesce(text, '')) <> ''"))
         tags = own.select(F.col("document_id").alias("_d"), "job_id", "dataset_id", F.col("file_name").alias("document_name"), "department", "doc_type", "scope", "status")
         chunks.join(tags, F.col("document_id").eqNullSafe(F.col("_d"))).drop("_d").write.mode("overwrite").parquet(f"{path}/piece={piece}")
         discard(chunks)
@@ -45,11 +51,11 @@ def _chunked(jobs: DataFrame, path: str, failed: list[tuple[str, str]], n: int,
         if n <= 1:
             failed += [(r["document_id"], f"{type(e).__name__}: {e}"[:500]) for r in own.select("document_id").collect()]
             return
-        _chunked(jobs, path, failed, n // 2, first, piece + "0")
-        _chunked(jobs, path, failed, n - n // 2, first + n // 2, piece + "1")
+        _chunked(jobs, path, failed, n // 2, chunks_of, first, piece + "0")
+        _chunked(jobs, path, failed, n - n // 2, chunks_of, first + n // 2, piece + "1")
 
 
-def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id: int, queue: str = "upload") -> None:
+def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id: int, queue: str = "upload", chunks_of: Callable[[DataFrame], DataFrame] = chunks_of_texts) -> None:
     """One micro-batch: its jobs go from pending over processing to done or failed; the chunks of its documents are written under the
     batch's own folder. Of several jobs of a document the one queued last counts (of one time, that with the largest job_id), the others are
     done without effect. A document without chunks, or one that can't be worked on, fails alone. Writing the same batch again replaces it, so a restart adds
@@ -68,7 +74,7 @@ def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id:
         last = last.withColumnRenamed("pos", _PLACE)
         _states(last, "processing", f"{log}/step=1")
         failed: list[tuple[str, str]] = []
-        _chunked(last, own, failed, last.count())
+        _chunked(last, own, failed, last.count(), chunks_of)
         done = stored_chunks(spark, own).groupBy(F.col("document_id").alias("d")).agg(F.count("*").alias("n"))
         why = spark.createDataFrame(failed, "w string, why string")
         kept = last.select(F.col("document_id").alias("l"), F.col("job_id").alias("kept"), F.col("queued_at").alias("kept_at"))
@@ -84,9 +90,9 @@ def ingest_batch(jobs: DataFrame, chunks_path: str, states_path: str, batch_id:
         jobs.unpersist()
 
 
-def ingest(stream: DataFrame, chunks_path: str, states_path: str, checkpoint: str, available_now: bool = True):
-    """Start ingestion; with ``available_now`` it ends when the folder is worked off."""
-    return _start(stream, checkpoint, available_now, lambda df, k: ingest_batch(df, chunks_path, states_path, k))
+def ingest(stream: DataFrame, chunks_path: str, states_path: str, checkpoint: str, available_now: bool = True, chunks_of: Callable[[DataFrame], DataFrame] = chunks_of_texts):
+    """Start ingestion; with ``available_now`` it ends when the folder is worked off. ``chunks_of`` makes the chunks of a batch's documents."""
+    return _start(stream, checkpoint, available_now, lambda df, k: ingest_batch(df, chunks_path, states_path, k, chunks_of=chunks_of))
 
 
 def reparse(stream: DataFrame, texts, chunks_path: str, states_path: str, checkpoint: str, available_now: bool = True):
