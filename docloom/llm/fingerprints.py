@@ -157,10 +157,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in (*kept[1:], "_sha")], of("hi", 0).alias("hi"), of("lo", 0).alias("lo"), of("hi", 1).alias("edited_hi"), of("lo", 1).alias("edited_lo")
     )
     one = stash(one, "prints")
-    # Rows of one id and text have one fingerprint.
+    # Rows of one id and text have one fingerprint. A table of a row for each document isn't broadcast, however small its files.
     after = one.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_g")).agg(F.any_value("hi").alias("_nhi"), F.any_value("lo").alias("_nlo"))
     c = F.col
-    return one.join(after, c("_next_id").eqNullSafe(c("_d")) & (c("_next_key") == c("_g"))).select(
+    return one.join(after.hint("merge"), c("_next_id").eqNullSafe(c("_d")) & (c("_next_key") == c("_g"))).select(
         "doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "hi", "lo", "edited_hi", "edited_lo",
         likeness(differing(c("hi"), c("lo"), c("edited_hi"), c("edited_lo"))).alias("near_edited"),
         likeness(differing(c("hi"), c("lo"), c("_nhi"), c("_nlo"))).alias("near_next"),
@@ -185,14 +185,15 @@ def near_search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) ->
     """``q_hi, q_lo, hi, lo, bits``: all of ``prints(hi, lo)`` within ``radius`` bits of each of ``queries(hi, lo)``.
 
     Both are reduced to distinct fingerprints first, so copies aren't expanded. A pair that several tables hold is reported by
-    the first of them. The join on blocks is a plain equi-join, whose hot blocks AQE may split.
+    the first of them. The join on blocks is a plain equi-join, whose hot blocks AQE may split. It is sorted, never broadcast: Spark takes
+    an exploded table for as small as what it is made of, and one of 28 rows a fingerprint would go through the driver.
     """
     q = queries.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).distinct().select("*", block_tables(F.col("q_hi"), F.col("q_lo"), radius).alias("_q"))
     all_ = prints.select("hi", "lo").distinct().select("*", F.explode(block_tables(F.col("hi"), F.col("lo"), radius)).alias("_b")).select("hi", "lo", "_b.*")
     q = q.select("q_hi", "q_lo", F.explode("_q").alias("_b")).select("q_hi", "q_lo", "_b.*")
     bits = differing(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo"))
     first = F.array_position(F.zip_with(block_tables(F.col("q_hi"), F.col("q_lo"), radius), block_tables(F.col("hi"), F.col("lo"), radius), lambda a, b: a == b), F.lit(True)) - 1
-    met = q.join(all_, (q["t"] == all_["t"]) & (q["x"] == all_["x"]) & (bits <= radius))
+    met = q.join(all_.hint("merge"), (q["t"] == all_["t"]) & (q["x"] == all_["x"]) & (bits <= radius))
     return met.where(first == q["t"]).select("q_hi", "q_lo", "hi", "lo", bits.alias("bits"))
 
 
@@ -201,7 +202,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = stash(fingerprint_documents(table(spark, sf_dir, "documents")), "rows")
     asked = rows.where("doc_id % 20 = 0").select("hi", "lo").distinct()
     copies = rows.groupBy("hi", "lo").count()
-    found = near_search(asked, copies).join(copies, ["hi", "lo"]).groupBy("q_hi", "q_lo").agg((F.sum("count") - 1).alias("n_near"))
+    found = near_search(asked, copies).join(copies.hint("merge"), ["hi", "lo"]).groupBy("q_hi", "q_lo").agg((F.sum("count") - 1).alias("n_near"))
     out = rows.join(found, (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo")), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex128(F.col("hi"), F.col("lo")).alias("fingerprint"), hex128(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint"),

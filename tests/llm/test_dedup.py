@@ -275,6 +275,15 @@ def test_search_finds_all_within_the_radius(spark):
     assert got == {(*halves(q), *halves(x)) for q in base for x in rows if (q ^ x).bit_count() <= fingerprints.RADIUS}
 
 
+def test_block_tables_are_not_broadcast(spark, sf_dir):
+    """However small Spark takes them for: they have 28 rows for each fingerprint. Nor is what has a row for each document."""
+    rows = spark.range(200).select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"))
+    plan = fingerprints.near_search(rows.where("id % 20 = 0"), rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = fingerprints.fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprints_run_without_python(spark, sf_dir):
     plan = fingerprints.fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
