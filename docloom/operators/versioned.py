@@ -63,10 +63,12 @@ class Manifest:
 
 
 class VersionedTable:
-    """A table merged by ``keys``, laid out by ``parts``; ``bucket`` names the one of the parts that the keys determine."""
+    """A table merged by ``keys``, laid out by ``parts``; ``bucket`` names the one of the parts that the keys determine;
+    ``compression`` is that of its files, Spark's own where none is said."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, compression: str | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._options = {"compression": compression} if compression else {}
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     # Files -----------------------------------------------------------------------------------------------------------------
@@ -113,10 +115,10 @@ class VersionedTable:
             found = [f"{f}/{n}" for f in found for n in self._names(f"data/{f}") if "=" in n]
         return found
 
-    def _write(self, df: DataFrame, top: str, m: Manifest) -> None:
+    def _write(self, df: DataFrame, top: str, m: Manifest, dealt: bool = False) -> None:
         order = [c for c in m.keys if c not in m.parts]
-        # A partition's rows are gathered where they are written, in few files; AQE splits what is large.
-        df.hint("rebalance", *m.parts).sortWithinPartitions(*m.parts, *order).write.mode("append").partitionBy(*m.parts).parquet(f"{self.path}/data/{top}")
+        # A partition's rows are gathered where they are written, in few files; AQE splits what is large. Rows that the caller has dealt stay.
+        (df if dealt else df.hint("rebalance", *m.parts)).sortWithinPartitions(*m.parts, *order).write.mode("append").options(**self._options).partitionBy(*m.parts).parquet(f"{self.path}/data/{top}")
 
     # Reading ---------------------------------------------------------------------------------------------------------------
 
@@ -139,11 +141,12 @@ class VersionedTable:
 
     # Writing ---------------------------------------------------------------------------------------------------------------
 
-    def create(self, df: DataFrame, keys: Sequence[str], parts: Sequence[str], bucket: str | None = None, **properties) -> int:
-        """Version 1, or the next one, with these rows alone. No two rows may share their keys."""
+    def create(self, df: DataFrame, keys: Sequence[str], parts: Sequence[str], bucket: str | None = None, dealt: bool = False, **properties) -> int:
+        """Version 1, or the next one, with these rows alone. No two rows may share their keys. ``dealt``: a task has rows of few partitions
+        already, and they aren't shuffled again."""
         m = Manifest(self.version() + 1, _nullable(df.schema), list(keys), list(parts), bucket, properties=properties)
         top = f"v={m.version}-{uuid.uuid4().hex[:8]}"
-        self._write(df, top, m)
+        self._write(df, top, m, dealt)
         m.folders = self._folders(top, len(m.parts))
         self._commit(m)
         return m.version
@@ -180,12 +183,12 @@ class VersionedTable:
         self._commit(m)
         return m.version
 
-    def append(self, rows: DataFrame, **properties) -> int:
-        """The next version: these rows beside the others, whose keys they must not share."""
+    def append(self, rows: DataFrame, dealt: bool = False, **properties) -> int:
+        """The next version: these rows beside the others, whose keys they must not share. ``dealt``: as for ``create``."""
         m = self.manifest()
         top = f"v={m.version + 1}-{uuid.uuid4().hex[:8]}"
         schema = T.StructType.fromJson(json.loads(m.schema))
-        self._write(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), top, m)
+        self._write(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), top, m, dealt)
         m.folders += self._folders(top, len(m.parts))
         m.version += 1
         m.properties |= properties
