@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import tokens
 from docloom.functions.vectors import dot, min_max, norm
 from docloom.operators.acl import visible_to
+from docloom.shared import written
 
 TOP, SPREAD, WEIGHT, THRESHOLD = 8, 6, 0.3, 0.2
 #: Distinct terms of all questions that a plan may name; beyond, they are joined.
@@ -122,7 +123,9 @@ def retrieve_kept(queries: DataFrame, vectors, postings, texts: DataFrame, top:
     """The same from a ``VectorIndex`` and a ``PostingsIndex`` of the chunks: no vector is read but those of the cells searched, and no text
     but those of ``texts`` that are shown. Neighbours are those among 240 candidates or more, or, ``exact``, all."""
     hits = combined(vectors.search(queries, top * SPREAD, exact=exact), postings.search(queries, top * SPREAD))
-    return _with_texts(fuse(hits, F.lit(weight), top, threshold), texts)
+    # The hits are written, so that Spark sees how few they are before it decides whether texts are shuffled.
+    best = fuse(hits, F.lit(weight), top, threshold).select("query_id", "rank", "id", "similarity")
+    return _with_texts(written(best, "hits"), texts)
 
 
 def _with_texts(best: DataFrame, texts: DataFrame) -> DataFrame:
